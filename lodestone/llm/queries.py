@@ -30,3 +30,101 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, digest=True)
+
+
+@query("op1_quality_rules")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import judge
+
+    return judge(table(spark, sf_dir, "documents"))
+
+
+def _bin(v: str) -> str:
+    return f"(({v}) >> greatest(length(bin({v})) - 6, 0)) << greatest(length(bin({v})) - 6, 0)"
+
+
+def _op1_sql() -> str:
+    from .quality_rules import LEAST, MEASURES, SPREAD
+
+    parts = []
+    for m, (top, bottom, slack, both) in MEASURES.items():
+        v = f"CASE WHEN {bottom} > 0 THEN {top} * 10000 // {bottom} ELSE 0 END"
+        low = f"-{SPREAD}" if both else "NULL"
+        parts.append(f"SELECT row, doc_id, lang, source, base_failed, '{m}' AS measure, {slack} AS slack, {low} AS low, CAST({v} AS BIGINT) AS v FROM judged")
+
+    def quartile(keys: str, at: str) -> str:
+        over = f"PARTITION BY {keys}measure"
+        return f"""SELECT {keys}measure, max(total) AS n, min(CASE WHEN upto * 4 >= total THEN bin END) AS q1, min(CASE WHEN upto * 4 >= total * 3 THEN bin END) AS q3
+            FROM (SELECT {keys}measure, bin, sum(n) OVER ({over} ORDER BY bin) AS upto, sum(n) OVER ({over}) AS total
+                  FROM (SELECT {keys}measure, bin, count(*) AS n FROM binned GROUP BY ALL)) GROUP BY ALL"""
+
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, lang, source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, string_split(text, chr(10)) AS lines FROM d),
+grams AS (SELECT row, i, array_to_string(words[i:i + 7], ' ') AS gram FROM (SELECT row, words, unnest(range(1, len(words) - 6)) AS i FROM w WHERE len(words) >= 8)),
+again AS (SELECT row, i FROM (SELECT row, i, count(*) OVER (PARTITION BY row, gram) AS n FROM grams) WHERE n > 1),
+covered AS (SELECT row, count(DISTINCT i + j) AS n FROM again, (SELECT unnest(range(0, 8)) AS j) GROUP BY row),
+line AS (SELECT row, unnest(lines) AS line FROM w),
+copied AS (SELECT row, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n FROM line WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY row),
+counted AS (
+  SELECT w.row, doc_id, lang, source, CAST(len(words) AS BIGINT) AS n_words,
+    CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+    CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(coalesce(c.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(v.n, 0) AS BIGINT) AS n_repeat_words,
+    CAST(coalesce(c.n_lines, 0) AS BIGINT) AS n_lines,
+    CAST(length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS BIGINT) AS n_capitals
+  FROM w LEFT JOIN covered v USING (row) LEFT JOIN copied c USING (row)),
+judged AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counted),
+measured AS ({" UNION ALL ".join(parts)}),
+binned AS (SELECT lang, source, measure, CAST({_bin("v")} AS BIGINT) AS bin FROM measured WHERE NOT base_failed),
+own AS ({quartile("lang, source, ", "own")}),
+of_lang AS ({quartile("lang, ", "lang")}),
+of_all AS ({quartile("", "all")}),
+chosen AS (
+  SELECT o.lang, o.source, o.measure,
+    CASE WHEN o.n >= {LEAST} THEN o.q1 WHEN l.n >= {LEAST} THEN l.q1 ELSE a.q1 END AS q1,
+    CASE WHEN o.n >= {LEAST} THEN o.q3 WHEN l.n >= {LEAST} THEN l.q3 ELSE a.q3 END AS q3
+  FROM own o JOIN of_lang l ON o.lang IS NOT DISTINCT FROM l.lang AND o.measure = l.measure JOIN of_all a ON o.measure = a.measure),
+verdict AS (
+  SELECT m.row, bool_and(coalesce(v <= q3 + {SPREAD} * (q3 - q1) + slack AND (low IS NULL OR v >= q1 + low * (q3 - q1) - slack), false)) AS fine
+  FROM measured m LEFT JOIN chosen c ON m.lang IS NOT DISTINCT FROM c.lang AND m.source IS NOT DISTINCT FROM c.source AND m.measure = c.measure GROUP BY m.row)
+SELECT doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_capitals, base_failed, NOT base_failed AND fine AS kept
+FROM judged JOIN verdict USING (row)"""
+
+
+ORACLES["op1_quality_rules"] = _op1_sql()
+
+
+@query("op7_mixing")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+ORACLES["op7_mixing"] = r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(text, '') AS text, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+k AS (
+  SELECT doc_id, source, size,
+    -ln((('0x' || substr(md5('mix-1|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(text)), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0)
+      * CASE WHEN size > 0 THEN (size + length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g'))) / size ELSE 1.0::DOUBLE END AS key
+  FROM d),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM k GROUP BY source),
+w AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM s),
+u AS (
+  SELECT *, sum(source_size) OVER () AS total, sum(3 * source_size) OVER o - 3 * source_size AS met, sum(weight) OVER () - sum(weight) OVER o + weight AS rest
+  FROM w WINDOW o AS (ORDER BY 3 * source_size / weight, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
+r AS (SELECT *, (total - met)::DOUBLE / rest::DOUBLE AS rate FROM u),
+common AS (SELECT arg_min(rate, 3 * source_size / weight) AS rate FROM r WHERE rate * weight <= 3 * source_size),
+t AS (SELECT source, source_size, coalesce(least(3.0 * source_size::DOUBLE, weight * common.rate), 3.0 * source_size::DOUBLE) AS target FROM r, common),
+e AS (SELECT *, CASE WHEN source_size > 0 THEN least(3, floor(floor(target + 0.5) / source_size)) ELSE 0 END::BIGINT AS epochs FROM t),
+f AS (SELECT *, floor(target + 0.5)::BIGINT - epochs * source_size AS rest FROM e),
+p AS (
+  SELECT k.*, f.source_size, f.target, f.epochs, f.rest,
+    sum(size) OVER (PARTITION BY k.source ORDER BY key, doc_id NULLS FIRST, size RANGE UNBOUNDED PRECEDING) AS upto,
+    sum(size) OVER (PARTITION BY k.source, key, doc_id, size) AS words
+  FROM k JOIN f ON k.source IS NOT DISTINCT FROM f.source)
+SELECT doc_id, size, source_size, target,
+  (size * (epochs + CASE WHEN rest > 0 AND 2 * (upto - words) + words <= 2 * rest THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM p"""
