@@ -67,3 +67,26 @@ def _row_bytes(batch):
 def narrow(docs: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that other columns of any name never clash."""
     return docs.select(*[F.col(f"`{n}`") for n in names])
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int, longest: int = 200_000) -> tuple[list[str], list[int], list[str]]:
+    """Texts, labels and languages of at most ``bound`` training documents, in a fixed order.
+
+    Training rows are those whose id_bucket(doc_id, 4) is not 2. The ids are the first ``bound`` by
+    hash, of the labelled ones; texts of over ``longest`` characters aren't trained on. The language
+    serves to calibrate thresholds alone.
+    """
+    known = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col(label).cast("int").alias("_label")).dropna()
+    known = known.filter(id_bucket(F.col("_id"), 4) != 2).groupBy("_id").agg(F.max("_label").alias("_label"))
+    ids = F.broadcast(known.orderBy(F.md5(F.col("_id").cast("string")), "_id").limit(bound))
+    rows = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.col("text").cast("string").alias("_text"), F.col("lang").cast("string").alias("_lang"))
+    rows = rows.filter(F.coalesce(F.length("_text"), F.lit(0)) <= longest).join(ids, F.col("_doc") == F.col("_id"))
+    rows = rows.groupBy("_id", "_label").agg(F.min(F.struct(F.coalesce("_text", F.lit("")).alias("t"), F.coalesce("_lang", F.lit("")).alias("l"))).alias("_x"))
+    got = sorted(rows.collect(), key=lambda r: hash_of(r["_id"]))
+    return [r["_x"]["t"] for r in got], [r["_label"] for r in got], [r["_x"]["l"] for r in got]
+
+
+def hash_of(value) -> str:
+    import hashlib
+
+    return hashlib.md5(str(value).encode()).hexdigest()

@@ -15,6 +15,8 @@ passed by. An empty table gives an empty result.
 
 from __future__ import annotations
 
+from operator import eq
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,11 +30,12 @@ SPREAD = 3
 MEASURES = {
     "symbols": ("n_symbols", "n_words", 2000, False),
     "capitals": ("n_capitals", "word_chars", 800, False),
-    "repeats": ("n_repeat_words", "n_words", 1000, False),
-    "copied_lines": ("n_dup_lines", "n_lines", 2500, False),
+    "repeats": ("n_repeat_words", "n_words", 3000, False),
+    "stutters": ("n_stutters", "n_words", 2000, False),
+    "copied_lines": ("n_dup_lines", "n_lines", 5000, False),
     "word_length": ("word_chars", "n_words", 12000, True),
 }
-_COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals"]
+_COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_stutters"]
 
 
 def repeated_words(words: list[bytes], window: int = 8) -> int:
@@ -78,7 +81,7 @@ def measure_text(text: str) -> tuple[int, ...]:
             copies += line in seen
             seen.add(line)
     symbols = int(sum(by_byte[b] for b in b"#*$%&|<>"))
-    return len(words), len(text) - blanks, symbols, copies, repeated_words(words), lines, int(by_byte[65:91].sum())
+    return len(words), len(text) - blanks, symbols, copies, repeated_words(words), lines, int(by_byte[65:91].sum()), sum(map(eq, words, words[1:]))
 
 
 def measure(docs: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources import table
 
@@ -72,7 +73,8 @@ counted AS (
     CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
     CAST(coalesce(c.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(v.n, 0) AS BIGINT) AS n_repeat_words,
     CAST(coalesce(c.n_lines, 0) AS BIGINT) AS n_lines,
-    CAST(length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS BIGINT) AS n_capitals
+    CAST(length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS BIGINT) AS n_capitals,
+    CAST(len(list_filter(range(2, len(words) + 1), lambda i: words[i] = words[i - 1])) AS BIGINT) AS n_stutters
   FROM w LEFT JOIN covered v USING (row) LEFT JOIN copied c USING (row)),
 judged AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counted),
 measured AS ({" UNION ALL ".join(parts)}),
@@ -88,7 +90,7 @@ chosen AS (
 verdict AS (
   SELECT m.row, bool_and(coalesce(v <= q3 + {SPREAD} * (q3 - q1) + slack AND (low IS NULL OR v >= q1 + low * (q3 - q1) - slack), false)) AS fine
   FROM measured m LEFT JOIN chosen c ON m.lang IS NOT DISTINCT FROM c.lang AND m.source IS NOT DISTINCT FROM c.source AND m.measure = c.measure GROUP BY m.row)
-SELECT doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_capitals, base_failed, NOT base_failed AND fine AS kept
+SELECT doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_capitals, n_stutters, base_failed, NOT base_failed AND fine AS kept
 FROM judged JOIN verdict USING (row)"""
 
 
@@ -128,3 +130,13 @@ p AS (
 SELECT doc_id, size, source_size, target,
   (size * (epochs + CASE WHEN rest > 0 AND 2 * (upto - words) + words <= 2 * rest THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM p"""
+
+
+@query("op10_toxicity")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit, score
+
+    docs = table(spark, sf_dir, "documents")
+    model, thresholds = fit(docs, table(spark, sf_dir, "labels"))
+    scored = score(docs, model, thresholds)
+    return scored.withColumn("predicted", F.when(F.col("score") >= 0.3, 1).otherwise(0))
