@@ -4,7 +4,8 @@ Merge rule: within a pre-token, the adjacent pair whose concatenation has the lo
 contracted, leftmost first, until no pair has a rank. A pre-token that is itself in the
 vocabulary is that token. The merge table holds every split of a token into two tokens.
 
-One recursion step contracts the leftmost lowest pair of each word. A rank is "calm" if no merge
+One recursion step contracts the leftmost lowest pair of each word. In words of 256 bytes or more
+it may contract more of them. A rank is "calm" if no merge
 that takes its token in has a lower or equal rank; then contracting further copies of that pair
 cannot make a better pair come first, and all its non-overlapping copies in the word are
 contracted in the same step, left to right. That keeps runs such as ten thousand equal letters
@@ -27,9 +28,9 @@ from pyspark.sql import functions as F
 from .common import pieces, text_of
 
 #: Distinct pre-tokens that a partition remembers before it starts afresh; bounds memory only.
-REMEMBERED = 150_000
+REMEMBERED = 500_000
 #: Bytes of unknown pre-tokens that one recursive query takes at most (one pre-token at least).
-QUERY_BYTES = 100_000
+QUERY_BYTES = 150_000
 #: Rows of token positions that one recursion keeps; it starts again from its last step.
 STEP_ROWS = 1_500_000
 
@@ -51,7 +52,41 @@ def merge_rows(ranks: dict[bytes, int]) -> list[tuple[int, int, int]]:
     return rows
 
 
-_ENCODE = """
+_END = """
+), last AS (SELECT word, max(level) AS level FROM step GROUP BY word)
+SELECT s.word,
+       list(s.tok ORDER BY s.pos) AS ids,
+       string_agg(v.hex, '' ORDER BY s.pos) AS decoded,
+       any_value(s.level) = $1 AS unfinished
+FROM step s JOIN last USING (word, level) JOIN vocabulary v ON v.id = s.tok
+GROUP BY s.word
+"""
+
+#: For words of fewer than 256 bytes: the leftmost pair of lowest rank in each step.
+_ENCODE = (
+    """
+WITH RECURSIVE step(word, pos, tok, level) AS (
+    SELECT word, pos, tok, 0 FROM start
+  UNION ALL (
+    WITH pairs AS (  -- token positions beside their right neighbours, joined with the merges
+        SELECT s.word, s.pos, s.tok, s.nxt, s.level, m.merged
+        FROM (SELECT *, lead(tok) OVER w AS ntok, lead(pos) OVER w AS nxt FROM step
+              WHERE level < $1 WINDOW w AS (PARTITION BY word ORDER BY pos)) s
+        LEFT JOIN merges m ON m.a = s.tok AND m.b = s.ntok
+    ), best AS (
+        SELECT word, min(merged) AS merged, min(merged * 256 + pos) % 256 AS pos,
+               arg_min(nxt, merged * 256 + pos) AS gone
+        FROM pairs WHERE merged IS NOT NULL GROUP BY word
+    )
+    SELECT s.word, s.pos, CASE WHEN s.pos = b.pos THEN b.merged ELSE s.tok END, s.level + 1
+    FROM pairs s JOIN best b USING (word) WHERE s.pos <> b.gone)
+"""
+    + _END
+)
+
+#: For longer words: all copies of a calm pair in one step.
+_ENCODE_LONG = (
+    """
 WITH RECURSIVE step(word, pos, tok, level) AS (
     SELECT word, pos, tok, 0 FROM start
   UNION ALL
@@ -77,14 +112,9 @@ WITH RECURSIVE step(word, pos, tok, level) AS (
         SELECT word, pos, CASE WHEN take THEN merged ELSE tok END AS tok, level + 1 AS level
         FROM swallowed WHERE NOT gone
     )
-), last AS (SELECT word, max(level) AS level FROM step GROUP BY word)
-SELECT s.word,
-       list(s.tok ORDER BY s.pos) AS ids,
-       string_agg(v.hex, '' ORDER BY s.pos) AS decoded,
-       any_value(s.level) = $1 AS unfinished
-FROM step s JOIN last USING (word, level) JOIN vocabulary v ON v.id = s.tok
-GROUP BY s.word
 """
+    + _END
+)
 
 _DECODE = """
 SELECT t.doc, string_agg(v.hex, '' ORDER BY t.pos) AS decoded
@@ -123,12 +153,14 @@ class Codec:
         self.db.register("raw", words)
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM raw")
         self.db.unregister("raw")
-        self.known: dict[str, tuple[int, str, bytes]] = {}
+        self.ids: dict[str, str] = {}
+        self.data: dict[str, bytes] = {}
 
     def contract(self, words: list[bytes]) -> Iterator[tuple[int, list[int], bytes]]:
         """(index, ids, decoded bytes) of each word, by the recursive query."""
         import numpy as np
 
+        short = all(len(w) < 256 for w in words)
         todo = [(i, self.single[np.frombuffer(w, dtype=np.uint8)]) for i, w in enumerate(words)]
         while todo:
             lengths = np.array([len(ids) for _, ids in todo])
@@ -139,7 +171,7 @@ class Codec:
             # a recursion keeps the rows of all its steps, so long words take several
             levels = max(4, STEP_ROWS // max(1, len(word)))
             again = []
-            for i, ids, decoded, unfinished in self.db.execute(_ENCODE, [levels]).fetchall():
+            for i, ids, decoded, unfinished in self.db.execute(_ENCODE if short else _ENCODE_LONG, [levels]).fetchall():
                 if unfinished:
                     again.append((todo[i][0], np.array(ids, dtype=np.int32)))
                 else:
@@ -149,36 +181,40 @@ class Codec:
 
     def learn(self, parts: set[str]) -> None:
         """Encode pre-tokens not met before."""
-        new = [p for p in parts if p not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
+        new = [p for p in parts if p not in self.ids]
+        if len(self.ids) + len(new) > REMEMBERED:
+            self.ids.clear()
+            self.data.clear()
             new = list(parts)
-        todo, size = [], 0
+        short, long, size = [], [], 0
         for p in new:
             data = p.encode("utf-8", "replace")
             rank = self.ranks.get(data)
             if rank is not None:
-                self.known[p] = (1, str(rank), data)
-                continue
-            if todo and size + len(data) > QUERY_BYTES:
-                self._flush(todo)
-                todo, size = [], 0
-            todo.append((p, data))
-            size += len(data)
-        if todo:
-            self._flush(todo)
+                self.ids[p], self.data[p] = str(rank), data
+            elif len(data) >= 256:
+                long.append((p, data))
+            else:
+                short.append((p, data))
+                size += len(data)
+                if size > QUERY_BYTES:
+                    self._flush(short)
+                    short, size = [], 0
+        self._flush(short)
+        for one in long:
+            self._flush([one])
 
     def _flush(self, todo: list[tuple[str, bytes]]) -> None:
-        for i, ids, decoded in self.contract([d for _, d in todo]):
-            self.known[todo[i][0]] = (len(ids), ",".join(map(str, ids)), decoded)
+        if todo:
+            for i, ids, decoded in self.contract([d for _, d in todo]):
+                self.ids[todo[i][0]], self.data[todo[i][0]] = ",".join(map(str, ids)), decoded
 
-    def encode(self, texts: list[str]) -> Iterator[list[tuple[int, str, bytes]]]:
-        """For each text, (number of ids, ids joined by commas, decoded bytes) of its pre-tokens."""
+    def encode(self, texts: list[str]) -> Iterator[tuple[str, bytes]]:
+        """For each text, its ids joined by commas, and their decoded bytes."""
         split = [self.split(t) for t in texts]
         self.learn(set().union(*split) if split else set())
-        get = self.known.__getitem__
         for parts in split:
-            yield list(map(get, parts))
+            yield ",".join(map(self.ids.__getitem__, parts)), b"".join(map(self.data.__getitem__, parts))
 
     def decode(self, ids: list[list[int]]) -> list[bytes]:
         """The bytes of each list of ids, by ordered aggregation over joined positions."""
@@ -207,12 +243,11 @@ def encode(docs: DataFrame, path: str, pattern: str, digest: bool = False) -> Da
         codec = Codec(path, pattern)
         for ids, texts in pieces(batches, ["doc_id", "text"], 1_500_000):
             counts, left, right = [], [], []
-            for known in codec.encode([text_of(t) for t in texts]):
-                counts.append(sum(k[0] for k in known))
-                joined = ",".join([k[1] for k in known])
+            for joined, data in codec.encode([text_of(t) for t in texts]):
+                counts.append(joined.count(",") + 1 if joined else 0)
                 if digest:
                     left.append(hashlib.sha256(joined.encode()).hexdigest())
-                    right.append(hashlib.sha256(b"".join([k[2] for k in known])).hexdigest())
+                    right.append(hashlib.sha256(data).hexdigest())
                 else:
                     left.append([int(x) for x in joined.split(",")] if joined else [])
             cols = [pa.array(ids, pa.int64()), pa.array(counts, pa.int64())]
