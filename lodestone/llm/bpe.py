@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import pieces, text_of
 
-#: Distinct pre-tokens that a partition remembers before it starts afresh; bounds memory only.
-REMEMBERED = 500_000
+#: Distinct pre-tokens of a generation; a worker remembers two generations at most.
+REMEMBERED = 450_000
 #: Bytes of unknown pre-tokens that one recursive query takes at most (one pre-token at least).
 QUERY_BYTES = 150_000
 #: Rows of token positions that one recursion keeps; it starts again from its last step.
@@ -55,7 +55,7 @@ def merge_rows(ranks: dict[bytes, int]) -> list[tuple[int, int, int]]:
 _END = """
 ), last AS (SELECT word, max(level) AS level FROM step GROUP BY word)
 SELECT s.word,
-       list(s.tok ORDER BY s.pos) AS ids,
+       string_agg(CAST(s.tok AS VARCHAR), ',' ORDER BY s.pos) AS ids,
        string_agg(v.hex, '' ORDER BY s.pos) AS decoded,
        any_value(s.level) = $1 AS unfinished
 FROM step s JOIN last USING (word, level) JOIN vocabulary v ON v.id = s.tok
@@ -123,7 +123,7 @@ FROM tokens t JOIN vocabulary v ON v.id = t.tok GROUP BY t.doc
 
 
 class Codec:
-    """A DuckDB database with the merge table and the vocabulary; built once in a partition."""
+    """A DuckDB database with the merge table and the vocabulary; built once in a worker process."""
 
     def __init__(self, path: str, pattern: str):
         import duckdb
@@ -155,9 +155,10 @@ class Codec:
         self.db.unregister("raw")
         self.ids: dict[str, str] = {}
         self.data: dict[str, bytes] = {}
+        self.old: tuple[dict[str, str], dict[str, bytes]] = ({}, {})
 
-    def contract(self, words: list[bytes]) -> Iterator[tuple[int, list[int], bytes]]:
-        """(index, ids, decoded bytes) of each word, by the recursive query."""
+    def contract(self, words: list[bytes]) -> Iterator[tuple[int, str, bytes]]:
+        """(index, ids joined by commas, decoded bytes) of each word, by the recursive query."""
         import numpy as np
 
         short = all(len(w) < 256 for w in words)
@@ -173,7 +174,7 @@ class Codec:
             again = []
             for i, ids, decoded, unfinished in self.db.execute(_ENCODE if short else _ENCODE_LONG, [levels]).fetchall():
                 if unfinished:
-                    again.append((todo[i][0], np.array(ids, dtype=np.int32)))
+                    again.append((todo[i][0], np.array(ids.split(","), dtype=np.int32)))
                 else:
                     yield todo[i][0], ids, bytes.fromhex(decoded)
             self.db.unregister("start")
@@ -182,10 +183,14 @@ class Codec:
     def learn(self, parts: set[str]) -> None:
         """Encode pre-tokens not met before."""
         new = [p for p in parts if p not in self.ids]
-        if len(self.ids) + len(new) > REMEMBERED:
-            self.ids.clear()
-            self.data.clear()
+        if len(self.ids) + len(new) > REMEMBERED:  # the last generation stays at hand
+            self.old, self.ids, self.data = (self.ids, self.data), {}, {}
             new = list(parts)
+        ids, data = self.old
+        for p in new:
+            if p in ids:
+                self.ids[p], self.data[p] = ids[p], data[p]
+        new = [p for p in new if p not in ids]
         short, long, size = [], [], 0
         for p in new:
             data = p.encode("utf-8", "replace")
@@ -207,7 +212,7 @@ class Codec:
     def _flush(self, todo: list[tuple[str, bytes]]) -> None:
         if todo:
             for i, ids, decoded in self.contract([d for _, d in todo]):
-                self.ids[todo[i][0]], self.data[todo[i][0]] = ",".join(map(str, ids)), decoded
+                self.ids[todo[i][0]], self.data[todo[i][0]] = ids, decoded
 
     def encode(self, texts: list[str]) -> Iterator[tuple[str, bytes]]:
         """For each text, its ids joined by commas, and their decoded bytes."""
@@ -232,6 +237,16 @@ class Codec:
         return out
 
 
+_codecs: dict[tuple[str, str], Codec] = {}
+
+
+def codec_for(path: str, pattern: str) -> Codec:
+    """This worker process's codec; what it remembers serves the partitions that follow."""
+    if (path, pattern) not in _codecs:
+        _codecs[path, pattern] = Codec(path, pattern)
+    return _codecs[path, pattern]
+
+
 def encode(docs: DataFrame, path: str, pattern: str, digest: bool = False) -> DataFrame:
     """Encode every whole text.
 
@@ -240,7 +255,7 @@ def encode(docs: DataFrame, path: str, pattern: str, digest: bool = False) -> Da
     """
 
     def run(batches):
-        codec = Codec(path, pattern)
+        codec = codec_for(path, pattern)
         for ids, texts in pieces(batches, ["doc_id", "text"], 1_500_000):
             counts, left, right = [], [], []
             for joined, data in codec.encode([text_of(t) for t in texts]):
@@ -265,7 +280,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     """The bytes of every list of ids: doc_id, data. A null list decodes to no bytes."""
 
     def run(batches):
-        codec = Codec(path, pattern)
+        codec = codec_for(path, pattern)
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
