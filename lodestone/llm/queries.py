@@ -140,3 +140,12 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     model, thresholds = fit(docs, table(spark, sf_dir, "labels"))
     scored = score(docs, model, thresholds)
     return scored.withColumn("predicted", F.when(F.col("score") >= 0.3, 1).otherwise(0))
+
+
+@query("op4_quality_net")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_net import fit, score
+
+    docs = table(spark, sf_dir, "documents")
+    scored = score(docs, fit(docs, table(spark, sf_dir, "labels")))
+    return scored.withColumn("predicted", F.when(F.col("score") >= 0.7, 1).otherwise(0))
