@@ -212,3 +212,28 @@ FROM d LEFT JOIN by_row USING (row)"""
 
 
 ORACLES["op3_secrets"] = _op3_sql()
+
+
+@query("op8_near_duplicates")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), width=4)
+
+
+ORACLES["op8_near_duplicates"] = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, shingle FROM (
+    SELECT doc_id, array_to_string(words, ' ') AS shingle FROM d WHERE len(words) BETWEEN 1 AND 3
+    UNION ALL
+    SELECT doc_id, array_to_string(words[i:i + 3], ' ') FROM (SELECT doc_id, words, unnest(range(1, len(words) - 2)) AS i FROM d WHERE len(words) > 3))),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS MATERIALIZED (
+  SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 80 * (x.n + y.n - shared)),
+edge AS MATERIALIZED (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT doc_id, doc_id AS other FROM d UNION SELECT r.doc_id, e.b FROM reach r JOIN edge e ON e.a = r.other)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.id AS component_id, d.doc_id = c.id AS kept
+FROM d JOIN (SELECT doc_id, min(other) AS id FROM reach GROUP BY doc_id) c USING (doc_id) LEFT JOIN n USING (doc_id)"""
