@@ -237,3 +237,12 @@ edge AS MATERIALIZED (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
 reach AS (SELECT doc_id, doc_id AS other FROM d UNION SELECT r.doc_id, e.b FROM reach r JOIN edge e ON e.a = r.other)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.id AS component_id, d.doc_id = c.id AS kept
 FROM d JOIN (SELECT doc_id, min(other) AS id FROM reach GROUP BY doc_id) c USING (doc_id) LEFT JOIN n USING (doc_id)"""
+
+
+@query("op2_lattice_lm")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .lattice import score
+
+    return score(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
