@@ -9,10 +9,10 @@ similarity 0.8 share none with probability (1 - 0.8**ROWS)**BANDS = 3e-6, more s
 
 Documents of equal word sequences are one class from the start. Within a bucket, the member that
 shares most buckets with others is the centre, and all members are compared with it on their full
-sets. Links make components; buckets that still hold several components are searched on: small
-ones by all pairs across components, large ones by another centre in every round until none is
-left to try. Pairs within a component need no comparison, so no link between components is lost,
-and no group is ever expanded into all its pairs.
+sets. Links make components. A centre is the hub of all members of its buckets; members of a hub
+that lie in different components are then compared on their full sets too, in bounded blocks: those
+outside the hub's component with all. Pairs within a component need no comparison, so no link
+between components is lost, and no group of copies is expanded into pairs.
 
 Nulls: a null text has no shingles and is linked with nothing, like an empty one. A null id is
 above all others: a group's id is its least id that is not null. Rows of equal id and text are
@@ -22,6 +22,7 @@ result.
 
 from __future__ import annotations
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,8 +34,9 @@ from .components import components
 BANDS = 42
 ROWS = 6
 BINS = BANDS * ROWS
-#: Members of a bucket that are still compared pair by pair across components.
-SMALL = 32
+#: Blocks of classes compared set by set: those outside a hub's component, and all members.
+ASIDE = 128
+MEMBERS = 512
 #: Bits of the filter that says which texts to read again for verification (2 MB, fixed).
 FILTER_BITS = 1 << 24
 
@@ -184,10 +186,6 @@ def _near_sizes(percent: int):
     return (100 * F.least("n", "of_n") >= percent * F.greatest("n", "of_n")) & (F.col("cls") != F.col("of"))
 
 
-def _pairs(j: DataFrame) -> DataFrame:
-    return j.select(F.least("cls", "of").alias("a"), F.greatest("cls", "of").alias("b")).distinct()
-
-
 def classes_linked(docs: DataFrame, classes: DataFrame, keys: DataFrame, width: int, percent: int) -> DataFrame:
     """node, label of the linked classes.
 
@@ -204,41 +202,78 @@ def classes_linked(docs: DataFrame, classes: DataFrame, keys: DataFrame, width:
     reread = classes.join(degree.select("cls"), "cls", "left_semi")
     sets = scratch(full_sets(docs, width, wanted_bits(reread)), "sets")
     member = scratch(member.drop("c").join(degree, "cls"), "members")
-    label, links, tried, used = None, None, None, None
-    while True:
-        open_ = member
-        if label is not None:
-            open_ = member.join(label, F.col("cls") == F.col("node"), "left").withColumn("label", F.coalesce("label", "cls")).drop("node")
-            mixed = open_.groupBy("bk").agg(F.min("label").alias("l"), F.max("label").alias("h")).filter("l <> h").select("bk")
-            open_ = open_.join(scratch(mixed, "mixed"), "bk", "left_semi")
-            open_ = open_.join(used, ["bk", "cls"], "left_anti")
-        else:
-            open_ = open_.withColumn("label", F.col("cls"))
-        # a centre for each bucket, and how many members are still to be tried in it
-        top = F.max(F.struct("degree", "cls", "n", "label")).alias("top")
-        centre = open_.groupBy("bk").agg(top, F.count("*").alias("left"))
-        centre = scratch(centre.select("bk", "left", F.col("top.cls").alias("of"), F.col("top.n").alias("of_n"), F.col("top.label").alias("of_label")), "centres")
-        other = F.col("label") != F.col("of_label")
-        star = _pairs(open_.join(centre, "bk").filter(other & _near_sizes(percent)))
-        done = centre.select("bk", F.col("of").alias("cls"))
-        if label is not None:
-            few = open_.join(centre.filter(F.col("left") <= SMALL).select("bk"), "bk")
-            mate = few.select("bk", F.col("cls").alias("of"), F.col("n").alias("of_n"), F.col("label").alias("of_label"))
-            star = star.union(_pairs(few.join(mate, "bk").filter(other & _near_sizes(percent) & (F.col("cls") < F.col("of"))))).distinct()
-            done = done.union(few.select("bk", "cls"))
-            star = star.join(tried, ["a", "b"], "left_anti")
-            if not centre.limit(1).count():
-                return label
-        pairs = scratch(star, "pairs")
-        used = scratch(done if used is None else used.union(done), "used")
-        tried = pairs if tried is None else tried.union(pairs)
-        found = scratch(confirmed(pairs, sets, percent), "links")
-        fresh = bool(found.limit(1).count())
-        links = found if links is None else links.union(found)
-        if fresh:
-            label = components(links)
-        elif label is None:
-            label = nothing
+    best = member.groupBy("bk").agg(F.max(F.struct("degree", "cls", "n")).alias("top"))
+    centre = scratch(best.select("bk", F.col("top.cls").alias("of"), F.col("top.n").alias("of_n")), "centres")
+    met = member.join(centre, "bk")
+    pairs = met.filter(_near_sizes(percent)).select(F.least("cls", "of").alias("a"), F.greatest("cls", "of").alias("b")).distinct()
+    links = scratch(confirmed(pairs, sets, percent), "links")
+    label = components(links)
+    rest = scratch(across(met.select(F.col("of").alias("hub"), "cls").distinct(), label, sets, percent), "rest")
+    return components(links.union(rest)) if rest.limit(1).count() else label
+
+
+def across(hubs: DataFrame, label: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links a, b between members of one hub that are in different components so far.
+
+    hubs: hub, cls; a hub gathers the members of all buckets of which it is the centre. Of two such
+    members one at least is outside the hub's component: those, in blocks of ASIDE, are compared on
+    full sets with all members, in blocks of MEMBERS, so that groups are bounded and only links come
+    out.
+    """
+    of = label.select(F.col("node").alias("hub_node"), F.col("label").alias("hub_label"))
+    m = hubs.join(label, F.col("cls") == F.col("node"), "left").join(of, F.col("hub") == F.col("hub_node"), "left")
+    m = scratch(m.select("hub", "cls", F.coalesce("label", "cls").alias("label"), (F.coalesce("label", "cls") != F.coalesce("hub_label", "hub")).alias("aside")), "hubs")
+    mixed = m.groupBy("hub").agg(F.count_if("aside").alias("u"), F.count("*").alias("r")).filter("u > 0")
+    mixed = scratch(mixed.select(F.col("hub").alias("in_hub"), F.ceil(F.col("u") / ASIDE).cast("int").alias("us"), F.ceil(F.col("r") / MEMBERS).cast("int").alias("rs"), "u", "r"), "mixed")
+    total = mixed.agg(F.sum(F.col("us") * F.col("r") + F.col("rs") * F.col("u"))).first()[0] or 0
+    groups = max(1, total // (ASIDE + MEMBERS))
+    block = lambda n: F.pmod(F.xxhash64("cls"), F.col(n)).cast("int")
+    m = m.join(mixed, F.col("hub") == F.col("in_hub")).withColumn("mine_u", F.when(F.col("aside"), block("us"))).withColumn("mine_r", block("rs"))
+    as_member = F.expr("transform(sequence(0, us - 1), x -> named_struct('ub', x, 'rb', mine_r))")
+    as_aside = F.expr("if(aside, transform(sequence(0, rs - 1), x -> named_struct('ub', mine_u, 'rb', x)), array())")
+    m = m.join(sets.withColumnRenamed("cls", "of_cls"), F.col("cls") == F.col("of_cls"))
+    m = m.select("hub", "cls", "label", "mine_u", "mine_r", "shingles", F.explode(F.array_distinct(F.concat(as_member, as_aside))).alias("cell"))
+    m = m.select("hub", "cls", "label", "mine_u", "mine_r", "shingles", "cell.ub", "cell.rb", F.pmod(F.xxhash64("hub", "cell.ub", "cell.rb"), F.lit(groups)).alias("g"))
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple[bytes, bytes]] = []
+        for (_, ub, rb), cell in rows.groupby(["hub", "ub", "rb"]):
+            left, right = cell[cell.mine_u == ub], cell[cell.mine_r == rb]
+            if not len(left) or not len(right):
+                continue
+            both = common_counts(list(left.shingles), list(right.shingles))
+            size = left.shingles.map(len).to_numpy()[:, None] + right.shingles.map(len).to_numpy()[None, :]
+            near = (100 * both >= percent * (size - both)) & (left.label.to_numpy()[:, None] != right.label.to_numpy()[None, :])
+            for i, j in zip(*near.nonzero()):
+                out.append(tuple(sorted((left.cls.iloc[i], right.cls.iloc[j]))))
+        return pd.DataFrame({"a": [x[0] for x in out], "b": [x[1] for x in out]}, dtype=object)
+
+    return m.groupBy("g").applyInPandas(compare, "a binary, b binary").distinct()
+
+
+def common_counts(left, right, columns: int = 4096):
+    """How many elements each left set shares with each right set (a matrix of integers)."""
+    import numpy as np
+
+    def flat(sets):
+        return np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+
+    x, xs = flat(left)
+    y, ys = flat(right)
+    shared = np.intersect1d(x, y)
+    out = np.zeros((len(left), len(right)), dtype=np.int64)
+    for k in range(0, len(shared), columns):
+        part = shared[k : k + columns]
+
+        def dense(values, owner, rows):
+            at = np.minimum(np.searchsorted(part, values), len(part) - 1)
+            hit = part[at] == values
+            m = np.zeros((rows, len(part)), dtype=np.float32)
+            m[owner[hit], at[hit]] = 1
+            return m
+
+        out += np.rint(dense(x, xs, len(left)) @ dense(y, ys, len(right)).T).astype(np.int64)
+    return out
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
