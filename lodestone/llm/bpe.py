@@ -25,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, text_of
+from .common import pieces, text_of, tidy
 
 #: Distinct pre-tokens of a generation; a worker remembers two generations at most.
-REMEMBERED = 450_000
+REMEMBERED = 180_000
 #: Bytes of unknown pre-tokens that one recursive query takes at most (one pre-token at least).
 QUERY_BYTES = 150_000
 #: Rows of token positions that one recursion keeps; it starts again from its last step.
@@ -123,10 +123,9 @@ FROM tokens t JOIN vocabulary v ON v.id = t.tok GROUP BY t.doc
 
 
 class Codec:
-    """A DuckDB database with the merge table and the vocabulary; built once in a worker process."""
+    """The ranks, and a DuckDB database with the merge table and the vocabulary for one partition."""
 
     def __init__(self, path: str, pattern: str):
-        import duckdb
         import numpy as np
         import regex
 
@@ -135,6 +134,15 @@ class Codec:
         self.single = np.zeros(256, dtype=np.int32)
         for b in range(256):
             self.single[b] = self.ranks[bytes([b])]
+        self.ids: dict[str, str] = {}
+        self.data: dict[str, bytes] = {}
+        self.old: tuple[dict[str, str], dict[str, bytes]] = ({}, {})
+        self.db = None
+
+    def open(self) -> "Codec":
+        """Make the database; close() gives its memory back, what is remembered stays."""
+        import duckdb
+
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB"})
         # what exceeds the limit fails rather than spills into a folder of one executor
         self.db.execute("SET temp_directory=''")
@@ -153,9 +161,11 @@ class Codec:
         self.db.register("raw", words)
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM raw")
         self.db.unregister("raw")
-        self.ids: dict[str, str] = {}
-        self.data: dict[str, bytes] = {}
-        self.old: tuple[dict[str, str], dict[str, bytes]] = ({}, {})
+        return self
+
+    def close(self) -> None:
+        self.db.close()
+        self.db = None
 
     def contract(self, words: list[bytes]) -> Iterator[tuple[int, str, bytes]]:
         """(index, ids joined by commas, decoded bytes) of each word, by the recursive query."""
@@ -244,7 +254,7 @@ def codec_for(path: str, pattern: str) -> Codec:
     """This worker process's codec; what it remembers serves the partitions that follow."""
     if (path, pattern) not in _codecs:
         _codecs[path, pattern] = Codec(path, pattern)
-    return _codecs[path, pattern]
+    return _codecs[path, pattern].open()
 
 
 def encode(docs: DataFrame, path: str, pattern: str, digest: bool = False) -> DataFrame:
@@ -270,10 +280,11 @@ def encode(docs: DataFrame, path: str, pattern: str, digest: bool = False) -> Da
                 yield pa.record_batch([*cols, pa.array(left, pa.string()), pa.array(right, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
             else:
                 yield pa.record_batch([*cols, pa.array(left, pa.list_(pa.int32()))], ["doc_id", "n_tokens", "ids"])
+        codec.close()
 
     rest = "ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id long, n_tokens long, {rest}")
+    return rows.mapInArrow(tidy(run), f"doc_id long, n_tokens long, {rest}")
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -286,5 +297,6 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
                 part = batch.slice(start, 256)
                 ids = [x or [] for x in part.column(1).to_pylist()]
                 yield pa.record_batch([part.column(0), pa.array(codec.decode(ids), pa.binary())], ["doc_id", "data"])
+        codec.close()
 
-    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(run, "doc_id long, data binary")
+    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(tidy(run), "doc_id long, data binary")

@@ -52,6 +52,36 @@ def pieces(batches, columns: list[str], limit: int = 4_000_000):
             start = end
 
 
+def tidy(run):
+    """``run`` over a partition's batches; afterwards the worker's unused memory goes back to the system.
+
+    Workers are reused, so that what one partition needed would otherwise stay beside the next.
+    """
+
+    def whole(batches):
+        import gc
+
+        import pyarrow as pa
+
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            _trim()
+
+    return whole
+
+
+def _trim() -> None:
+    import ctypes
+
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def _row_bytes(batch):
     import numpy as np
     import pyarrow as pa
