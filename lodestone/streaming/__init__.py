@@ -1 +1,57 @@
+"""Incremental ingest and analysis, and the folding of event streams into turns."""
 
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators.analysis import heuristic
+from ..operators.parse import markdown_blocks, titles
+
+MOST_OUTPUT = 1 << 20
+
+
+def analysed(docs: DataFrame) -> DataFrame:
+    """doc_id, analysis_status, one_line_summary of a batch of documents (doc_id, text)."""
+    blocks = markdown_blocks(docs)
+    titled = titles(docs, blocks)
+    found = heuristic(titled, blocks)
+    return found.select("doc_id", F.lit("done").alias("analysis_status"), "one_line_summary")
+
+
+def ingest(stream: DataFrame, sink: str, checkpoint: str, analyse: Callable[[DataFrame], DataFrame] = analysed):
+    """Analyse every micro-batch and append its statuses to ``sink``; a batch that runs again replaces itself.
+
+    The stream ends when what is there now has been taken (availableNow).
+    """
+
+    def batch(df: DataFrame, n: int) -> None:
+        analyse(df).write.mode("overwrite").parquet(f"{sink}/batch={n}")
+
+    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def ingest_status(spark: SparkSession, folder: str, schema: str, sink: str, checkpoint: str) -> DataFrame:
+    """Run ingest() over a folder of Parquet files and return what it wrote."""
+    stream = spark.readStream.schema(schema).parquet(folder)
+    ingest(stream.select("doc_id", "text"), sink, checkpoint).awaitTermination()
+    return spark.read.parquet(sink).drop("batch")
+
+
+def fold_turns(events: DataFrame) -> DataFrame:
+    """session_id, turn_id, text, error: the deltas of a turn in order of seq, or why there is no text.
+
+    A turn that was cancelled, that has no end, or whose text exceeds MOST_OUTPUT is an error, in
+    that order of what comes first in the stream.
+    """
+    delta = F.col("kind") == "delta"
+    parts = F.array_sort(F.collect_list(F.when(delta, F.struct("seq", "text"))))
+    g = events.groupBy("session_id", "turn_id").agg(
+        F.array_join(F.transform(parts, lambda p: p["text"]), "").alias("text"),
+        F.max((F.col("kind") == "completed").cast("int")).alias("ended"),
+        F.max((F.col("kind") == "cancelled").cast("int")).alias("cancelled"),
+    )
+    error = F.when(F.length("text") > MOST_OUTPUT, "output_too_large").when(F.col("cancelled") == 1, "cancelled").when(F.col("ended") == 0, "incomplete_turn")
+    return g.select("session_id", "turn_id", F.when(error.isNull(), F.col("text")).alias("text"), error.alias("error"))
