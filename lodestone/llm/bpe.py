@@ -11,6 +11,10 @@ cannot make a better pair come first, and all its non-overlapping copies in the
 contracted in the same step, left to right. That keeps runs such as ten thousand equal letters
 at a few steps, with the same result as one at a time.
 
+The query that encodes a pre-token also decodes its ids, by ordered aggregation of the tokens' bytes;
+what comes out is compared with the pre-token, and kept only where it differs. A text's decoded
+bytes are those of its pre-tokens in turn. decode() does the same from columns of ids.
+
 Nulls: a null text counts as empty and gives no ids. Repeated rows give repeated results; other
 columns are passed by. An empty table gives an empty result.
 """
@@ -28,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import pieces, text_of, tidy
 
 #: Distinct pre-tokens of a generation; a worker remembers two generations at most.
-REMEMBERED = 180_000
+REMEMBERED = 300_000
 #: Bytes of unknown pre-tokens that one recursive query takes at most (one pre-token at least).
 QUERY_BYTES = 150_000
 #: Rows of token positions that one recursion keeps; it starts again from its last step.
@@ -62,24 +66,31 @@ FROM step s JOIN last USING (word, level) JOIN vocabulary v ON v.id = s.tok
 GROUP BY s.word
 """
 
-#: For words of fewer than 256 bytes: the leftmost pair of lowest rank in each step.
+#: For words of fewer than 256 bytes: the leftmost pair of lowest rank in each step. A row is a
+#: token position with its right neighbour and the pair's merge; a step joins anew only the two
+#: positions beside what it contracts.
 _ENCODE = (
     """
-WITH RECURSIVE step(word, pos, tok, level) AS (
-    SELECT word, pos, tok, 0 FROM start
+WITH RECURSIVE step(word, pos, nxt, tok, ntok, merged, level) AS (
+    SELECT s.word, s.pos, s.nxt, s.tok, s.ntok, m.merged, 0
+    FROM start s LEFT JOIN merges m ON m.a = s.tok AND m.b = s.ntok
   UNION ALL (
-    WITH pairs AS (  -- token positions beside their right neighbours, joined with the merges
-        SELECT s.word, s.pos, s.tok, s.nxt, s.level, m.merged
-        FROM (SELECT *, lead(tok) OVER w AS ntok, lead(pos) OVER w AS nxt FROM step
-              WHERE level < $1 WINDOW w AS (PARTITION BY word ORDER BY pos)) s
-        LEFT JOIN merges m ON m.a = s.tok AND m.b = s.ntok
-    ), best AS (
+    WITH best AS (
         SELECT word, min(merged) AS merged, min(merged * 256 + pos) % 256 AS pos,
                arg_min(nxt, merged * 256 + pos) AS gone
-        FROM pairs WHERE merged IS NOT NULL GROUP BY word
+        FROM step WHERE merged IS NOT NULL AND level < $1 GROUP BY word
+    ), beside AS (
+        SELECT b.*, q.nxt, q.ntok FROM best b JOIN step q ON q.word = b.word AND q.pos = b.gone
+    ), after AS (
+        SELECT s.word, s.pos, s.level + 1 AS level, s.merged,
+               CASE WHEN s.pos = b.pos THEN b.nxt ELSE s.nxt END AS nxt,
+               CASE WHEN s.pos = b.pos THEN b.merged ELSE s.tok END AS tok,
+               CASE WHEN s.pos = b.pos THEN b.ntok WHEN s.nxt = b.pos THEN b.merged ELSE s.ntok END AS ntok,
+               s.pos = b.pos OR coalesce(s.nxt = b.pos, false) AS changed
+        FROM step s JOIN beside b USING (word) WHERE s.pos <> b.gone
     )
-    SELECT s.word, s.pos, CASE WHEN s.pos = b.pos THEN b.merged ELSE s.tok END, s.level + 1
-    FROM pairs s JOIN best b USING (word) WHERE s.pos <> b.gone)
+    SELECT n.word, n.pos, n.nxt, n.tok, n.ntok, CASE WHEN changed THEN m.merged ELSE n.merged END, n.level
+    FROM after n LEFT JOIN merges m ON m.a = CASE WHEN changed THEN n.tok END AND m.b = n.ntok)
 """
     + _END
 )
@@ -135,8 +146,8 @@ class Codec:
         for b in range(256):
             self.single[b] = self.ranks[bytes([b])]
         self.ids: dict[str, str] = {}
-        self.data: dict[str, bytes] = {}
-        self.old: tuple[dict[str, str], dict[str, bytes]] = ({}, {})
+        self.old: dict[str, str] = {}
+        self.odd: dict[str, bytes] = {}
         self.db = None
 
     def open(self) -> "Codec":
@@ -178,7 +189,9 @@ class Codec:
             word = np.repeat(np.arange(len(todo), dtype=np.int32), lengths)
             pos = np.arange(len(word), dtype=np.int32) - np.repeat(np.cumsum(lengths) - lengths, lengths).astype(np.int32)
             tok = np.concatenate([ids for _, ids in todo]).astype(np.int32)
-            self.db.register("start", pa.table([pa.array(word), pa.array(pos), pa.array(tok)], ["word", "pos", "tok"]))
+            last = np.append(word[1:] != word[:-1], True)
+            following = [pa.array(pos + 1, mask=last), pa.array(np.append(tok[1:], 0).astype(np.int32), mask=last)]
+            self.db.register("start", pa.table([pa.array(word), pa.array(pos), pa.array(tok), *following], ["word", "pos", "tok", "nxt", "ntok"]))
             # a recursion keeps the rows of all its steps, so long words take several
             levels = max(4, STEP_ROWS // max(1, len(word)))
             again = []
@@ -194,19 +207,18 @@ class Codec:
         """Encode pre-tokens not met before."""
         new = [p for p in parts if p not in self.ids]
         if len(self.ids) + len(new) > REMEMBERED:  # the last generation stays at hand
-            self.old, self.ids, self.data = (self.ids, self.data), {}, {}
+            self.old, self.ids = self.ids, {}
             new = list(parts)
-        ids, data = self.old
         for p in new:
-            if p in ids:
-                self.ids[p], self.data[p] = ids[p], data[p]
-        new = [p for p in new if p not in ids]
+            if p in self.old:
+                self.ids[p] = self.old[p]
+        new = [p for p in new if p not in self.old]
         short, long, size = [], [], 0
         for p in new:
             data = p.encode("utf-8", "replace")
             rank = self.ranks.get(data)
             if rank is not None:
-                self.ids[p], self.data[p] = str(rank), data
+                self.ids[p] = str(rank)
             elif len(data) >= 256:
                 long.append((p, data))
             else:
@@ -222,14 +234,18 @@ class Codec:
     def _flush(self, todo: list[tuple[str, bytes]]) -> None:
         if todo:
             for i, ids, decoded in self.contract([d for _, d in todo]):
-                self.ids[todo[i][0]], self.data[todo[i][0]] = ids, decoded
+                p, data = todo[i]
+                self.ids[p] = ids
+                if decoded != data:
+                    self.odd[p] = decoded
 
     def encode(self, texts: list[str]) -> Iterator[tuple[str, bytes]]:
         """For each text, its ids joined by commas, and their decoded bytes."""
         split = [self.split(t) for t in texts]
         self.learn(set().union(*split) if split else set())
         for parts in split:
-            yield ",".join(map(self.ids.__getitem__, parts)), b"".join(map(self.data.__getitem__, parts))
+            data = b"".join([self.odd.get(p) or p.encode("utf-8", "replace") for p in parts]) if self.odd else "".join(parts).encode("utf-8", "replace")
+            yield ",".join(map(self.ids.__getitem__, parts)), data
 
     def decode(self, ids: list[list[int]]) -> list[bytes]:
         """The bytes of each list of ids, by ordered aggregation over joined positions."""

@@ -94,9 +94,15 @@ def _row_bytes(batch):
     return out.tolist()
 
 
-def narrow(docs: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns, so that other columns of any name never clash."""
-    return docs.select(*[F.col(f"`{n}`") for n in names])
+def packed(docs: DataFrame, *used: str) -> DataFrame:
+    """The columns ``used``, and all others inside one struct, _rest: no name of theirs can clash."""
+    others = [F.col(f"`{n}`") for n in docs.columns if n not in used]
+    return docs.select(*used, F.struct(*others or [F.lit(0).alias("none")]).alias("_rest"))
+
+
+def unpacked(rows: DataFrame, docs: DataFrame, *used: str) -> DataFrame:
+    """The columns of ``docs`` in their order, from what packed() made of them."""
+    return rows.select(*[F.col(n) if n in used else F.col(f"_rest.`{n}`").alias(n) for n in docs.columns])
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int, longest: int = 200_000) -> tuple[list[str], list[int], list[str]]:

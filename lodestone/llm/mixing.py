@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import scratch
-from .common import pieces, text_of, tidy, unit_hash, words_of
+from .common import packed, pieces, text_of, tidy, unit_hash, unpacked, words_of
 
 MOST = 3
 LEVELS = 3
@@ -138,8 +138,7 @@ def mix(docs: DataFrame) -> DataFrame:
 def mixed(docs: DataFrame) -> DataFrame:
     """The mix itself: the documents with all their columns, each as often as it is taken."""
     _, cut = _plan(docs)
-    per = cut.select(F.col("source").alias("of"), "epochs", "rest", "inside", "cut")
-    names = docs.schema.names
-    rows = keyed(docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("source", F.col("source").cast("string")))
-    taken = decided(rows, per.withColumnRenamed("of", "source")).filter("_copies > 0")
-    return taken.withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*[F.col(f"`{n}`") for n in names])
+    rows = keyed(packed(docs, "doc_id", "source", "text"))
+    taken = decided(rows, cut).filter("_copies > 0")
+    nth = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))
+    return unpacked(taken.withColumn("_nth", nth), docs, "doc_id", "source", "text")

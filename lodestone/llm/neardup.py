@@ -299,4 +299,4 @@ def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFram
     """
     verdict = near_duplicates(docs, width, percent).groupBy("doc_id").agg(F.max("kept").alias("kept"))
     gone = scratch(verdict.filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")), "gone")
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")

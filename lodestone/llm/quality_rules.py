@@ -172,4 +172,4 @@ def filtered(docs: DataFrame) -> DataFrame:
     An id of which any row fails goes; rows with a null id are left out.
     """
     verdict = judge(docs).groupBy("doc_id").agg(F.min("kept").alias("_all_kept")).filter("_all_kept").select(F.col("doc_id").alias("_kept_id"))
-    return docs.join(verdict, F.col("doc_id") == F.col("_kept_id"), "left_semi")
+    return docs.join(verdict, docs["doc_id"] == verdict["_kept_id"], "left_semi")

@@ -23,6 +23,8 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import packed, unpacked
+
 WINDOW = 20
 #: Base kinds in their order: pattern, group whose length counts, least length.
 BASE = {
@@ -139,18 +141,18 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def redacted(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """The documents with every span (overlapping ones as one) replaced by ``mark``; all columns stay."""
-    names = docs.schema.names
+    used = ["text", "n_chars"] if "n_chars" in docs.columns else ["text"]
     merged = (
         "aggregate(_all, cast(array() as array<struct<b:int,e:int>>), (a, x) -> if(size(a) > 0 AND element_at(a, -1).e > x.s,"
         " concat(slice(a, 1, size(a) - 1), array(named_struct('b', element_at(a, -1).b, 'e', greatest(element_at(a, -1).e, x.e)))),"
         " concat(a, array(named_struct('b', x.s, 'e', x.e)))))"
     )
-    d = spans(docs).withColumn("_cut", F.expr(merged))
+    d = spans(packed(docs, *used)).withColumn("_cut", F.expr(merged))
     ends = "concat(array(0), transform(_cut, x -> x.e))"
     begins = "concat(transform(_cut, x -> x.b), array(length(_t)))"
     text = F.expr(f"if(size(_cut) = 0, text, array_join(zip_with({ends}, {begins}, (a, b) -> substring(_t, a + 1, b - a)), {quoted(mark)}))")
     out = d.withColumn("text", text)
-    if "n_chars" in names:
+    if "n_chars" in used:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.when(F.size("_cut") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return out.select(*[F.col(f"`{n}`") for n in names])
+    return unpacked(out, docs, *used)

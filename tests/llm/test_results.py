@@ -1,0 +1,267 @@
+"""Results against SQL, brute force, exact round trips and held-out accuracy."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from lodestone.llm import queries as Q
+
+
+@pytest.fixture(scope="module")
+def texts(spark, sf):
+    return {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+
+
+@pytest.mark.parametrize("name", sorted(Q.ORACLES))
+def test_equals_sql(name, same):
+    same(Q.QUERIES[name], Q.ORACLES[name])
+
+
+def test_bpe_equals_the_library(spark, sf, texts):
+    import base64
+
+    import public_tokenizers as P
+    import tiktoken
+
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for r in Q.QUERIES["op9_byte_bpe"](spark, sf).collect():
+        ids = enc.encode_ordinary(texts[r["doc_id"]])
+        assert r["n_tokens"] == len(ids)
+        assert r["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
+
+
+def test_bpe_on_hard_words(spark):
+    import base64
+
+    import public_tokenizers as P
+    import tiktoken
+    from lodestone.llm.bpe import Codec
+
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    r = random.Random(4)
+    hard = ["a" * 3000, "ab" * 400, " " * 900 + "x", "é" * 700, "".join(r.choice("abcdeé") for _ in range(600)), "日本語" * 100, "", "<|endoftext|>", "naïve 𝒳 🙂🙂"]
+    hard += ["".join(r.choice("aab ,.1é\n") for _ in range(r.randint(1, 80))) for _ in range(150)]
+    codec = Codec(path, P.PATTERN).open()
+    for t, (ids, data) in zip(hard, codec.encode(hard)):
+        assert [int(x) for x in ids.split(",") if x] == enc.encode_ordinary(t)
+        assert data == t.encode()
+    codec.close()
+
+
+def test_secret_spans_equal_python(spark, texts):
+    from lodestone.llm.secrets import redacted, scan
+
+    kinds = [
+        ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), lambda m: len(m[2]) >= 8),
+        ("access", re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 16),
+        ("hex", re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 32),
+    ]
+    own = dict(texts)
+    own[-1] = "token=token=abcdefgh " * 300
+    own[-2] = "é" * 20 + "API_KEY : 'ABCDEFGH-1'x" + "a1" * 500
+    df = spark.createDataFrame(list(own.items()), "doc_id long, text string")
+    for r in scan(df).collect():
+        found = [(m.start(), n, f"{k}:{m.start()}:{m.end()}") for n, (k, p, ok) in enumerate(kinds) for m in p.finditer(own[r["doc_id"]]) if ok(m)]
+        assert r["base_sha256"] == hashlib.sha256(",".join(x[2] for x in sorted(found)).encode()).hexdigest()
+        assert set(x[2] for x in found) <= set(r["spans"].split(","))
+    back = {r["doc_id"]: r["text"] for r in redacted(df).collect()}
+    assert "abcdefgh" not in back[-1] and all("AKIA" not in t or re.search("AKIA[A-Z0-9]{12}", t) is None for t in back.values())
+
+
+def test_entropy_windows_against_plain_counts(spark):
+    from lodestone.llm.secrets import CLASSES, WINDOW, scan
+
+    r = random.Random(8)
+    b64 = CLASSES["entropy_text"][1]
+    own = {i: "see " + "".join(r.choice(b64) for _ in range(r.randint(15, 70))) + " and " + "a1" * 20 + " " + "".join(r.choice("0123456789abcdef") for _ in range(r.randint(18, 31))) for i in range(80)}
+    own[100] = "key EXAMPLE" + "".join(r.choice(b64) for _ in range(40)) + " id 123e4567-e89b-12d3-a456-426614174000"
+
+    def bits(w):
+        return -sum(c / len(w) * math.log2(c / len(w)) for c in Counter(w).values())
+
+    got = {x["doc_id"]: [s for s in x["spans"].split(",") if s.startswith("entropy")] for x in scan(spark.createDataFrame(list(own.items()), "doc_id long, text string")).collect()}
+    assert got[100] == [] and sum(map(len, got.values())) > 60
+    for i, t in own.items():
+        for s in got[i]:
+            kind, a, b = s.split(":")
+            a, b = int(a), int(b)
+            least = CLASSES[kind][2]
+            lit = [j for j in range(a, b - WINDOW + 1) if bits(t[j : j + WINDOW]) >= least - 1e-5]
+            assert lit[0] == a and lit[-1] == b - WINDOW and all(y - x <= WINDOW for x, y in zip(lit, lit[1:]))
+
+
+def test_lattice_base_and_sums(spark, sf, texts):
+    import public_tokenizers
+    from lodestone.llm.lattice import Lattice
+
+    got = {r["doc_id"]: r for r in Q.QUERIES["op2_lattice_lm"](spark, sf).collect()}
+    c = Counter()
+    for i, t in texts.items():
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            c.update(t.encode().lower().split())
+            c[None] += 1
+    total, kinds = sum(c.values()), len(c)
+    for i, t in texts.items():
+        words = [*t.encode().lower().split(), None]
+        r = got[i]
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(words), sum(c[w] > 0 for w in words), total)
+        assert r["base_score"] == pytest.approx(sum(math.log10((c[w] + 1) / (total + kinds + 1)) for w in words), rel=1e-9)
+        assert -1e7 < r["score"] < 0
+    # the forward sum against all cuts of short words, and expected uses against the same
+    model = Lattice.from_file(public_tokenizers.path("piece_bpe_32k.model"))
+
+    def cuts(s):
+        if not s:
+            yield []
+        for n in range(1, len(s) + 1):
+            if s[:n] in model.number:
+                for rest in cuts(s[n:]):
+                    yield [s[:n], *rest]
+
+    for word in ("the", "haon", "erre", "a"):
+        every = [sum(model.logs[model.number[p]] for p in cut) for cut in cuts("▁" + word)]
+        assert model.log_probability(word) == pytest.approx(math.log(sum(map(math.exp, every))))
+        uses = Counter()
+        for cut, x in zip(cuts("▁" + word), every):
+            for p in cut:
+                uses[model.number[p]] += math.exp(x - model.log_probability(word))
+        mine = Counter()
+        for p, x in model.uses(word, 1):
+            mine[p] += x / (1 << 20)
+        assert all(abs(uses[p] - mine[p]) < 1e-3 for p in set(uses) | set(mine))
+    assert math.isfinite(model.log_probability("𝒳☃" * 3)) and sum(map(math.exp, model.logs)) == pytest.approx(1)
+
+
+@pytest.mark.parametrize("name,label,limit,least", [("op4_quality_net", "quality", 0.7, 0.95), ("op10_toxicity", "toxic", 0.3, 0.9)])
+def test_held_out_accuracy(spark, name, label, limit, least):
+    sf = "/root/testdata/sf0.01"
+    scored = Q.QUERIES[name](spark, sf)
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", label)
+    rows = scored.join(labels, "doc_id").filter("held_out").collect()
+    assert rows and all(r["predicted"] == int(r["score"] >= limit) for r in rows)
+    assert sum(r["predicted"] == r[label] for r in rows) / len(rows) >= least
+
+
+def test_neighbours_recall_and_scores(spark):
+    import numpy as np
+
+    sf = "/root/testdata/sf0.1"
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").collect()
+    ids, x = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], dtype=float)
+    got = {}
+    for r in Q.QUERIES["op5_neighbours"](spark, sf).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    recall = []
+    for q in ids[ids % 20 == 0]:
+        near = x @ x[ids == q][0]
+        near[ids == q] = -9
+        best = ids[np.lexsort((ids, -near))[:20]]
+        mine = sorted(got[q])
+        assert [m[0] for m in mine] == list(range(1, 21))
+        assert all(abs(m[2] - near[ids == m[1]][0]) < 1e-12 for m in mine) and [m[2] for m in mine] == sorted((m[2] for m in mine), reverse=True)
+        recall.append(len(set(best) & {m[1] for m in mine}) / 20)
+    assert np.mean(recall) >= 0.9
+
+
+def test_permutation_search_prunes(spark):
+    """A block larger than what is reranked: the footrule ranking must still find the neighbours."""
+    import numpy as np
+    from lodestone.llm.neighbours import LEAST, Block, permutations
+
+    r = np.random.default_rng(1)
+    centres = r.normal(size=(20, 64))
+    x = centres[r.integers(0, 20, 9000)] + 0.5 * r.normal(size=(9000, 64))
+    longest = float(np.sqrt((x * x).sum(axis=1)).max())
+    p = x[:128]
+    pivots = np.concatenate([p, np.sqrt(np.maximum(longest**2 - (p * p).sum(axis=1), 0))[:, None]], axis=1)
+    block = Block(np.arange(9000), x, pivots, longest)
+    assert LEAST < 9000
+    recall = []
+    for i in range(0, 9000, 300):
+        found, _ = block.search(i, x[i], permutations(x[i : i + 1], pivots, longest, True)[0], 20)
+        near = x @ x[i]
+        near[i] = -np.inf
+        recall.append(len(set(np.argsort(-near)[:20]) & set(found)) / 20)
+    assert np.mean(recall) >= 0.9
+
+
+def test_near_copies_in_large_groups(spark):
+    """Copies with few edits: links across a hub's blocks, against brute force on full sets."""
+    from lodestone.llm.neardup import near_duplicates
+
+    r = random.Random(6)
+    base = [f"w{r.randint(0, 5000)}" for _ in range(120)]
+    docs = {0: " ".join(base)}
+    for i in range(1, 160):
+        w = list(base)
+        for _ in range(r.randint(0, 6)):
+            w[r.randrange(len(w))] = f"x{r.randint(0, 10**6)}"
+        docs[i] = " ".join(w)
+    for i in range(160, 200):
+        docs[i] = " ".join(f"w{r.randint(0, 5000)}" for _ in range(80)) + " " + " ".join(base[:40])
+    sets = {i: {tuple(w[j : j + 4]) for j in range(len(w) - 3)} for i, w in ((i, t.split()) for i, t in docs.items())}
+    label = dict.fromkeys(docs)
+    for i in docs:
+        if label[i] is None:
+            label[i], todo = i, [i]
+            while todo:
+                a = todo.pop()
+                for b in docs:
+                    if label[b] is None and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                        label[b] = i
+                        todo.append(b)
+    got = near_duplicates(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), width=4)
+    assert {x["doc_id"]: x["component_id"] for x in got.collect()} == label
+
+
+def test_mix_meets_its_targets(spark):
+    from lodestone.llm.mixing import mix
+
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.expr("repeat('w ', cast(20 + id % 80 as int))").alias("text"), F.expr("case when id % 3 = 0 then 'hot' when id % 50 = 1 then 'tiny' else concat('s', id % 4) end").alias("source"))
+    got = mix(docs)
+    for r in got.groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target"), F.max("source_size").alias("size")).collect():
+        assert abs(r["taken"] - r["target"]) <= 100 and r["target"] <= 3 * r["size"] + 1e-6
+    total = got.agg(F.sum("size")).first()[0]
+    assert abs(sum(r["t"] for r in got.groupBy("source").agg(F.max("target").alias("t")).collect()) - total) < 1e-3
+    again = mix(docs.repartition(7))
+    assert got.exceptAll(again).count() == 0
+
+
+def test_repeated_words_by_hand():
+    from lodestone.llm.quality_rules import repeated_words
+
+    r = random.Random(9)
+    for _ in range(200):
+        words = [r.choice([b"a", b"b"]) if r.random() < 0.9 else b"c%d" % r.randint(0, 9) for _ in range(r.randint(0, 40))]
+        grams = Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7))
+        covered = {i + j for i in range(len(words) - 7) if grams[tuple(words[i : i + 8])] > 1 for j in range(8)}
+        assert repeated_words(words) == len(covered)
+
+
+def test_quality_rules_separate_junk(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = Q.QUERIES["op1_quality_rules"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("NOT base_failed").collect()
+    assert sum(r["kept"] == (r["quality"] == 1) for r in rows) / len(rows) > 0.97
+
+
+def test_sketch_fills_every_coordinate():
+    import numpy as np
+    from lodestone.llm.neardup import BINS, sketch
+
+    r = np.random.default_rng(2)
+    for n in (1, 2, 5, 50, 500, 5000):
+        assert (sketch(r.integers(0, 2**63, n).astype(np.uint64)) != np.uint64(2**64 - 1)).all()
+    a = r.integers(0, 2**63, 900).astype(np.uint64)
+    same = [(sketch(a[:700]) == sketch(a[200:])).mean() for _ in range(1)]
+    assert abs(np.mean(same) - 500 / 900) < 4 * math.sqrt(0.25 / BINS)
