@@ -100,9 +100,9 @@ def packed(docs: DataFrame, *used: str) -> DataFrame:
     return docs.select(*used, F.struct(*others or [F.lit(0).alias("none")]).alias("_rest"))
 
 
-def unpacked(rows: DataFrame, docs: DataFrame, *used: str) -> DataFrame:
-    """The columns of ``docs`` in their order, from what packed() made of them."""
-    return rows.select(*[F.col(n) if n in used else F.col(f"_rest.`{n}`").alias(n) for n in docs.columns])
+def unpacked(rows: DataFrame, docs: DataFrame, *used: str, added: list[str] = ()) -> DataFrame:
+    """The columns of ``docs`` in their order, from what packed() made of them, and ``added`` new ones."""
+    return rows.select(*[F.col(n) if n in used else F.col(f"_rest.`{n}`").alias(n) for n in docs.columns], *added)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int, longest: int = 200_000) -> tuple[list[str], list[int], list[str]]:

@@ -246,3 +246,10 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lattice import score
 
     return score(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op6_pseudonyms")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import scan
+
+    return scan(table(spark, sf_dir, "documents"))
