@@ -67,22 +67,31 @@ class Lattice:
         total = math.log(sum(weights))
         return cls(names, [math.log(w) - total for w in weights])
 
-    def edges(self, word: str) -> list[list[tuple[int, float, int]]]:
-        """For each end, (begin, log probability, piece or -1 for a spelled character)."""
+    def forward(self, word: str, keep: list | None = None) -> list[list[float]]:
+        """For each place in a word, the log probabilities of the cuts that end there, by last piece.
+
+        The sum over a place's list is its forward value, by which all pieces that begin there are
+        weighted. With ``keep``, a list for each place gets (begin, piece or -1 for a spelled character).
+        """
         s = _SPACE + word
         n = len(s)
-        out: list[list[tuple[int, float, int]]] = [[] for _ in range(n + 1)]
-        get, logs = self.next.get, self.logs
+        ends: list[list[float]] = [[0.0]] + [[] for _ in range(n)]
+        get, logs, number = self.next.get, self.logs, self.number
         for i in range(n):
+            alpha = self.add(ends[i])
             for j in range(i + 1, n + 1):
                 p = get(s[i:j])
                 if p is None:
                     break
                 if p >= 0:
-                    out[j].append((i, logs[p], p))
-            if s[i] not in self.number:
-                out[i + 1].append((i, sum(logs[self.spelled[b]] for b in s[i].encode()), -1))
-        return out
+                    ends[j].append(alpha + logs[p])
+                    if keep is not None:
+                        keep[j].append((i, p))
+            if s[i] not in number:
+                ends[i + 1].append(alpha + sum([logs[self.spelled[b]] for b in s[i].encode()]))
+                if keep is not None:
+                    keep[i + 1].append((i, -1))
+        return ends
 
     @staticmethod
     def add(terms: list[float]) -> float:
@@ -91,31 +100,35 @@ class Lattice:
         m = max(terms)
         return m + math.log(sum([math.exp(t - m) for t in terms]))
 
-    def forward(self, edges) -> list[float]:
-        alpha = [0.0]
-        for own in edges[1:]:
-            alpha.append(self.add([alpha[i] + x for i, x, _ in own]))
-        return alpha
-
     def log_probability(self, word: str) -> float:
-        return self.forward(self.edges(word))[-1]
-
-    def uses(self, word: str, times: int):
-        """(piece, expected uses in units) over all cuts of ``times`` copies of a word."""
-        edges = self.edges(word)
-        alpha = self.forward(edges)
-        n, total = len(alpha) - 1, alpha[-1]
-        after: list[list[float]] = [[] for _ in range(n)] + [[0.0]]
-        for j in range(n, 0, -1):
-            beta = self.add(after[j])
-            for i, x, p in edges[j]:
-                after[i].append(beta + x)
-                share = int(times * math.exp(alpha[i] + x + beta - total) * UNIT + 0.5)
+        return self.add(self.forward(word)[-1])
+
+    def uses(self, word: str, times: int, total: dict[int, int]) -> None:
+        """Add to ``total`` the expected uses (in units) of pieces over all cuts of ``times`` copies of a word.
+
+        A piece's share of what ends at its end is its term of the forward sum there; walking back,
+        what ends anywhere is what begins there in cuts of the whole word.
+        """
+        keep: list[list[tuple[int, int]]] = [[] for _ in range(len(word) + 2)]
+        ends = self.forward(word, keep)
+        through = [0.0] * len(ends)
+        through[-1] = float(times * UNIT)
+        for j in range(len(ends) - 1, 0, -1):
+            terms = ends[j]
+            if len(terms) == 1:
+                shares = (through[j],)
+            else:
+                m = max(terms)
+                weights = [math.exp(t - m) for t in terms]
+                scale = through[j] / sum(weights)
+                shares = [w * scale for w in weights]
+            for (i, p), part in zip(keep[j], shares):
+                through[i] += part
                 if p >= 0:
-                    yield p, share
+                    total[p] = total.get(p, 0) + int(part + 0.5)
                 else:
                     for b in (_SPACE + word)[i].encode():
-                        yield self.spelled[b], share
+                        total[self.spelled[b]] = total.get(self.spelled[b], 0) + int(part + 0.5)
 
     def refit(self, uses: dict[int, int], ends: int) -> "Lattice":
         """The next model: expected uses with a tenth added to each piece."""
@@ -164,8 +177,7 @@ def expected(tokens: DataFrame, lattice: Lattice) -> dict[int, int]:
         model, total = shared.value, {}
         for batch in batches:
             for token, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for p, x in model.uses(token.decode(), c):
-                    total[p] = total.get(p, 0) + x
+                model.uses(token.decode(), c, total)
         yield pa.record_batch([pa.array(list(total), pa.int32()), pa.array([str(x) for x in total.values()])], ["piece", "uses"])
 
     rows = tokens.filter("c > 0").select("token", "c").mapInArrow(tidy(run), "piece int, uses string")
