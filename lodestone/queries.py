@@ -159,12 +159,15 @@ def note_digest(spark, sf):
 
 def _saved_items(spark, sf):
     """Every third answer has been kept in the notes; one in six with another question's id."""
-    a = A.answers(spark, sf).withColumn("h", F.crc32("id"))
+    a = A.answers(spark, sf).withColumn("h", F.length("content"))
     kept = a.filter("h % 3 = 0").select(F.col("id").alias("answer_id"), F.when(F.col("h") % 6 == 0, F.lit("other")).otherwise(F.col("question_id")).alias("question_id"))
     return A.knowledge(spark, sf).select("id", "question_id", "answer_id").unionByName(kept.select(F.concat(F.lit("s"), "answer_id").alias("id"), "question_id", "answer_id"))
 
 
-@query("question_list_saved")
+@query(
+    "question_list_saved",
+    f"WITH {_QU}, {_AN} SELECT q.id AS question_id, q.source_id, q.question_text, a.id AS answer_id, a.content AS answer, CASE WHEN a.id IS NOT NULL THEN length(a.content) % 3 = 0 AND length(a.content) % 6 <> 0 END AS saved FROM qu q LEFT JOIN an a ON a.question_id = q.id",
+)
 def question_list_saved(spark, sf):
     return catalog.question_list(A.questions(spark, sf), A.answers(spark, sf), _saved_items(spark, sf))
 
@@ -417,7 +420,14 @@ def section_round_robin(spark, sf):
     return _ordered(spark, sf, "classify").select("doc_id", "idx", "place")
 
 
-@query("context_packing")
+@query(
+    "context_packing",
+    f"""WITH RECURSIVE {_BL}, {_path_sql("bl")}, {_SEC}, p AS (SELECT *, CASE WHEN regexp_matches(section_path, '(?i)abstract|front matter') THEN 0 WHEN regexp_matches(section_path, '(?i)introduction|conclu') THEN 1 ELSE 2 END AS priority, row_number() OVER (PARTITION BY doc_id, section_no ORDER BY idx) AS turn FROM sec),
+o AS MATERIALIZED (SELECT doc_id, length(text) + 120 AS cost, row_number() OVER (PARTITION BY doc_id ORDER BY turn, priority, section_no) AS place FROM p),
+r AS (SELECT doc_id, 0::BIGINT AS place, 0::BIGINT AS used, true AS kept FROM documents
+  UNION ALL SELECT o.doc_id, o.place, CASE WHEN used + cost <= 3000 THEN used + cost ELSE used END, used + cost <= 3000 FROM r JOIN o ON o.doc_id = r.doc_id AND o.place = r.place + 1)
+SELECT doc_id, place, kept FROM r WHERE place > 0""",
+)
 def context_packing(spark, sf):
     return context.packed(_ordered(spark, sf, "classify").withColumn("cost", F.length("text") + 120), 3000)
 
@@ -524,7 +534,14 @@ def anchor_context_gate(spark, sf):
     return anchors.context_index(a, b)
 
 
-@query("portable_evidence")
+@query(
+    "portable_evidence",
+    f"""WITH b AS (SELECT doc_id, {_NORM.format("text")} AS t FROM documents), q AS (SELECT item_id, {_NORM.format("text")} AS q FROM benchmark WHERE item_id % 2 = 0),
+n AS (SELECT item_id, doc_id, len(list_filter(range(1, length(t) - length(q) + 2), lambda i: substr(t, i, length(q)) = q)) AS n FROM q JOIN b ON contains(t, q)),
+g AS (SELECT item_id, sum(n) AS total, min(doc_id) AS d FROM n GROUP BY item_id)
+SELECT m.item_id::VARCHAR AS anchor_id, CASE WHEN m.item_id % 2 = 1 OR total = 1 THEN 'resolved' WHEN total > 1 THEN 'candidates' ELSE 'unresolved' END AS status, CASE WHEN m.item_id % 2 = 1 THEN 'label' WHEN total = 1 THEN 'quote' END AS method,
+  CASE WHEN m.item_id % 2 = 1 OR total = 1 THEN NULL WHEN total > 1 THEN 'ambiguous_quote' ELSE 'no_match' END AS reason, CASE WHEN m.item_id % 2 = 1 THEN 'd5' WHEN total = 1 THEN 'd' || d END AS block_id FROM benchmark m LEFT JOIN g USING (item_id)""",
+)
 def portable_evidence(spark, sf):
     a, b, v = _anchor_inputs(spark, sf)
     none = F.lit(None).cast("string")
@@ -605,22 +622,32 @@ def brief_effective_status(spark, sf):
     return brief.effective_status(f, r).select("source_id", "field_name", "effective")
 
 
-@query("import_preview")
+@query(
+    "import_preview",
+    f"""{_BRIEF}, a AS (SELECT n.source_id, count(*) FILTER (c.field_name IS NULL OR NOT (c.origin = 'user' OR c.user_edited)) AS selected, count(c.field_name) AS conflicts FROM n LEFT JOIN c ON n.source_id = c.source_id AND n.field_name = c.field_name GROUP BY 1)
+SELECT source_id, i % 9 <> 0 AND selected > 0 AS can_commit, concat_ws(',', CASE WHEN i % 2 = 1 THEN 'evidence_needs_review' END, CASE WHEN conflicts > 0 THEN 'field_conflicts' END, CASE WHEN i % 9 = 0 THEN 'duplicate_import' END, CASE WHEN selected = 0 THEN 'no_writable_fields' END) AS review_reasons, selected FROM (SELECT *, substr(source_id, 2)::BIGINT AS i FROM a)""",
+)
 def import_preview(spark, sf):
     inc = _fields(spark, sf, 7, 2)
     act = brief.import_actions(_fields(spark, sf, 0, 1), inc)
     ids = inc.select("source_id").distinct()
-    counts = ids.select("source_id", F.lit(1).alias("resolved"), (F.crc32("source_id") % 2).alias("candidates"), F.lit(0).alias("page_only"), F.lit(0).alias("unresolved"))
+    counts = ids.select("source_id", F.lit(1).alias("resolved"), (F.substring("source_id", 2, 20).cast("long") % 2).alias("candidates"), F.lit(0).alias("page_only"), F.lit(0).alias("unresolved"))
     targets = ids.select("source_id", F.lit(True).alias("matched"), F.lit(False).alias("manual"), F.lit(0).alias("warnings"))
-    return brief.import_preview(act, counts, targets, ids.filter(F.crc32("source_id") % 9 == 0))
+    return brief.import_preview(act, counts, targets, ids.filter(F.substring("source_id", 2, 20).cast("long") % 9 == 0))
 
 
-@query("brief_snapshot")
+@query(
+    "brief_snapshot",
+    f"""WITH {_fields_sql("c", 0, 1)} SELECT source_id, sha256(string_agg(j, chr(10) ORDER BY j)) AS digest FROM (SELECT source_id, '{{"field_name":"' || field_name || '","value_json":"' || replace(value_json, '"', '\\"') || '","status":"confirmed","origin":"' || origin || '"}}' AS j FROM c) GROUP BY source_id""",
+)
 def brief_snapshot(spark, sf):
     return brief.snapshot_hash(_fields(spark, sf, 0, 1), "source_id", ["field_name", "value_json", "status", "origin"])
 
 
-@query("brief_quick_view")
+@query(
+    "brief_quick_view",
+    f"""WITH {_fields_sql("c", 0, 1)} SELECT i.source_id, v.ord, v.name AS field_name, c.value_json, CASE WHEN c.field_name IS NOT NULL THEN 'confirmed' END AS status FROM (SELECT DISTINCT source_id FROM c) i, (VALUES {", ".join(f"({n}, '{x}')" for n, x in enumerate(brief.QUICK))}) v(ord, name) LEFT JOIN c ON c.source_id = i.source_id AND c.field_name = v.name""",
+)
 def brief_quick_view(spark, sf):
     return brief.quick_view(_fields(spark, sf, 0, 1))
 
@@ -642,7 +669,18 @@ def export_json(spark, sf):
     return _export(spark, sf)
 
 
-@query("export_markdown")
+_MARK = f"""WITH {_SRC}, {_KN}, {_QU}, {_AN}, {_TAGS}, {_TEMPLATE},
+k AS (SELECT kn.*, coalesce(t.ord, {len(NOTE_TEMPLATE)}) AS ord, coalesce(t.label, section_key) AS label,
+  replace('- ' || CASE WHEN coalesce(title, '') <> '' THEN '**' || title || '** — ' ELSE '' END || content, chr(10), chr(10) || '  ') || chr(10) || '  - _出所: ' || CASE origin WHEN 'user' THEN 'ユーザー' ELSE 'AI自動抽出' END || ' / 種別: ' || CASE info_type WHEN 'fact' THEN '事実' ELSE '未解決' END || '_' || chr(10) AS line FROM kn LEFT JOIN template t ON t.key = section_key),
+s AS (SELECT source_id, ord, section_key, '## ' || label || chr(10) || chr(10) || string_agg(line, chr(10) ORDER BY sort_order, created_at, id) AS t FROM k GROUP BY source_id, ord, section_key, label),
+ss AS (SELECT source_id, string_agg(t, chr(10) ORDER BY ord, section_key) AS t FROM s GROUP BY source_id),
+h AS (SELECT q.source_id, string_agg('### Q: ' || question_text || chr(10) || coalesce(chr(10) || '**A** _(AI回答 / mock)_:' || chr(10) || chr(10) || a.content, '') || chr(10), chr(10) ORDER BY q.created_at, q.id, a.id NULLS FIRST) AS t FROM qu q LEFT JOIN an a ON a.question_id = q.id GROUP BY q.source_id),
+g AS (SELECT source_id, string_agg(DISTINCT name, ', ' ORDER BY name) AS t FROM tags GROUP BY source_id)
+SELECT src.id, regexp_replace(concat_ws(chr(10), '---', 'title: ' || nullif(title, ''), 'type: text', 'authors: [' || (authors::JSON ->> 0) || ']', 'tags: [' || g.t || ']', 'reading_status: ' || reading_status, 'created: ' || updated_at, 'updated: ' || updated_at, '---', '', '# ' || title, '', '> **一言要約**: ' || one_line_summary || chr(10), ss.t, '## 質問と回答の履歴' || chr(10) || chr(10) || h.t), '[ \\n\\t]+$', '') || chr(10) AS markdown
+FROM src LEFT JOIN ss ON ss.source_id = src.id LEFT JOIN h ON h.source_id = src.id LEFT JOIN g ON g.source_id = src.id"""
+
+
+@query("export_markdown", _MARK)
 def export_markdown(spark, sf):
     return export.markdown(A.sources(spark, sf, False), A.knowledge(spark, sf), A.questions(spark, sf), A.answers(spark, sf), A.source_tags(spark, sf))
 
