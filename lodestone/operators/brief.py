@@ -8,7 +8,14 @@ from pyspark.sql import functions as F
 from ..schema import RESOLUTIONS
 
 FIELD = ["value_json", "status", "evidence_json", "origin", "user_edited", "provenance_json"]
-QUICK = ["one_line_summary", "paper_type", "research_objective", "problem", "proposed_method", "key_results", "limitations"]
+# The fields of the quick view, and those that follow for each type of paper.
+QUICK = ["one_line_summary", "research_objective", "background", "problem", "target_task", "novelty", "key_results"]
+BY_TYPE = {
+    "survey": ["paper_type", "target_domain", "model_family", "limitations", "suggested_reading_order"],
+    "benchmark": ["paper_type", "datasets", "evaluation_settings", "metrics", "baselines", "limitations"],
+    "dataset": ["paper_type", "datasets", "evaluation_settings", "metrics", "baselines", "limitations"],
+    "": ["paper_type", "model_family", "base_model", "learning_regimes", "shots", "adaptation_methods", "datasets", "metrics"],
+}
 
 
 def protected() -> Column:
@@ -124,8 +131,17 @@ def snapshot_hash(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
 
 
 def quick_view(fields: DataFrame) -> DataFrame:
-    """The fields that a quick view shows: source_id, ord, field_name, value_json, status (null: missing)."""
-    names = fields.sparkSession.createDataFrame(list(enumerate(QUICK)), "ord int, name string")
-    ids = fields.select(F.col("source_id").alias("sid")).distinct().crossJoin(F.broadcast(names))  # seven rows a source
-    j = ids.join(fields, (F.col("sid") == F.col("source_id")) & (F.col("name") == F.col("field_name")), "left")
+    """The fields that a quick view shows: source_id, ord, field_name, value_json, status (null: missing).
+
+    Seven fields, then those of the source's paper_type (as JSON text in value_json).
+    """
+    names = lambda xs: F.array(*map(F.lit, xs))
+    kind = F.max(F.when(F.col("field_name") == "paper_type", F.trim(F.col("value_json"), F.lit('"'))))
+    ids = fields.groupBy(F.col("source_id").alias("sid")).agg(kind.alias("kind"))
+    more = names(BY_TYPE[""])
+    for k, xs in BY_TYPE.items():
+        if k:
+            more = F.when(F.col("kind") == k, names(xs)).otherwise(more)
+    rows = ids.select("sid", F.posexplode(F.concat(names(QUICK), more)).alias("ord", "name"))
+    j = rows.join(fields, (F.col("sid") == F.col("source_id")) & (F.col("name") == F.col("field_name")), "left")
     return j.select(F.col("sid").alias("source_id"), "ord", F.col("name").alias("field_name"), "value_json", "status")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import geometry, text
-from .operators import analysis, anchors, blocks, brief, catalog, context, dedup, export, parse, search
+from .operators import analysis, anchors, blocks, brief, catalog, context, dedup, export, generation, parse, qa, search
 from .plans import adapters as A
 from .schema import HEURISTIC_QUESTION, NO_NOTES, NOTE_TEMPLATE, OUTLINE_LABEL, violations
 from .sources import table
@@ -646,12 +646,54 @@ def brief_snapshot(spark, sf):
 
 @query(
     "brief_quick_view",
-    f"""WITH {_fields_sql("c", 0, 1)} SELECT i.source_id, v.ord, v.name AS field_name, c.value_json, CASE WHEN c.field_name IS NOT NULL THEN 'confirmed' END AS status FROM (SELECT DISTINCT source_id FROM c) i, (VALUES {", ".join(f"({n}, '{x}')" for n, x in enumerate(brief.QUICK))}) v(ord, name) LEFT JOIN c ON c.source_id = i.source_id AND c.field_name = v.name""",
+    f"""WITH {_fields_sql("c", 0, 1)} SELECT i.source_id, v.ord, v.name AS field_name, c.value_json, CASE WHEN c.field_name IS NOT NULL THEN 'confirmed' END AS status FROM (SELECT DISTINCT source_id FROM c) i, (VALUES {", ".join(f"({n}, '{x}')" for n, x in enumerate([*brief.QUICK, *brief.BY_TYPE[""]]))}) v(ord, name) LEFT JOIN c ON c.source_id = i.source_id AND c.field_name = v.name""",
 )
 def brief_quick_view(spark, sf):
     return brief.quick_view(_fields(spark, sf, 0, 1))
 
 
+# --- questions and generation ---
+@query("asked_questions")
+def asked_questions(spark, sf):
+    none = F.lit(None).cast("string")
+    q = A.questions(spark, sf).select(F.col("id").alias("question_id"), "source_id", "question_text", F.lit("explain").alias("prompt_type"), none.alias("selection_text"), none.alias("quote"), none.alias("prefix"), none.alias("suffix"), F.concat(F.lit("v"), F.substring("source_id", 2, 20)).alias("source_version"), none.alias("block_id"), F.lit(1).cast("long").alias("block_idx"))
+    v = table(spark, sf, "documents").select(F.concat(F.lit("v"), F.col("doc_id").cast("string")).alias("id"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("source_id"))
+    b = blocks.heading_paths(A.blocks(spark, sf)).withColumn("id", F.concat("version_id", F.lit("-"), F.col("idx").cast("string")))
+    return qa.asked(q, A.sources(spark, sf, False), v, b, A.knowledge(spark, sf), {"explain": "?"})
+
+
+def _literal(x: str) -> str:
+    return "'" + x.replace("\n", "' || chr(10) || '") + "'"
+
+
+@query("mock_answers", f"SELECT doc_id, {_literal(qa.MOCK_NOTE + '選択箇所:' + chr(10) * 2 + '> ')} || 'pick ' || doc_id || {_literal(chr(10) * 2 + qa.MOCK_END)} AS answer, '【モック翻訳】pick ' || doc_id AS translation FROM documents")
+def mock_answers(spark, sf):
+    p = F.concat(F.lit("a ---SELECTION--- pick "), F.col("doc_id").cast("string"), F.lit(" --- b"))
+    return table(spark, sf, "documents").select("doc_id", qa.mock_answer(p).alias("answer"), qa.mock_translation(p).alias("translation"))
+
+
+@query("prompt_files", "SELECT 'p' || doc_id AS id, '2' AS version, 'Body ' || doc_id AS body FROM documents")
+def prompt_files(spark, sf):
+    s = F.col("doc_id").cast("string")
+    return qa.prompts(table(spark, sf, "documents").select(F.lit("file").alias("name"), F.concat(F.lit("---\nid: p"), s, F.lit("\nversion: 2\n---\n\nBody "), s, F.lit("\n")).alias("value")))
+
+
+@query("commit_decisions", "SELECT 'p' || doc_id AS preview_id, CASE WHEN doc_id % 2 = 0 THEN 'already_committed' WHEN doc_id % 3 = 0 THEN 'expired' WHEN doc_id % 5 = 0 THEN 'duplicate_import' WHEN doc_id % 7 = 0 THEN 'stale' WHEN doc_id % 11 = 0 THEN 'not_writable' ELSE 'commit' END AS decision FROM documents")
+def commit_decisions(spark, sf):
+    d, s = table(spark, sf, "documents"), F.col("doc_id").cast("string")
+    n = lambda k: F.col("doc_id") % k == 0
+    p = d.select(F.concat(F.lit("p"), s).alias("preview_id"), F.concat(F.lit("k"), s).alias("package_id"), F.sha2(s, 256).alias("payload_hash"), s.alias("digest"), F.when(n(3), "2024-01-01").otherwise("2024-03-01").alias("expires_at"), F.when(n(2), "2024-01-01").alias("committed_at"))
+    f = d.select(F.concat(F.lit("p"), s).alias("preview_id"), F.when(n(7), "x").otherwise(s).alias("fresh_digest"), (~n(11)).alias("can_commit"))
+    ledger = d.filter("doc_id % 5 = 0").select(F.lit("other").alias("package_id"), F.sha2(s, 256).alias("payload_hash"))
+    return generation.commit_decisions(p, f, ledger, F.lit("2024-02-01"))
+
+
+@query("job_recovery", "SELECT 'j' || doc_id AS job_id, CASE WHEN doc_id % 3 = 0 AND doc_id % 2 = 0 THEN 'failed' WHEN doc_id % 3 = 0 THEN 'generating' ELSE 'preview' END AS state, CASE WHEN doc_id % 3 = 0 AND doc_id % 2 = 0 THEN 'interrupted' END AS error FROM documents")
+def job_recovery(spark, sf):
+    j = table(spark, sf, "documents").select(F.concat(F.lit("j"), F.col("doc_id").cast("string")).alias("job_id"), F.when(F.col("doc_id") % 3 == 0, "generating").otherwise("preview").alias("state"), F.lit(None).cast("string").alias("error"), F.when(F.col("doc_id") % 2 == 0, "2024-01-01").otherwise("2024-03-01").alias("updated_at"))
+    return generation.recovered(j, F.lit("2024-02-01"), F.lit("2024-02-02")).select("job_id", "state", "error")
+
+
 # --- export ---
 @query("export_json_counts", f"WITH {_SRC}, {_KN}, {_QU}, {_TAGS} SELECT id, (SELECT count(*) FROM kn WHERE kn.source_id = src.id) AS knowledge_items, (SELECT count(*) FROM qu WHERE qu.source_id = src.id) AS questions, (SELECT count(*) FROM tags WHERE tags.source_id = src.id) AS tags FROM src")
 def export_json_counts(spark, sf):
