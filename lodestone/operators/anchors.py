@@ -54,14 +54,15 @@ def resolve(anchors: DataFrame, blocks: DataFrame, versions: DataFrame) -> DataF
     a = a.select("*", same_version.alias("same_version"), same_hash.alias("same_hash"))
     have = blocks.columns
     b = blocks.select(F.col("version_id").alias("bv"), F.col("id").alias("bid"), F.col("idx").alias("bidx"), norm_ws(F.col("text")).alias("btext"), (F.col("page") if "page" in have else F.lit(None).cast("int")).alias("bpage"), parse(F.col("bbox_json") if "bbox_json" in have else F.lit(None).cast("string")).alias("bbox"))
-    j = a.join(b, F.col("_v") == F.col("bv"), "left")
+    # an inner join, so that few anchors can be broadcast to many blocks; anchors without blocks come back below
+    j = b.join(a, F.col("_v") == F.col("bv"))
     n = F.coalesce(occurrences(F.col("btext"), F.col("quote"), F.col("prefix"), F.col("suffix")), F.lit(0))
     no_quote = F.col("quote") == ""
     has = F.col("bid").isNotNull() & (no_quote | F.coalesce(F.contains("btext", "quote"), F.lit(False)))
     on_page = F.coalesce((F.col("page") > 0) & (F.col("bpage") == F.col("page")), F.lit(False))
     box, own = F.col("box"), F.col("bbox")
     hit = on_page & box.isNotNull() & own.isNotNull() & same_rect(own["page_rect"], box["page_rect"]) & F.coalesce(overlap(own["rect"], box["rect"]) >= 0.8, F.lit(False))
-    j = j.select("*", n.alias("n"), has.alias("has"), hit.alias("hit"), on_page.alias("on_page"))
+    j = j.select("*", n.alias("n"), has.alias("has"), hit.alias("hit"), on_page.alias("on_page")).filter("n > 0 OR has OR hit OR on_page")
     j = j.select(
         "*",
         (F.col("hit") & (no_quote | (F.col("n") == 1))).alias("sup"),
@@ -71,11 +72,7 @@ def resolve(anchors: DataFrame, blocks: DataFrame, versions: DataFrame) -> DataF
     ref = F.struct(F.col("bidx").alias("idx"), F.col("bid").alias("id"), F.col("bpage").alias("page"))
     one = lambda flag: F.min(F.when(flag, ref))
     ids = lambda flag: F.transform(F.array_sort(F.collect_list(F.when(flag, ref))), lambda x: x["id"])
-    g = j.groupBy("anchor_id").agg(
-        F.max("same_version").alias("same_version"),
-        F.max("same_hash").alias("same_hash"),
-        F.max("quote").alias("quote"),
-        F.max("page").alias("page"),
+    g = j.groupBy(F.col("anchor_id").alias("_g")).agg(
         F.sum("n").alias("total"),
         F.count_if("has").alias("n_has"),
         F.count_if("hit").alias("n_hit"),
@@ -92,6 +89,7 @@ def resolve(anchors: DataFrame, blocks: DataFrame, versions: DataFrame) -> DataF
         ids(F.col("sup")).alias("c_sup"),
         ids(F.col("hit")).alias("c_hit"),
     )
+    g = a.select("anchor_id", "quote", "page", "same_version", "same_hash").join(g, F.col("anchor_id") == F.col("_g"), "left")
     quoted = F.col("quote") != ""
     none = F.array().cast("array<string>")
     empty = F.lit(None).cast("struct<idx:long,id:string,page:int>")
@@ -155,7 +153,7 @@ def context_index(anchors: DataFrame, blocks: DataFrame) -> DataFrame:
     """
     a = _prepared(anchors)
     b = blocks.select(F.col("version_id").alias("bv"), F.col("id").alias("bid"), F.col("idx").alias("bidx"), norm_ws(F.col("text")).alias("btext"))
-    j = a.join(b, F.col("_v") == F.col("bv"), "left")
+    j = b.join(a, F.col("_v") == F.col("bv"))
     same = F.coalesce(F.col("source_version") == F.col("_v"), F.lit(False))
     named = F.coalesce(F.nullif("block_id", F.lit("")), F.lit("")) != ""
     target = same & F.coalesce(F.when(named, F.col("block_id") == F.col("bid")).otherwise(F.col("block_idx") == F.col("bidx")), F.lit(False))
@@ -164,13 +162,15 @@ def context_index(anchors: DataFrame, blocks: DataFrame) -> DataFrame:
     first = F.instr(F.col("btext"), F.col("quote"))
     before, after = F.rtrim(F.substring("btext", F.lit(1), first - 1)), F.ltrim(F.substring("btext", first + F.length("quote"), F.length("btext")))
     fits = fits & F.endswith(before, F.col("prefix")) & F.startswith(after, F.col("suffix"))
-    g = j.groupBy("anchor_id").agg(
+    g = j.select("*", target.alias("target"), holds.alias("holds"), fits.alias("fits")).filter("target OR holds")
+    target, holds, fits = F.col("target"), F.col("holds"), F.col("fits")
+    g = g.groupBy(F.col("anchor_id").alias("_g")).agg(
         F.min(F.when(target, F.struct("bidx", ((F.col("quote") == "") | holds).alias("ok")))).alias("t"),
         F.count_if(holds).alias("n"),
         F.min(F.when(fits, F.col("bidx"))).alias("f"),
     )
     idx = F.when(F.col("t").isNotNull(), F.when(F.col("t.ok"), F.col("t.bidx"))).when(F.col("n") == 1, F.col("f"))
-    return g.select("anchor_id", idx.cast("long").alias("idx"))
+    return a.select("anchor_id").join(g, F.col("anchor_id") == F.col("_g"), "left").select("anchor_id", idx.cast("long").alias("idx"))
 
 
 def made(selections: DataFrame) -> DataFrame:

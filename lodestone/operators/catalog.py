@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import like, strip
-from ..schema import note_template
+from ..schema import NOTE_TEMPLATE
 from .blocks import latest_versions
 
 
@@ -39,11 +39,11 @@ def note_view(sources: DataFrame, knowledge: DataFrame) -> DataFrame:
     w = Window.partitionBy("source_id", "section_key")
     rows = F.array_sort(F.collect_list(F.struct("sort_order", "created_at", "id")))
     g = knowledge.groupBy("source_id", "section_key").agg(F.array_join(F.transform(rows, lambda r: r["id"]), ",").alias("items"), F.count("*").alias("n"))
-    t = F.broadcast(note_template(sources.sparkSession))  # eleven rows
-    frame = sources.select(F.col("id").alias("sid")).crossJoin(t)  # a fixed eleven rows a source
+    template = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(v).alias("label")) for k, v in NOTE_TEMPLATE])
+    frame = sources.select(F.col("id").alias("sid"), F.posexplode(template).alias("ord", "x")).select("sid", "ord", "x.key", "x.label")
     own = frame.join(g, (F.col("sid") == F.col("source_id")) & (F.col("key") == F.col("section_key")), "left")
     own = own.select(F.col("sid").alias("source_id"), "ord", "key", "label", F.coalesce("items", F.lit("")).alias("items"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
-    extra = g.join(t, F.col("section_key") == F.col("key"), "left_anti").join(sources.select(F.col("id").alias("sid")), F.col("source_id") == F.col("sid"), "left_semi")
+    extra = g.filter(~F.col("section_key").isin([k for k, _ in NOTE_TEMPLATE])).join(sources.select(F.col("id").alias("sid")), F.col("source_id") == F.col("sid"), "left_semi")
     extra = extra.select("source_id", F.lit(99).alias("ord"), F.col("section_key").alias("key"), F.col("section_key").alias("label"), "items", F.col("n").cast("long").alias("n"))
     return own.unionByName(extra)
 

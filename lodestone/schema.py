@@ -55,11 +55,6 @@ EXCERPT_GAP = "\n...(中略)...\n"
 HISTORY_TITLE = "質問と回答の履歴"
 
 
-def note_template(spark) -> DataFrame:
-    """The sections in their order: ord, key, label."""
-    return spark.createDataFrame([(i, k, v) for i, (k, v) in enumerate(NOTE_TEMPLATE)], "ord int, key string, label string")
-
-
 def labelled(column, labels: dict[str, str]):
     """A value's label, or the value where it has none."""
     pairs = [F.lit(x) for kv in labels.items() for x in kv]
