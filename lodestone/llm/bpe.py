@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, text_of, tidy
+from .common import arrow_map, pieces, text_of
 
 #: Distinct pre-tokens of a generation; a worker remembers two generations at most.
 REMEMBERED = 300_000
@@ -300,7 +300,7 @@ def encode(docs: DataFrame, path: str, pattern: str, digest: bool = False) -> Da
 
     rest = "ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(tidy(run), f"doc_id long, n_tokens long, {rest}")
+    return arrow_map(rows, run, f"doc_id long, n_tokens long, {rest}")
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -315,4 +315,4 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
                 yield pa.record_batch([part.column(0), pa.array(codec.decode(ids), pa.binary())], ["doc_id", "data"])
         codec.close()
 
-    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(tidy(run), "doc_id long, data binary")
+    return arrow_map(encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids"), run, "doc_id long, data binary")

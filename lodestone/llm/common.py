@@ -52,6 +52,21 @@ def pieces(batches, columns: list[str], limit: int = 4_000_000):
             start = end
 
 
+#: Rows of an Arrow batch at most: with texts, the default of 10,000 makes batches of tens of MB in each task.
+BATCH_ROWS = 1000
+
+
+def arrow_map(rows: DataFrame, run, schema) -> DataFrame:
+    """mapInArrow in small batches; workers give memory back after a partition.
+
+    The batch size is a setting of the session and is read when the plan runs, so it stays lowered.
+    """
+    conf, name = rows.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return rows.mapInArrow(tidy(run), schema)
+
+
 def tidy(run):
     """``run`` over a partition's batches; afterwards the worker's unused memory goes back to the system.
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import scratch
-from .common import id_bucket, pieces, text_of, tidy, words_of
+from .common import arrow_map, id_bucket, pieces, text_of, words_of
 
 HEAD = 100_000
 #: Words that a task counts before it hands them on.
@@ -166,7 +166,7 @@ def counted(docs: DataFrame) -> DataFrame:
             yield rows()
 
     each = docs.select(_training(F.col("doc_id")).alias("train"), F.col("text").cast("string").alias("text"))
-    return each.mapInArrow(tidy(run), "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
+    return arrow_map(each, run, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
 
 def expected(tokens: DataFrame, lattice: Lattice) -> dict[int, int]:
@@ -180,7 +180,7 @@ def expected(tokens: DataFrame, lattice: Lattice) -> dict[int, int]:
                 model.uses(token.decode(), c, total)
         yield pa.record_batch([pa.array(list(total), pa.int32()), pa.array([str(x) for x in total.values()])], ["piece", "uses"])
 
-    rows = tokens.filter("c > 0").select("token", "c").mapInArrow(tidy(run), "piece int, uses string")
+    rows = arrow_map(tokens.filter("c > 0").select("token", "c"), run, "piece int, uses string")
     return {r["piece"]: int(r["uses"]) for r in rows.groupBy("piece").agg(F.sum(F.col("uses").cast("decimal(38,0)")).alias("uses")).collect()}
 
 
@@ -198,7 +198,7 @@ def weighed(tokens: DataFrame, lattice: Lattice) -> DataFrame:
             h = [xxh3_64_intdigest(w) - (1 << 63) for w in words]
             yield pa.record_batch([batch.column(0), pa.array(h, pa.int64()), batch.column(1), pa.array(lat, pa.float64())], ["token", "h", "c", "lat"])
 
-    return tokens.select("token", "c").mapInArrow(tidy(run), "token binary, h long, c long, lat double")
+    return arrow_map(tokens.select("token", "c"), run, "token binary, h long, c long, lat double")
 
 
 def frequent(words: DataFrame, most: int) -> DataFrame:
@@ -252,7 +252,7 @@ def _parts(docs: DataFrame, head: dict[bytes, tuple[int, float]]) -> DataFrame:
             yield pa.record_batch([pa.array(c, k) for c, k in zip(out, kinds)], ["row", "doc_id", "n_tokens", "known", "base", "lat", "h", "n"])
 
     each = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return each.mapInArrow(tidy(run), "row long, doc_id long, n_tokens long, known long, base double, lat double, h array<long>, n array<int>")
+    return arrow_map(each, run, "row long, doc_id long, n_tokens long, known long, base double, lat double, h array<long>, n array<int>")
 
 
 def score(docs: DataFrame, path: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import scratch
-from .common import packed, pieces, text_of, tidy, unit_hash, unpacked, words_of
+from .common import arrow_map, packed, pieces, text_of, unit_hash, unpacked, words_of
 
 MOST = 3
 LEVELS = 3
@@ -52,7 +52,7 @@ def sized(docs: DataFrame) -> DataFrame:
 
     rows = docs.withColumn("text", F.col("text").cast("string"))
     added = [T.StructField("_size", T.LongType()), T.StructField("_marks", T.LongType())]
-    return rows.mapInArrow(tidy(run), T.StructType([*rows.schema.fields, *added]))
+    return arrow_map(rows, run, T.StructType([*rows.schema.fields, *added]))
 
 
 def keyed(docs: DataFrame) -> DataFrame:

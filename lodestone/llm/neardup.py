@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import scratch
-from .common import pieces, text_of, tidy, words_of
+from .common import arrow_map, pieces, text_of, words_of
 from .components import components
 
 BANDS = 42
@@ -122,7 +122,7 @@ def sketched(docs: DataFrame, width: int) -> DataFrame:
             yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(classes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "cls", "n_shingles", "bands"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(tidy(run), "doc_id long, cls binary, n_shingles long, bands array<long>")
+    return arrow_map(rows, run, "doc_id long, cls binary, n_shingles long, bands array<long>")
 
 
 def _bit(cls: bytes, doc_id) -> int:
@@ -141,7 +141,7 @@ def wanted_bits(wanted: DataFrame) -> bytes:
             if len(bits):
                 yield pa.record_batch([pa.array(bits + 1, pa.int64())], ["bit"])  # Spark's bitmaps count from 1
 
-    bits = wanted.select("cls", "doc_id").mapInArrow(tidy(run), "bit long")
+    bits = arrow_map(wanted.select("cls", "doc_id"), run, "bit long")
     # at most FILTER_BITS / 32768 rows, whatever the input
     rows = bits.groupBy(F.bitmap_bucket_number("bit").alias("n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("map")).collect()
     out = np.zeros(FILTER_BITS // 8 + 8192, dtype=np.uint8)
@@ -171,7 +171,7 @@ def full_sets(docs: DataFrame, width: int, bits: bytes) -> DataFrame:
                 yield pa.record_batch([pa.array(classes, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["cls", "shingles"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(tidy(run), "cls binary, shingles array<long>")
+    return arrow_map(rows, run, "cls binary, shingles array<long>")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

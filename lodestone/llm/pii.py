@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import packed, pieces, tidy, unpacked
+from .common import arrow_map, packed, pieces, unpacked
 
 #: For tests and examples; a deployment passes its own.
 EXAMPLE_KEY = b"example key, replace it"
@@ -264,7 +264,7 @@ def pseudonymised(docs: DataFrame, key: bytes = EXAMPLE_KEY) -> DataFrame:
             cols[at] = pa.array(texts, pa.string())
             yield pa.record_batch([*cols, pa.array(spans, pa.string())], [*batch.schema.names, "_found"])
 
-    out = rows.mapInArrow(tidy(run), T.StructType([*rows.schema.fields, T.StructField("_found", T.StringType())]))
+    out = arrow_map(rows, run, T.StructType([*rows.schema.fields, T.StructField("_found", T.StringType())]))
     if "n_chars" in used:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.when(F.col("_found") != "", F.length("text").cast(kind)).otherwise(F.col("n_chars")))

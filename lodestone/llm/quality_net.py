@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_bucket, labelled_sample, pieces, text_of, tidy
+from .common import arrow_map, id_bucket, labelled_sample, pieces, text_of
 
 SAMPLE = 3000
 CHUNK = 384
@@ -155,7 +155,7 @@ def score(docs: DataFrame, net: Net) -> DataFrame:
             yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(s)], ["doc_id", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = rows.mapInArrow(tidy(run), "doc_id long, score double")
+    out = arrow_map(rows, run, "doc_id long, score double")
     return out.select("doc_id", (id_bucket(F.col("doc_id"), 4) == 2).alias("held_out"), "score")
 
 
@@ -171,4 +171,4 @@ def accepted(docs: DataFrame, net: Net, least: float = 0.7) -> DataFrame:
                 keep += (model.scores([text_of(t) for t in texts]) >= least).tolist()
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(tidy(run), docs.schema)
+    return arrow_map(docs, run, docs.schema)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import scratch
-from .common import pieces, text_of, tidy, words_of
+from .common import arrow_map, pieces, text_of, words_of
 
 LEAST = 100
 SPREAD = 3
@@ -96,7 +96,7 @@ def measure(docs: DataFrame) -> DataFrame:
             )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(tidy(run), "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in _COUNTS))
+    return arrow_map(rows, run, "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in _COUNTS))
 
 
 def ratio(name: str):

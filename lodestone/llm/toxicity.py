@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_bucket, labelled_sample, pieces, text_of, tidy, words_of
+from .common import arrow_map, id_bucket, labelled_sample, pieces, text_of, words_of
 
 SAMPLE = 10_000
 BUCKETS = 1 << 16
@@ -226,5 +226,5 @@ def score(docs: DataFrame, model: Model, thresholds: dict[str, float]) -> DataFr
             yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(s), pa.array(t), pa.array([a >= b for a, b in zip(s, t)])], ["doc_id", "score", "threshold", "flagged"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    out = rows.mapInArrow(tidy(run), "doc_id long, score double, threshold double, flagged boolean")
+    out = arrow_map(rows, run, "doc_id long, score double, threshold double, flagged boolean")
     return out.select("doc_id", (id_bucket(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "threshold", "flagged")
