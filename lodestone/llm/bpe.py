@@ -136,11 +136,11 @@ FROM tokens t JOIN vocabulary v ON v.id = t.tok GROUP BY t.doc
 class Codec:
     """The ranks, and a DuckDB database with the merge table and the vocabulary for one partition."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str):
         import numpy as np
         import regex
 
-        self.ranks = read_ranks(path)
+        self.ranks = ranks
         self.split = regex.compile(pattern).findall
         self.single = np.zeros(256, dtype=np.int32)
         for b in range(256):
@@ -266,10 +266,13 @@ class Codec:
 _codecs: dict[tuple[str, str], Codec] = {}
 
 
-def codec_for(path: str, pattern: str) -> Codec:
-    """This worker process's codec; what it remembers serves the partitions that follow."""
+def codec_for(path: str, pattern: str, ranks) -> Codec:
+    """This worker process's codec; what it remembers serves the partitions that follow.
+
+    ranks: a broadcast of the vocabulary's ranks, so that only the driver reads the file.
+    """
     if (path, pattern) not in _codecs:
-        _codecs[path, pattern] = Codec(path, pattern)
+        _codecs[path, pattern] = Codec(ranks.value, pattern)
     return _codecs[path, pattern].open()
 
 
@@ -279,9 +282,10 @@ def encode(docs: DataFrame, path: str, pattern: str, digest: bool = False) -> Da
     Returns doc_id, n_tokens and ids (array<int>); with ``digest``, instead of the ids, the
     SHA-256 of the decimal ids joined by commas and of the decoded bytes.
     """
+    ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(path))
 
     def run(batches):
-        codec = codec_for(path, pattern)
+        codec = codec_for(path, pattern, ranks)
         for ids, texts in pieces(batches, ["doc_id", "text"], 1_500_000):
             counts, left, right = [], [], []
             for joined, data in codec.encode([text_of(t) for t in texts]):
@@ -305,9 +309,10 @@ def encode(docs: DataFrame, path: str, pattern: str, digest: bool = False) -> Da
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     """The bytes of every list of ids: doc_id, data. A null list decodes to no bytes."""
+    ranks = encoded.sparkSession.sparkContext.broadcast(read_ranks(path))
 
     def run(batches):
-        codec = codec_for(path, pattern)
+        codec = codec_for(path, pattern, ranks)
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)

@@ -52,7 +52,7 @@ def test_bpe_on_hard_words(spark):
     r = random.Random(4)
     hard = ["a" * 3000, "ab" * 400, " " * 900 + "x", "é" * 700, "".join(r.choice("abcdeé") for _ in range(600)), "日本語" * 100, "", "<|endoftext|>", "naïve 𝒳 🙂🙂"]
     hard += ["".join(r.choice("aab ,.1é\n") for _ in range(r.randint(1, 80))) for _ in range(150)]
-    codec = Codec(path, P.PATTERN).open()
+    codec = Codec(ranks, P.PATTERN).open()
     for t, (ids, data) in zip(hard, codec.encode(hard)):
         assert [int(x) for x in ids.split(",") if x] == enc.encode_ordinary(t)
         assert data == t.encode()
