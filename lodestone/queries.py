@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import geometry, text
-from .operators import analysis, anchors, blocks, brief, catalog, context, dedup, export, generation, parse, qa, search
+from .operators import analysis, anchors, blocks, brief, catalog, context, dedup, export, generation, parse, qa, register, search
 from .plans import adapters as A
 from .schema import HEURISTIC_QUESTION, NO_NOTES, NOTE_TEMPLATE, OUTLINE_LABEL, violations
 from .sources import table
@@ -340,6 +340,19 @@ def span_metadata(spark, sf):
     return parse.span_metadata(parse.span_blocks(_spans(spark, sf)))
 
 
+@query("register_texts", f"WITH {_BL}, {_MD}, md0 AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS content FROM md GROUP BY doc_id) SELECT CASE WHEN doc_id % 3 = 0 THEN 'markdown' ELSE 'text' END AS type, coalesce((SELECT arg_min(text, idx) FROM mb WHERE mb.doc_id = m.doc_id AND kind = 'heading'), CASE WHEN doc_id % 3 = 0 THEN doc_id || '.md' END, (SELECT left(arg_min(text, idx), 80) FROM mb WHERE mb.doc_id = m.doc_id)) AS title, sha256(content) AS content_hash, (SELECT count(*) FROM mb WHERE mb.doc_id = m.doc_id) AS n_blocks FROM md0 m WHERE doc_id % 4 <> 0")
+def register_texts(spark, sf):
+    d = A.markdown_docs(spark, sf).select("doc_id", F.when(F.col("doc_id") % 4 == 0, " ").otherwise(F.col("text")).alias("content"), F.when(F.col("doc_id") % 3 == 0, F.concat(F.col("doc_id").cast("string"), F.lit(".md"))).alias("filename"), F.lit(None).cast("string").alias("title"))
+    r = register.texts(d, at=F.lit("t"))
+    n = r.blocks.groupBy(F.col("source_id").alias("_s")).agg(F.count("*").alias("n_blocks"))
+    return r.sources.join(n, F.col("id") == F.col("_s"), "left").select("type", "title", "content_hash", F.coalesce("n_blocks", F.lit(0)).cast("long").alias("n_blocks"))
+
+
+@query("register_pages")
+def register_pages(spark, sf):
+    return register.pages(table(spark, sf, "pages"), at=F.lit("t")).sources
+
+
 # --- sequences ---
 @query("block_ids", f"WITH {_BL}, d AS (SELECT *, sha256(concat_ws(chr(31), kind, text, '', '', '')) AS g FROM bl) SELECT doc_id, idx, sha256(version_id || ':' || g || ':' || (row_number() OVER (PARTITION BY version_id, g ORDER BY idx) - 1)) AS id FROM d")
 def block_ids(spark, sf):
