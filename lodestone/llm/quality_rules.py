@@ -4,8 +4,9 @@ Every document is measured once. The measures (integers, per ten thousand) of th
 pass the base rules go into log-linear histograms per language and source: values up to 63 have
 bins of their own, larger ones share bins of a 32nd of their size. Such sketches merge by adding
 counts, exactly and in any order, and their quantiles are at most 1/32 too low. A document passes
-if all its measures lie within the fences of its group: the quartiles, moved outwards by SPREAD
-times their distance plus the measure's least slack. Groups of fewer than LEAST documents use the
+if all its measures lie within the fences of its group: its median, moved outwards by SPREAD times
+the distance to the lower quartile plus the measure's least slack. Junk that raises a measure moves
+neither before it is half of the group. Groups of fewer than LEAST documents use the
 merged sketch of their language, or that of all documents where the language has as few.
 
 Nulls: a null text has no words (and fails); a null language or source is a group of its own. An
@@ -29,11 +30,11 @@ SPREAD = 3
 #: Measure: (numerator, denominator, least slack, whether low values fail too).
 MEASURES = {
     "symbols": ("n_symbols", "n_words", 2000, False),
-    "capitals": ("n_capitals", "word_chars", 800, False),
+    "capitals": ("n_capitals", "word_chars", 1500, False),
     "repeats": ("n_repeat_words", "n_words", 3000, False),
     "stutters": ("n_stutters", "n_words", 2000, False),
     "copied_lines": ("n_dup_lines", "n_lines", 5000, False),
-    "word_length": ("word_chars", "n_words", 12000, True),
+    "word_length": ("word_chars", "n_words", 18000, True),
 }
 _COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_stutters"]
 
@@ -119,14 +120,14 @@ def sketches(measured: DataFrame) -> DataFrame:
 
 
 def quartiles(hist: DataFrame, keys: list[str], prefix: str) -> DataFrame:
-    """Per group and measure: documents, lower and upper quartile, from merged histograms."""
+    """Per group and measure: documents, lower quartile and median, from merged histograms."""
     merged = hist.groupBy(*keys, "measure", "bin").agg(F.sum("n").alias("n"))
     w = Window.partitionBy(*keys, "measure")
     upto = merged.select(*keys, "measure", "bin", F.sum("n").over(w.orderBy("bin")).alias("upto"), F.sum("n").over(w).alias("total"))
     return upto.groupBy(*keys, "measure").agg(
         F.max("total").alias(f"{prefix}_n"),
         F.min(F.when(F.col("upto") * 4 >= F.col("total"), F.col("bin"))).alias(f"{prefix}_q1"),
-        F.min(F.when(F.col("upto") * 4 >= F.col("total") * 3, F.col("bin"))).alias(f"{prefix}_q3"),
+        F.min(F.when(F.col("upto") * 2 >= F.col("total"), F.col("bin"))).alias(f"{prefix}_q2"),
     )
 
 
@@ -141,14 +142,14 @@ def fences(hist: DataFrame) -> DataFrame:
     def pick(q: str):
         return F.when(F.col("own_n") >= LEAST, F.col(f"own_{q}")).when(F.col("lang_n") >= LEAST, F.col(f"lang_{q}")).otherwise(F.col(f"all_{q}"))
 
-    j = j.select("lang", "source", "measure", pick("q1").alias("q1"), pick("q3").alias("q3"))
+    j = j.select("lang", "source", "measure", pick("q1").alias("q1"), pick("q2").alias("q2"))
     out = []
     for m, (_, _, slack, both) in MEASURES.items():
-        spread = SPREAD * (F.col("q3") - F.col("q1")) + slack
+        spread = SPREAD * (F.col("q2") - F.col("q1")) + slack
         mine = F.col("measure") == m
-        out.append(F.max(F.when(mine, F.col("q3") + spread)).alias(f"{m}_high"))
+        out.append(F.max(F.when(mine, F.col("q2") + spread)).alias(f"{m}_high"))
         if both:
-            out.append(F.max(F.when(mine, F.col("q1") - spread)).alias(f"{m}_low"))
+            out.append(F.max(F.when(mine, F.col("q2") - spread)).alias(f"{m}_low"))
     return j.groupBy("lang", "source").agg(*out)
 
 

@@ -55,7 +55,7 @@ def _op1_sql() -> str:
 
     def quartile(keys: str, at: str) -> str:
         over = f"PARTITION BY {keys}measure"
-        return f"""SELECT {keys}measure, max(total) AS n, min(CASE WHEN upto * 4 >= total THEN bin END) AS q1, min(CASE WHEN upto * 4 >= total * 3 THEN bin END) AS q3
+        return f"""SELECT {keys}measure, max(total) AS n, min(CASE WHEN upto * 4 >= total THEN bin END) AS q1, min(CASE WHEN upto * 2 >= total THEN bin END) AS q2
             FROM (SELECT {keys}measure, bin, sum(n) OVER ({over} ORDER BY bin) AS upto, sum(n) OVER ({over}) AS total
                   FROM (SELECT {keys}measure, bin, count(*) AS n FROM binned GROUP BY ALL)) GROUP BY ALL"""
 
@@ -85,10 +85,10 @@ of_all AS ({quartile("", "all")}),
 chosen AS (
   SELECT o.lang, o.source, o.measure,
     CASE WHEN o.n >= {LEAST} THEN o.q1 WHEN l.n >= {LEAST} THEN l.q1 ELSE a.q1 END AS q1,
-    CASE WHEN o.n >= {LEAST} THEN o.q3 WHEN l.n >= {LEAST} THEN l.q3 ELSE a.q3 END AS q3
+    CASE WHEN o.n >= {LEAST} THEN o.q2 WHEN l.n >= {LEAST} THEN l.q2 ELSE a.q2 END AS q2
   FROM own o JOIN of_lang l ON o.lang IS NOT DISTINCT FROM l.lang AND o.measure = l.measure JOIN of_all a ON o.measure = a.measure),
 verdict AS (
-  SELECT m.row, bool_and(coalesce(v <= q3 + {SPREAD} * (q3 - q1) + slack AND (low IS NULL OR v >= q1 + low * (q3 - q1) - slack), false)) AS fine
+  SELECT m.row, bool_and(coalesce(v <= q2 + {SPREAD} * (q2 - q1) + slack AND (low IS NULL OR v >= q2 + low * (q2 - q1) - slack), false)) AS fine
   FROM measured m LEFT JOIN chosen c ON m.lang IS NOT DISTINCT FROM c.lang AND m.source IS NOT DISTINCT FROM c.source AND m.measure = c.measure GROUP BY m.row)
 SELECT doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_capitals, n_stutters, base_failed, NOT base_failed AND fine AS kept
 FROM judged JOIN verdict USING (row)"""
