@@ -56,13 +56,15 @@ def resolve(anchors: DataFrame, blocks: DataFrame, versions: DataFrame) -> DataF
     b = blocks.select(F.col("version_id").alias("bv"), F.col("id").alias("bid"), F.col("idx").alias("bidx"), norm_ws(F.col("text")).alias("btext"), (F.col("page") if "page" in have else F.lit(None).cast("int")).alias("bpage"), parse(F.col("bbox_json") if "bbox_json" in have else F.lit(None).cast("string")).alias("bbox"))
     # an inner join, so that few anchors can be broadcast to many blocks; anchors without blocks come back below
     j = b.join(a, F.col("_v") == F.col("bv"))
-    n = F.coalesce(occurrences(F.col("btext"), F.col("quote"), F.col("prefix"), F.col("suffix")), F.lit(0))
     no_quote = F.col("quote") == ""
-    has = F.col("bid").isNotNull() & (no_quote | F.coalesce(F.contains("btext", "quote"), F.lit(False)))
+    j = j.withColumn("holds", F.contains("btext", "quote"))  # one search a pair; all else is for the few pairs left
+    has = F.col("bid").isNotNull() & (no_quote | F.coalesce("holds", F.lit(False)))
     on_page = F.coalesce((F.col("page") > 0) & (F.col("bpage") == F.col("page")), F.lit(False))
     box, own = F.col("box"), F.col("bbox")
-    hit = on_page & box.isNotNull() & own.isNotNull() & same_rect(own["page_rect"], box["page_rect"]) & F.coalesce(overlap(own["rect"], box["rect"]) >= 0.8, F.lit(False))
-    j = j.select("*", n.alias("n"), has.alias("has"), hit.alias("hit"), on_page.alias("on_page")).filter("n > 0 OR has OR hit OR on_page")
+    j = j.select("*", has.alias("has"), on_page.alias("on_page")).filter("has OR on_page")
+    hit = F.col("on_page") & box.isNotNull() & own.isNotNull() & same_rect(own["page_rect"], box["page_rect"]) & F.coalesce(overlap(own["rect"], box["rect"]) >= 0.8, F.lit(False))
+    n = F.when(F.col("has"), F.coalesce(occurrences(F.col("btext"), F.col("quote"), F.col("prefix"), F.col("suffix")), F.lit(0))).otherwise(0)
+    j = j.select("*", n.alias("n"), hit.alias("hit"))
     j = j.select(
         "*",
         (F.col("hit") & (no_quote | (F.col("n") == 1))).alias("sup"),
@@ -157,13 +159,15 @@ def context_index(anchors: DataFrame, blocks: DataFrame) -> DataFrame:
     same = F.coalesce(F.col("source_version") == F.col("_v"), F.lit(False))
     named = F.coalesce(F.nullif("block_id", F.lit("")), F.lit("")) != ""
     target = same & F.coalesce(F.when(named, F.col("block_id") == F.col("bid")).otherwise(F.col("block_idx") == F.col("bidx")), F.lit(False))
-    holds = F.coalesce((F.col("quote") != "") & F.contains("btext", "quote"), F.lit(False))
+    j = j.withColumn("holds", F.coalesce((F.col("quote") != "") & F.contains("btext", "quote"), F.lit(False)))
+    j = j.select("*", target.alias("target")).filter("target OR holds")
+    target, holds = F.col("target"), F.col("holds")
     fits = holds & (plain_count(F.col("btext"), F.col("quote")) == 1) & (occurrences(F.col("btext"), F.col("quote"), F.col("prefix"), F.col("suffix")) > 0)
     first = F.instr(F.col("btext"), F.col("quote"))
     before, after = F.rtrim(F.substring("btext", F.lit(1), first - 1)), F.ltrim(F.substring("btext", first + F.length("quote"), F.length("btext")))
     fits = fits & F.endswith(before, F.col("prefix")) & F.startswith(after, F.col("suffix"))
-    g = j.select("*", target.alias("target"), holds.alias("holds"), fits.alias("fits")).filter("target OR holds")
-    target, holds, fits = F.col("target"), F.col("holds"), F.col("fits")
+    g = j.withColumn("fits", fits)
+    fits = F.col("fits")
     g = g.groupBy(F.col("anchor_id").alias("_g")).agg(
         F.min(F.when(target, F.struct("bidx", ((F.col("quote") == "") | holds).alias("ok")))).alias("t"),
         F.count_if(holds).alias("n"),

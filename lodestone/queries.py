@@ -566,7 +566,8 @@ def portable_evidence(spark, sf):
 
 @query(
     "evidence_status_counts",
-    f"""WITH b AS (SELECT doc_id, {_NORM.format("text")} AS t FROM documents), q AS (SELECT item_id, {_NORM.format("text")} AS q FROM benchmark), g AS (SELECT item_id, count(doc_id) AS n FROM q LEFT JOIN b ON contains(t, q) GROUP BY item_id)
+    f"""WITH b AS (SELECT doc_id, {_NORM.format("text")} AS t FROM documents), q AS (SELECT item_id, {_NORM.format("text")} AS q FROM benchmark),
+p AS (SELECT item_id, len(list_filter(range(1, length(t) - length(q) + 2), lambda i: substr(t, i, length(q)) = q)) AS n FROM q JOIN b ON contains(t, q)), g AS (SELECT q.item_id, coalesce(sum(n), 0) AS n FROM q LEFT JOIN p ON p.item_id = q.item_id GROUP BY q.item_id)
 SELECT item_id % 4 AS part, count(*) FILTER (n = 1) AS resolved, count(*) FILTER (n > 1) AS candidates, 0::BIGINT AS page_only, count(*) FILTER (n = 0) AS unresolved FROM g GROUP BY 1""",
 )
 def evidence_status_counts(spark, sf):
