@@ -9,6 +9,13 @@ that it is exact. Windows of at least the class's entropy are flagged and overla
 Candidates that an allow-list pattern matches are passed over, as are flagged spans that touch a
 span of a base kind, or, for entropy_text, one of entropy_hex.
 
+Runs of few characters seldom reach what entropy_text asks for. So the candidates of entropy_text
+are searched again for the runs of each narrower class (NARROW), which + / _ - and characters of
+other classes end, and each class has its own least entropy: what at least 99 % of random strings of
+WINDOW characters reach. To leave names and paths alone, a run must also change between letters and
+digits, or from lower to upper case, once in every CHANGES characters. Of their flagged spans, the
+parts that no other span covers are added.
+
 Positions come from the lengths of what lies between the matches, summed up in two levels, so that
 texts with many matches stay linear.
 
@@ -37,6 +44,18 @@ CLASSES = {
     "entropy_hex": (r"(?<![A-Za-z0-9+/_-])[0-9a-fA-F]{20,}(?![A-Za-z0-9+/_-])", "0123456789abcdefABCDEF", 3.0),
     "entropy_text": (r"[A-Za-z0-9+/_-]{20,}", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-", 3.9),
 }
+#: Narrower kinds, within candidates of entropy_text: pattern of runs, alphabet, least bits a character in a window, what a run must hold.
+_BOTH = ("[a-z]", "[A-Z]")
+NARROW = {
+    "random_hex": (r"[0-9a-fA-F]{20,}", CLASSES["entropy_hex"][1], 2.85, ()),
+    "random_base32": (r"[A-Z2-7]{20,}", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 3.25, ()),
+    "random_lower": (r"[a-z0-9]{20,}", "abcdefghijklmnopqrstuvwxyz0123456789", 3.35, ()),
+    "random_upper": (r"[A-Z0-9]{20,}", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 3.35, ()),
+    "random_alnum": (r"[A-Za-z0-9]{20,}", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", 3.6, _BOTH),
+    "random_text": (CLASSES["entropy_text"][0], CLASSES["entropy_text"][1], 3.6, _BOTH),
+}
+CHANGES = 12
+_CHANGE = r"[a-z](?=[A-Z])|[A-Za-z](?=[0-9])|[0-9](?=[A-Za-z])"
 #: Candidates that these match are no secrets: UUIDs, words of examples, runs in order, known digests.
 ALLOWED = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
@@ -44,7 +63,7 @@ ALLOWED = (
     r"0123456789|abcdefghijkl|ABCDEFGHIJKL",
     r"^(d41d8cd98f00b204e9800998ecf8427e|da39a3ee5e6b4b0d3255bfef95601890afd80709)$",
 )
-KINDS = [*BASE, *CLASSES]
+KINDS = [*BASE, *CLASSES, *NARROW]
 UNIT = 1 << 20
 
 
@@ -68,9 +87,9 @@ def running(g: str, block: int = 128) -> str:
     return f"flatten(zip_with({chunks}, {before}, (x, o) -> {inner}))"
 
 
-def gaps(found: str, pattern: str) -> str:
+def gaps(found: str, pattern: str, text: str = "_t") -> str:
     """SQL of the distance of each match's start from the start of the one before."""
-    return f"slice(zip_with(transform(split(_t, {pattern}, -1), p -> length(p)), concat(array(0), transform({found}, m -> length(m))), (p, m) -> p + m), 1, size({found}))"
+    return f"slice(zip_with(transform(split({text}, {pattern}, -1), p -> length(p)), concat(array(0), transform({found}, m -> length(m))), (p, m) -> p + m), 1, size({found}))"
 
 
 def flagged(candidate: str, alphabet: str, least: float) -> str:
@@ -92,6 +111,14 @@ def flagged(candidate: str, alphabet: str, least: float) -> str:
     return f"aggregate({steps}, {start}, (a, x) -> {step}, a -> if(a.b >= 0, concat(a.r, array(named_struct('b', a.b, 'e', a.e))), a.r))"
 
 
+def uncovered(spans: str, cover: str) -> str:
+    """SQL of the parts of spans that no span of cover covers."""
+    part = lambda a, b: f"array(named_struct('s', {a}, 'k', x.k, 'e', {b}))"
+    near = f"array_sort(filter({cover}, b -> b.s < x.e AND x.s < b.e))"
+    step = f"named_struct('t', greatest(a.t, b.e), 'r', if(b.s > a.t, concat(a.r, {part('a.t', 'b.s')}), a.r))"
+    return f"flatten(transform({spans}, x -> aggregate({near}, named_struct('t', x.s, 'r', {_NONE}), (a, b) -> {step}, a -> if(a.t < x.e, concat(a.r, {part('a.t', 'x.e')}), a.r))))"
+
+
 _SPANS = "array<struct<s:int,k:int,e:int>>"
 _NONE = f"cast(array() as {_SPANS})"
 
@@ -105,7 +132,7 @@ def spans(docs: DataFrame, allowed: tuple[str, ...] = ALLOWED) -> DataFrame:
         at = F.expr(f"if(size(_m_{kind}) = 0, cast(array() as array<int>), {gaps(f'_m_{kind}', quoted(pattern))})")
         starts.append(at.alias(f"_g_{kind}"))
     d = d.select("*", *starts, F.expr(f"if(size(_m_assign) = 0, cast(array() as array<string>), regexp_extract_all(_t, {quoted(BASE['assign'][0])}, 2))").alias("_v_assign"))
-    d = d.select("*", *[F.expr(f"if(size(_m_{k}) = 0, cast(array() as array<int>), {running(f'_g_{k}')})").alias(f"_s_{k}") for k in KINDS])
+    d = d.select("*", *[F.expr(f"if(size(_m_{k}) = 0, cast(array() as array<int>), {running(f'_g_{k}')})").alias(f"_s_{k}") for k in [*BASE, *CLASSES]])
     found = []
     for n, (kind, (_, group, least)) in enumerate(BASE.items()):
         held = "_v_assign" if group else f"_m_{kind}"
@@ -113,17 +140,32 @@ def spans(docs: DataFrame, allowed: tuple[str, ...] = ALLOWED) -> DataFrame:
         found.append(f"transform(filter({each}, x -> x.v >= {least}), x -> named_struct('s', x.s, 'k', x.k, 'e', x.e))")
     d = d.withColumn("_base", F.expr(f"array_sort(concat({', '.join(found)}))"))
     allow = quoted("|".join(f"(?:{p})" for p in allowed)) if allowed else None
+    held = "m.m rlike '[0-9]' AND m.m rlike '[A-Za-z]'" + (f" AND NOT m.m rlike {allow}" if allow else "")
+    d = d.select("*", *[F.expr(f"filter(zip_with(_m_{k}, _s_{k}, (m, s) -> named_struct('m', m, 's', s)), m -> {held})").alias(f"_c_{k}") for k in CLASSES])
+    runs = []
+    for kind, (pattern, *_) in NARROW.items():
+        p = quoted(pattern)
+        found = f"regexp_extract_all(m.m, {p}, 0)"
+        runs.append(F.expr(f"transform(_c_entropy_text, m -> named_struct('s', m.s, 'f', {found}, 'g', {gaps(found, p, 'm.m')}))").alias(f"_r_{kind}"))
+    d = d.select("*", *runs)
+    runs = []
+    for kind, (*_, more) in NARROW.items():
+        runs_held = f"{held} AND size(regexp_extract_all(m.m, '{_CHANGE}', 0)) * {CHANGES} >= length(m.m)" + "".join(f" AND m.m rlike '{c}'" for c in more)
+        each = f"transform(filter(_r_{kind}, r -> size(r.f) > 0), r -> zip_with(r.f, {running('r.g')}, (f, o) -> named_struct('m', f, 's', r.s + o)))"
+        runs.append(F.expr(f"filter(flatten({each}), m -> {runs_held})").alias(f"_c_{kind}"))
+    d = d.select("*", *runs)
     found = []
-    for n, (kind, (_, alphabet, least)) in enumerate(CLASSES.items(), len(BASE)):
-        held = "m.m rlike '[0-9]' AND m.m rlike '[A-Za-z]'" + (f" AND NOT m.m rlike {allow}" if allow else "")
-        each = f"filter(zip_with(_m_{kind}, _s_{kind}, (m, s) -> named_struct('m', m, 's', s)), m -> {held})"
-        found.append((kind, f"if(size(_m_{kind}) = 0, {_NONE}, flatten(transform({each}, m -> transform({flagged('m.m', alphabet, least)}, r -> named_struct('s', m.s + r.b, 'k', {n}, 'e', m.s + r.e)))))"))
+    for n, (kind, (_, alphabet, least, *_)) in enumerate({**CLASSES, **NARROW}.items(), len(BASE)):
+        found.append((kind, f"if(size(_c_{kind}) = 0, {_NONE}, flatten(transform(_c_{kind}, m -> transform({flagged('m.m', alphabet, least)}, r -> named_struct('s', m.s + r.b, 'k', {n}, 'e', m.s + r.e)))))"))
     d = d.select("*", *[F.expr(x).alias(f"_f_{k}") for k, x in found])
     apart = "filter({0}, x -> NOT exists({1}, b -> b.s < x.e AND x.s < b.e))"
     d = d.withColumn("_hexes", F.expr(apart.format("_f_entropy_hex", "_base")))
     d = d.withColumn("_texts", F.expr(apart.format("_f_entropy_text", "concat(_base, _hexes)")))
-    d = d.withColumn("_all", F.expr("array_sort(concat(_base, _hexes, _texts))"))
-    return d.drop(*[f"_{x}_{k}" for x in "mgsf" for k in KINDS], "_v_assign", "_hexes", "_texts")
+    d = d.withColumn("_all", F.expr("concat(_base, _hexes, _texts)"))
+    for kind in NARROW:
+        d = d.withColumn("_all", F.expr(f"if(size(_f_{kind}) = 0, _all, concat(_all, {uncovered(f'_f_{kind}', '_all')}))"))
+    d = d.withColumn("_all", F.expr("array_sort(_all)"))
+    return d.drop(*[f"_{x}_{k}" for x in "mgscrf" for k in KINDS], "_v_assign", "_hexes", "_texts")
 
 
 def listed(column: str) -> str:

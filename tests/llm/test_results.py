@@ -101,6 +101,37 @@ def test_entropy_windows_against_plain_counts(spark):
             assert lit[0] == a and lit[-1] == b - WINDOW and all(y - x <= WINDOW for x, y in zip(lit, lit[1:]))
 
 
+def test_random_secrets_of_each_class_and_length_are_found(spark):
+    from lodestone.llm.secrets import redacted, scan
+
+    r = random.Random(11)
+    digits, lower, upper = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    classes = {"hex": digits + "abcdef", "HEX": digits + "ABCDEF", "base32": upper + "234567", "lower": lower + digits, "upper": upper + digits, "alnum": upper + lower + digits, "base64": upper + lower + digits + "+/"}
+    own = []
+    for kind, alphabet in classes.items():
+        for n in (20, 24, 31, 40):
+            for before, after in (("see ", " now"), ("key_", "-x"), ("/zz/", "+")):
+                for _ in range(30):
+                    s = ""
+                    while not (re.search("[0-9]", s) and re.search("[A-Za-z]", s)):
+                        s = "".join(r.choice(alphabet) for _ in range(n))
+                    own.append((len(own), kind, n, before, s, "é " + before + s + after))
+    plain = ["the_quick_brown_fox_jumps_over_2_lazy_dogs", "/usr/lib/python3/dist-packages/numpy/core/include", "photosynthesisexperiment2", "123e4567-e89b-12d3-a456-426614174000", "2024-01-05T10-20-30-000001", "docs/v2/api/users/list-all/page3", "12345678901234567890e"]
+    own += [(len(own) + i, "plain", 0, "", s, s) for i, s in enumerate(plain)]
+    df = spark.createDataFrame([(x[0], x[5]) for x in own], "doc_id long, text string")
+    got, back = ({x["doc_id"]: x[c] for x in f(df).collect()} for f, c in ((scan, "spans"), (redacted, "text")))
+    found, whole = Counter(), Counter()
+    for i, kind, n, before, s, t in own:
+        if kind == "plain":
+            assert "random_" not in got[i]
+            continue
+        at = len("é " + before)
+        spans = [tuple(map(int, x.split(":")[1:])) for x in got[i].split(",") if x]
+        found[kind, n] += any(a < at + n and at < b for a, b in spans)
+        whole[kind, n] += s not in back[i]
+    assert min(found.values()) >= 86 and min(whole.values()) >= 86, (found, whole)
+
+
 def test_lattice_base_and_sums(spark, sf, texts):
     import public_tokenizers
     from lodestone.llm.lattice import Lattice
