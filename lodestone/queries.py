@@ -320,14 +320,15 @@ def html_metadata(spark, sf):
 
 
 def _spans(spark, sf):
-    """Positioned spans: the lines of documents on two-column pages of sixteen lines."""
-    b = A.blocks(spark, sf).filter("idx < 96")
-    n = F.col("idx") % 16
+    """Positioned spans: the whole lines of documents, broken between words at 60 characters, on as many two-column pages of sixteen lines as they need."""
+    cut = lambda x: F.regexp_extract_all(x, F.lit(r"(?s)\S.{0,59}(?!\S)|\S+"), F.lit(0))
+    parts = F.transform(F.split("text", "\n", -1), lambda x, i: F.transform(F.when(x.rlike(r"\S"), cut(x)).otherwise(F.array(F.lit(""))), lambda t, j: F.struct((((i % 8) == 0) & (j == 0)).alias("big"), t.alias("text"))))
+    b = table(spark, sf, "documents").select("doc_id", F.posexplode(F.flatten(parts)).alias("at", "part"))
+    n = F.col("at") % 16
     x0 = F.when(n < 8, 50.0).otherwise(320.0)
     y0 = 80.0 + (n % 8) * 20.0
-    big = F.col("idx") % 8 == 0
-    return b.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("source_id"), (F.col("idx") / 16).cast("int").alias("p"), "idx", "text", x0.alias("x0"), y0.alias("y0"), big.alias("big")).select(
-        "source_id", (F.col("p") + 1).alias("page"), F.lit(612.0).alias("page_width"), F.lit(792.0).alias("page_height"), (F.col("idx") % 16).cast("int").alias("block_no"), F.lit(0).alias("line_no"), F.lit(0).alias("span_no"), F.left("text", F.lit(60)).alias("text"), F.when(F.col("big"), 18.0).otherwise(10.0).alias("size"), "x0", "y0", (F.col("x0") + 230.0).alias("x1"), (F.col("y0") + 11.0).alias("y1"))
+    return b.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("source_id"), (F.col("at") / 16).cast("int").alias("p"), n.cast("int").alias("n"), "part.text", x0.alias("x0"), y0.alias("y0"), "part.big").select(
+        "source_id", (F.col("p") + 1).alias("page"), F.lit(612.0).alias("page_width"), F.lit(792.0).alias("page_height"), F.col("n").alias("block_no"), F.lit(0).alias("line_no"), F.lit(0).alias("span_no"), "text", F.when(F.col("big"), 18.0).otherwise(10.0).alias("size"), "x0", "y0", (F.col("x0") + 230.0).alias("x1"), (F.col("y0") + 11.0).alias("y1"))
 
 
 @query("span_blocks")
