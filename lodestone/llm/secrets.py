@@ -6,15 +6,14 @@ letters, digits and + / _ -) of at least WINDOW characters that hold a digit and
 of WINDOW characters slides over the candidate; its character counts change by one character in and
 one out, and so does the sum of count * log2(count), held as an integer in units of 2**-20 bit so
 that it is exact. Windows of at least the class's entropy are flagged and overlapping ones merged.
-Candidates that an allow-list pattern matches are passed over, as are flagged spans that touch a
-span of a base kind, or, for entropy_text, one of entropy_hex.
+Candidates that an allow-list pattern matches are passed over. Of flagged spans, the parts that no
+span of an earlier kind covers are added, so that text beside a base match does not stay.
 
 Runs of few characters seldom reach what entropy_text asks for. So the candidates of entropy_text
 are searched again for the runs of each narrower class (NARROW), which + / _ - and characters of
 other classes end, and each class has its own least entropy: what at least 99 % of random strings of
 WINDOW characters reach. To leave names and paths alone, a run must also change between letters and
-digits, or from lower to upper case, once in every CHANGES characters. Of their flagged spans, the
-parts that no other span covers are added.
+digits, or from lower to upper case, once in every CHANGES characters.
 
 Positions come from the lengths of what lies between the matches, summed up in two levels, so that
 texts with many matches stay linear.
@@ -111,12 +110,12 @@ def flagged(candidate: str, alphabet: str, least: float) -> str:
     return f"aggregate({steps}, {start}, (a, x) -> {step}, a -> if(a.b >= 0, concat(a.r, array(named_struct('b', a.b, 'e', a.e))), a.r))"
 
 
-def uncovered(spans: str, cover: str) -> str:
-    """SQL of the parts of spans that no span of cover covers."""
+def uncovered(cover: str) -> str:
+    """SQL of the parts of the span x that no span of cover covers."""
     part = lambda a, b: f"array(named_struct('s', {a}, 'k', x.k, 'e', {b}))"
     near = f"array_sort(filter({cover}, b -> b.s < x.e AND x.s < b.e))"
     step = f"named_struct('t', greatest(a.t, b.e), 'r', if(b.s > a.t, concat(a.r, {part('a.t', 'b.s')}), a.r))"
-    return f"flatten(transform({spans}, x -> aggregate({near}, named_struct('t', x.s, 'r', {_NONE}), (a, b) -> {step}, a -> if(a.t < x.e, concat(a.r, {part('a.t', 'x.e')}), a.r))))"
+    return f"aggregate({near}, named_struct('t', x.s, 'r', {_NONE}), (a, b) -> {step}, a -> if(a.t < x.e, concat(a.r, {part('a.t', 'x.e')}), a.r))"
 
 
 _SPANS = "array<struct<s:int,k:int,e:int>>"
@@ -158,14 +157,9 @@ def spans(docs: DataFrame, allowed: tuple[str, ...] = ALLOWED) -> DataFrame:
     for n, (kind, (_, alphabet, least, *_)) in enumerate({**CLASSES, **NARROW}.items(), len(BASE)):
         found.append((kind, f"if(size(_c_{kind}) = 0, {_NONE}, flatten(transform(_c_{kind}, m -> transform({flagged('m.m', alphabet, least)}, r -> named_struct('s', m.s + r.b, 'k', {n}, 'e', m.s + r.e)))))"))
     d = d.select("*", *[F.expr(x).alias(f"_f_{k}") for k, x in found])
-    apart = "filter({0}, x -> NOT exists({1}, b -> b.s < x.e AND x.s < b.e))"
-    d = d.withColumn("_hexes", F.expr(apart.format("_f_entropy_hex", "_base")))
-    d = d.withColumn("_texts", F.expr(apart.format("_f_entropy_text", "concat(_base, _hexes)")))
-    d = d.withColumn("_all", F.expr("concat(_base, _hexes, _texts)"))
-    for kind in NARROW:
-        d = d.withColumn("_all", F.expr(f"if(size(_f_{kind}) = 0, _all, concat(_all, {uncovered(f'_f_{kind}', '_all')}))"))
-    d = d.withColumn("_all", F.expr("array_sort(_all)"))
-    return d.drop(*[f"_{x}_{k}" for x in "mgscrf" for k in KINDS], "_v_assign", "_hexes", "_texts")
+    d = d.withColumn("_more", F.expr("concat(" + ", ".join(f"_f_{k}" for k in [*CLASSES, *NARROW]) + ")"))
+    d = d.withColumn("_all", F.expr(f"if(size(_more) = 0, _base, array_sort(aggregate(_more, _base, (r, x) -> concat(r, {uncovered('r')}))))"))
+    return d.drop(*[f"_{x}_{k}" for x in "mgscrf" for k in KINDS], "_v_assign", "_more")
 
 
 def listed(column: str) -> str:
