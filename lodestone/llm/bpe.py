@@ -4,16 +4,17 @@ Merge rule: within a pre-token, the adjacent pair whose concatenation has the lo
 contracted, leftmost first, until no pair has a rank. A pre-token that is itself in the
 vocabulary is that token. The merge table holds every split of a token into two tokens.
 
-One recursion step contracts the leftmost lowest pair of each word. In words of 256 bytes or more
-it may contract more of them. A rank is "calm" if no merge
-that takes its token in has a lower or equal rank; then contracting further copies of that pair
-cannot make a better pair come first, and all its non-overlapping copies in the word are
-contracted in the same step, left to right. That keeps runs such as ten thousand equal letters
-at a few steps, with the same result as one at a time.
-
-The query that encodes a pre-token also decodes its ids, by ordered aggregation of the tokens' bytes;
-what comes out is compared with the pre-token, and kept only where it differs. A text's decoded
-bytes are those of its pre-tokens in turn. decode() does the same from columns of ids.
+One recursion step contracts the leftmost lowest pair of each word. A pre-token of 256 bytes or more is
+first cut wherever no token of the vocabulary that occurs in it reaches across: no merge can, so that
+its parts are encoded by themselves. In parts that are still as long, a step may contract more pairs. A
+rank is "calm" if no merge of the part's own bytes that takes its token in has a lower or equal rank;
+then contracting further copies of that pair cannot make a better pair come first, and all its
+non-overlapping copies in the part are contracted in the same step, left to right. That keeps runs such
+as a million equal letters at a few steps, with the same result as one at a time.
+
+The query that encodes words also decodes their ids, by ordered aggregation of the tokens' bytes. A
+text's decoded bytes are those that its ids give, pre-token by pre-token. decode() does the same from
+columns of ids.
 
 Nulls: a null text counts as empty and gives no ids. Repeated rows give repeated results; other
 columns are passed by. An empty table gives an empty result.
@@ -23,7 +24,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterator
+from contextlib import closing
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,6 +40,8 @@ REMEMBERED = 300_000
 QUERY_BYTES = 150_000
 #: Rows of token positions that one recursion keeps; it starts again from its last step.
 STEP_ROWS = 1_500_000
+#: Bytes from which a pre-token is cut into parts, and a part takes a query of its own.
+LONG = 256
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -56,38 +61,39 @@ def merge_rows(ranks: dict[bytes, int]) -> list[tuple[int, int, int]]:
     return rows
 
 
+#: Rows in order, so that the aggregates (one thread, which keeps their order) join them as they come.
 _END = """
 ), last AS (SELECT word, max(level) AS level FROM step GROUP BY word)
-SELECT s.word,
-       string_agg(CAST(s.tok AS VARCHAR), ',' ORDER BY s.pos) AS ids,
-       string_agg(v.hex, '' ORDER BY s.pos) AS decoded,
-       any_value(s.level) = $1 AS unfinished
-FROM step s JOIN last USING (word, level) JOIN vocabulary v ON v.id = s.tok
-GROUP BY s.word
+SELECT word, string_agg(name, ',') AS ids, string_agg(hex, '') AS decoded, any_value(level) = $1 AS unfinished
+FROM (
+    SELECT o.word, o.level, v.name, v.hex
+    FROM (SELECT s.word, s.level, s.tok FROM step s JOIN last USING (word, level) ORDER BY (s.word::BIGINT << 32) + s.pos) o
+    LEFT JOIN vocabulary v ON v.id = o.tok)
+GROUP BY word
 """
 
-#: For words of fewer than 256 bytes: the leftmost pair of lowest rank in each step. A row is a
-#: token position with its right neighbour and the pair's merge; a step joins anew only the two
-#: positions beside what it contracts.
+#: For words of fewer than LONG bytes: the leftmost pair of lowest rank in each step. A row is a
+#: token position with its right neighbour and the pair's merge. The right one of two contracted
+#: positions stays, since it knows what follows; only it and the position before join the merges anew.
 _ENCODE = (
     """
 WITH RECURSIVE step(word, pos, nxt, tok, ntok, merged, level) AS (
     SELECT s.word, s.pos, s.nxt, s.tok, s.ntok, m.merged, 0
     FROM start s LEFT JOIN merges m ON m.a = s.tok AND m.b = s.ntok
   UNION ALL (
-    WITH best AS (
-        SELECT word, min(merged) AS merged, min(merged * 256 + pos) % 256 AS pos,
-               arg_min(nxt, merged * 256 + pos) AS gone
+    WITH lowest AS (
+        SELECT word, min((merged * 256 + pos) * 256::BIGINT + nxt) AS packed
         FROM step WHERE merged IS NOT NULL AND level < $1 GROUP BY word
-    ), beside AS (
-        SELECT b.*, q.nxt, q.ntok FROM best b JOIN step q ON q.word = b.word AND q.pos = b.gone
+    ), best AS (
+        SELECT word, (packed >> 16)::INTEGER AS merged, ((packed >> 8) & 255)::INTEGER AS gone, (packed & 255)::INTEGER AS pos
+        FROM lowest
     ), after AS (
         SELECT s.word, s.pos, s.level + 1 AS level, s.merged,
-               CASE WHEN s.pos = b.pos THEN b.nxt ELSE s.nxt END AS nxt,
+               CASE WHEN s.nxt = b.gone THEN b.pos ELSE s.nxt END AS nxt,
                CASE WHEN s.pos = b.pos THEN b.merged ELSE s.tok END AS tok,
-               CASE WHEN s.pos = b.pos THEN b.ntok WHEN s.nxt = b.pos THEN b.merged ELSE s.ntok END AS ntok,
-               s.pos = b.pos OR coalesce(s.nxt = b.pos, false) AS changed
-        FROM step s JOIN beside b USING (word) WHERE s.pos <> b.gone
+               CASE WHEN s.nxt = b.gone THEN b.merged ELSE s.ntok END AS ntok,
+               s.pos = b.pos OR coalesce(s.nxt = b.gone, false) AS changed
+        FROM step s JOIN best b USING (word) WHERE s.pos <> b.gone
     )
     SELECT n.word, n.pos, n.nxt, n.tok, n.ntok, CASE WHEN changed THEN m.merged ELSE n.merged END, n.level
     FROM after n LEFT JOIN merges m ON m.a = CASE WHEN changed THEN n.tok END AND m.b = n.ntok)
@@ -107,7 +113,7 @@ WITH RECURSIVE step(word, pos, tok, level) AS (
                    min(m.merged) OVER (PARTITION BY s.word) AS low
             FROM (SELECT *, lead(tok) OVER w AS nxt, row_number() OVER w AS rn FROM step
                   WINDOW w AS (PARTITION BY word ORDER BY pos)) s
-            LEFT JOIN merges m ON m.a = s.tok AND m.b = s.nxt
+            LEFT JOIN own_merges m ON m.a = s.tok AND m.b = s.nxt
         ), marked AS (  -- pairs of the word's lowest rank; place: from the last position without one
             SELECT word, pos, tok, level, merged, calm, merged IS NOT DISTINCT FROM low AS hit,
                    rn - coalesce(max(CASE WHEN merged IS DISTINCT FROM low THEN rn END) OVER w, 0) AS place,
@@ -127,12 +133,42 @@ WITH RECURSIVE step(word, pos, tok, level) AS (
     + _END
 )
 
+#: The merges that a part can take, whose bytes are its own, and which of them are calm.
+_OWN = """
+CREATE OR REPLACE TEMP TABLE own_merges AS
+WITH own AS (SELECT m.* FROM merges m SEMI JOIN can ON can.tok = m.merged),
+least AS (SELECT tok, min(merged) AS low FROM (SELECT a AS tok, merged FROM own UNION ALL SELECT b, merged FROM own) GROUP BY tok)
+SELECT o.a, o.b, o.merged, coalesce(l.low > o.merged, true) AS calm
+FROM own o LEFT JOIN least l ON l.tok = o.merged
+"""
+
 _DECODE = """
 SELECT t.doc, string_agg(v.hex, '' ORDER BY t.pos) AS decoded
 FROM tokens t JOIN vocabulary v ON v.id = t.tok GROUP BY t.doc
 """
 
 
+def ascii_form(pattern: str) -> str | None:
+    """The pattern for texts of ASCII alone, for the quicker module re; None where it isn't known."""
+    sets = {"L": "A-Za-z", "N": "0-9", "s": r"\x09-\x0d\x20"}
+    out, inside, i = [], False, 0
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\":
+            found = re.match(r"\\p\{([LN])\}|\\([sS])", pattern[i:])
+            if not found or (inside and found[2] == "S"):
+                return None
+            kind = found[1] or found[2]
+            out.append(sets[kind.replace("S", "s")] if inside else f"[{'^' * (kind == 'S')}{sets[kind.replace('S', 's')]}]")
+            i += found.end()
+            continue
+        if c in "[]":
+            inside = c == "["
+        out.append(c)
+        i += 1
+    return "".join(out)
+
+
 class Codec:
     """The ranks, and a DuckDB database with the merge table and the vocabulary for one partition."""
 
@@ -141,54 +177,66 @@ class Codec:
         import regex
 
         self.ranks = ranks
-        self.split = regex.compile(pattern).findall
-        self.single = np.zeros(256, dtype=np.int32)
-        for b in range(256):
-            self.single[b] = self.ranks[bytes([b])]
+        self.any_text = regex.compile(pattern).findall
+        plain = ascii_form(pattern)
+        self.ascii_text = re.compile(plain).findall if plain else self.any_text
+        self.single = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
+        #: Pre-token to its ids joined by commas, and to the bytes that these decode to; the last two generations.
         self.ids: dict[str, str] = {}
-        self.old: dict[str, str] = {}
-        self.odd: dict[str, bytes] = {}
+        self.data: dict[str, bytes] = {}
+        self.old: tuple[dict[str, str], dict[str, bytes]] = ({}, {})
+        self.token = {rank: data for data, rank in ranks.items()}
+        self.prefixes: set[bytes] = set()
         self.db = None
 
+    def split(self, text: str) -> list[str]:
+        """The pre-tokens of a text."""
+        return self.ascii_text(text) if text.isascii() else self.any_text(text)
+
     def open(self) -> "Codec":
         """Make the database; close() gives its memory back, what is remembered stays."""
+        import tempfile
+
         import duckdb
 
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB"})
-        # what exceeds the limit fails rather than spills into a folder of one executor
-        self.db.execute("SET temp_directory=''")
+        # only a part of more than some 100,000 bytes exceeds the limit; it then spills, until close()
+        self.spill = tempfile.TemporaryDirectory(prefix="lodestone-bpe-")
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": self.spill.name})
+        # tables to the right are built and those to the left run through: sorted rows stay in order
+        self.db.execute("SET disabled_optimizers='build_side_probe_side'")
         rows = merge_rows(self.ranks)
         table = pa.table([pa.array(c, pa.int32()) for c in zip(*rows)] or [pa.array([], pa.int32())] * 3, ["a", "b", "merged"])
         self.db.register("raw", table)
-        self.db.execute(
-            """CREATE TABLE merges AS
-               WITH least AS (SELECT tok, min(merged) AS low FROM
-                   (SELECT a AS tok, merged FROM raw UNION ALL SELECT b, merged FROM raw) GROUP BY tok)
-               SELECT r.a, r.b, r.merged, coalesce(l.low > r.merged, true) AS calm
-               FROM raw r LEFT JOIN least l ON l.tok = r.merged"""
-        )
+        self.db.execute("CREATE TABLE merges AS SELECT * FROM raw")
         self.db.unregister("raw")
         words = pa.table([pa.array(list(self.ranks.values()), pa.int32()), pa.array([t.hex() for t in self.ranks])], ["id", "hex"])
         self.db.register("raw", words)
-        self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM raw")
+        self.db.execute("CREATE TABLE vocabulary AS SELECT id, CAST(id AS VARCHAR) AS name, hex FROM raw")
         self.db.unregister("raw")
         return self
 
     def close(self) -> None:
         self.db.close()
         self.db = None
+        self.spill.cleanup()
 
-    def contract(self, words: list[bytes]) -> Iterator[tuple[int, str, bytes]]:
-        """(index, ids joined by commas, decoded bytes) of each word, by the recursive query."""
+    def contract(self, words: list[bytes]) -> Iterator[tuple[bytes, str, bytes]]:
+        """(word, its ids joined by commas, the bytes they decode to), by the recursive query."""
         import numpy as np
 
-        short = all(len(w) < 256 for w in words)
-        todo = [(i, self.single[np.frombuffer(w, dtype=np.uint8)]) for i, w in enumerate(words)]
-        while todo:
-            lengths = np.array([len(ids) for _, ids in todo])
-            word = np.repeat(np.arange(len(todo), dtype=np.int32), lengths)
+        short = all(len(w) < LONG for w in words)
+        if not short:
+            held = set().union(*words)
+            can = pa.table([pa.array([rank for t, rank in self.ranks.items() if held.issuperset(t)], pa.int32())], ["tok"])
+            self.db.register("can", can)
+            self.db.execute(_OWN)
+            self.db.unregister("can")
+        number = np.arange(len(words))
+        lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        tok = self.single[np.frombuffer(b"".join(words), dtype=np.uint8)]
+        while len(number):
+            word = np.repeat(np.arange(len(number), dtype=np.int32), lengths)
             pos = np.arange(len(word), dtype=np.int32) - np.repeat(np.cumsum(lengths) - lengths, lengths).astype(np.int32)
-            tok = np.concatenate([ids for _, ids in todo]).astype(np.int32)
             last = np.append(word[1:] != word[:-1], True)
             following = [pa.array(pos + 1, mask=last), pa.array(np.append(tok[1:], 0).astype(np.int32), mask=last)]
             self.db.register("start", pa.table([pa.array(word), pa.array(pos), pa.array(tok), *following], ["word", "pos", "tok", "nxt", "ntok"]))
@@ -197,55 +245,86 @@ class Codec:
             again = []
             for i, ids, decoded, unfinished in self.db.execute(_ENCODE if short else _ENCODE_LONG, [levels]).fetchall():
                 if unfinished:
-                    again.append((todo[i][0], np.array(ids.split(","), dtype=np.int32)))
-                else:
-                    yield todo[i][0], ids, bytes.fromhex(decoded)
+                    again.append((number[i], np.array(ids.split(","), dtype=np.int32)))
+                    continue
+                data = bytes.fromhex(decoded)
+                if data != words[number[i]]:
+                    raise RuntimeError(f"ids {ids} do not decode to {words[number[i]]!r}")
+                yield words[number[i]], ids, data
             self.db.unregister("start")
-            todo = again
+            number = np.array([i for i, _ in again], dtype=np.int64)
+            lengths = np.array([len(ids) for _, ids in again], dtype=np.int64)
+            tok = np.concatenate([ids for _, ids in again]) if again else tok[:0]
+
+    def parts(self, data: bytes) -> list[bytes]:
+        """A pre-token cut where no token that occurs in it reaches across."""
+        if len(data) < LONG or len(set(data)) <= 8:  # runs of few bytes have hardly a cut, but long tokens
+            return [data]
+        if not self.prefixes:
+            self.prefixes = {t[:i] for t in self.ranks for i in range(2, len(t) + 1)}
+        out, start, reach = [], 0, 1
+        for s in range(len(data)):
+            if s >= reach:
+                out.append(data[start:s])
+                start = s
+            e = s + 2
+            while e <= len(data) and (piece := data[s:e]) in self.prefixes:
+                if e > reach and piece in self.ranks:
+                    reach = e
+                e += 1
+            reach = max(reach, s + 1)
+        return [*out, data[start:]]
 
     def learn(self, parts: set[str]) -> None:
         """Encode pre-tokens not met before."""
         new = [p for p in parts if p not in self.ids]
         if len(self.ids) + len(new) > REMEMBERED:  # the last generation stays at hand
-            self.old, self.ids = self.ids, {}
+            self.old, self.ids, self.data = (self.ids, self.data), {}, {}
             new = list(parts)
+        ids, data = self.old
+        words, cut = [], {}
         for p in new:
-            if p in self.old:
-                self.ids[p] = self.old[p]
-        new = [p for p in new if p not in self.old]
-        short, long, size = [], [], 0
-        for p in new:
-            data = p.encode("utf-8", "replace")
-            rank = self.ranks.get(data)
+            if p in ids:
+                self.ids[p], self.data[p] = ids[p], data[p]
+                continue
+            word = p.encode("utf-8", "replace")
+            rank = self.ranks.get(word)
             if rank is not None:
-                self.ids[p] = str(rank)
-            elif len(data) >= 256:
-                long.append((p, data))
+                self.ids[p], self.data[p] = str(rank), self.token[rank]
+            elif len(word) < LONG:
+                words.append((p, word))
             else:
-                short.append((p, data))
-                size += len(data)
-                if size > QUERY_BYTES:
-                    self._flush(short)
-                    short, size = [], 0
-        self._flush(short)
-        for one in long:
-            self._flush([one])
-
-    def _flush(self, todo: list[tuple[str, bytes]]) -> None:
-        if todo:
-            for i, ids, decoded in self.contract([d for _, d in todo]):
-                p, data = todo[i]
-                self.ids[p] = ids
-                if decoded != data:
-                    self.odd[p] = decoded
+                cut[p] = self.parts(word)
+        ids, data = self.contracted({w for _, w in words}.union(*cut.values()))
+        for p, w in words:
+            self.ids[p], self.data[p] = ids[w], data[w]
+        for p, these in cut.items():
+            self.ids[p], self.data[p] = ",".join(map(ids.__getitem__, these)), b"".join(map(data.__getitem__, these))
+
+    def contracted(self, words: set[bytes]) -> tuple[dict[bytes, str], dict[bytes, bytes]]:
+        """Each word's ids and what they decode to; short words share queries."""
+        ids, data = {}, {}
+        batches, size = [[]], 0
+        for w in words:
+            if len(w) >= LONG:
+                batches.insert(0, [w])
+                continue
+            if size > QUERY_BYTES:
+                batches.append([])
+                size = 0
+            batches[-1].append(w)
+            size += len(w)
+        for batch in batches:
+            for w, i, d in self.contract(batch):
+                ids[w], data[w] = i, d
+        return ids, data
 
     def encode(self, texts: list[str]) -> Iterator[tuple[str, bytes]]:
-        """For each text, its ids joined by commas, and their decoded bytes."""
+        """For each text, its ids joined by commas, and the bytes that these ids decode to."""
         split = [self.split(t) for t in texts]
         self.learn(set().union(*split) if split else set())
         for parts in split:
-            data = b"".join([self.odd.get(p) or p.encode("utf-8", "replace") for p in parts]) if self.odd else "".join(parts).encode("utf-8", "replace")
-            yield ",".join(map(self.ids.__getitem__, parts)), data
+            yield ",".join(map(self.ids.__getitem__, parts)), b"".join(map(self.data.__getitem__, parts))
 
     def decode(self, ids: list[list[int]]) -> list[bytes]:
         """The bytes of each list of ids, by ordered aggregation over joined positions."""
@@ -285,22 +364,21 @@ def encode(docs: DataFrame, path: str, pattern: str, digest: bool = False) -> Da
     ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(path))
 
     def run(batches):
-        codec = codec_for(path, pattern, ranks)
-        for ids, texts in pieces(batches, ["doc_id", "text"], 1_500_000):
-            counts, left, right = [], [], []
-            for joined, data in codec.encode([text_of(t) for t in texts]):
-                counts.append(joined.count(",") + 1 if joined else 0)
+        with closing(codec_for(path, pattern, ranks)) as codec:
+            for ids, texts in pieces(batches, ["doc_id", "text"], 1_500_000):
+                counts, left, right = [], [], []
+                for joined, data in codec.encode([text_of(t) for t in texts]):
+                    counts.append(joined.count(",") + 1 if joined else 0)
+                    if digest:
+                        left.append(hashlib.sha256(joined.encode()).hexdigest())
+                        right.append(hashlib.sha256(data).hexdigest())
+                    else:
+                        left.append([int(x) for x in joined.split(",")] if joined else [])
+                cols = [pa.array(ids, pa.int64()), pa.array(counts, pa.int64())]
                 if digest:
-                    left.append(hashlib.sha256(joined.encode()).hexdigest())
-                    right.append(hashlib.sha256(data).hexdigest())
+                    yield pa.record_batch([*cols, pa.array(left, pa.string()), pa.array(right, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
                 else:
-                    left.append([int(x) for x in joined.split(",")] if joined else [])
-            cols = [pa.array(ids, pa.int64()), pa.array(counts, pa.int64())]
-            if digest:
-                yield pa.record_batch([*cols, pa.array(left, pa.string()), pa.array(right, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-            else:
-                yield pa.record_batch([*cols, pa.array(left, pa.list_(pa.int32()))], ["doc_id", "n_tokens", "ids"])
-        codec.close()
+                    yield pa.record_batch([*cols, pa.array(left, pa.list_(pa.int32()))], ["doc_id", "n_tokens", "ids"])
 
     rest = "ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -312,12 +390,11 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     ranks = encoded.sparkSession.sparkContext.broadcast(read_ranks(path))
 
     def run(batches):
-        codec = codec_for(path, pattern, ranks)
-        for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                ids = [x or [] for x in part.column(1).to_pylist()]
-                yield pa.record_batch([part.column(0), pa.array(codec.decode(ids), pa.binary())], ["doc_id", "data"])
-        codec.close()
+        with closing(codec_for(path, pattern, ranks)) as codec:
+            for batch in batches:
+                for start in range(0, batch.num_rows, 256):
+                    part = batch.slice(start, 256)
+                    ids = [x or [] for x in part.column(1).to_pylist()]
+                    yield pa.record_batch([part.column(0), pa.array(codec.decode(ids), pa.binary())], ["doc_id", "data"])
 
     return arrow_map(encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids"), run, "doc_id long, data binary")

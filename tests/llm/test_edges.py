@@ -134,6 +134,8 @@ def test_bpe(docs, empty):
     for r in decode(got.filter("doc_id IS NOT NULL"), path, pattern).collect():
         assert bytes(r["data"]) == want[r["doc_id"]]
     assert encode(empty, path, pattern).count() == 0
+    lists = got.filter("doc_id = 1").limit(1).withColumn("ids", F.expr("cast(null as array<int>)"))
+    assert bytes(decode(lists, path, pattern).first()["data"]) == b""
 
 
 def test_neighbours(spark):

@@ -59,6 +59,38 @@ def test_bpe_on_hard_words(spark):
     codec.close()
 
 
+def test_bpe_on_very_long_words(spark):
+    """Pre-tokens of up to 5 MB: in bounded time and memory, and equal to the library's where it can take them."""
+    import string
+    import time
+
+    import public_tokenizers as P
+    import tiktoken
+    from lodestone.llm.bpe import LONG, Codec, ascii_form, read_ranks
+
+    ranks = read_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    r = random.Random(12)
+    letters = lambda n, a=string.ascii_letters: "".join(r.choice(a) for _ in range(n))
+    one = letters(100_000)
+    codec = Codec(ranks, P.PATTERN).open()
+    began = time.time()
+    ((ids, data),) = codec.encode([one])
+    assert time.time() - began < 10 and data == one.encode() and ids == ",".join(map(str, enc.encode_ordinary(one)))
+    hard = [letters(3000, "etaoinshr"), letters(2000, "äöüßéèê"), "".join(chr(r.randrange(0x4E00, 0x9FA5)) for _ in range(3000)), "x" * 20_000 + letters(400)]
+    for t, (ids, data) in zip(hard, codec.encode(hard)):
+        assert data == t.encode() and ids == ",".join(map(str, enc.encode_ordinary(t)))
+    assert all(b"".join(codec.parts(t.encode())) == t.encode() for t in hard) and max(map(len, codec.parts(one.encode()))) < LONG
+    huge = [letters(5_000_000), "ab" * 1_000_000]
+    assert [d for _, d in codec.encode(huge)] == [t.encode() for t in huge]
+    codec.close()
+    # the quicker pattern for ASCII finds what the general one finds
+    for _ in range(300):
+        t = "".join(r.choice("ab Z09'sd.,\n\t\r\x0b\x1c_-") for _ in range(r.randint(0, 60)))
+        assert codec.ascii_text(t) == codec.any_text(t)
+    assert ascii_form(r"\p{Lu}+") is None
+
+
 def test_secret_spans_equal_python(spark, texts):
     from lodestone.llm.secrets import redacted, scan
 
