@@ -16,8 +16,8 @@ between components is lost, and no group of copies is expanded into pairs.
 
 Nulls: a null text has no shingles and is linked with nothing, like an empty one. A null id is
 above all others: a group's id is its least id that is not null. Rows of equal id and text are
-one document and share their verdict. Other columns are passed by. An empty table gives an empty
-result.
+one document and share their verdict; deduplicated() leaves one row of them. Other columns are passed
+by. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import scratch
-from .common import arrow_map, pieces, text_of, words_of
+from .common import arrow_map, packed, pieces, text_of, unpacked, words_of
 from .components import components
 
 BANDS = 42
@@ -37,8 +37,11 @@ BINS = BANDS * ROWS
 #: Blocks of classes compared set by set: those outside a hub's component, and all members.
 ASIDE = 128
 MEMBERS = 512
-#: Bits of the filter that says which texts to read again for verification (2 MB, fixed).
-FILTER_BITS = 1 << 24
+#: Bits of the filter that says which texts to read again for verification: eight a class, 16 MB at most.
+#: Beyond that more texts pass it than need to; the join on the classes then drops them.
+FILTER_BITS = (1 << 20, 1 << 27)
+#: Members of a centre whose sets meet one copy of the centre's set.
+SHARE = 64
 
 
 def mix(x):
@@ -125,37 +128,41 @@ def sketched(docs: DataFrame, width: int) -> DataFrame:
     return arrow_map(rows, run, "doc_id long, cls binary, n_shingles long, bands array<long>")
 
 
-def _bit(cls: bytes, doc_id) -> int:
+def _bit(cls: bytes, doc_id, size: int) -> int:
     from xxhash import xxh3_64_intdigest
 
-    return xxh3_64_intdigest(cls + str(doc_id).encode()) % FILTER_BITS
+    return xxh3_64_intdigest(cls + str(doc_id).encode()) % size
 
 
-def wanted_bits(wanted: DataFrame) -> bytes:
-    """A filter of FILTER_BITS bits with those of the given cls, doc_id set."""
+def wanted_bits(wanted: DataFrame) -> tuple[int, bytes]:
+    """A filter with the bits of the given cls, doc_id set: its size, and the bits."""
     import numpy as np
 
+    least, most = FILTER_BITS
+    size = min(most, max(least, 1 << (8 * wanted.count()).bit_length()))
+
     def run(batches):
         for batch in batches:
-            bits = np.unique([_bit(c, d) for c, d in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())])
+            bits = np.unique([_bit(c, d, size) for c, d in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())])
             if len(bits):
                 yield pa.record_batch([pa.array(bits + 1, pa.int64())], ["bit"])  # Spark's bitmaps count from 1
 
     bits = arrow_map(wanted.select("cls", "doc_id"), run, "bit long")
-    # at most FILTER_BITS / 32768 rows, whatever the input
+    # at most size / 32768 rows, whatever the input
     rows = bits.groupBy(F.bitmap_bucket_number("bit").alias("n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("map")).collect()
-    out = np.zeros(FILTER_BITS // 8 + 8192, dtype=np.uint8)
+    out = np.zeros(size // 8 + 8192, dtype=np.uint8)
     for r in rows:
         out[(r["n"] - 1) * 4096 : r["n"] * 4096] |= np.frombuffer(bytes(r["map"]), dtype=np.uint8)
-    return out.tobytes()
+    return size, out.tobytes()
 
 
-def full_sets(docs: DataFrame, width: int, bits: bytes) -> DataFrame:
-    """cls and the full shingle set of the rows that the filter lets through."""
+def full_sets(docs: DataFrame, width: int, wanted: DataFrame) -> DataFrame:
+    """cls and the full shingle set of the wanted classes (cls, doc_id), one row each."""
+    size, bits = wanted_bits(wanted)
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches):
-        held = shared.value
+        held, seen = shared.value, set()
         for ids, texts in pieces(batches, ["doc_id", "text"]):
             classes, sets = [], []
             for i, t in zip(ids, texts):
@@ -163,23 +170,33 @@ def full_sets(docs: DataFrame, width: int, bits: bytes) -> DataFrame:
                 if not words:
                     continue
                 cls = class_of(words)
-                bit = _bit(cls, i)
-                if held[bit >> 3] >> (bit & 7) & 1:
+                bit = _bit(cls, i, size)
+                if held[bit >> 3] >> (bit & 7) & 1 and cls not in seen:
+                    seen.add(cls)
                     classes.append(cls)
                     sets.append(shingle_set(words, width).view("int64"))
             if classes:
                 yield pa.record_batch([pa.array(classes, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["cls", "shingles"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return arrow_map(rows, run, "cls binary, shingles array<long>")
+    found = arrow_map(rows, run, "cls binary, shingles array<long>")
+    return found.join(wanted.select("cls"), "cls", "left_semi").groupBy("cls").agg(F.first("shingles").alias("shingles"))
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs a, b whose full sets are similar enough."""
-    x = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("x"))
-    y = sets.select(F.col("cls").alias("b"), F.col("shingles").alias("y"))
-    j = pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("both"), (F.size("x") + F.size("y")).cast("long").alias("sum"))
-    return j.filter(100 * F.col("both") >= percent * (F.col("sum") - F.col("both"))).select("a", "b").distinct()
+    """The pairs a, b of cls and centre (of) whose full sets are similar enough.
+
+    A member has a pair for each of its buckets at most, but a centre may have any number: its set is
+    laid out in one copy for SHARE members, and each member meets one of the copies.
+    """
+    centres = pairs.groupBy("of").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("copies"))
+    centres = scratch(centres, "shares").withColumnsRenamed({"of": "of_cls"})
+    dealt = pairs.join(centres, F.col("of") == F.col("of_cls")).select("cls", "of", F.pmod(F.xxhash64("cls"), F.col("copies")).cast("int").alias("copy"))
+    y = centres.join(sets.select(F.col("cls").alias("of_set"), F.col("shingles").alias("y")), F.col("of_cls") == F.col("of_set"))
+    y = y.select(F.col("of_cls").alias("of"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), "y")
+    x = dealt.join(sets.select("cls", F.col("shingles").alias("x")), "cls")
+    j = x.join(y, ["of", "copy"]).select("cls", "of", F.size(F.array_intersect("x", "y")).cast("long").alias("both"), (F.size("x") + F.size("y")).cast("long").alias("sum"))
+    return j.filter(100 * F.col("both") >= percent * (F.col("sum") - F.col("both"))).select(F.least("cls", "of").alias("a"), F.greatest("cls", "of").alias("b"))
 
 
 def _near_sizes(percent: int):
@@ -200,12 +217,14 @@ def classes_linked(docs: DataFrame, classes: DataFrame, keys: DataFrame, width:
         return nothing
     degree = scratch(member.groupBy("cls").agg(F.sum("c").alias("degree")), "degrees")
     reread = classes.join(degree.select("cls"), "cls", "left_semi")
-    sets = scratch(full_sets(docs, width, wanted_bits(reread)), "sets")
+    sets = scratch(full_sets(docs, width, scratch(reread, "wanted")), "sets")
     member = scratch(member.drop("c").join(degree, "cls"), "members")
     best = member.groupBy("bk").agg(F.max(F.struct("degree", "cls", "n")).alias("top"))
     centre = scratch(best.select("bk", F.col("top.cls").alias("of"), F.col("top.n").alias("of_n")), "centres")
     met = member.join(centre, "bk")
-    pairs = met.filter(_near_sizes(percent)).select(F.least("cls", "of").alias("a"), F.greatest("cls", "of").alias("b")).distinct()
+    # of two that are each other's centres, one is the centre of their pair
+    pairs = met.filter(_near_sizes(percent)).groupBy(F.least("cls", "of").alias("a"), F.greatest("cls", "of").alias("b")).agg(F.max("of").alias("of"))
+    pairs = scratch(pairs.select(F.when(F.col("of") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("cls"), "of"), "pairs")
     links = scratch(confirmed(pairs, sets, percent), "links")
     label = components(links)
     rest = scratch(across(met.select(F.col("of").alias("hub"), "cls").distinct(), label, sets, percent), "rest")
@@ -276,27 +295,67 @@ def common_counts(left, right, columns: int = 4096):
     return out
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every document."""
+def grouped(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Two tables: doc_id, cls, n_shingles of every row; and of every class cls, doc_id (its least), label."""
     rows = scratch(sketched(docs, width), "sketches")
     known = rows.filter(F.col("cls").isNotNull())
     classes = scratch(known.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n")), "classes")
     keys = known.filter(F.col("bands").isNotNull()).groupBy("cls").agg(F.min("n_shingles").alias("n"), F.first("bands").alias("bands"))
     label = classes_linked(docs, classes, scratch(keys, "bands"), width, percent)
-    inside = scratch(classes.join(label, F.col("cls") == F.col("node")).select("cls", "label", "doc_id"), "inside")
-    least = scratch(inside.groupBy(F.col("label").alias("of")).agg(F.min("doc_id").alias("group_id")), "groups")
-    grouped = inside.join(least, F.col("label") == F.col("of")).select(F.col("cls").alias("of_cls"), "group_id")
-    ids = classes.join(scratch(grouped, "grouped"), F.col("cls") == F.col("of_cls"), "left").select(F.col("cls").alias("of_cls"), F.coalesce("group_id", "doc_id").alias("component_id"))
+    labelled = classes.join(label, F.col("cls") == F.col("node"), "left").select("cls", "doc_id", F.coalesce("label", "cls").alias("label"))
+    return rows.drop("bands"), scratch(labelled, "labelled")
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for every document."""
+    rows, classes = grouped(docs, width, percent)
+    least = classes.groupBy(F.col("label").alias("of")).agg(F.min("doc_id").alias("component_id"))
+    ids = classes.join(least, F.col("label") == F.col("of")).select(F.col("cls").alias("of_cls"), "component_id")
     out = rows.join(scratch(ids, "ids"), F.col("cls") == F.col("of_cls"), "left")
     component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The documents of which one stays for each group, with all their columns.
+    """One row of each group of near copies, with all its columns; that of the least id, nulls last.
 
-    An id stays if one of its rows does; rows with a null id stay.
+    Of repeated rows, and of rows with a null id, one stays too. Where one id has several texts, each
+    is judged by itself. Texts without words belong to no group: one row stays of each id, and all
+    rows with a null id.
     """
-    verdict = near_duplicates(docs, width, percent).groupBy("doc_id").agg(F.max("kept").alias("kept"))
-    gone = scratch(verdict.filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")), "gone")
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    rows, classes = grouped(docs, width, percent)
+    # nulls come last: a struct of whether it is null, the id, and the class
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "cls")).alias("first")
+    best = scratch(classes.groupBy("label").agg(first).select(F.col("first.cls").alias("_best"), F.col("first.doc_id").alias("_best_id")), "best")
+    stays = F.col("cls").isNull() | (F.col("_best").isNotNull() & F.col("doc_id").eqNullSafe(F.col("_best_id")))
+    by_id = rows.join(best, F.col("cls") == F.col("_best"), "left").groupBy("doc_id").agg(F.count("*").alias("n"), F.max(stays).alias("stays"))
+    by_id = scratch(by_id.select(F.col("doc_id").alias("_of"), (F.col("n") > 1).alias("many"), "stays"), "verdicts")
+    # ids of one row are decided by id alone
+    settled = by_id.filter(F.col("many") | ~F.col("stays"))
+    once = docs.filter(F.col("doc_id").isNotNull()).join(settled, F.col("doc_id").cast("long") == F.col("_of"), "left_anti")
+    again = by_id.filter(F.col("_of").isNull() | (F.col("many") & F.col("stays"))).select("_of")
+    if not again.limit(1).count():
+        return once
+    some = docs.join(again, F.col("doc_id").cast("long") == F.col("_of"), "left_semi").unionByName(docs.filter(F.col("doc_id").isNull()))
+    some = packed(some, "doc_id", "text")
+    some = with_class(some).groupBy("doc_id", "_cls", F.when(F.col("doc_id").isNull() & F.col("_cls").isNull(), F.col("_row")).alias("_none"))
+    some = some.agg(F.first("text").alias("text"), F.first("_rest").alias("_rest")).join(best, F.col("_cls") == F.col("_best"), "left")
+    some = some.filter(F.col("_cls").isNull() | (F.col("_best").isNotNull() & F.col("doc_id").cast("long").eqNullSafe(F.col("_best_id"))))
+    return once.unionByName(unpacked(some, docs, "doc_id", "text"))
+
+
+def with_class(rows: DataFrame) -> DataFrame:
+    """The rows with _cls, their class (null without words), and _row, a number of each row."""
+
+    def run(batches):
+        for batch in batches:
+            at = batch.schema.get_field_index("_text")
+            words = [words_of(text_of(t), lower=True) for t in batch.column(at).to_pylist()]
+            cls = pa.array([class_of(w) if w else None for w in words], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], cls], names=[*batch.schema.names[:at], "_cls"])
+
+    from pyspark.sql.types import BinaryType, StructType
+
+    schema = StructType([*rows.schema.fields]).add("_cls", BinaryType())
+    found = arrow_map(rows.withColumn("_text", F.col("text").cast("string")), run, schema)
+    return found.withColumn("_row", F.monotonically_increasing_id())

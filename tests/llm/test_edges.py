@@ -120,9 +120,30 @@ def test_near_duplicates(docs, empty):
     assert null["component_id"] == 1 and not null["kept"]
     out = deduplicated(docs)
     assert out.columns == docs.columns and out.filter("doc_id = 6").count() == 0 and out.filter("doc_id = 5").count() == 1
+    assert out.filter("doc_id = 1").count() == 1 and out.filter("doc_id IS NULL AND text IS NOT NULL").count() == 0
+    assert out.filter("doc_id IS NULL AND text IS NULL").count() == 1 and out.filter("doc_id IN (2, 3, 4)").count() == 3
     assert near_duplicates(empty).count() == 0 and deduplicated(empty).count() == 0
 
 
+def test_repeated_rows_and_null_ids_are_deduplicated(spark):
+    from lodestone.llm.neardup import deduplicated, full_sets, grouped
+
+    base = " ".join(f"w{i}" for i in range(100))
+    near, other = base + " tail", " ".join(f"v{i}" for i in range(100))
+    own = [(5, base, "en")] * 400 + [(7, near, "en")] * 300 + [(None, other, "de")] * 5 + [(None, other + " tail", None)] * 3
+    own += [(9, near, "en"), (9, "an unrelated text of several words", "en"), (9, "an unrelated text of several words", "fr"), (11, "alone in its group", "en"), (12, "", "en"), (12, None, "en")]
+    df = spark.createDataFrame(own, "doc_id long, text string, lang string").withColumn("cls", F.lit("clash")).withColumn("_rest", F.lit(1)).repartition(6)
+    left = deduplicated(df)
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "") for r in left.collect())
+    assert left.columns == df.columns
+    assert got[:4] == [(False, 5, base), (False, 9, "an unrelated text of several words"), (False, 11, "alone in its group"), (False, 12, "")]
+    assert len(got) == 5 and got[4][:2] == (True, 0) and got[4][2].startswith(other)
+    _, classes = grouped(df, 5, 80)
+    wanted = classes.select("cls", "doc_id")
+    sets = full_sets(df, 5, wanted)
+    assert sets.count() == wanted.count() == sets.select("cls").distinct().count()
+
+
 def test_bpe(docs, empty):
     import public_tokenizers
     from lodestone.llm.bpe import decode, encode
