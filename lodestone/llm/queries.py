@@ -166,45 +166,54 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _op3_sql() -> str:
-    """Positions from the texts between matches; every window's entropy counted on its own."""
-    from .secrets import ALLOWED, CLASSES, UNIT, WINDOW, weights
+    """Positions from the texts between matches; every window's entropy counted on its own; each character is the earliest kind's."""
+    from math import ceil, log2
+
+    from .secrets import ALLOWED, BASE, CHANGES, CLASSES, KINDS, NARROW, UNIT, WINDOW, weights
 
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     assign = r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
     folded = "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in "password|passwd|secret|token|api_?key")
     assign = assign.replace("password|passwd|secret|token|api_?key", folded)
+    start = "list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0)"
     # each search: kind, number, pattern, group that counts, least length
     searches = [("assign", 0, assign, 1, 8), ("access", 1, "AKIA[A-Z0-9]+", 0, 16), ("hex", 2, "[0-9a-f]+", 0, 32)]
-    searches += [(k, 3 + n, "[A-Za-z0-9+/_-]+", 0, WINDOW) for n, k in enumerate(CLASSES)]
+    searches += [(k, len(BASE) + n, "[A-Za-z0-9+/_-]+", 0, WINDOW) for n, k in enumerate(CLASSES)]
     parts = []
     for kind, n, pattern, group, least in searches:
-        parts.append(f"""SELECT row, '{kind}' AS kind, {n} AS k, i, m[i] AS found, v[i] AS held, {least} AS least,
-            list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS s
+        parts.append(f"""SELECT row, '{kind}' AS kind, {n} AS k, i, m[i] AS found, v[i] AS held, {least} AS least, {start} AS s
           FROM (SELECT row, unnest(range(1, len(m) + 1)) AS i, m, p, v FROM (
             SELECT row, regexp_extract_all(text, {quote(pattern)}, 0) AS m, regexp_extract_all(text, {quote(pattern)}, {group}) AS v, regexp_split_to_array(text, {quote(pattern)}) AS p FROM d
             WHERE regexp_matches(text, {quote(pattern if kind == "assign" else pattern[:-1] + "{" + str(least - 4 * (kind == "access")) + ",}")})))
           WHERE length(v[i]) >= {least}""")
     allow = " OR ".join(f"regexp_matches(found, {quote(p)})" for p in ALLOWED)
-    most = round(WINDOW * __import__("math").log2(WINDOW) * UNIT)
-    need = {k: most - __import__("math").ceil(c[2] * WINDOW * UNIT) for k, c in CLASSES.items()}
+    fit = f"regexp_matches(found, '[0-9]') AND regexp_matches(found, '[A-Za-z]') AND NOT ({allow})"
+    changes = "len(list_filter(range(1, length(found)), lambda x: regexp_matches(substr(found, x, 2), '^([a-z][A-Z]|[A-Za-z][0-9]|[0-9][A-Za-z])$')))"
+    runs = []
+    for n, (kind, (pattern, _, _, more)) in enumerate(NARROW.items(), len(BASE) + len(CLASSES)):
+        also = "".join(f" AND regexp_matches(found, {quote(c)})" for c in more)
+        runs.append(f"""SELECT row, '{kind}' AS kind, {n} AS k, c * 65536 + i AS c, m[i] AS found, s + {start} AS s
+          FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (
+            SELECT row, c, s, regexp_extract_all(found, {quote(pattern)}, 0) AS m, regexp_split_to_array(found, {quote(pattern)}) AS p FROM wide WHERE k = {len(BASE) + 1}))
+          WHERE {fit.replace("found", "m[i]")} AND {changes.replace("found", "m[i]")} * {CHANGES} >= length(m[i]){also.replace("found", "m[i]")}""")
+    most = round(WINDOW * log2(WINDOW) * UNIT)
+    need = [0] * len(BASE) + [most - ceil(c[2] * WINDOW * UNIT) for c in [*CLASSES.values(), *NARROW.values()]]
+    names = [k for k in KINDS]
     return f"""
 WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
 hits AS ({" UNION ALL ".join(parts)}),
-base AS (SELECT row, kind, k, s, s + length(found) AS e FROM hits WHERE k < 3),
-tried AS (SELECT * FROM hits WHERE k > 2 AND regexp_matches(found, '[0-9]') AND regexp_matches(found, '[A-Za-z]') AND NOT ({allow})
-  AND (k > 3 OR regexp_full_match(found, '[0-9a-fA-F]+'))),
-win AS (SELECT row, kind, k, s, i, j, list_sum(list_transform(map_values(list_histogram(string_split(substr(found, j, {WINDOW}), ''))), lambda c: {weights()}[(c + 1)::BIGINT])) AS t
+base AS (SELECT row, kind, k, s, s + length(found) AS e FROM hits WHERE k < {len(BASE)}),
+wide AS (SELECT row, kind, k, i AS c, found, s FROM hits WHERE k >= {len(BASE)} AND {fit} AND (k > {len(BASE)} OR regexp_full_match(found, '[0-9a-fA-F]+'))),
+tried AS (SELECT * FROM wide UNION ALL {" UNION ALL ".join(runs)}),
+win AS (SELECT row, k, s, c, j, list_sum(list_transform(map_values(list_histogram(string_split(substr(found, j, {WINDOW}), ''))), lambda c: {weights()}[(c + 1)::BIGINT])) AS t
   FROM (SELECT *, unnest(range(1, length(found) - {WINDOW} + 2)) AS j FROM tried)),
-lit AS (SELECT row, kind, k, i, s + j - 1 AS b, s + j - 1 + {WINDOW} AS e FROM win WHERE t <= CASE kind WHEN 'entropy_hex' THEN {need["entropy_hex"]} ELSE {need["entropy_text"]} END),
-isle AS (SELECT *, sum(fresh) OVER (PARTITION BY row, k, i ORDER BY b) AS g FROM (
-  SELECT *, CASE WHEN b <= lag(e) OVER (PARTITION BY row, k, i ORDER BY b) THEN 0 ELSE 1 END AS fresh FROM lit)),
-more AS (SELECT row, kind, k, min(b) AS s, max(e) AS e FROM isle GROUP BY row, kind, k, i, g),
-hexes AS (SELECT * FROM more m WHERE k = 3 AND NOT EXISTS (SELECT 1 FROM base b WHERE b.row = m.row AND b.s < m.e AND m.s < b.e)),
-texts AS (SELECT * FROM more m WHERE k = 4 AND NOT EXISTS (SELECT 1 FROM (SELECT row, s, e FROM base UNION ALL SELECT row, s, e FROM hexes) b WHERE b.row = m.row AND b.s < m.e AND m.s < b.e)),
-every AS (SELECT * FROM base UNION ALL SELECT row, kind, k, s, e FROM hexes UNION ALL SELECT row, kind, k, s, e FROM texts),
+lit AS (SELECT DISTINCT row, k, unnest(range((s + j - 1)::BIGINT, (s + j - 1 + {WINDOW})::BIGINT)) AS p FROM win WHERE t <= {need}[k + 1]),
+own AS (SELECT row, p, min(k) AS k FROM lit WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.row = lit.row AND b.s <= lit.p AND lit.p < b.e) GROUP BY row, p),
+more AS (SELECT row, k, min(p) AS s, max(p) + 1 AS e FROM (SELECT *, p - row_number() OVER (PARTITION BY row, k ORDER BY p) AS isle FROM own) GROUP BY row, k, isle),
+every AS (SELECT row, kind, k, s, e FROM base UNION ALL SELECT row, {names}[k + 1], k, s, e FROM more),
 by_row AS (SELECT row,
     count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
-    string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) FILTER (k < 3) AS own,
+    string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) FILTER (k < {len(BASE)}) AS own,
     string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) AS spans FROM every GROUP BY row)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
   sha256(coalesce(own, '')) AS base_sha256, coalesce(spans, '') AS spans
