@@ -3,8 +3,9 @@
 Every vector is represented by its NEAREST nearest pivots in order. Blocks of vectors hold these
 as inverted files: for each pivot, the rows that list it and at which place. A query adds up, over
 the files of its own pivots, how far the places agree (the footrule distance, a missing pivot
-counting as the place behind the last); the best SHARE of a block by that distance is reranked by
-the inner product in double precision, and the best of all blocks are returned.
+counting as the place behind the last); the best SHARE of a block by that distance, DEPTH times the
+number asked for at least, is reranked by the inner product in double precision, and the best of all
+blocks are returned.
 
 Inner products order vectors like distances once each has been given one more coordinate that
 brings it to the largest norm, and so the pivots are compared in that space. The pivots are a
@@ -24,12 +25,12 @@ from pyspark.sql import functions as F
 
 from ..session import scratch
 
-PIVOTS = 128
-NEAREST = 32
-SHARE = 0.25
-LEAST = 2000
+PIVOTS = 512
+NEAREST = 128
+SHARE = 0.2
+DEPTH = 10
 CANDIDATES = 8192
-QUERIES = 4096
+QUERIES = 16384
 _RESULT = "query_id long, vec_id long, score double"
 
 
@@ -86,7 +87,7 @@ class Block:
         for place, pivot in enumerate(perm):
             rows, places = self.files[pivot]
             agree[rows] += self.places - np.abs(places - place)
-        take = min(len(agree), max(LEAST, 4 * k, int(len(agree) * SHARE)))
+        take = min(len(agree), max(DEPTH * k, int(len(agree) * SHARE)))
         if take < len(agree):
             least = np.partition(agree, len(agree) - take)[len(agree) - take]
             better = np.flatnonzero(agree > least)
