@@ -1,13 +1,18 @@
 """Quality rules with thresholds from mergeable quantile sketches per language and source.
 
 Every document is measured once. The measures (integers, per ten thousand) of the documents that
-pass the base rules go into log-linear histograms per language and source: values up to 63 have
-bins of their own, larger ones share bins of a 32nd of their size. Such sketches merge by adding
-counts, exactly and in any order, and their quantiles are at most 1/32 too low. A document passes
-if all its measures lie within the fences of its group: its median, moved outwards by SPREAD times
-the distance to the lower quartile plus the measure's least slack. Junk that raises a measure moves
-neither before it is half of the group. Groups of fewer than LEAST documents use the
-merged sketch of their language, or that of all documents where the language has as few.
+pass the base rules go into log-linear histograms per language and source: values up to 255 have
+bins of their own, larger ones share bins of a 128th of their size. Such sketches merge by adding
+counts, exactly and in any order, and their quantiles are at most 1/128 too low. A document passes
+if all its measures lie within the thresholds of its group: its median, moved outwards by SPREAD times
+the distance to the lower quartile. Junk that raises a measure moves neither before it is half of the
+group; there is no other constant. Where the lower quartile is the median, the group shows no spread
+and the measure has no threshold there. Groups of fewer than LEAST documents use the merged sketch of
+their language, or that of all documents where the language has as few.
+
+The measures are ones that vary among clean documents too, so that quartiles tell how much: marks
+(ASCII characters other than letters, digits and blanks), capitals, words equal to the one before, and
+the length of words.
 
 Nulls: a null text has no words (and fails); a null language or source is a group of its own. An
 empty text counts likewise. Repeated rows are measured and returned each. Other columns are
@@ -21,22 +26,23 @@ from operator import eq
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..session import scratch
-from .common import arrow_map, pieces, text_of, words_of
+from .common import arrow_map, text_of, words_of
 
 LEAST = 100
-SPREAD = 3
-#: Measure: (numerator, denominator, least slack, whether low values fail too).
+SPREAD = 20
+#: Leading binary digits of a value that its bin keeps.
+DIGITS = 8
+#: Measure: (numerator, denominator, whether low values fail too).
 MEASURES = {
-    "symbols": ("n_symbols", "n_words", 2000, False),
-    "capitals": ("n_capitals", "word_chars", 1500, False),
-    "repeats": ("n_repeat_words", "n_words", 3000, False),
-    "stutters": ("n_stutters", "n_words", 2000, False),
-    "copied_lines": ("n_dup_lines", "n_lines", 5000, False),
-    "word_length": ("word_chars", "n_words", 18000, True),
+    "marks": ("n_marks", "word_chars", False),
+    "capitals": ("n_capitals", "word_chars", False),
+    "stutters": ("n_stutters", "n_words", False),
+    "word_length": ("word_chars", "n_words", True),
 }
-_COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_stutters"]
+_COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_marks", "n_capitals", "n_stutters"]
 
 
 def repeated_words(words: list[bytes], window: int = 8) -> int:
@@ -75,47 +81,50 @@ def measure_text(text: str) -> tuple[int, ...]:
     by_byte = np.bincount(np.frombuffer(text.encode(), dtype=np.uint8), minlength=256)
     blanks = int(by_byte[9:14].sum() + by_byte[32])
     seen: set[str] = set()
-    lines = copies = 0
+    copies = 0
     for line in text.split("\n"):
         if line.strip(" \t\r\x0b\x0c"):
-            lines += 1
             copies += line in seen
             seen.add(line)
     symbols = int(sum(by_byte[b] for b in b"#*$%&|<>"))
-    return len(words), len(text) - blanks, symbols, copies, repeated_words(words), lines, int(by_byte[65:91].sum()), sum(map(eq, words, words[1:]))
+    capitals = int(by_byte[65:91].sum())
+    marks = int(by_byte[:128].sum()) - blanks - capitals - int(by_byte[97:123].sum() + by_byte[48:58].sum())
+    return len(words), len(text) - blanks, symbols, copies, repeated_words(words), marks, capitals, sum(map(eq, words, words[1:]))
 
 
-def measure(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source and the counts of every whole text."""
+def measured(rows: DataFrame) -> DataFrame:
+    """The rows, their column text replaced by the counts of every whole text."""
 
     def run(batches):
-        for ids, langs, sources, texts in pieces(batches, ["doc_id", "lang", "source", "text"]):
-            found = list(zip(*(measure_text(text_of(t)) for t in texts)))
-            yield pa.record_batch(
-                [pa.array(ids, pa.int64()), pa.array(langs, pa.string()), pa.array(sources, pa.string()), *(pa.array(c, pa.int64()) for c in found)],
-                ["doc_id", "lang", "source", *_COUNTS],
-            )
+        for batch in batches:
+            at = batch.schema.get_field_index("text")
+            found = list(zip(*(measure_text(text_of(t.as_py())) for t in batch.column(at))))
+            counts = [pa.array(c, pa.int64()) for c in found or [[]] * len(_COUNTS)]
+            rest = [i for i in range(batch.num_columns) if i != at]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in rest), *counts], names=[*(batch.schema.names[i] for i in rest), *_COUNTS])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
-    return arrow_map(rows, run, "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in _COUNTS))
+    schema = StructType([f for f in rows.schema.fields if f.name != "text"])
+    for c in _COUNTS:
+        schema = schema.add(c, "long")
+    return arrow_map(rows, run, schema)
 
 
 def ratio(name: str):
     """A measure per ten thousand; 0 where there is nothing to divide by."""
-    top, bottom, _, _ = MEASURES[name]
+    top, bottom, _ = MEASURES[name]
     return F.expr(f"CASE WHEN {bottom} > 0 THEN {top} * 10000 DIV {bottom} ELSE 0L END")
 
 
 def bin_of(value):
     """The lowest value of the sketch's bin that holds ``value``."""
-    drop = F.greatest(F.length(F.bin(value)) - 6, F.lit(0))
+    drop = F.greatest(F.length(F.bin(value)) - DIGITS, F.lit(0))
     return F.call_function("shiftleft", F.call_function("shiftright", value, drop), drop)
 
 
-def sketches(measured: DataFrame) -> DataFrame:
+def sketches(judged: DataFrame) -> DataFrame:
     """Histograms of the documents that pass the base rules: lang, source, measure, bin, n."""
     each = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), bin_of(ratio(m)).alias("bin")) for m in MEASURES]))
-    good = measured.filter(~F.col("base_failed")).select("lang", "source", each.alias("x"))
+    good = judged.filter(~F.col("base_failed")).select("lang", "source", each.alias("x"))
     return good.groupBy("lang", "source", "x.measure", "x.bin").agg(F.count("*").alias("n"))
 
 
@@ -144,33 +153,47 @@ def fences(hist: DataFrame) -> DataFrame:
 
     j = j.select("lang", "source", "measure", pick("q1").alias("q1"), pick("q2").alias("q2"))
     out = []
-    for m, (_, _, slack, both) in MEASURES.items():
-        spread = SPREAD * (F.col("q2") - F.col("q1")) + slack
-        mine = F.col("measure") == m
+    for m, (_, _, both) in MEASURES.items():
+        spread = SPREAD * (F.col("q2") - F.col("q1"))
+        mine = (F.col("measure") == m) & (spread > 0)
         out.append(F.max(F.when(mine, F.col("q2") + spread)).alias(f"{m}_high"))
         if both:
             out.append(F.max(F.when(mine, F.col("q2") - spread)).alias(f"{m}_low"))
     return j.groupBy("lang", "source").agg(*out)
 
 
-def judge(docs: DataFrame) -> DataFrame:
-    """Every document's counts, whether the base rules fail it, and whether it is kept."""
-    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    measured = scratch(measure(docs).withColumn("base_failed", failed), "quality")
-    limits = fences(sketches(measured)).withColumnsRenamed({"lang": "of_lang", "source": "of_source"})
-    j = measured.join(limits, F.col("lang").eqNullSafe(F.col("of_lang")) & F.col("source").eqNullSafe(F.col("of_source")), "left")
+def within(rows: DataFrame, limits: DataFrame) -> DataFrame:
+    """The rows with kept: whether they pass the base rules and lie within the limits of their group."""
+    limits = limits.withColumnsRenamed({"lang": "of_lang", "source": "of_source"})
+    j = rows.join(limits, F.col("lang").eqNullSafe(F.col("of_lang")) & F.col("source").eqNullSafe(F.col("of_source")), "left")
     fine = ~F.col("base_failed")
-    for m, (_, _, _, both) in MEASURES.items():
-        fine &= ratio(m) <= F.col(f"{m}_high")
+    for m, (_, _, both) in MEASURES.items():
+        fine &= F.coalesce(ratio(m) <= F.col(f"{m}_high"), F.lit(True))
         if both:
-            fine &= ratio(m) >= F.col(f"{m}_low")
-    return j.select("doc_id", "lang", "source", *_COUNTS, "base_failed", F.coalesce(fine, F.lit(False)).alias("kept"))
+            fine &= F.coalesce(ratio(m) >= F.col(f"{m}_low"), F.lit(True))
+    return j.select(*[F.col(f"`{c}`") for c in rows.columns], fine.alias("kept"))
 
 
-def filtered(docs: DataFrame) -> DataFrame:
-    """The documents that are kept, with all their columns; rows of one id are judged together.
+_FAILED = "n_words < 20 OR 100 * n_repeat_words > 30 * n_words"
+
+
+def judged(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every row's id, language, source, counts and base_failed as a written table; and the limits by group."""
+    kinds = {"doc_id": "long", "lang": "string", "source": "string", "text": "string"}
+    rows = measured(docs.select(*[F.col(c).cast(t).alias(c) for c, t in kinds.items()])).withColumn("base_failed", F.expr(_FAILED))
+    rows = scratch(rows, "quality")
+    return rows, fences(sketches(rows))
+
 
-    An id of which any row fails goes; rows with a null id are left out.
-    """
-    verdict = judge(docs).groupBy("doc_id").agg(F.min("kept").alias("_all_kept")).filter("_all_kept").select(F.col("doc_id").alias("_kept_id"))
-    return docs.join(verdict, docs["doc_id"] == verdict["_kept_id"], "left_semi")
+def judge(docs: DataFrame) -> DataFrame:
+    """Every document's counts, whether the base rules fail it, and whether it is kept."""
+    return within(*judged(docs)).select("doc_id", "lang", "source", *_COUNTS, "base_failed", "kept")
+
+
+def filtered(docs: DataFrame) -> DataFrame:
+    """The rows that are kept, with all their columns. Each row is judged by itself, whatever its id is."""
+    _, limits = judged(docs)
+    whole = F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("whole")
+    rows = docs.select(whole, *[F.col(c).cast("string").alias(c) for c in ("lang", "source", "text")])
+    kept = within(measured(rows).withColumn("base_failed", F.expr(_FAILED)), scratch(limits, "limits")).filter("kept")
+    return kept.select("whole.*")

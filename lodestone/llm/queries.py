@@ -41,17 +41,19 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _bin(v: str) -> str:
-    return f"(({v}) >> greatest(length(bin({v})) - 6, 0)) << greatest(length(bin({v})) - 6, 0)"
+    from .quality_rules import DIGITS
+
+    return f"(({v}) >> greatest(length(bin({v})) - {DIGITS}, 0)) << greatest(length(bin({v})) - {DIGITS}, 0)"
 
 
 def _op1_sql() -> str:
     from .quality_rules import LEAST, MEASURES, SPREAD
 
     parts = []
-    for m, (top, bottom, slack, both) in MEASURES.items():
+    for m, (top, bottom, both) in MEASURES.items():
         v = f"CASE WHEN {bottom} > 0 THEN {top} * 10000 // {bottom} ELSE 0 END"
         low = f"-{SPREAD}" if both else "NULL"
-        parts.append(f"SELECT row, doc_id, lang, source, base_failed, '{m}' AS measure, {slack} AS slack, {low} AS low, CAST({v} AS BIGINT) AS v FROM judged")
+        parts.append(f"SELECT row, doc_id, lang, source, base_failed, '{m}' AS measure, {low} AS low, CAST({v} AS BIGINT) AS v FROM judged")
 
     def quartile(keys: str, at: str) -> str:
         over = f"PARTITION BY {keys}measure"
@@ -66,13 +68,13 @@ grams AS (SELECT row, i, array_to_string(words[i:i + 7], ' ') AS gram FROM (SELE
 again AS (SELECT row, i FROM (SELECT row, i, count(*) OVER (PARTITION BY row, gram) AS n FROM grams) WHERE n > 1),
 covered AS (SELECT row, count(DISTINCT i + j) AS n FROM again, (SELECT unnest(range(0, 8)) AS j) GROUP BY row),
 line AS (SELECT row, unnest(lines) AS line FROM w),
-copied AS (SELECT row, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n FROM line WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY row),
+copied AS (SELECT row, count(*) - count(DISTINCT line) AS n FROM line WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY row),
 counted AS (
   SELECT w.row, doc_id, lang, source, CAST(len(words) AS BIGINT) AS n_words,
     CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
     CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
     CAST(coalesce(c.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(v.n, 0) AS BIGINT) AS n_repeat_words,
-    CAST(coalesce(c.n_lines, 0) AS BIGINT) AS n_lines,
+    CAST(length(regexp_replace(text, '[A-Za-z0-9\x20\x09-\x0D]|[^\x00-\x7F]', '', 'g')) AS BIGINT) AS n_marks,
     CAST(length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS BIGINT) AS n_capitals,
     CAST(len(list_filter(range(2, len(words) + 1), lambda i: words[i] = words[i - 1])) AS BIGINT) AS n_stutters
   FROM w LEFT JOIN covered v USING (row) LEFT JOIN copied c USING (row)),
@@ -88,9 +90,9 @@ chosen AS (
     CASE WHEN o.n >= {LEAST} THEN o.q2 WHEN l.n >= {LEAST} THEN l.q2 ELSE a.q2 END AS q2
   FROM own o JOIN of_lang l ON o.lang IS NOT DISTINCT FROM l.lang AND o.measure = l.measure JOIN of_all a ON o.measure = a.measure),
 verdict AS (
-  SELECT m.row, bool_and(coalesce(v <= q2 + {SPREAD} * (q2 - q1) + slack AND (low IS NULL OR v >= q2 + low * (q2 - q1) - slack), false)) AS fine
+  SELECT m.row, bool_and(q2 = q1 OR coalesce(v <= q2 + {SPREAD} * (q2 - q1) AND (low IS NULL OR v >= q2 + low * (q2 - q1)), true)) AS fine
   FROM measured m LEFT JOIN chosen c ON m.lang IS NOT DISTINCT FROM c.lang AND m.source IS NOT DISTINCT FROM c.source AND m.measure = c.measure GROUP BY m.row)
-SELECT doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_capitals, n_stutters, base_failed, NOT base_failed AND fine AS kept
+SELECT doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_marks, n_capitals, n_stutters, base_failed, NOT base_failed AND fine AS kept
 FROM judged JOIN verdict USING (row)"""
 
 

@@ -47,7 +47,8 @@ def test_quality_rules(docs, empty):
     assert all(r["base_failed"] and not r["kept"] for r in df.filter("doc_id IN (1, 2, 3, 4, 9)").collect())
     assert df.filter("doc_id = 5").first()["kept"]
     assert df.filter("doc_id = 8").first()["base_failed"]
-    assert filtered(docs).columns == docs.columns
+    out = filtered(docs)
+    assert out.columns == docs.columns and ids(out) == ids(df.filter("kept"))
     assert judge(empty).count() == 0 and filtered(empty).count() == 0
 
 
