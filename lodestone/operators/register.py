@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import new_id, strip
-from .blocks import block_ids, doc_text, heading_paths
+from .blocks import block_ids, heading_paths
 from .dedup import find_duplicates
-from .parse import html_blocks, html_metadata, markdown_blocks, titles
+from .parse import markdown_blocks, parsed_pages, titles
 
 _KEYS = ["content_hash", "doi", "arxiv_id", "url", "canonical_url"]
 
@@ -28,7 +28,8 @@ class Registered:
     refused: DataFrame
 
 
-def _finish(known: DataFrame | None, rows: DataFrame, blocks: DataFrame, bad: DataFrame, key: str, force: bool, at: Column) -> Registered:
+def _finish(known: DataFrame | None, rows: DataFrame, blocks: DataFrame | None, bad: DataFrame, key: str, force: bool, at: Column) -> Registered:
+    """The tables to write; blocks is None where rows hold them as an array."""
     for c in (*_KEYS, "lang", "site_name", "published_at"):
         if c not in rows.columns:
             rows = rows.withColumn(c, F.lit(None).cast("string"))
@@ -40,8 +41,12 @@ def _finish(known: DataFrame | None, rows: DataFrame, blocks: DataFrame, bad: Da
         rows = rows.join(twins, F.col("id") == F.col("_twin"), "left_anti")
     sources = rows.select("id", "type", "title", *_KEYS, "lang", "site_name", "published_at", F.lit("unread").alias("reading_status"), F.lit("pending").alias("analysis_status"), at.alias("created_at"), at.alias("updated_at"))
     versions = rows.select(F.concat("id", F.lit("-1")).alias("id"), F.col("id").alias("source_id"), F.lit(1).alias("seq"), at.alias("fetched_at"), "content_hash")
-    b = blocks.join(rows.select(F.col(key).alias("_k"), F.col("id").alias("source_id")), F.col(key) == F.col("_k")).withColumn("version_id", F.concat("source_id", F.lit("-1")))
-    b = block_ids(heading_paths(b.drop("_k"), "version_id"))
+    if blocks is None:
+        b = rows.select(F.col("id").alias("source_id"), F.inline("blocks"))
+    else:
+        b = blocks.join(rows.select(F.col(key).alias("_k"), F.col("id").alias("source_id")), F.col(key) == F.col("_k")).drop("_k")
+    b = b.withColumn("version_id", F.concat("source_id", F.lit("-1")))
+    b = block_ids(heading_paths(b, "version_id"))
     return Registered(sources, versions, b.select("id", "version_id", "source_id", "idx", "kind", "level", "text", "heading_path"), bad)
 
 
@@ -64,16 +69,19 @@ def texts(inputs: DataFrame, known: DataFrame | None = None, force: bool = False
 
 
 def pages(inputs: DataFrame, known: DataFrame | None = None, force: bool = False, at: Column | None = None, key: str = "page_id") -> Registered:
-    """Web pages that were fetched: key, url, html. Only http and https; the hash is that of the blocks' text."""
+    """Web pages that were fetched: key, url, html. Only http and https; the hash is that of the blocks' text.
+
+    Each page is parsed once, in one row with its blocks; repeated pages are one source.
+    """
     at = at if at is not None else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
     fine = F.coalesce(F.col("url").rlike("^https?://"), F.lit(False))
     bad = inputs.filter(~fine).select(F.col(key).cast("string").alias("key"), F.lit("not a web address").alias("reason"))
     good = inputs.filter(fine)
-    blocks = html_blocks(good, key)
-    text = doc_text(blocks, key).select(F.col(key).alias("_x"), F.sha2("text", 256).alias("content_hash"))
-    meta = html_metadata(good, key).join(good.select(F.col(key).alias("_u"), "url"), F.col(key) == F.col("_u"))
-    rows = meta.join(text, F.col(key) == F.col("_x"), "left").select(key, F.lit("web").alias("type"), "title", F.coalesce("content_hash", F.sha2(F.lit(""), 256)).alias("content_hash"), "url", "canonical_url", "doi", "arxiv_id", "lang", "site_name", "published_at")
-    return _finish(known, rows, blocks, bad, key, force, at)
+    text = F.array_join(F.transform("blocks", lambda b: b["text"]), "\n")
+    rows = parsed_pages(good, key).withColumn("content_hash", F.sha2(text, 256)).withColumn("type", F.lit("web"))
+    # a page that is given twice is one source
+    rows = rows.dropDuplicates([key, "content_hash"])
+    return _finish(known, rows, None, bad, key, force, at)
 
 
 def is_pdf(content: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import geometry, text
-from .operators import analysis, anchors, blocks, brief, catalog, context, dedup, export, generation, parse, qa, register, search
+from .operators import analysis, anchors, blocks, brief, catalog, context, dedup, export, generation, parse, qa, register, search, spans
 from .plans import adapters as A
 from .schema import HEURISTIC_QUESTION, NO_NOTES, NOTE_TEMPLATE, OUTLINE_LABEL, violations
 from .sources import table
@@ -333,12 +333,13 @@ def _spans(spark, sf):
 
 @query("span_blocks")
 def span_blocks(spark, sf):
-    return parse.span_blocks(_spans(spark, sf)).withColumn("rect", F.array_join("rect", ","))
+    return spans.span_blocks(_spans(spark, sf)).withColumn("rect", F.array_join("rect", ","))
 
 
 @query("span_metadata")
 def span_metadata(spark, sf):
-    return parse.span_metadata(parse.span_blocks(_spans(spark, sf)))
+    info = table(spark, sf, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("source_id"), F.lit(None).cast("string").alias("title"), F.concat_ws("; ", "source", "lang").alias("author"))
+    return spans.span_metadata(spans.span_blocks(_spans(spark, sf)), info).withColumn("authors", F.array_join("authors", ", "))
 
 
 @query("register_texts", f"WITH {_BL}, {_MD}, md0 AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS content FROM md GROUP BY doc_id) SELECT CASE WHEN doc_id % 3 = 0 THEN 'markdown' ELSE 'text' END AS type, coalesce((SELECT arg_min(text, idx) FROM mb WHERE mb.doc_id = m.doc_id AND kind = 'heading'), CASE WHEN doc_id % 3 = 0 THEN doc_id || '.md' END, (SELECT left(arg_min(text, idx), 80) FROM mb WHERE mb.doc_id = m.doc_id)) AS title, sha256(content) AS content_hash, (SELECT count(*) FROM mb WHERE mb.doc_id = m.doc_id) AS n_blocks FROM md0 m WHERE doc_id % 4 <> 0")

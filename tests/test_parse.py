@@ -1,7 +1,7 @@
 import random
 import re
 
-from lodestone.operators import blocks, context, parse
+from lodestone.operators import blocks, context, parse, spans
 
 
 def reference_blocks(content):
@@ -116,7 +116,7 @@ def test_span_blocks_two_columns(spark):
     rows.append(span(1, 22, 0, "first line", 10.0, 50.0, 400.0))
     rows.append(span(1, 22, 1, "second line", 10.0, 50.0, 412.0))
     regions = spark.createDataFrame([("s", 1, 50.0, 315.0, 250.0, 380.0, "drawing"), ("s", 1, 50.0, 381.0, 250.0, 384.0, "drawing")], "source_id string, page int, x0 double, y0 double, x1 double, y1 double, what string")
-    got = parse.span_blocks(spark.createDataFrame(rows, SPANS), regions).orderBy("idx").collect()
+    got = spans.span_blocks(spark.createDataFrame(rows, SPANS), regions).orderBy("idx").collect()
     order = [r["text"] for r in got]
     assert order[0] == "Title here" and got[0]["kind"] == "heading" and got[0]["level"] == 1
     assert order.index("left 2") < order.index("right 0")
@@ -125,6 +125,30 @@ def test_span_blocks_two_columns(spark):
     assert [r["role"] for r in got if r["text"].startswith("Table 1")] == ["table_caption"]
 
 
+def test_span_roles_and_bands(spark):
+    rows = [span(1, 0, 0, "Figure 2a: A chart", 10.0, 50.0, 40.0), span(1, 1, 0, "E = mc^2", 10.0, 50.0, 60.0), span(1, 2, 0, "A heading,", 12.0, 50.0, 80.0), span(1, 3, 0, "Small heading", 12.0, 50.0, 100.0)]
+    rows += [span(1, 4, 0, "first", 10.0, 50.0, 200.0), span(1, 4, 1, "far below", 10.0, 50.0, 240.0), span(1, 4, 2, "moved", 10.0, 70.0, 251.0), span(1, 4, 3, "  ", 10.0, 70.0, 262.0)]
+    rows += [span(2, 0, 0, "ünï x", 10.0, 10.00049, 20.0), (None, 1, 600.0, 800.0, 0, 0, 0, "none", 10.0, 0.0, 0.0, 1.0, 1.0), ("s", 2, 600.0, 800.0, None, 0, 0, "none", 10.0, 0.0, 0.0, 1.0, 1.0)]
+    images = [("s", 1, 60.0, 55.0, 200.0, 58.0, "image"), ("s", 1, 60.0, 61.0, 900.0, 90.0, "drawing"), ("s", 1, 300.0, 700.0, 305.0, 790.0, "image"), ("s", 3, 0.0, 0.0, 50.0, 50.0, "image")]
+    regions = spark.createDataFrame(images, "source_id string, page int, x0 double, y0 double, x1 double, y1 double, what string")
+    got = spans.span_blocks(spark.createDataFrame(rows, SPANS), regions).orderBy("idx").collect()
+    by = {r["text"]: r for r in got if r["text"]}
+    assert by["Figure 2a: A chart"]["role"] == "figure_caption" and by["E = mc^2"]["role"] == "equation_candidate"
+    assert by["A heading,"]["kind"] == "para" and (by["Small heading"]["kind"], by["Small heading"]["level"]) == ("heading", 2)
+    assert {"first", "far below", "moved"} <= set(by) and "none" not in by and by["ünï x"]["rect"][0] == 10.0
+    assert [r["rect"] for r in got if r["kind"] == "figure"] == [[60.0, 55.0, 600.0, 90.0], [0.0, 0.0, 50.0, 50.0]]
+    assert [r["page"] for r in got] == sorted(r["page"] for r in got) and [r["idx"] for r in got] == list(range(len(got)))
+    m = spans.span_metadata(spans.span_blocks(spark.createDataFrame(rows, SPANS)), spark.createDataFrame([("s", " ", "A; B;")], "source_id string, title string, author string")).first()
+    assert m["title"] == "Small heading" and m["authors"] == ["A", "B"]
+    assert spans.span_blocks(spark.createDataFrame([], SPANS)).count() == 0
+
+
+def test_repeated_and_null_page_keys(spark):
+    df = spark.createDataFrame([(1, "http://x/a", PAGE)] * 3 + [(None, "http://x/b", "<p>Some text</p>")], "page_id long, url string, html string")
+    assert parse.html_metadata(df).count() == 4
+    assert parse.html_blocks(df).filter("page_id IS NULL").count() == 1
+
+
 def test_packing_skips_and_goes_on(spark):
     r = random.Random(3)
     rows, want = [], {}
