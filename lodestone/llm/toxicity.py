@@ -28,6 +28,8 @@ FILTERS = 8
 STEPS = 600
 BATCH = 48
 PADS = max(WIDTHS) - 1
+#: Word positions whose activations are held at a time.
+POSITIONS = 16_384
 _MARKS = b".,;:!?#*$%&\"'()[]{}<>|-_/\\"
 
 
@@ -112,8 +114,18 @@ class Model:
         if self.constant is not None:
             return np.full(len(docs), self.constant)
         low, high, starts, lengths = self.lay(docs)
-        z, _ = self.activations(low, high)
-        top = np.stack([z[s : s + n].max(axis=0) for s, n in zip(starts, lengths)])
+        stops, d = starts + lengths, 0
+        top = np.full((len(docs), len(WIDTHS) * FILTERS), -np.inf, dtype=np.float32)
+        for s in range(0, int(stops[-1]), POSITIONS):
+            e = min(s + POSITIONS, len(low) - PADS)
+            z, _ = self.activations(low[s : e + PADS], high[s : e + PADS])
+            while d < len(docs) and starts[d] < e:
+                a, b = max(starts[d], s), min(stops[d], e)
+                if a < b:
+                    top[d] = np.maximum(top[d], z[a - s : b - s].max(axis=0))
+                if stops[d] > e:  # a long text goes on in the next block
+                    break
+                d += 1
         logit = np.maximum(top + self.shift, 0) @ self.out + self.bias
         return 1 / (1 + np.exp(-np.clip(logit.astype(np.float64), -30, 30)))
 

@@ -78,3 +78,37 @@ def test_query_and_stage(spark, sf):
         if not found:
             assert r["text"] == old[r["doc_id"]]
     assert hits > 0
+
+
+def test_mails_equal_the_pattern_and_stay_linear():
+    import time
+
+    from lodestone.llm.pii import _MAIL, mails
+
+    r = random.Random(14)
+    for _ in range(3000):
+        t = "".join(r.choice("ab1é_.%+- @@.c") for _ in range(r.randint(0, 40)))
+        assert [m.span() for m in mails(t)] == [m.span() for m in _MAIL.finditer(t)]
+    began = time.time()
+    assert len(list(mails("a" * 1_000_000 + " me@host.org " + "a.b" * 300_000 + "@" + "c." * 300_000))) == 1
+    assert Pseudonyms(b"k").find("x" * 1_000_000) == [] and time.time() - began < 5
+
+
+def test_finder_against_plain_rules():
+    """Values set into plain words are found where they were put, of their kind, and nothing else is."""
+    r = random.Random(15)
+    made = {
+        "ip": lambda: ".".join(str(r.randint(0, 255)) for _ in range(4)),
+        "ssn": lambda: f"{r.randint(100, 600):03d}-{r.randint(1, 99):02d}-{r.randint(1, 9999):04d}",
+        "date": lambda: f"{r.randint(1950, 2020)}-{r.randint(1, 12):02d}-{r.randint(1, 28):02d}",
+        "email": lambda: f"u{r.randint(1, 999)}.x@host{r.randint(1, 9)}.org",
+    }
+    for _ in range(400):
+        text, want = "", []
+        for _ in range(r.randint(0, 6)):
+            text += r.choice(["words ", "and, more; ", "\n", "é "])
+            kind = r.choice(sorted(made))
+            value = made[kind]()
+            want.append((len(text), len(text) + len(value), kind))
+            text += value + " "
+        assert [x[:3] for x in Pseudonyms(b"k").find(text)] == want

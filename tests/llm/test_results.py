@@ -365,3 +365,39 @@ def test_sketch_fills_every_coordinate():
     a = r.integers(0, 2**63, 900).astype(np.uint64)
     same = [(sketch(a[:700]) == sketch(a[200:])).mean() for _ in range(1)]
     assert abs(np.mean(same) - 500 / 900) < 4 * math.sqrt(0.25 / BINS)
+
+
+def test_toxicity_forward_pass_by_plain_loops():
+    """Scores of short and very long texts against a loop over words, filters and offsets."""
+    import numpy as np
+    from lodestone.llm import toxicity as T
+
+    r = random.Random(31)
+    texts = [" ".join(r.choice("abcdefgh") * r.randint(1, 4) for _ in range(r.randint(0, 40))) for _ in range(60)]
+    model = T.train(texts, [int("aa" in t) for t in texts])
+    assert model.constant is None
+
+    def plain(text):
+        low, high = T.hashed(text)
+        rows = [(int(a), int(b)) for a, b in zip(low, high)] or [(T.BUCKETS, T.BUCKETS)]
+        n = len(rows)
+        rows += [(T.BUCKETS, T.BUCKETS)] * T.PADS
+        x = [[*model.tables[0][a].tolist(), *model.tables[1][b].tolist()] for a, b in rows]
+        logit, k = float(np.ravel(model.bias)[0]), 0
+        for w, f in zip(T.WIDTHS, model.filters):
+            for c in range(T.FILTERS):
+                best = max(sum(x[i + o][j] * float(f[o][j][c]) for o in range(w) for j in range(len(x[0]))) for i in range(n))
+                logit += max(best + float(model.shift[k]), 0.0) * float(np.ravel(model.out)[k])
+                k += 1
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, logit))))
+
+    got = model.scores([T.hashed(t) for t in texts])
+    assert all(abs(a - plain(t)) < 1e-4 for a, t in zip(got, texts))
+    long = [texts[0], " ".join(texts * 60), "", " ".join(texts * 35)]
+    whole = model.scores([T.hashed(t) for t in long])
+    at, T.POSITIONS = T.POSITIONS, 700
+    try:
+        assert len(T.hashed(long[1])[0]) > 10 * T.POSITIONS
+        assert np.abs(model.scores([T.hashed(t) for t in long]) - whole).max() < 1e-5
+    finally:
+        T.POSITIONS = at
