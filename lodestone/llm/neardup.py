@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,9 +38,9 @@ BINS = BANDS * ROWS
 #: Blocks of classes compared set by set: those outside a hub's component, and all members.
 ASIDE = 128
 MEMBERS = 512
-#: Bits of the filter that says which texts to read again for verification: eight a class, 16 MB at most.
-#: Beyond that more texts pass it than need to; the join on the classes then drops them.
-FILTER_BITS = (1 << 20, 1 << 27)
+#: Bits of the filter that says which texts to read again for verification: 64 a class, 2 to 16 MB. When it
+#: is full, more texts pass it than need to; what isn't wanted meets no pair.
+FILTER_BITS = (1 << 24, 1 << 27)
 #: Members of a centre whose sets meet one copy of the centre's set.
 SHARE = 64
 
@@ -139,7 +140,7 @@ def wanted_bits(wanted: DataFrame) -> tuple[int, bytes]:
     import numpy as np
 
     least, most = FILTER_BITS
-    size = min(most, max(least, 1 << (8 * wanted.count()).bit_length()))
+    size = min(most, max(least, 1 << (64 * wanted.count()).bit_length()))
 
     def run(batches):
         for batch in batches:
@@ -157,7 +158,11 @@ def wanted_bits(wanted: DataFrame) -> tuple[int, bytes]:
 
 
 def full_sets(docs: DataFrame, width: int, wanted: DataFrame) -> DataFrame:
-    """cls and the full shingle set of the wanted classes (cls, doc_id), one row each."""
+    """cls and the full shingle set of the wanted classes (cls, doc_id) and perhaps others, one row each; a written table.
+
+    A class comes once from each partition that holds the row of its least id, so mostly once in all;
+    of repeated rows all but one are dropped, found by their keys alone.
+    """
     size, bits = wanted_bits(wanted)
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
@@ -176,11 +181,16 @@ def full_sets(docs: DataFrame, width: int, wanted: DataFrame) -> DataFrame:
                     classes.append(cls)
                     sets.append(shingle_set(words, width).view("int64"))
             if classes:
-                yield pa.record_batch([pa.array(classes, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["cls", "shingles"])
+                place = pa.array([TaskContext.get().partitionId()] * len(classes), pa.int32())
+                yield pa.record_batch([pa.array(classes, pa.binary()), pa.array(sets, pa.list_(pa.int64())), place], ["cls", "shingles", "place"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = arrow_map(rows, run, "cls binary, shingles array<long>")
-    return found.join(wanted.select("cls"), "cls", "left_semi").groupBy("cls").agg(F.first("shingles").alias("shingles"))
+    found = scratch(arrow_map(rows, run, "cls binary, shingles array<long>, place int"), "sets")
+    twice = found.groupBy("cls").agg(F.min("place").alias("first"), F.count("*").alias("n")).filter("n > 1").select(F.col("cls").alias("of"), "first")
+    twice = scratch(twice, "twice")
+    if not twice.limit(1).count():
+        return found.drop("place")
+    return scratch(found.join(twice, (F.col("cls") == F.col("of")) & (F.col("place") != F.col("first")), "left_anti").drop("place"), "sets")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -217,7 +227,7 @@ def classes_linked(docs: DataFrame, classes: DataFrame, keys: DataFrame, width:
         return nothing
     degree = scratch(member.groupBy("cls").agg(F.sum("c").alias("degree")), "degrees")
     reread = classes.join(degree.select("cls"), "cls", "left_semi")
-    sets = scratch(full_sets(docs, width, scratch(reread, "wanted")), "sets")
+    sets = full_sets(docs, width, scratch(reread, "wanted"))
     member = scratch(member.drop("c").join(degree, "cls"), "members")
     best = member.groupBy("bk").agg(F.max(F.struct("degree", "cls", "n")).alias("top"))
     centre = scratch(best.select("bk", F.col("top.cls").alias("of"), F.col("top.n").alias("of_n")), "centres")
