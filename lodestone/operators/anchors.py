@@ -37,11 +37,57 @@ def _prepared(anchors: DataFrame) -> DataFrame:
     return a.select("anchor_id", F.col("version_id").alias("_v"), *[norm_ws(F.col(c)).alias(c) for c in ("quote", "prefix", "suffix")], "page", parse(F.col("bbox")).alias("box"), "source_version", F.lower(F.coalesce("source_hash", F.lit(""))).alias("source_hash"), "block_id", "block_idx")
 
 
+def _grams(text: Column) -> Column:
+    """The distinct words of a normalised text and its runs of three words."""
+    w = F.split(text, " ")
+    n = F.greatest(F.size(w) - 2, F.lit(0))
+    pair = lambda x, y: F.concat(x, F.lit(" "), y)
+    threes = F.zip_with(F.zip_with(F.slice(w, 1, n), F.slice(w, 2, n), pair), F.slice(w, 3, n), pair)
+    return F.array_distinct(F.concat(w, threes))
+
+
+def _key(quote: Column) -> Column:
+    """What a block that holds the quote has among its _grams; null for quotes of one or two words.
+
+    The first and last word of a quote may be parts of words, those between are whole.
+    """
+    w = F.split(quote, " ")
+    longest = F.array_max(F.transform(F.slice(w, 2, F.greatest(F.size(w) - 2, F.lit(0))), lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"]
+    return F.when(F.size(w) >= 5, F.array_join(F.slice(w, 2, 3), " ")).when(F.size(w) >= 3, longest)
+
+
+def _met(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Anchors beside the blocks of their version that hold their quote, are on their page, or are the block they name.
+
+    Each pair comes once. A quote of three words or more meets the blocks that share its key, shorter ones
+    all blocks of the version; pages, block ids and indexes are keys of their own. has: the block holds
+    the quote (or there is none); on_page: it is on the anchor's page.
+    """
+    quoted, here = F.col("quote") != "", F.col("_v") == F.col("bv")
+    on_page = F.coalesce((F.col("page") > 0) & (F.col("bpage") == F.col("page")), F.lit(False))
+    holds = F.contains("btext", "quote")
+    keyed = a.withColumn("_key", _key(F.col("quote")))
+    grams = b.select(F.col("bv").alias("gv"), F.col("bid").alias("gid"), F.explode(_grams(F.col("btext"))).alias("gram"))
+    found = grams.join(keyed.filter(quoted & F.col("_key").isNotNull()), (F.col("_v") == F.col("gv")) & (F.col("_key") == F.col("gram")))
+    found = found.join(b, (F.col("gv") == F.col("bv")) & (F.col("gid") == F.col("bid"))).filter(holds)
+    short = b.join(keyed.filter(quoted & F.col("_key").isNull()), here).filter(holds)
+    beside = b.join(a, here & (F.col("bpage") == F.col("page"))).filter(on_page & (~quoted | ~holds))
+    named = b.join(a, here & (F.col("bid") == F.col("block_id"))).filter(~quoted & ~on_page)
+    placed = b.join(a, here & (F.col("bidx") == F.col("block_idx"))).filter(~quoted & ~on_page & ~F.coalesce(F.col("bid") == F.col("block_id"), F.lit(False)))
+    cols = [*b.columns, *a.columns]
+    parts = [found.select(*cols, F.lit(True).alias("has")), short.select(*cols, F.lit(True).alias("has"))]
+    parts += [beside.select(*cols, (~quoted).alias("has")), named.select(*cols, F.lit(True).alias("has")), placed.select(*cols, F.lit(True).alias("has"))]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.withColumn("on_page", on_page)
+
+
 def resolve(anchors: DataFrame, blocks: DataFrame, versions: DataFrame) -> DataFrame:
     """anchor_id, status, method, reason, block, candidates, page. Exact.
 
-    Each anchor meets the blocks of its version (an equi-join), which yields features; one aggregate
-    a anchor and one chain of cases decide, in the fixed order: block id, box, quote, ambiguous quote,
+    Each anchor meets the blocks that it can be in (keyed joins), which yields features; one aggregate
+    an anchor and one chain of cases decide, in the fixed order: block id, box, quote, ambiguous quote,
     changed context, ambiguous box, block index, page, nothing. anchors: anchor_id, version_id (to
     resolve on), and what they have of quote, prefix, suffix, page, bbox, source_version,
     source_hash, block_id, block_idx. blocks: version_id, id, idx, text, page, bbox_json.
@@ -54,14 +100,9 @@ def resolve(anchors: DataFrame, blocks: DataFrame, versions: DataFrame) -> DataF
     a = a.select("*", same_version.alias("same_version"), same_hash.alias("same_hash"))
     have = blocks.columns
     b = blocks.select(F.col("version_id").alias("bv"), F.col("id").alias("bid"), F.col("idx").alias("bidx"), norm_ws(F.col("text")).alias("btext"), (F.col("page") if "page" in have else F.lit(None).cast("int")).alias("bpage"), parse(F.col("bbox_json") if "bbox_json" in have else F.lit(None).cast("string")).alias("bbox"))
-    # an inner join, so that few anchors can be broadcast to many blocks; anchors without blocks come back below
-    j = b.join(a, F.col("_v") == F.col("bv"))
+    j = _met(a, b)
     no_quote = F.col("quote") == ""
-    j = j.withColumn("holds", F.contains("btext", "quote"))  # one search a pair; all else is for the few pairs left
-    has = F.col("bid").isNotNull() & (no_quote | F.coalesce("holds", F.lit(False)))
-    on_page = F.coalesce((F.col("page") > 0) & (F.col("bpage") == F.col("page")), F.lit(False))
     box, own = F.col("box"), F.col("bbox")
-    j = j.select("*", has.alias("has"), on_page.alias("on_page")).filter("has OR on_page")
     hit = F.col("on_page") & box.isNotNull() & own.isNotNull() & same_rect(own["page_rect"], box["page_rect"]) & F.coalesce(overlap(own["rect"], box["rect"]) >= 0.8, F.lit(False))
     n = F.when(F.col("has"), F.coalesce(occurrences(F.col("btext"), F.col("quote"), F.col("prefix"), F.col("suffix")), F.lit(0))).otherwise(0)
     j = j.select("*", n.alias("n"), hit.alias("hit"))

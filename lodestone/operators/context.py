@@ -79,32 +79,74 @@ def packed(ordered: DataFrame, budget: int, start: int = 0, key: str = "doc_id",
     return g.select(key, F.explode(fold).alias("x")).select(key, "x.place", "x.kept")
 
 
+def bounded_metadata(metadata: dict) -> tuple[dict, bool]:
+    """Title and authors cut until the canonical form has 3,000 characters at most; whether that took more than plain limits."""
+    m = {**metadata, "title": str(metadata.get("title") or "")[:1000], "authors": [str(a)[:200] for a in (metadata.get("authors") or [])[:32]]}
+    whole = len(canonical(m)) <= 3000
+    while len(canonical(m)) > 3000 and (m["authors"] or m["title"]):
+        if m["authors"]:
+            m["authors"].pop()
+        else:
+            m["title"] = m["title"][: len(m["title"]) // 2]
+    return m, not whole
+
+
+def _plain(v, kind=int):
+    """A pandas value as JSON has it; missing ones are null."""
+    return None if v is None or v != v else kind(v)
+
+
 def select_context(ordered: DataFrame, stage: str, key: str = "doc_id", metadata: str = "{}") -> DataFrame:
-    """key, place, kept, cost: section_order()'s blocks under the stage's budget of canonical JSON. A group is one document."""
+    """section_order()'s blocks under the stage's budget of canonical JSON. A group is one document.
+
+    key, place, kept, cost; truncated: whether the text was cut; abstract: whether the block is a
+    candidate for the abstract (kept blocks below a heading that says so, eight at most, else the first
+    three kept); omitted_sections and metadata_truncated of the document. Optional columns: page,
+    role, level, bbox (JSON; its spans are left out) and metadata (JSON, one a document, in place of
+    the argument), as positioned documents have them; null ones count as missing.
+    """
     budget, reserved = BUDGETS[stage], RESERVED[stage]
 
     def pick(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values("place")
-        heads = p.drop_duplicates("section_no").sort_values(["priority", "section_no"]).head(160)
-        hierarchy = [{"id": r.section_id, "heading_path": r.section_path[:300], "level": None, "parent_path": r.parent_path[:300]} for r in heads.itertuples()]
-        frame = {"stage": stage, "metadata": json.loads(metadata), "section_hierarchy": hierarchy, "abstract_candidates": [], "blocks": [], "coverage": {}}
+        firsts = p.sort_values("reference_id").drop_duplicates("section_no")
+        heads = firsts.sort_values(["priority", "section_no"]).head(160)
+        hierarchy = [{"id": r.section_id, "heading_path": r.section_path[:300], "level": _plain(r.level), "parent_path": r.parent_path[:300]} for r in heads.itertuples()]
+        stated = json.loads(_plain(p.metadata.iloc[0], str) or metadata)
+        stated, cut = bounded_metadata(stated) if stated else (stated, False)
+        frame = {"stage": stage, "metadata": stated, "section_hierarchy": hierarchy, "abstract_candidates": [], "blocks": [], "coverage": {}}
         while hierarchy and len(canonical(frame)) > budget // 3:
             hierarchy.pop()
         size, rows = len(canonical(frame)) + 600, []
         for r in p.itertuples():
-            label = r.candidate_label if isinstance(r.candidate_label, str) else None
-            item = {"reference_id": r.reference_id, "block_id": r.block_id, "page": None, "heading_path": r.section_path[:300], "kind": r.kind, "role": None, "bbox": None, "text": r.text[:MOST_TEXT], "text_truncated": len(r.text) > MOST_TEXT, "candidate_label": label, "section_id": r.section_id}
+            box = {k: v for k, v in json.loads(r.bbox).items() if k != "spans"} if _plain(r.bbox, str) else None
+            item = {"reference_id": r.reference_id, "block_id": r.block_id, "page": _plain(r.page), "heading_path": r.section_path[:300], "kind": r.kind, "role": _plain(r.role, str), "bbox": box, "text": r.text[:MOST_TEXT], "text_truncated": len(r.text) > MOST_TEXT, "candidate_label": _plain(r.candidate_label, str), "section_id": r.section_id}
             cost = len(canonical(item)) + 1
             fits = size + cost <= budget - reserved
             size += cost if fits else 0
-            rows.append((getattr(r, key), r.place, fits, cost))
-        return pd.DataFrame(rows, columns=[key, "place", "kept", "cost"])
+            rows.append([getattr(r, key), r.place, fits, cost, item["text_truncated"], "abstract" in item["heading_path"].lower(), len(firsts) - len(hierarchy), cut])
+        sent = [x for x in rows if x[2]]
+        chosen = [x[1] for x in sent if x[5]][:8] or [x[1] for x in sent[:3]]
+        for x in rows:
+            x[5] = x[1] in chosen
+        return pd.DataFrame(rows, columns=[key, "place", "kept", "cost", "truncated", "abstract", "omitted_sections", "metadata_truncated"])
 
     kind = ordered.schema[key].dataType.simpleString()
     cols = [key, "place", "priority", "section_no", "section_id", "section_path", "parent_path", "reference_id", "block_id", "kind", "text", "candidate_label"]
-    return ordered.select(*cols).groupBy(key).applyInPandas(pick, f"{key} {kind}, place long, kept boolean, cost long")
-
-
-def coverage(selected: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, total_blocks, sent_blocks, omitted_blocks."""
-    return selected.groupBy(key).agg(F.count("*").alias("total_blocks"), F.count_if("kept").alias("sent_blocks"), F.count_if(~F.col("kept")).alias("omitted_blocks"))
+    more = {"page": "int", "role": "string", "level": "int", "bbox": "string", "metadata": "string"}
+    extra = [(F.col(c) if c in ordered.columns else F.lit(None)).cast(t).alias(c) for c, t in more.items()]
+    rows = ordered.select(*cols, *extra).groupBy(key)
+    return rows.applyInPandas(pick, f"{key} {kind}, place long, kept boolean, cost long, truncated boolean, abstract boolean, omitted_sections long, metadata_truncated boolean")
+
+
+def coverage(selected: DataFrame, stage: str = "extract", key: str = "doc_id") -> DataFrame:
+    """key, total_blocks, sent_blocks, omitted_blocks, truncated_blocks, omitted_sections, character_budget, metadata_truncated."""
+    return selected.groupBy(key).agg(
+        F.count("*").alias("total_blocks"),
+        F.count_if("kept").alias("sent_blocks"),
+        F.count_if(~F.col("kept")).alias("omitted_blocks"),
+        F.count_if(F.col("kept") & F.col("truncated")).alias("truncated_blocks"),
+        F.max("omitted_sections").alias("omitted_sections"),
+        F.lit(BUDGETS[stage]).cast("long").alias("character_budget"),
+        F.max("metadata_truncated").alias("metadata_truncated"),
+    )

@@ -50,10 +50,11 @@ def identity_match(identities: DataFrame, sources: DataFrame, key=title_key) ->
         arr = F.array(*[F.struct(F.lit(n).alias("p"), F.col(c).alias("k")) for c, n in tags])
         return df.select("i", "dk", "ak", F.explode(arr).alias("x")).select("i", "dk", "ak", "x.p", "x.k").filter("k IS NOT NULL AND (k <> '' OR p = 5)")
 
-    b = keys(theirs).select(F.col("i").alias("sid"), F.col("dk").alias("sdk"), F.col("ak").alias("sak"), "p", "k")
+    # sources that agree in all that counts are one row, however many share a title
+    b = keys(theirs).groupBy("p", "k", F.col("dk").alias("sdk"), F.col("ak").alias("sak")).agg(F.min("i").alias("sid"), F.count("*").alias("many"))
     hits = keys(own).join(b, ["p", "k"])
     clash = ((F.col("dk") != "") & (F.col("sdk") != "") & (F.col("dk") != F.col("sdk"))).cast("long") + ((F.col("ak") != "") & (F.col("sak") != "") & (F.col("ak") != F.col("sak"))).cast("long")
-    per = hits.groupBy("i", "p").agg(F.count("*").alias("n"), F.sum(clash).alias("c"), F.min("sid").alias("sid"))
+    per = hits.groupBy("i", "p").agg(F.sum("many").alias("n"), F.sum(clash * F.col("many")).alias("c"), F.min("sid").alias("sid"))
     first = per.groupBy("i").agg(F.min_by(F.struct("p", "n", "c", "sid"), "p").alias("m"))
     j = identities.select("identity_id").join(first, F.col("identity_id") == F.col("i"), "left")
     names = F.create_map(*[F.lit(x) for p in ((1, "content_hash"), (2, "doi"), (3, "arxiv_id"), (4, "title_authors_year"), (5, "title")) for x in p])

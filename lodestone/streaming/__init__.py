@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.analysis import heuristic
@@ -43,15 +43,21 @@ def ingest_status(spark: SparkSession, folder: str, schema: str, sink: str, chec
 def fold_turns(events: DataFrame) -> DataFrame:
     """session_id, turn_id, text, error: the deltas of a turn in order of seq, or why there is no text.
 
-    A turn that was cancelled, that has no end, or whose text exceeds MOST_OUTPUT is an error, in
-    that order of what comes first in the stream.
+    Of a text that exceeds MOST_OUTPUT characters and a cancellation, what comes first in the stream is
+    the error; a turn with neither that has no end is incomplete. No more than MOST_OUTPUT characters
+    of a turn are gathered.
     """
     delta = F.col("kind") == "delta"
-    parts = F.array_sort(F.collect_list(F.when(delta, F.struct("seq", "text"))))
-    g = events.groupBy("session_id", "turn_id").agg(
+    so_far = Window.partitionBy("session_id", "turn_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    e = events.withColumn("_upto", F.sum(F.when(delta, F.length("text")).otherwise(0)).over(so_far))
+    fits = F.col("_upto") <= MOST_OUTPUT
+    parts = F.array_sort(F.collect_list(F.when(delta & fits, F.struct("seq", "text"))))
+    g = e.groupBy("session_id", "turn_id").agg(
         F.array_join(F.transform(parts, lambda p: p["text"]), "").alias("text"),
         F.max((F.col("kind") == "completed").cast("int")).alias("ended"),
-        F.max((F.col("kind") == "cancelled").cast("int")).alias("cancelled"),
+        F.min(F.when(F.col("kind") == "cancelled", F.col("seq"))).alias("cancelled"),
+        F.min(F.when(delta & ~fits, F.col("seq"))).alias("large"),
     )
-    error = F.when(F.length("text") > MOST_OUTPUT, "output_too_large").when(F.col("cancelled") == 1, "cancelled").when(F.col("ended") == 0, "incomplete_turn")
+    first = F.coalesce(F.col("large") < F.col("cancelled"), F.col("cancelled").isNull())
+    error = F.when(F.col("large").isNotNull() & first, "output_too_large").when(F.col("cancelled").isNotNull(), "cancelled").when(F.col("ended") == 0, "incomplete_turn")
     return g.select("session_id", "turn_id", F.when(error.isNull(), F.col("text")).alias("text"), error.alias("error"))

@@ -81,6 +81,30 @@ def test_turns(spark):
     assert got == {"1": ("ba", None), "2": (None, "incomplete_turn"), "3": (None, "cancelled")}
 
 
+def test_turns_fail_by_what_comes_first(spark):
+    big = "x" * (1 << 20)
+    rows = [("s", "1", 0, "delta", "a"), ("s", "1", 1, "cancelled", ""), ("s", "1", 2, "delta", big)]
+    rows += [("s", "2", 0, "delta", "a"), ("s", "2", 1, "delta", big), ("s", "2", 2, "cancelled", ""), ("s", "3", 0, "delta", big), ("s", "3", 1, "completed", None)]
+    got = {r["turn_id"]: (r["text"], r["error"]) for r in fold_turns(spark.createDataFrame(rows, "session_id string, turn_id string, seq long, kind string, text string")).collect()}
+    assert got == {"1": (None, "cancelled"), "2": (None, "output_too_large"), "3": (big, None)}
+
+
+def test_context_of_positioned_documents(spark):
+    from lodestone.operators import context
+
+    one = lambda i, path, text, **more: {"doc_id": 1, "place": i, "priority": 0, "section_no": 1 if path == "Abstract" else 2, "section_id": f"S{1 if path == 'Abstract' else 2:04d}", "section_path": path, "parent_path": "", "reference_id": f"B{i:06d}", "block_id": f"b{i}", "kind": "para", "text": text, "candidate_label": None, "page": None, "role": None, "level": None, "bbox": None, "metadata": None, **more}
+    rows = [one(1, "Abstract", "short"), one(2, "Abstract", "é" * 3000, page=2, role="figure_caption", level=1, bbox='{"rect":[0,0,1,1],"spans":[1]}'), one(3, "Rest", "z")]
+    schema = "doc_id long, place long, priority int, section_no int, section_id string, section_path string, parent_path string, reference_id string, block_id string, kind string, text string, candidate_label string, page int, role string, level int, bbox string, metadata string"
+    df = spark.createDataFrame([tuple(r[c.split()[0]] for c in schema.split(", ")) for r in rows], schema)
+    got = {r["place"]: r for r in context.select_context(df, "extract").collect()}
+    item = {"reference_id": "B000002", "block_id": "b2", "page": 2, "heading_path": "Abstract", "kind": "para", "role": "figure_caption", "bbox": {"rect": [0, 0, 1, 1]}, "text": "é" * 2000, "text_truncated": True, "candidate_label": None, "section_id": "S0001"}
+    assert got[2]["cost"] == len(context.canonical(item)) + 1 and got[2]["truncated"] and got[2]["abstract"] and not got[3]["abstract"]
+    cover = context.coverage(context.select_context(df, "extract")).first()
+    assert (cover["total_blocks"], cover["truncated_blocks"], cover["omitted_sections"], cover["metadata_truncated"]) == (3, 1, 0, False)
+    m, cut = context.bounded_metadata({"title": "t" * 5000, "authors": ["\n" * 300] * 40, "year": None})
+    assert cut and len(context.canonical(m)) <= 3000 and m["title"] == "t" * 1000
+
+
 def test_stream_equals_batch(spark, sf):
     from lodestone.queries import QUERIES
     from lodestone.streaming import analysed
