@@ -273,8 +273,8 @@ def identity_match(spark, sf):
 @query("identity_match_unicode")
 def identity_match_unicode(spark, sf):
     d, none = table(spark, sf, "documents"), F.lit(None).cast("string")
-    title = F.left("text", F.lit(40))
-    i = d.filter("lang <> 'en'").select(F.concat(F.lit("i"), F.col("doc_id").cast("string")).alias("identity_id"), F.upper(title).alias("title"), F.array("source").alias("authors"), F.lit(2020).alias("year"), none.alias("doi"), none.alias("arxiv_id"), none.alias("source_hash"))
+    title = F.substring_index("text", "\n", 1)
+    i = d.select(F.concat(F.lit("i"), F.col("doc_id").cast("string")).alias("identity_id"), F.upper(title).alias("title"), F.array("source").alias("authors"), F.lit(2020).alias("year"), none.alias("doi"), none.alias("arxiv_id"), none.alias("source_hash"))
     s = d.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), title.alias("title"), F.array("source").alias("authors"), F.lit(2020).alias("year"), none.alias("doi"), none.alias("arxiv_id"), none.alias("content_hash"))
     return dedup.identity_match(i, s)
 

@@ -54,6 +54,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="lodestone-", dir=_local_root())
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -77,7 +79,29 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/lodestone-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[id(out)] = (out, path)
+    return out
+
+
+_paths: dict[int, tuple[DataFrame, str]] = {}
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove scratch tables that nothing will read again."""
+    for df in tables:
+        _, path = _paths.pop(id(df), (None, None))
+        for entry in [e for e in _written if e[1] == path]:
+            _written.remove(entry)
+            _remove(*entry)
+
+
+def _remove(owner: SparkSession, path: str) -> None:
+    try:
+        p = owner.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(owner.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # the session may have ended already
+        pass
 
 
 def drop_scratch(spark: SparkSession | None = None) -> None:
@@ -87,13 +111,11 @@ def drop_scratch(spark: SparkSession | None = None) -> None:
         if spark is not None and owner is not spark:
             rest.append((owner, path))
             continue
-        try:
-            jvm = owner.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(owner.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the session may have ended already
-            pass
+        _remove(owner, path)
     _written[:] = rest
+    left = {path for _, path in rest}
+    for k in [k for k, (_, path) in _paths.items() if path not in left]:
+        del _paths[k]
 
 
 atexit.register(drop_scratch)
