@@ -21,6 +21,47 @@ def nested(sources: DataFrame, parts: dict[str, tuple[DataFrame, str, list[str]]
     return out.select("id", F.to_json(F.struct("source", *parts), {"ignoreNullFields": "false"}).alias("json"))
 
 
+#: Parts of a full export beside the source itself: name, and what each is ordered by.
+PARTS = {"versions": ["fetched_at", "id"], "blocks": ["idx", "id"], "questions": ["created_at", "id"], "answers": ["created_at", "id"], "knowledge_items": ["sort_order", "created_at", "id"], "highlights": ["created_at", "id"], "translations": ["block_id"]}
+
+
+def full(sources: DataFrame, tags: DataFrame, **parts: DataFrame) -> DataFrame:
+    """id, json: every source with all nine parts; a part that isn't given is empty.
+
+    parts: tables by the names of PARTS, each with source_id; answers name their question, and go with
+    its source. tags: source_id, name, listed by name alone.
+    """
+    unknown = set(parts) - set(PARTS)
+    if unknown:
+        raise ValueError(f"unknown parts: {sorted(unknown)}")
+    if "answers" in parts:
+        asked = parts["questions"].select(F.col("id").alias("_q"), F.col("source_id").alias("_source"))
+        parts["answers"] = parts["answers"].join(asked, F.col("question_id") == F.col("_q")).drop("_q")
+    names = tags.groupBy(F.col("source_id").alias("_t")).agg(F.array_sort(F.collect_set("name")).alias("_tags"))
+    out = sources.select(F.col("id"), F.struct(*sources.columns).alias("source")).join(names, F.col("id") == F.col("_t"), "left").drop("_t")
+    columns = [F.col("source")]
+    for name, order in PARTS.items():
+        if name not in parts:
+            columns.append(F.array().cast("array<string>").alias(name))
+            continue
+        df, key = parts[name], "_source" if name == "answers" else "source_id"
+        row = F.struct(F.struct(*[F.col(c) for c in order if c in df.columns]).alias("o"), F.struct(*[c for c in df.columns if c != "_source"]).alias("v"))
+        g = df.groupBy(F.col(key).alias("_k")).agg(F.transform(F.array_sort(F.collect_list(row)), lambda r: r["v"]).alias(name))
+        out = out.join(g, F.col("id") == F.col("_k"), "left").drop("_k")
+        columns.append(F.coalesce(name, F.array()).alias(name))
+    columns.append(F.coalesce("_tags", F.array()).alias("tags"))
+    return out.select("id", F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("json"))
+
+
+def envelopes(exported: DataFrame, at: Column | None = None) -> DataFrame:
+    """value: one line of JSON a source, with the time of the export; to be written as text.
+
+    All sources in one JSON document would be one row without a bound.
+    """
+    at = at if at is not None else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+    return exported.select(F.concat(F.lit('{"exported_at":'), F.to_json(F.array(at)).substr(F.lit(2), F.length(F.to_json(F.array(at))) - 2), F.lit(',"source":'), "json", F.lit("}")).alias("value"))
+
+
 def anchor_line(anchor: Column, indent: str = "") -> Column:
     """Page, heading and quote of an anchor (JSON) in one line; null if it has none."""
     a = F.from_json(anchor, "page int, headingPath string, quote string")

@@ -711,15 +711,33 @@ def job_recovery(spark, sf):
 
 
 # --- export ---
-@query("export_json_counts", f"WITH {_SRC}, {_KN}, {_QU}, {_TAGS} SELECT id, (SELECT count(*) FROM kn WHERE kn.source_id = src.id) AS knowledge_items, (SELECT count(*) FROM qu WHERE qu.source_id = src.id) AS questions, (SELECT count(*) FROM tags WHERE tags.source_id = src.id) AS tags FROM src")
+_PARTS = ["versions", "blocks", "questions", "answers", "knowledge_items", "highlights", "translations", "tags"]
+_HELD = {"versions": "1", "blocks": "(SELECT count(*) FROM bl WHERE bl.doc_id = src.doc_id)", "questions": "(SELECT count(*) FROM qu WHERE qu.source_id = src.id)", "answers": "(SELECT count(*) FROM an JOIN qu ON qu.id = an.question_id WHERE qu.source_id = src.id)", "knowledge_items": "(SELECT count(*) FROM kn WHERE kn.source_id = src.id)", "highlights": "(SELECT count(*) FROM bl WHERE bl.doc_id = src.doc_id AND idx % 7 = 2)", "translations": "(SELECT count(*) FROM bl WHERE bl.doc_id = src.doc_id AND idx % 3 = 0)", "tags": "(SELECT count(DISTINCT name) FROM tags WHERE tags.source_id = src.id)"}
+
+
+@query("export_json_counts", f"WITH {_SRC}, {_KN}, {_QU}, {_AN}, {_BL}, {_TAGS} SELECT id, " + ", ".join(f"{x}::BIGINT AS {n}" for n, x in _HELD.items()) + ", (SELECT coalesce(string_agg(text, '|' ORDER BY idx), '') FROM bl WHERE bl.doc_id = src.doc_id AND idx % 7 = 2) AS quotes FROM src")
 def export_json_counts(spark, sf):
-    j = _export(spark, sf).select("id", F.from_json("json", "knowledge_items array<struct<id:string>>, questions array<struct<id:string>>, tags array<struct<name:string>>").alias("p"))
-    return j.select("id", *[F.size(f"p.{n}").cast("long").alias(n) for n in ("knowledge_items", "questions", "tags")])
+    """How much of each part every source's document holds, and its highlights' quotes in their order."""
+    schema = ", ".join(f"{n} array<struct<{'quote' if n == 'highlights' else 'source_id'}:string>>" for n in _PARTS[:-1]) + ", tags array<string>"
+    j = _export(spark, sf).select("id", F.from_json("json", schema).alias("p"))
+    return j.select("id", *[F.size(f"p.{n}").cast("long").alias(n) for n in _PARTS], F.array_join("p.highlights.quote", "|").alias("quotes"))
 
 
 def _export(spark, sf):
-    parts = {"knowledge_items": (A.knowledge(spark, sf), "source_id", ["id"]), "questions": (A.questions(spark, sf), "source_id", ["created_at", "id"]), "tags": (A.source_tags(spark, sf), "source_id", ["name"])}
-    return export.nested(A.sources(spark, sf, False), parts)
+    d = table(spark, sf, "documents")
+    b = A.blocks(spark, sf).select(F.concat("version_id", F.lit("-"), F.col("idx").cast("string")).alias("id"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("source_id"), "version_id", "idx", "kind", "level", "text")
+    when = F.lpad(F.col("idx").cast("string"), 9, "0").alias("created_at")
+    return export.full(
+        A.sources(spark, sf, False),
+        A.source_tags(spark, sf),
+        versions=d.select(F.concat(F.lit("v"), F.col("doc_id").cast("string")).alias("id"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("source_id"), F.lit("2024").alias("fetched_at"), F.sha2("text", 256).alias("content_hash")),
+        blocks=b,
+        questions=A.questions(spark, sf),
+        answers=A.answers(spark, sf),
+        knowledge_items=A.knowledge(spark, sf),
+        highlights=b.filter("idx % 7 = 2").select(F.concat(F.lit("h"), "id").alias("id"), "source_id", F.col("id").alias("block_id"), F.col("text").alias("quote"), when),
+        translations=b.filter("idx % 3 = 0").select("source_id", F.col("id").alias("block_id"), F.concat(F.lit("t"), F.col("idx").cast("string")).alias("translated_text")),
+    )
 
 
 @query("export_json")

@@ -75,6 +75,19 @@ def test_export(spark):
     assert md == want
 
 
+def test_full_export_round_trip(spark):
+    s = spark.createDataFrame([("s", "T \"x\"", None), ("r", None, None)], "id string, title string, year int")
+    tags = spark.createDataFrame([("s", "b"), ("s", "a"), ("s", "a")], "source_id string, name string")
+    q = spark.createDataFrame([("q1", "s", "2"), ("q2", "s", "1")], "id string, source_id string, created_at string")
+    a = spark.createDataFrame([("a1", "q1", None), ("a2", "gone", None)], "id string, question_id string, content string")
+    got = {r["id"]: json.loads(r["json"]) for r in export.full(s, tags, questions=q, answers=a).collect()}
+    none = {n: [] for n in (*export.PARTS, "tags")}
+    assert got["r"] == {"source": {"id": "r", "title": None, "year": None}, **none}
+    assert got["s"] == {**none, "source": {"id": "s", "title": 'T "x"', "year": None}, "tags": ["a", "b"], "questions": [{"id": "q2", "source_id": "s", "created_at": "1"}, {"id": "q1", "source_id": "s", "created_at": "2"}], "answers": [{"id": "a1", "question_id": "q1", "content": None}]}
+    line = json.loads(export.envelopes(export.full(s, tags), F.lit('t"')).filter("value LIKE '%\"r\"%'").first()["value"])
+    assert line == {"exported_at": 't"', "source": got["r"]}
+
+
 def test_turns(spark):
     rows = [("s", "1", 1, "delta", "a"), ("s", "1", 0, "delta", "b"), ("s", "1", 2, "completed", ""), ("s", "2", 0, "delta", "x"), ("s", "3", 0, "cancelled", "")]
     got = {r["turn_id"]: (r["text"], r["error"]) for r in fold_turns(spark.createDataFrame(rows, "session_id string, turn_id string, seq long, kind string, text string")).collect()}
