@@ -220,7 +220,8 @@ def classes_linked(docs: DataFrame, classes: DataFrame, keys: DataFrame, width:
     """
     each = keys.select("cls", "n", F.explode("bands").alias("bk"))
     shared = scratch(each.groupBy("bk").agg(F.count("*").alias("c")).filter("c > 1"), "buckets")
-    member = scratch(each.join(shared, "bk"), "members")
+    # both sides grow with the input: the same plan at every size, never a broadcast
+    member = scratch(each.join(shared.hint("merge"), "bk"), "members")
     spark = docs.sparkSession
     nothing = spark.createDataFrame([], "node binary, label binary")
     if not member.limit(1).count():
