@@ -27,7 +27,7 @@ from ..session import scratch
 
 PIVOTS = 512
 NEAREST = 128
-SHARE = 0.2
+SHARE = 0.05
 DEPTH = 10
 CANDIDATES = 8192
 QUERIES = 16384
