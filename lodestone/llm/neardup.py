@@ -342,9 +342,9 @@ def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFram
     by_id = rows.join(best, F.col("cls") == F.col("_best"), "left").groupBy("doc_id").agg(F.count("*").alias("n"), F.max(stays).alias("stays"))
     by_id = scratch(by_id.select(F.col("doc_id").alias("_of"), (F.col("n") > 1).alias("many"), "stays"), "verdicts")
     # ids of one row are decided by id alone
-    settled = by_id.filter(F.col("many") | ~F.col("stays"))
+    settled = scratch(by_id.filter(F.col("many") | ~F.col("stays")).select("_of"), "settled")  # its own size tells Spark how to join
     once = docs.filter(F.col("doc_id").isNotNull()).join(settled, F.col("doc_id").cast("long") == F.col("_of"), "left_anti")
-    again = by_id.filter(F.col("_of").isNull() | (F.col("many") & F.col("stays"))).select("_of")
+    again = scratch(by_id.filter(F.col("_of").isNull() | (F.col("many") & F.col("stays"))).select("_of"), "again")
     if not again.limit(1).count():
         return once
     some = docs.join(again, F.col("doc_id").cast("long") == F.col("_of"), "left_semi").unionByName(docs.filter(F.col("doc_id").isNull()))
