@@ -76,14 +76,20 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     driver's Python ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lodestone-{name}-{uuid.uuid4().hex}"
+    path = scratch_folder(spark, name)
     df.write.parquet(path)
-    _written.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     _paths[id(out)] = (out, path)
     return out
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """The path of a new folder in the shared folder; what is written there goes with the scratch tables."""
+    path = f"{shared_dir(spark)}/lodestone-{name}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 _paths: dict[int, tuple[DataFrame, str]] = {}
 
 
