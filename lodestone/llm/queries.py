@@ -264,3 +264,15 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import scan
 
     return scan(table(spark, sf_dir, "documents"))
+
+
+@query("op11_token_files")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from ..session import scratch_folder
+    from .token_files import read, write
+
+    folder = scratch_folder(spark, "token-files")
+    write(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, end=2)
+    return read(spark, folder, ids=False)
