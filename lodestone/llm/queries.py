@@ -276,3 +276,38 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_folder(spark, "token-files")
     write(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, end=2)
     return read(spark, folder, ids=False)
+
+
+@query("op12_periodic_runs")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .periods import periodic_runs, repeated_tail
+
+    return periodic_runs(table(spark, sf_dir, "documents"), repeated_tail)
+
+
+# every pair of equal words of a document; pairs of one distance in a row are a stretch of that period
+ORACLES["op12_periodic_runs"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS own,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ord(c)::BIGINT)),
+      lambda x, c: list_reduce(list_prepend(xor(x, c), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda y, z: xor(y >> 1, (y & 1) * 3988292384))), 4294967295) AS h
+  FROM documents),
+g AS (SELECT *, h // 10 AS g, len(own) AS n FROM d),
+a AS (SELECT *, CASE WHEN n > 0 THEN g % n ELSE 0 END AS a FROM g),
+w AS MATERIALIZED (
+  SELECT row, doc_id, CASE WHEN h % 10 = 0 AND n > 0
+    THEN own[1:a] || list_transform(range(0, n - a), lambda k: own[a + k % (1 + (n - a) // (3 + g % 8)) + 1]) ELSE own END AS words
+  FROM a),
+each AS MATERIALIZED (SELECT row, i, words[i + 1] AS word FROM (SELECT row, words, unnest(range(0, len(words))) AS i FROM w)),
+pairs AS (SELECT x.row, y.i - x.i AS q, x.i FROM each x JOIN each y ON x.row = y.row AND x.word = y.word AND x.i < y.i),
+isles AS (SELECT row, q, min(i) AS s, max(i) + 1 + q AS e FROM (
+    SELECT row, q, i, i - row_number() OVER (PARTITION BY row, q ORDER BY i) AS isle FROM pairs) GROUP BY row, q, isle
+  HAVING count(*) >= greatest(24 - q, 2 * q)),
+runs AS MATERIALIZED (SELECT row, s, e - s AS n, min(q) AS q FROM isles GROUP BY row, s, e),
+listed AS (SELECT row, count(*) AS n_runs, string_agg(s || ',' || n || ',' || q || chr(10), '' ORDER BY s, q) AS listed,
+    arg_max(struct_pack(s := s, n := n, q := q), (n::DOUBLE / q, -s, -q)) AS best FROM runs GROUP BY row),
+gone AS (SELECT DISTINCT row, i FROM (SELECT row, unnest(range(s + q, s + n)) AS i FROM runs)),
+kept AS (SELECT e.row, string_agg(word, ' ' ORDER BY e.i) AS kept FROM each e ANTI JOIN gone USING (row, i) GROUP BY e.row)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best.s::BIGINT AS start, best.n::BIGINT AS length, best.q::BIGINT AS period,
+  (1000 * best.n // best.q)::BIGINT AS exponent_milli, sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM w LEFT JOIN listed USING (row) LEFT JOIN kept USING (row)"""
