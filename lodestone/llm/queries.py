@@ -311,3 +311,13 @@ kept AS (SELECT e.row, string_agg(word, ' ' ORDER BY e.i) AS kept FROM each e AN
 SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best.s::BIGINT AS start, best.n::BIGINT AS length, best.q::BIGINT AS period,
   (1000 * best.n // best.q)::BIGINT AS exponent_milli, sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
 FROM w LEFT JOIN listed USING (row) LEFT JOIN kept USING (row)"""
+
+
+@query("op13_alignment")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .alignment import cross_alignment
+
+    a, b = map(public_tokenizers.path, ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return cross_alignment(table(spark, sf_dir, "documents"), a, b, public_tokenizers.PATTERN)
