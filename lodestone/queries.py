@@ -837,3 +837,6 @@ def packages(spark, sf):
         data = write_package({"manifest": manifest, "paper_brief": {"schema_version": "paper-brief-0.1", **{k: field for k in names}}, "evidence_refs": []})
         rows.append((f"p{n}", bytearray(data if n else data[:-1])))
     return read(spark.createDataFrame(rows, "path string, content binary"))
+
+
+from . import study_queries  # noqa: E402,F401  registers its queries here
