@@ -88,8 +88,13 @@ def unpacked_ids(control: bytes, data: bytes, n: int, id_of_rank):
     return id_of_rank[out[:n]]
 
 
-def encoded(docs: DataFrame, path: str, pattern: str, end: int) -> DataFrame:
-    """doc_id and the ids of each text with the end id, as bytes of little-endian uint32; one row a document."""
+def width_of(size: int) -> str:
+    """The numpy type of ids below ``size`` until they are packed: the narrower, the less is written and shuffled."""
+    return "<u2" if size <= 1 << 16 else "<u4"
+
+
+def encoded(docs: DataFrame, path: str, pattern: str, end: int, width: str) -> DataFrame:
+    """doc_id and the ids of each text with the end id, as bytes of little-endian integers; one row a document."""
     data = docs.sparkSession.sparkContext.broadcast(read_text(path))
 
     def run(batches):
@@ -98,16 +103,16 @@ def encoded(docs: DataFrame, path: str, pattern: str, end: int) -> DataFrame:
         tok = tokenizer_for(path, True, pattern, data)
         for ids, texts in pieces(batches, ["doc_id", "text"], 1_500_000):
             flat, lengths = tok.encode([text_of(t) for t in texts])
-            whole = np.insert(flat, np.cumsum(lengths), end).astype("<u4").tobytes()
-            at = np.concatenate([[0], np.cumsum(lengths + 1)]) * 4
+            whole = np.insert(flat, np.cumsum(lengths), end).astype(width).tobytes()
+            at = np.concatenate([[0], np.cumsum(lengths + 1)]) * int(width[2])
             rows = [whole[i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist())]
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(lengths + 1, pa.int64()), pa.array(rows, pa.binary())], ["doc_id", "n", "ids"])
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(rows, pa.binary())], ["doc_id", "ids"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return arrow_map(rows, run, "doc_id long, n long, ids binary")
+    return arrow_map(rows, run, "doc_id long, ids binary")
 
 
-def frequencies(ids: DataFrame, size: int) -> list[int]:
+def frequencies(ids: DataFrame, size: int, width: str) -> list[int]:
     """How often each id below ``size`` occurs; a task sends at most as many rows as it met ids."""
 
     def run(batches):
@@ -116,7 +121,7 @@ def frequencies(ids: DataFrame, size: int) -> list[int]:
         seen = np.zeros(size, np.int64)
         for batch in batches:
             for x in batch.column(0):
-                seen += np.bincount(np.frombuffer(x.as_py(), "<u4"), minlength=size)
+                seen += np.bincount(np.frombuffer(x.as_py(), width), minlength=size)
         met = np.flatnonzero(seen)
         yield pa.record_batch([pa.array(met), pa.array(seen[met])], ["id", "n"])
 
@@ -134,10 +139,11 @@ def write(docs: DataFrame, folder: str, path: str, pattern: str, end: int) -> No
     import numpy as np
 
     spark = docs.sparkSession
-    held = scratch(encoded(docs, path, pattern, end), "token-ids")
     vocabulary = json.loads(read_text(path))
     size = 1 + max(end, *vocabulary["model"]["vocab"].values(), *[t["id"] for t in vocabulary["added_tokens"]])
-    counts = np.array(frequencies(held, size))
+    width = width_of(size)
+    held = scratch(encoded(docs, path, pattern, end, width), "token-ids")
+    counts = np.array(frequencies(held, size, width))
     order = np.lexsort([np.arange(size), -counts])
     rank_of = np.empty(size, np.uint32)
     rank_of[order] = np.arange(size)
@@ -155,7 +161,7 @@ def write(docs: DataFrame, folder: str, path: str, pattern: str, end: int) -> No
 
         for batch in batches:
             for doc, x in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids.append(np.frombuffer(x.as_py(), "<u4"))
+                ids.append(np.frombuffer(x.as_py(), width))
                 docs_.append(doc)
                 lengths.append(len(ids[-1]))
                 many += lengths[-1]
