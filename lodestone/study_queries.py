@@ -146,3 +146,46 @@ def carried_anchors(spark, sf):
     old, new = _versions(spark, sf)
     made = old.filter("idx % 7 = 2").select(F.concat(F.lit("a"), "id").alias("anchor_id"), "source_id", F.col("id").alias("block_id"))
     return versions.carried(made, versions.version_diff(old, new))
+
+
+# --- streams ---
+@query(
+    "folded_turns_stream",
+    "SELECT conv_id::VARCHAR AS session_id, '0' AS turn_id, CASE WHEN conv_id % 3 = 0 OR conv_id % 5 = 0 THEN NULL ELSE string_agg(text, '' ORDER BY turn) END AS text, CASE WHEN conv_id % 5 = 0 THEN 'cancelled' WHEN conv_id % 3 = 0 THEN 'incomplete_turn' END AS error FROM conversations GROUP BY conv_id",
+)
+def folded_turns_stream(spark, sf):
+    """Conversations sent in three feeds; the stream stops after each and goes on from its checkpoint."""
+    from .streaming.turns import fold_feed
+
+    c = table(spark, sf, "conversations")
+    sid = F.col("conv_id").cast("string").alias("session_id")
+    at = lambda minutes: (F.timestamp_seconds(F.lit(1704067200) + minutes * 60)).alias("ts")
+    events = c.select(sid, F.lit("0").alias("turn_id"), F.col("turn").cast("long").alias("seq"), F.lit("delta").alias("kind"), "text", at(F.lit(0)))
+    ids = c.select("conv_id").distinct()
+    end = lambda cond, kind: ids.filter(cond).select(sid, F.lit("0").alias("turn_id"), F.lit(1 << 30).cast("long").alias("seq"), F.lit(kind).alias("kind"), F.lit("").alias("text"), at(F.lit(2)))
+    # a turn of another session an hour later tells that time has passed
+    later = spark.range(1).select(F.lit("clock").alias("session_id"), F.lit("0").alias("turn_id"), F.lit(0).cast("long").alias("seq"), F.lit("delta").alias("kind"), F.lit("").alias("text"), at(F.lit(60)))
+    feeds = [events.filter("seq < 2"), events.filter("seq >= 2"), end("conv_id % 3 <> 0", "completed").unionByName(end("conv_id % 5 = 0", "cancelled")), later]
+    base = scratch_folder(spark, "turns")
+    for n, feed in enumerate(feeds):
+        feed.write.parquet(f"{base}/in/feed={n}")
+        fold_feed(spark.readStream.schema(events.schema).parquet(f"{base}/in").drop("feed"), f"{base}/out", f"{base}/state")
+    return spark.read.schema("session_id string, turn_id string, text string, error string").parquet(f"{base}/out").drop("batch")
+
+
+@query(
+    "analysis_states",
+    r"""SELECT 'd' || doc_id AS source_id, CASE WHEN n < 20 THEN 'failed' ELSE 'done' END AS state, CASE WHEN n >= 20 THEN left(split_part(text, chr(10), 1), 150) END AS one_line_summary,
+  CASE WHEN n < 20 THEN 'fewer than 20 words' END AS error, 3::BIGINT AS n_states FROM (SELECT *, len(regexp_extract_all(text, '\S+')) AS n FROM documents)""",
+)
+def analysis_states(spark, sf):
+    """Documents as sources in two feeds; every tenth document is sent again in the second."""
+    from .streaming.states import current, ingest_states
+
+    d = table(spark, sf, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("source_id"), "text", F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") % 600).alias("sent_at"), "doc_id")
+    base = scratch_folder(spark, "states")
+    for n, feed in enumerate([d.filter("doc_id % 2 = 0"), d.filter("doc_id % 2 = 1 OR doc_id % 10 = 0")]):
+        feed.drop("doc_id").write.parquet(f"{base}/in/feed={n}")
+        stream = spark.readStream.schema("source_id string, text string, sent_at timestamp").parquet(f"{base}/in")
+        ingest_states(stream, f"{base}/log", f"{base}/state").awaitTermination()
+    return current(spark, f"{base}/log")
