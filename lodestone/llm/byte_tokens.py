@@ -34,6 +34,7 @@ class ByteTokenizer:
 
     def __init__(self, data: str, special: bool, pattern: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
+        import numpy as np
         import regex
         from tokenizers import Tokenizer
 
@@ -48,6 +49,11 @@ class ByteTokenizer:
         self.any_text = regex.compile(pattern).findall
         plain = ascii_form(pattern)
         self.ascii_text = re.compile(plain).findall if plain else self.any_text
+        vocabulary = self.library.get_vocab()
+        #: Bytes of every id: its text has a character for each.
+        self.sizes = np.zeros(1 + max(vocabulary.values()), np.int64)
+        for t, i in vocabulary.items():
+            self.sizes[i] = len(t)
         self.forget()
 
     def forget(self) -> None:
@@ -57,16 +63,37 @@ class ByteTokenizer:
         self.pool, self.starts, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def learn(self) -> None:
-        """Encode the pre-tokens noted since."""
+        """Encode the pre-tokens noted since.
+
+        Those of one space and more without another can stand side by side in one text, which the library splits
+        between them again: it then makes one result of many, cut by the bytes that ids and pre-tokens have.
+        """
         import numpy as np
 
         new, self.index.new = self.index.new, []
         if not new:
             return
-        ids = [e.ids for e in self.library.encode_batch_fast(new, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        starts = len(self.pool) + np.cumsum(lengths) - lengths
-        self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum()))])
+        spaced = [n for n, t in enumerate(new) if t[0] == " " and len(t) > 1 and not t[1].isspace()]
+        flat, lengths = np.zeros(0, np.uint32), np.zeros(len(new), np.int64)
+        if spaced:
+            words = [new[n] for n in spaced]
+            flat = np.array(self.library.encode_batch_fast(["".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.cumsum(np.fromiter((len(w.encode("utf-8", "surrogatepass")) for w in words), np.int64, len(words)))
+            reached = np.cumsum(self.sizes[flat])
+            cuts = np.searchsorted(reached, ends)
+            if len(reached) and reached[-1] == ends[-1] and (reached[np.minimum(cuts, len(reached) - 1)] == ends).all():
+                lengths[spaced] = np.diff(cuts + 1, prepend=0)
+            else:  # not a split that keeps words whole
+                spaced, flat = [], flat[:0]
+        apart = np.ones(len(new), bool)
+        apart[spaced] = False
+        rest = np.flatnonzero(apart)
+        ids = [e.ids for e in self.library.encode_batch_fast([new[n] for n in rest.tolist()], add_special_tokens=False)] if len(rest) else []
+        lengths[rest] = np.fromiter(map(len, ids), np.int64, len(ids))
+        starts = np.empty(len(new), np.int64)
+        order = np.concatenate([np.array(spaced, np.int64), rest])  # as their ids lie in the pool
+        starts[order] = len(self.pool) + np.cumsum(lengths[order]) - lengths[order]
+        self.pool = np.concatenate([self.pool, flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths[rest].sum()))])
         self.starts, self.lengths = np.concatenate([self.starts, starts]), np.concatenate([self.lengths, lengths])
         self.chars += sum(map(len, new))
 
