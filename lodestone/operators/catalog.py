@@ -118,3 +118,28 @@ def translated(blocks: DataFrame, cache: DataFrame, translate: Column) -> DataFr
 
 def next_verification(v: Column) -> Column:
     return F.when(v == "unverified", "verified").when(v == "verified", "disputed").otherwise("unverified")
+
+
+def opened(log: DataFrame) -> DataFrame:
+    """source_id, last_opened_at from a log of events (source_id, action, at): the latest opening, or nothing."""
+    return log.filter("action = 'open'").groupBy("source_id").agg(F.max("at").alias("last_opened_at"))
+
+
+def living_highlights(log: DataFrame) -> DataFrame:
+    """id, source_id, block_id, color, comment, created_at of the highlights that are there now.
+
+    log: id, source_id, block_id, action (add, edit, delete), color, comment, at, seq. The last event of a highlight (by
+    at, then seq) decides whether it lives; an edit's null color or comment leaves what was.
+    """
+    order = F.struct("at", "seq")
+    kept = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), order))
+    g = log.groupBy("id").agg(F.max_by("action", order).alias("last"), F.min_by("source_id", order).alias("source_id"), F.min_by("block_id", order).alias("block_id"), kept("color").alias("color"), kept("comment").alias("comment"), F.min("at").alias("created_at"))
+    return g.filter("last <> 'delete'").drop("last")
+
+
+def highlighted_view(view: DataFrame, highlights: DataFrame) -> DataFrame:
+    """document_view() rows (with id, the block's) and their living highlights: an array of id, color, comment in the order of their making."""
+    rows = F.array_sort(F.collect_list(F.struct("created_at", "id", "color", "comment")))
+    h = highlights.groupBy(F.col("block_id").alias("_b")).agg(F.transform(rows, lambda r: F.struct(r["id"].alias("id"), r["color"].alias("color"), r["comment"].alias("comment"))).alias("highlights"))
+    j = view.join(h, F.col("id") == F.col("_b"), "left").drop("_b")
+    return j.withColumn("highlights", F.coalesce("highlights", F.array().cast("array<struct<id:string,color:string,comment:string>>")))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .operators import blocks, fulltext, versions
+from .functions import geometry
+from .operators import blocks, catalog, citations, fulltext, outline, reviews, versions
 from .plans import adapters as A
-from .queries import _AN, _BL, _KN, _QU, query
+from .queries import _AN, _BL, _KN, _QU, _SRC, query
 from .session import scratch_folder
 from .sources import table
 
@@ -189,3 +190,170 @@ def analysis_states(spark, sf):
         stream = spark.readStream.schema("source_id string, text string, sent_at timestamp").parquet(f"{base}/in")
         ingest_states(stream, f"{base}/log", f"{base}/state").awaitTermination()
     return current(spark, f"{base}/log")
+
+
+# --- the map of a document ---
+_MARKS = "marks AS (SELECT doc_id, idx, (idx % 4 = 1)::BIGINT + (idx % 6 = 1)::BIGINT AS notes, (idx % 7 = 2)::BIGINT AS anchors FROM bl)"
+
+
+def _marks(spark, sf):
+    """Notes and highlights by block: their numbers, added before the join."""
+    b = A.blocks(spark, sf)
+    one = lambda cond, notes, anchors: b.filter(cond).select("doc_id", "idx", F.lit(notes).alias("notes"), F.lit(anchors).alias("anchors"))
+    every = one("idx % 4 = 1", 1, 0).unionByName(one("idx % 6 = 1", 1, 0)).unionByName(one("idx % 7 = 2", 0, 1))
+    return every.groupBy("doc_id", "idx").agg(F.sum("notes").alias("notes"), F.sum("anchors").alias("anchors"))
+
+
+@query(
+    "paper_map",
+    f"""WITH {_BL}, {_MARKS}, h AS (SELECT doc_id, idx, level, trim(text, ' ') AS title FROM bl WHERE kind = 'heading'),
+e AS (SELECT h.*, coalesce((SELECT min(n.idx) FROM h n WHERE n.doc_id = h.doc_id AND n.idx > h.idx AND n.level <= h.level), (SELECT max(idx) + 1 FROM bl WHERE bl.doc_id = h.doc_id)) AS end_idx FROM h),
+up AS (SELECT c.doc_id, c.idx, count(*) AS depth, max(p.idx) AS parent_idx FROM e c JOIN e p ON p.doc_id = c.doc_id AND p.idx < c.idx AND c.idx < p.end_idx GROUP BY ALL),
+held AS (SELECT e.doc_id, e.idx, count(*) AS blocks, sum(length(b.text))::BIGINT AS characters, sum(m.notes)::BIGINT AS notes, sum(m.anchors)::BIGINT AS anchors, count(*) FILTER (b.kind = 'heading') AS heads
+  FROM e JOIN bl b ON b.doc_id = e.doc_id AND b.idx >= e.idx AND b.idx < e.end_idx JOIN marks m ON m.doc_id = b.doc_id AND m.idx = b.idx GROUP BY ALL),
+o AS (SELECT e.*, coalesce(up.depth, 0) AS depth, up.parent_idx, 2 * (row_number() OVER (PARTITION BY e.doc_id ORDER BY e.idx) - 1) - coalesce(up.depth, 0) + 1 AS lft FROM e LEFT JOIN up USING (doc_id, idx))
+SELECT doc_id, idx, level, title, depth, parent_idx, lft, lft + 2 * heads - 1 AS rgt, end_idx, blocks, characters, notes, anchors FROM o JOIN held USING (doc_id, idx)""",
+)
+def paper_map(spark, sf):
+    return outline.outline(A.blocks(spark, sf), _marks(spark, sf))
+
+
+_CAPTIONED = "bc AS (SELECT doc_id, idx, kind, CASE WHEN idx % 9 = 4 THEN 'Figure ' || idx || '. ' || text WHEN idx % 9 = 6 THEN 'Table ' || idx || 'a ' || text ELSE text END AS text FROM bl)"
+
+
+@query(
+    "figure_map",
+    rf"""WITH {_BL}, {_CAPTIONED}, c AS (SELECT doc_id, idx, text, nullif(regexp_extract(text, '^\s*((?:Figure|Fig\.|Table)\s*[0-9]+[A-Za-z]?)\b', 1, 'i'), '') AS label, max(CASE WHEN kind = 'heading' THEN idx END) OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS section_idx FROM bc)
+SELECT doc_id, label, CASE WHEN lower(left(label, 1)) = 't' THEN 'table' ELSE 'figure' END AS list, row_number() OVER (PARTITION BY doc_id, list ORDER BY idx) AS nth, idx, trim(text, ' ') AS caption, section_idx FROM c WHERE label IS NOT NULL""",
+)
+def figure_map(spark, sf):
+    i = F.col("idx").cast("string")
+    text_ = F.when(F.col("idx") % 9 == 4, F.concat(F.lit("Figure "), i, F.lit(". "), "text")).when(F.col("idx") % 9 == 6, F.concat(F.lit("Table "), i, F.lit("a "), "text")).otherwise(F.col("text"))
+    return outline.figures(A.blocks(spark, sf).withColumn("text", text_))
+
+
+# --- citations ---
+# every document cites two others by DOI, one of ten by DOI, and one by the number that its arXiv address has
+_CITES = """cites AS (SELECT DISTINCT a, b FROM (SELECT doc_id AS a, unnest([doc_id // 2, doc_id * 3 % 97, doc_id % 10]) AS b FROM documents
+  UNION ALL SELECT d.doc_id, e.doc_id FROM documents d JOIN documents e ON e.doc_id % 90000 = (d.doc_id * 5 + 1) % 1000) JOIN documents k ON k.doc_id = b WHERE a <> b)"""
+
+
+def _citing(spark, sf):
+    d = table(spark, sf, "documents")
+    s = lambda x: x.cast("string")
+    i = F.col("doc_id")
+    more = F.concat(F.lit("\nsee https://doi.org/10.1234/AB."), s(F.floor(i / 2)), F.lit(", doi:10.1234/ab."), s(i * 3 % 97), F.lit("; (10.1234/ab."), s(i % 10), F.lit("). arXiv:2401."), F.lpad(s((i * 5 + 1) % 1000), 5, "0"), F.lit("v2"))
+    texts = d.select(F.concat(F.lit("d"), s(i)).alias("id"), F.concat("text", more).alias("text"))
+    known = d.select(F.concat(F.lit("d"), s(i)).alias("id"), F.concat(F.lit("https://doi.org/10.1234/ab."), s(i)).alias("doi"), F.concat(F.lit("2401."), F.lpad(s(i % 90000), 5, "0")).alias("arxiv_id"))
+    return citations.edges(texts, known), known
+
+
+@query("citation_edges", f"WITH {_CITES} SELECT 'd' || a AS citing, 'd' || b AS cited FROM cites")
+def citation_edges(spark, sf):
+    return _citing(spark, sf)[0]
+
+
+@query(
+    "cocitations",
+    f"""WITH {_CITES}, n AS (SELECT 'd' || x.b AS id, 'd' || y.b AS other, count(*) AS n FROM cites x JOIN cites y ON x.a = y.a AND x.b <> y.b WHERE x.b % 50 = 0 GROUP BY ALL)
+SELECT id, row_number() OVER (PARTITION BY id ORDER BY n DESC, other) AS rank, other, n FROM n QUALIFY rank <= 10""",
+)
+def cocitations(spark, sf):
+    wanted = table(spark, sf, "documents").filter("doc_id % 50 = 0").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"))
+    return citations.cocited(_citing(spark, sf)[0], wanted)
+
+
+@query(
+    "citation_rank",
+    f"""WITH RECURSIVE {_CITES}, o AS MATERIALIZED (SELECT a, count(*) AS n FROM cites GROUP BY a), node AS MATERIALIZED (SELECT doc_id AS id, coalesce(o.n, 0) AS n, (SELECT count(*) FROM documents)::DOUBLE AS total FROM documents LEFT JOIN o ON o.a = doc_id),
+r AS (SELECT id, 1 / total AS r, 0 AS round FROM node
+  UNION ALL SELECT node.id, 0.15::DOUBLE / total + 0.85::DOUBLE * (coalesce(g.got, 0) + coalesce(l.loose, 0) / total), p.round
+  FROM node CROSS JOIN (SELECT max(round) + 1 AS round FROM r) p
+  CROSS JOIN (SELECT sum(r) AS loose FROM r JOIN node USING (id) WHERE n = 0) l
+  LEFT JOIN (SELECT b, sum(r.r / o.n) AS got FROM cites JOIN r ON r.id = a JOIN o USING (a) GROUP BY b) g ON g.b = node.id WHERE p.round <= 10)
+SELECT 'd' || id AS id, n AS n_citing, (SELECT count(*) FROM cites WHERE b = id) AS n_cited_by, round(r, 9) AS rank FROM r JOIN node USING (id) WHERE round = 10""",
+)
+def citation_rank(spark, sf):
+    links, known = _citing(spark, sf)
+    return citations.ranked(links, known)
+
+
+# --- reading again ---
+_REVIEWS = """WITH RECURSIVE rv AS MATERIALIZED (SELECT 'd' || user_id AS source_id, ts, event_id, least(greatest(floor(value)::BIGINT % 6, 0), 5) AS grade, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, count(*) OVER (PARTITION BY user_id) AS many FROM events WHERE event_type IN ('view', 'click')),
+st AS (SELECT source_id, 0::BIGINT AS n, 2500::BIGINT AS ease, 0::BIGINT AS reps, 0::BIGINT AS days, 0::BIGINT AS lapses FROM rv WHERE n = 1
+  UNION ALL SELECT s.source_id, s.n + 1, greatest(1300, s.ease + 100 - (5 - grade) * (80 + (5 - grade) * 20)), CASE WHEN grade >= 3 THEN s.reps + 1 ELSE 0 END,
+    least(36500, CASE WHEN grade < 3 OR s.reps = 0 THEN 1 WHEN s.reps = 1 THEN 6 ELSE (s.days * s.ease + 500) // 1000 END), s.lapses + (grade < 3)::BIGINT
+  FROM st s JOIN rv r ON r.source_id = s.source_id AND r.n = s.n + 1),
+history AS MATERIALIZED (SELECT source_id, st.n AS n_reviews, lapses, ease, days, ts + days::INT * INTERVAL 1 DAY AS due_at FROM st JOIN rv USING (source_id, n) WHERE st.n = many)"""
+
+
+def _history(spark, sf):
+    e = table(spark, sf, "events").filter("event_type IN ('view', 'click')")
+    return reviews.folded(e.select(F.concat(F.lit("d"), F.col("user_id").cast("string")).alias("source_id"), F.col("ts").alias("at"), F.col("event_id").alias("seq"), (F.floor("value") % 6).alias("grade")))
+
+
+@query("review_history", f"{_REVIEWS} SELECT source_id, n_reviews, lapses, ease, days, strftime(due_at, '%Y-%m-%d %H:%M:%S') AS due_at FROM history")
+def review_history(spark, sf):
+    return _history(spark, sf).withColumn("due_at", F.date_format("due_at", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query(
+    "review_queue",
+    f"""{_REVIEWS}, {_SRC}, {_KN}, q AS (SELECT source_id, count(*) AS open FROM kn WHERE info_type = 'open_question' GROUP BY source_id)
+SELECT * FROM (SELECT src.id AS source_id, reading_status = 'recheck' AS recheck, coalesce(q.open, 0) AS open_questions, strftime(due_at, '%Y-%m-%d %H:%M:%S') AS due_at,
+  CASE WHEN due_at <= TIMESTAMP '2024-03-01' THEN floor((epoch_us(TIMESTAMP '2024-03-01') - epoch_us(due_at)) / 86400000000)::BIGINT END AS overdue_days
+FROM src LEFT JOIN q ON q.source_id = src.id LEFT JOIN history h ON h.source_id = src.id) WHERE recheck OR open_questions > 0 OR overdue_days IS NOT NULL""",
+)
+def review_queue(spark, sf):
+    out = reviews.queue(_history(spark, sf), A.sources(spark, sf, False), A.knowledge(spark, sf), F.lit("2024-03-01 00:00:00").cast("timestamp"))
+    return out.withColumn("due_at", F.date_format("due_at", "yyyy-MM-dd HH:mm:ss"))
+
+
+# --- selections on pages ---
+@query(
+    "selection_geometry",
+    f"""WITH {_BL}, p AS (SELECT doc_id, idx, [0, 90, 180, 270][idx % 4 + 1] AS turn, 600.0::DOUBLE AS w, 800.0::DOUBLE AS h, 1 + idx % 3 AS s, (length(text) % 90)::DOUBLE AS a, (idx % 50)::DOUBLE AS b FROM bl),
+-- a page is shown at s times its size from (20, 30) on; a selection is two lines, the second one past the page's end
+q AS (SELECT *, least(a, a / 2) AS l, greatest(a + 40, a / 2 + 3000) AS r, b AS t, b + 24 AS o FROM p)
+SELECT doc_id, idx, turn,
+  round(greatest(0, CASE turn WHEN 0 THEN l WHEN 90 THEN t WHEN 180 THEN w - r ELSE w - o END), 6) AS x0,
+  round(greatest(0, CASE turn WHEN 0 THEN t WHEN 90 THEN h - r WHEN 180 THEN h - o ELSE l END), 6) AS y0,
+  round(least(w, CASE turn WHEN 0 THEN r WHEN 90 THEN o WHEN 180 THEN w - l ELSE w - t END), 6) AS x1,
+  round(least(h, CASE turn WHEN 0 THEN o WHEN 90 THEN h - l WHEN 180 THEN h - t ELSE r END), 6) AS y1 FROM q""",
+)
+def selection_geometry(spark, sf):
+    turn = F.element_at(F.array(*map(F.lit, [0, 90, 180, 270])), (F.col("idx") % 4 + 1).cast("int"))
+    b = A.blocks(spark, sf).select("doc_id", "idx", turn.alias("turn"), (1 + F.col("idx") % 3).cast("double").alias("s"), (F.length("text") % 90).cast("double").alias("a"), (F.col("idx") % 50).cast("double").alias("b"))
+    at = lambda x, y: (F.lit(20.0) + x * F.col("s"), F.lit(30.0) + y * F.col("s"))
+    rect = lambda x0, y0, x1, y1: F.array(*at(x0, y0), *at(x1, y1))
+    lines = F.array(rect(F.col("a"), F.col("b"), F.col("a") + 40, F.col("b") + 12), rect(F.col("a") / 2, F.col("b") + 12, F.col("a") / 2 + 3000, F.col("b") + 24), rect(F.col("a"), F.col("b"), F.col("a"), F.col("b") + 12))
+    turned = F.col("turn").isin(90, 270)
+    w, h = F.when(turned, 800.0).otherwise(600.0), F.when(turned, 600.0).otherwise(800.0)
+    g = geometry.selection(lines, rect(F.lit(0.0), F.lit(0.0), w, h), F.array(*map(F.lit, [10.0, 20.0, 610.0, 820.0])), F.col("turn"))
+    return b.select("doc_id", "idx", "turn", g.alias("g")).select("doc_id", "idx", "turn", *[F.round(F.col("g.rect")[i], 6).alias(n) for i, n in enumerate(["x0", "y0", "x1", "y1"])])
+
+
+# --- activity ---
+def _highlight_log(spark, sf):
+    """Two of seven blocks are highlighted; some highlights change their color, some get a comment, some go, and some of these come back."""
+    b = A.blocks(spark, sf).filter("idx % 7 IN (2, 3)")
+    none = F.lit(None).cast("string")
+    i, block = F.col("idx").cast("string"), F.concat("version_id", F.lit("-"), F.col("idx").cast("string"))
+    event = lambda cond, action, seq, color, comment: b.filter(cond).select(F.concat(F.lit("h"), block).alias("id"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("source_id"), block.alias("block_id"), F.lit(action).alias("action"), color.alias("color"), comment.alias("comment"), F.lit("2024-01-01").alias("at"), F.lit(seq).alias("seq"))
+    log = event("true", "add", 0, F.lit("yellow"), none)
+    later = [(2, "edit", F.lit("green"), none), (3, "edit", none, F.concat(F.lit("c"), i)), (5, "delete", none, none), (10, "add", F.lit("blue"), none)]
+    for seq, (n, action, color, comment) in enumerate(later, 1):
+        log = log.unionByName(event(f"(doc_id + idx) % {n} = 0", action, seq, color, comment))
+    return log
+
+
+@query(
+    "highlighted_document",
+    f"""WITH {_BL}, h AS (SELECT version_id || '-' || idx AS block_id, CASE WHEN (doc_id + idx) % 10 = 0 THEN 'blue' WHEN (doc_id + idx) % 2 = 0 THEN 'green' ELSE 'yellow' END AS color, CASE WHEN (doc_id + idx) % 3 = 0 THEN 'c' || idx END AS comment FROM bl
+  WHERE idx % 7 IN (2, 3) AND ((doc_id + idx) % 5 <> 0 OR (doc_id + idx) % 10 = 0))
+SELECT 'd' || doc_id AS source_id, idx, text, CASE WHEN h.block_id IS NULL THEN '' ELSE 'h' || h.block_id || '/' || h.color || coalesce('/' || h.comment, '') END AS highlights FROM bl LEFT JOIN h ON h.block_id = version_id || '-' || idx""",
+)
+def highlighted_document(spark, sf):
+    view = A.blocks(spark, sf).select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("source_id"), F.concat("version_id", F.lit("-"), F.col("idx").cast("string")).alias("id"), "idx", "text")
+    v = catalog.highlighted_view(view, catalog.living_highlights(_highlight_log(spark, sf)))
+    return v.select("source_id", "idx", "text", F.array_join(F.transform("highlights", lambda h: F.concat_ws("/", h["id"], h["color"], h["comment"])), ",").alias("highlights"))
