@@ -171,7 +171,7 @@ def _op3_sql() -> str:
     """Positions from the texts between matches; every window's entropy counted on its own; each character is the earliest kind's."""
     from math import ceil, log2
 
-    from .secrets import ALLOWED, BASE, CHANGES, CLASSES, KINDS, NARROW, UNIT, WINDOW, weights
+    from .secrets import ALLOWED, ALLOWED_PARTS, BASE, CHANGES, CLASSES, KINDS, NARROW, UNIT, WINDOW, weights
 
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     assign = r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -183,10 +183,11 @@ def _op3_sql() -> str:
     searches += [(k, len(BASE) + n, "[A-Za-z0-9+/_-]+", 0, WINDOW) for n, k in enumerate(CLASSES)]
     parts = []
     for kind, n, pattern, group, least in searches:
+        of = "text" if n < len(BASE) else "bare"
         parts.append(f"""SELECT row, '{kind}' AS kind, {n} AS k, i, m[i] AS found, v[i] AS held, {least} AS least, {start} AS s
           FROM (SELECT row, unnest(range(1, len(m) + 1)) AS i, m, p, v FROM (
-            SELECT row, regexp_extract_all(text, {quote(pattern)}, 0) AS m, regexp_extract_all(text, {quote(pattern)}, {group}) AS v, regexp_split_to_array(text, {quote(pattern)}) AS p FROM d
-            WHERE regexp_matches(text, {quote(pattern if kind == "assign" else pattern[:-1] + "{" + str(least - 4 * (kind == "access")) + ",}")})))
+            SELECT row, regexp_extract_all({of}, {quote(pattern)}, 0) AS m, regexp_extract_all({of}, {quote(pattern)}, {group}) AS v, regexp_split_to_array({of}, {quote(pattern)}) AS p FROM d
+            WHERE regexp_matches({of}, {quote(pattern if kind == "assign" else pattern[:-1] + "{" + str(least - 4 * (kind == "access")) + ",}")})))
           WHERE length(v[i]) >= {least}""")
     allow = " OR ".join(f"regexp_matches(found, {quote(p)})" for p in ALLOWED)
     fit = f"regexp_matches(found, '[0-9]') AND regexp_matches(found, '[A-Za-z]') AND NOT ({allow})"
@@ -198,11 +199,14 @@ def _op3_sql() -> str:
           FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (
             SELECT row, c, s, regexp_extract_all(found, {quote(pattern)}, 0) AS m, regexp_split_to_array(found, {quote(pattern)}) AS p FROM wide WHERE k = {len(BASE) + 1}))
           WHERE {fit.replace("found", "m[i]")} AND {changes.replace("found", "m[i]")} * {CHANGES} >= length(m[i]){also.replace("found", "m[i]")}""")
+    bare = "coalesce(text, '')"
+    for p, length in ALLOWED_PARTS.items():
+        bare = f"regexp_replace({bare}, {quote(p)}, {quote(' ' * length)}, 'g')"
     most = round(WINDOW * log2(WINDOW) * UNIT)
     need = [0] * len(BASE) + [most - ceil(c[2] * WINDOW * UNIT) for c in [*CLASSES.values(), *NARROW.values()]]
     names = [k for k in KINDS]
     return f"""
-WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text, {bare} AS bare FROM documents),
 hits AS ({" UNION ALL ".join(parts)}),
 base AS (SELECT row, kind, k, s, s + length(found) AS e FROM hits WHERE k < {len(BASE)}),
 wide AS (SELECT row, kind, k, i AS c, found, s FROM hits WHERE k >= {len(BASE)} AND {fit} AND (k > {len(BASE)} OR regexp_full_match(found, '[0-9a-fA-F]+'))),

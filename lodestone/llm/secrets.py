@@ -6,7 +6,8 @@ letters, digits and + / _ -) of at least WINDOW characters that hold a digit and
 of WINDOW characters slides over the candidate; its character counts change by one character in and
 one out, and so does the sum of count * log2(count), held as an integer in units of 2**-20 bit so
 that it is exact. Windows of at least the class's entropy are flagged and overlapping ones merged.
-Candidates that an allow-list pattern matches are passed over. Of flagged spans, the parts that no
+Candidates that are an allowed value as a whole are passed over; allowed parts are cut out before
+candidates are looked for, so that what stands beside them is judged by itself. Of flagged spans, the parts that no
 span of an earlier kind covers are added, so that text beside a base match does not stay.
 
 Runs of few characters seldom reach what entropy_text asks for. So the candidates of entropy_text
@@ -55,13 +56,13 @@ NARROW = {
 }
 CHANGES = 12
 _CHANGE = r"[a-z](?=[A-Z])|[A-Za-z](?=[0-9])|[0-9](?=[A-Za-z])"
-#: Candidates that these match are no secrets: UUIDs, words of examples, runs in order, known digests.
+#: Candidates that are one of these as a whole are no secrets: UUIDs, known digests.
 ALLOWED = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"[Ee][Xx][Aa][Mm][Pp][Ll][Ee]",
-    r"0123456789|abcdefghijkl|ABCDEFGHIJKL",
     r"^(d41d8cd98f00b204e9800998ecf8427e|da39a3ee5e6b4b0d3255bfef95601890afd80709)$",
 )
+#: Parts that belong to no candidate, with their lengths: words of examples, runs in order.
+ALLOWED_PARTS = {r"[Ee][Xx][Aa][Mm][Pp][Ll][Ee]": 7, r"0123456789": 10, r"abcdefghijkl|ABCDEFGHIJKL": 12}
 KINDS = [*BASE, *CLASSES, *NARROW]
 UNIT = 1 << 20
 
@@ -96,7 +97,8 @@ def flagged(candidate: str, alphabet: str, least: float) -> str:
     f = "array(" + ", ".join(f"{w}L" for w in weights()) + ")"
     most = round(WINDOW * math.log2(WINDOW) * UNIT) - math.ceil(least * WINDOW * UNIT)
     codes = f"transform(regexp_extract_all({candidate}, '.', 0), ch -> instr('{alphabet}', ch) - 1)"
-    steps = f"zip_with({codes}, slice(concat(array_repeat(-1, {WINDOW}), {codes}), 1, length({candidate})), (a, b) -> named_struct('i', a, 'o', b))"
+    # an array of one array, so that the codes are made once
+    steps = f"transform(array({codes}), q -> zip_with(q, slice(concat(array_repeat(-1, {WINDOW}), q), 1, size(q)), (a, b) -> named_struct('i', a, 'o', b)))[0]"
     change = f"if(x.i = x.o, 0L, {f}[a.c[x.i] + 1] - {f}[a.c[x.i]] + if(x.o < 0, 0L, {f}[a.c[greatest(x.o, 0)] - 1] - {f}[a.c[greatest(x.o, 0)]]))"
     counts = "if(x.i = x.o, a.c, transform(a.c, (v, k) -> v + if(k = x.i, 1, 0) - if(k = x.o, 1, 0)))"
     flag = f"(a.n + 1 >= {WINDOW} AND a.s + ({change}) <= {most}L)"
@@ -110,12 +112,16 @@ def flagged(candidate: str, alphabet: str, least: float) -> str:
     return f"aggregate({steps}, {start}, (a, x) -> {step}, a -> if(a.b >= 0, concat(a.r, array(named_struct('b', a.b, 'e', a.e))), a.r))"
 
 
-def uncovered(cover: str) -> str:
-    """SQL of the parts of the span x that no span of cover covers."""
-    part = lambda a, b: f"array(named_struct('s', {a}, 'k', x.k, 'e', {b}))"
-    near = f"array_sort(filter({cover}, b -> b.s < x.e AND x.s < b.e))"
-    step = f"named_struct('t', greatest(a.t, b.e), 'r', if(b.s > a.t, concat(a.r, {part('a.t', 'b.s')}), a.r))"
-    return f"aggregate({near}, named_struct('t', x.s, 'r', {_NONE}), (a, b) -> {step}, a -> if(a.t < x.e, concat(a.r, {part('a.t', 'x.e')}), a.r))"
+def beside(cover: str, new: str, kind: str) -> str:
+    """SQL of the parts of the spans ``new`` (apart from one another) that no span of ``cover`` covers, in one sweep over both.
+
+    t: how far the cover has reached; b, e: what is left of the latest new span; r: parts so far.
+    """
+    part = lambda a, b: f"concat(a.r, array(named_struct('s', {a}, 'k', {kind}, 'e', {b})))"
+    both = f"array_sort(concat(transform({cover}, x -> named_struct('s', x.s, 'new', false, 'e', x.e)), transform({new}, x -> named_struct('s', x.s, 'new', true, 'e', x.e))))"
+    starts = f"named_struct('t', a.t, 'b', greatest(x.s, a.t), 'e', x.e, 'r', if(a.b < a.e, {part('a.b', 'a.e')}, a.r))"
+    covers = f"named_struct('t', greatest(a.t, x.e), 'b', if(x.s < a.e, greatest(a.b, x.e), a.b), 'e', a.e, 'r', if(x.s < a.e AND a.b < x.s, {part('a.b', 'x.s')}, a.r))"
+    return f"aggregate({both}, named_struct('t', 0, 'b', 0, 'e', 0, 'r', {_NONE}), (a, x) -> if(x.new, {starts}, {covers}), a -> if(a.b < a.e, {part('a.b', 'a.e')}, a.r))"
 
 
 _SPANS = "array<struct<s:int,k:int,e:int>>"
@@ -125,10 +131,14 @@ _NONE = f"cast(array() as {_SPANS})"
 def spans(docs: DataFrame, allowed: tuple[str, ...] = ALLOWED) -> DataFrame:
     """The rows with _base and _all: arrays of spans (s, k: number in KINDS, e), in order."""
     d = docs.withColumn("_t", F.coalesce(F.col("text").cast("string"), F.lit("")))
-    d = d.select("*", *[F.expr(f"regexp_extract_all(_t, {quoted(p[0])}, 0)").alias(f"_m_{k}") for k, p in {**BASE, **CLASSES}.items()])
+    bare = "_t"  # spaces of the same length end candidates and keep places
+    for pattern, length in ALLOWED_PARTS.items():
+        bare = f"regexp_replace({bare}, '{pattern}', '{' ' * length}')"
+    d = d.withColumn("_u", F.expr(f"if(_t rlike '{'|'.join(ALLOWED_PARTS)}', {bare}, _t)"))
+    d = d.select("*", *[F.expr(f"regexp_extract_all({'_t' if k in BASE else '_u'}, {quoted(p[0])}, 0)").alias(f"_m_{k}") for k, p in {**BASE, **CLASSES}.items()])
     starts = []
     for kind, (pattern, *_) in {**BASE, **CLASSES}.items():
-        at = F.expr(f"if(size(_m_{kind}) = 0, cast(array() as array<int>), {gaps(f'_m_{kind}', quoted(pattern))})")
+        at = F.expr(f"if(size(_m_{kind}) = 0, cast(array() as array<int>), {gaps(f'_m_{kind}', quoted(pattern), '_t' if kind in BASE else '_u')})")
         starts.append(at.alias(f"_g_{kind}"))
     d = d.select("*", *starts, F.expr(f"if(size(_m_assign) = 0, cast(array() as array<string>), regexp_extract_all(_t, {quoted(BASE['assign'][0])}, 2))").alias("_v_assign"))
     d = d.select("*", *[F.expr(f"if(size(_m_{k}) = 0, cast(array() as array<int>), {running(f'_g_{k}')})").alias(f"_s_{k}") for k in [*BASE, *CLASSES]])
@@ -157,9 +167,12 @@ def spans(docs: DataFrame, allowed: tuple[str, ...] = ALLOWED) -> DataFrame:
     for n, (kind, (_, alphabet, least, *_)) in enumerate({**CLASSES, **NARROW}.items(), len(BASE)):
         found.append((kind, f"if(size(_c_{kind}) = 0, {_NONE}, flatten(transform(_c_{kind}, m -> transform({flagged('m.m', alphabet, least)}, r -> named_struct('s', m.s + r.b, 'k', {n}, 'e', m.s + r.e)))))"))
     d = d.select("*", *[F.expr(x).alias(f"_f_{k}") for k, x in found])
-    d = d.withColumn("_more", F.expr("concat(" + ", ".join(f"_f_{k}" for k in [*CLASSES, *NARROW]) + ")"))
-    d = d.withColumn("_all", F.expr(f"if(size(_more) = 0, _base, array_sort(aggregate(_more, _base, (r, x) -> concat(r, {uncovered('r')}))))"))
-    return d.drop(*[f"_{x}_{k}" for x in "mgscrf" for k in KINDS], "_v_assign", "_more")
+    # each character is the earliest kind's; one fold over all kinds, so that a pushed filter can't multiply it
+    kinds = [*CLASSES, *NARROW]
+    each = ", ".join(f"named_struct('k', {n}, 'f', _f_{kind})" for n, kind in enumerate(kinds, len(BASE)))
+    none = " AND ".join(f"size(_f_{kind}) = 0" for kind in kinds)
+    d = d.withColumn("_all", F.expr(f"if({none}, _base, array_sort(aggregate(array({each}), _base, (c, y) -> if(size(y.f) = 0, c, concat(c, {beside('c', 'y.f', 'y.k')})))))"))
+    return d.drop(*[f"_{x}_{k}" for x in "mgscrf" for k in KINDS], "_v_assign", "_u")
 
 
 def listed(column: str) -> str:

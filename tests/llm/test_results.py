@@ -117,17 +117,23 @@ def test_entropy_windows_against_plain_counts(spark):
     r = random.Random(8)
     b64 = CLASSES["entropy_text"][1]
     own = {i: "see " + "".join(r.choice(b64) for _ in range(r.randint(15, 70))) + " and " + "a1" * 20 + " " + "".join(r.choice("0123456789abcdef") for _ in range(r.randint(18, 31))) for i in range(80)}
-    own[100] = "key EXAMPLE" + "".join(r.choice(b64) for _ in range(40)) + " id 123e4567-e89b-12d3-a456-426614174000"
+    own[100] = "EXAMPLEabcdefghijkl 0123456789example id 123e4567-e89b-12d3-a456-426614174000"
+    keys = ["".join(r.choice(b64[:62]) for _ in range(40)) for _ in range(4)]
+    beside = ["key EXAMPLE", "example-", "config/abcdefghijkl/", "0123456789_"]  # allowed parts hide nothing beside them
+    own |= {101 + i: b + k for i, (b, k) in enumerate(zip(beside, keys))}
+    own[105] = "key EXAMPLE" + "".join(r.choice(b64) for _ in range(40)) + " id 123e4567-e89b-12d3-a456-426614174000"
 
     def bits(w):
         return -sum(c / len(w) * math.log2(c / len(w)) for c in Counter(w).values())
 
     got = {x["doc_id"]: [s for s in x["spans"].split(",") if s.startswith("entropy")] for x in scan(spark.createDataFrame(list(own.items()), "doc_id long, text string")).collect()}
-    assert got[100] == [] and sum(map(len, got.values())) > 60
+    assert got[100] == [] and all(any(a.endswith(f":{len(b) + 40}") for a in got[101 + i]) for i, b in enumerate(beside))
+    assert sum(map(len, got.values())) > 60
     for i, t in own.items():
         for s in got[i]:
             kind, a, b = s.split(":")
             a, b = int(a), int(b)
+            assert "example" not in t[a:b].lower() and "0123456789" not in t[a:b] and "abcdefghijkl" not in t[a:b]
             least = CLASSES[kind][2]
             lit = [j for j in range(a, b - WINDOW + 1) if bits(t[j : j + WINDOW]) >= least - 1e-5]
             assert lit[0] == a and lit[-1] == b - WINDOW and all(y - x <= WINDOW for x, y in zip(lit, lit[1:]))
