@@ -21,6 +21,7 @@ table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import re
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import scratch
-from .byte_tokens import ByteTokenizer, read_text, tokenizer_for
+from .byte_tokens import ByteTokenizer, Remembered, read_text, tokenizer_for
 from .common import arrow_map, pieces, text_of
 
 #: Pairs that are broadcast at most; 17 bytes each.
@@ -51,12 +52,44 @@ def byte_of_character() -> dict[str, int]:
     return out
 
 
+class PieceTokenizer(Remembered):
+    """A sentencepiece BPE model that puts a space before a text and has no piece with a space behind other characters.
+
+    So no merge reaches from a word to the space after it: spaces and the word behind them are a part.
+    """
+
+    def __init__(self, model: bytes):
+        import numpy as np
+        import sentencepiece
+
+        self.library = b = sentencepiece.SentencePieceProcessor(model_proto=model)
+        pieces_ = [b.id_to_piece(i) for i in range(b.get_piece_size())]
+        self.data = [_byte_piece(p) if b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces_)]
+        self.sizes = np.fromiter(map(len, self.data), np.int64)
+        crossing = any("▁" in p.lstrip("▁") for i, p in enumerate(pieces_) if not b.is_control(i) and not b.is_unknown(i))
+        self.split = (lambda t: [t] if t else []) if crossing else re.compile(" *[^ ]+| +").findall
+        self.together = not crossing
+        self.forget()
+
+    def joins(self, part: str) -> bool:
+        return self.together and part[0] == " " and part[-1] != " "
+
+    def joined(self, parts: list[str]) -> list[int]:
+        return self.library.encode("".join(parts)[1:], num_threads=1)
+
+    def apart(self, parts: list[str]) -> list[list[int]]:
+        return self.library.encode([p[1:] for p in parts], num_threads=1)
+
+    def whole(self, text: str) -> bool:
+        return False
+
+
 @dataclass
 class Pair:
     """Both tokenizers, and every token's bytes."""
 
     a: ByteTokenizer
-    b: object
+    b: PieceTokenizer
     a_bytes: list[bytes]
     b_bytes: list[bytes]
 
@@ -81,15 +114,12 @@ _pairs: dict[tuple[str, str], Pair] = {}
 def pair_for(a_path: str, b_path: str, pattern: str, a_data, b_data) -> Pair:
     """This worker process's tokenizers, from broadcasts of both files."""
     if (a_path, b_path) not in _pairs:
-        import sentencepiece
-
         a = tokenizer_for(a_path, False, pattern, a_data)
         code = byte_of_character()
         vocabulary = {i: t for t, i in a.library.get_vocab(with_added_tokens=False).items()}
         a_bytes = [bytes(map(code.__getitem__, vocabulary[i])) if i in vocabulary else b"" for i in range(max(vocabulary) + 1)]
-        b = sentencepiece.SentencePieceProcessor(model_proto=b_data.value)
-        b_bytes = [_byte_piece(b.id_to_piece(i)) if b.is_byte(i) else b.id_to_piece(i).replace("▁", " ").encode() for i in range(b.get_piece_size())]
-        _pairs[a_path, b_path] = Pair(a, b, a_bytes, b_bytes)
+        b = PieceTokenizer(b_data.value)
+        _pairs[a_path, b_path] = Pair(a, b, a_bytes, b.data)
     return _pairs[a_path, b_path]
 
 
@@ -158,25 +188,17 @@ def aligned_batch(pair: Pair, texts: list[str]):
     import numpy as np
 
     given = [" " + t if t else "" for t in texts]
-    a_ids, a_many = pair.a.encode(given)
-    b_lists = pair.b.encode([t or "" for t in texts], num_threads=1)
-    a_at = np.concatenate([[0], np.cumsum(a_many)])
-    fits = []
-    for n, t in enumerate(given):
-        data = t.encode("utf-8", "surrogatepass")
-        ok = bool(data) and b"".join(map(pair.b_bytes.__getitem__, b_lists[n])) == data
-        fits.append(ok and b"".join(map(pair.a_bytes.__getitem__, a_ids[a_at[n] : a_at[n + 1]].tolist())) == data)
-    fits = np.array(fits, bool)
-    n_a = np.where(fits, a_many, 0)
-    n_b = np.array([len(x) if ok else 0 for x, ok in zip(b_lists, fits)], np.int64)
+    a_ids, a_many, _ = pair.a.encode(given)
+    b_ids, b_many, fits = pair.b.encode(given)
+    fits &= a_many > 0
+    n_a, n_b = np.where(fits, a_many, 0), np.where(fits, b_many, 0)
     groups, links = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
     written: list[str | None] = [None] * len(texts)
     found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(texts)
     if not fits.any():
         return n_a, n_b, groups, links, written, found
     a = a_ids[np.repeat(fits, a_many)].astype(np.int64)
-    b = np.array([i for x, ok in zip(b_lists, fits) if ok for i in x], np.int64)
-    del b_lists
+    b = b_ids[np.repeat(fits, b_many)].astype(np.int64)
     a_ends, b_ends = np.cumsum(pair.a_len[a]), np.cumsum(pair.b_len[b])
     docs = np.flatnonzero(fits)
     a_last = np.cumsum(n_a[docs]) - 1

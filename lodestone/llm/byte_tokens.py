@@ -29,82 +29,63 @@ class _Index(dict):
         return n
 
 
-class ByteTokenizer:
-    """A byte-level BPE tokenizer file (its JSON text); ``special``: special tokens' strings in texts are those tokens."""
-
-    def __init__(self, data: str, special: bool, pattern: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
-        import numpy as np
-        import regex
-        from tokenizers import Tokenizer
+class Remembered:
+    """Ids of texts from parts that a tokenizer encodes each by itself: every distinct part is encoded once and kept.
 
-        from .bpe import ascii_form
-
-        before = json.loads(data)["pre_tokenizer"]
-        if before["type"] != "ByteLevel" or not before["use_regex"] or before["add_prefix_space"]:
-            raise ValueError("not a byte-level tokenizer without prefix space")
-        self.library = Tokenizer.from_str(data)
-        self.library.encode_special_tokens = not special
-        self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()] if special else []
-        self.any_text = regex.compile(pattern).findall
-        plain = ascii_form(pattern)
-        self.ascii_text = re.compile(plain).findall if plain else self.any_text
-        vocabulary = self.library.get_vocab()
-        #: Bytes of every id: its text has a character for each.
-        self.sizes = np.zeros(1 + max(vocabulary.values()), np.int64)
-        for t, i in vocabulary.items():
-            self.sizes[i] = len(t)
-        self.forget()
+    A subclass has split(text), a text's parts; joins(part), whether parts may stand side by side in one text, which
+    is then split between them again; joined(parts) and apart(parts), their ids together and each; sizes, bytes of
+    every id; and whole(text), whether a text is left to whole_ids(text).
+    """
 
     def forget(self) -> None:
         import numpy as np
 
         self.index, self.chars = _Index(), 0
-        self.pool, self.starts, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool, self.starts, self.lengths, self.fits = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
 
     def learn(self) -> None:
-        """Encode the pre-tokens noted since.
-
-        Those of one space and more without another can stand side by side in one text, which the library splits
-        between them again: it then makes one result of many, cut by the bytes that ids and pre-tokens have.
-        """
+        """Encode the parts noted since; those that may stand side by side make one result, cut by the bytes that ids and parts have."""
         import numpy as np
 
         new, self.index.new = self.index.new, []
         if not new:
             return
-        spaced = [n for n, t in enumerate(new) if t[0] == " " and len(t) > 1 and not t[1].isspace()]
+        near = [n for n, t in enumerate(new) if self.joins(t)]
         flat, lengths = np.zeros(0, np.uint32), np.zeros(len(new), np.int64)
-        if spaced:
-            words = [new[n] for n in spaced]
-            flat = np.array(self.library.encode_batch_fast(["".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+        if near:
+            words = [new[n] for n in near]
+            flat = np.array(self.joined(words), np.uint32)
             ends = np.cumsum(np.fromiter((len(w.encode("utf-8", "surrogatepass")) for w in words), np.int64, len(words)))
             reached = np.cumsum(self.sizes[flat])
             cuts = np.searchsorted(reached, ends)
             if len(reached) and reached[-1] == ends[-1] and (reached[np.minimum(cuts, len(reached) - 1)] == ends).all():
-                lengths[spaced] = np.diff(cuts + 1, prepend=0)
-            else:  # not a split that keeps words whole
-                spaced, flat = [], flat[:0]
-        apart = np.ones(len(new), bool)
-        apart[spaced] = False
-        rest = np.flatnonzero(apart)
-        ids = [e.ids for e in self.library.encode_batch_fast([new[n] for n in rest.tolist()], add_special_tokens=False)] if len(rest) else []
+                lengths[near] = np.diff(cuts + 1, prepend=0)
+            else:  # not a split that keeps parts whole
+                near, flat = [], flat[:0]
+        alone = np.ones(len(new), bool)
+        alone[near] = False
+        rest = np.flatnonzero(alone)
+        ids = self.apart([new[n] for n in rest.tolist()]) if len(rest) else []
         lengths[rest] = np.fromiter(map(len, ids), np.int64, len(ids))
         starts = np.empty(len(new), np.int64)
-        order = np.concatenate([np.array(spaced, np.int64), rest])  # as their ids lie in the pool
+        order = np.concatenate([np.array(near, np.int64), rest])  # as their ids lie in the pool
         starts[order] = len(self.pool) + np.cumsum(lengths[order]) - lengths[order]
         self.pool = np.concatenate([self.pool, flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths[rest].sum()))])
         self.starts, self.lengths = np.concatenate([self.starts, starts]), np.concatenate([self.lengths, lengths])
+        if self.data is not None:  # whether a part's ids give back its bytes
+            pool, data = self.pool, self.data
+            good = (b"".join(map(data.__getitem__, pool[i : i + n].tolist())) == t.encode("utf-8", "surrogatepass") for t, i, n in zip(new, starts.tolist(), lengths.tolist()))
+            self.fits = np.concatenate([self.fits, np.fromiter(good, bool, len(new))])
         self.chars += sum(map(len, new))
 
     def encode(self, texts: list[str]):
-        """All ids in one array (uint32), and how many each text has."""
+        """All ids in one array (uint32), how many each text has, and whether each text's ids give back its bytes (where ``data`` is known)."""
         import numpy as np
 
         if len(self.index) > REMEMBERED or self.chars > REMEMBERED_CHARS:
             self.forget()
-        whole = {n for n, t in enumerate(texts) if any(s in t for s in self.specials)}
-        parts = [[] if n in whole else self.ascii_text(t) if t.isascii() else self.any_text(t) for n, t in enumerate(texts)]
+        whole = {n for n, t in enumerate(texts) if self.whole(t)}
+        parts = [[] if n in whole else self.split(t) for n, t in enumerate(texts)]
         many = np.fromiter(map(len, parts), np.int64, len(parts))
         at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(parts)), np.int64, int(many.sum()))
         del parts
@@ -112,11 +93,63 @@ class ByteTokenizer:
         counts = self.lengths[at]
         upto = np.concatenate([[0], np.cumsum(counts)])
         flat = self.pool[np.repeat(self.starts[at] - upto[:-1], counts) + np.arange(upto[-1])]
-        edges = upto[np.concatenate([[0], np.cumsum(many)])]
+        of = np.concatenate([[0], np.cumsum(many)])
+        edges = upto[of]
+        fits = None
+        if self.data is not None:
+            bad = np.concatenate([[0], np.cumsum(~self.fits[at])])
+            fits = bad[of[1:]] == bad[of[:-1]]
         if not whole:
-            return flat, np.diff(edges)
-        out = [np.array(self.library.encode(t, add_special_tokens=False).ids, np.uint32) if n in whole else flat[edges[n] : edges[n + 1]] for n, t in enumerate(texts)]
-        return np.concatenate(out), np.array([len(x) for x in out], np.int64)
+            return flat, np.diff(edges), fits
+        out = [np.array(self.whole_ids(t), np.uint32) if n in whole else flat[edges[n] : edges[n + 1]] for n, t in enumerate(texts)]
+        return np.concatenate(out), np.array([len(x) for x in out], np.int64), fits
+
+
+class ByteTokenizer(Remembered):
+    """A byte-level BPE tokenizer file (its JSON text); ``special``: special tokens' strings in texts are those tokens."""
+
+    def __init__(self, data: str, special: bool, pattern: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
+        import numpy as np
+        import regex
+        from tokenizers import Tokenizer
+
+        from .bpe import ascii_form
+
+        before = json.loads(data)["pre_tokenizer"]
+        if before["type"] != "ByteLevel" or not before["use_regex"] or before["add_prefix_space"]:
+            raise ValueError("not a byte-level tokenizer without prefix space")
+        self.library = Tokenizer.from_str(data)
+        self.library.encode_special_tokens = not special
+        self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()] if special else []
+        self.any_text = regex.compile(pattern).findall
+        plain = ascii_form(pattern)
+        self.ascii_text = re.compile(plain).findall if plain else self.any_text
+        vocabulary = self.library.get_vocab()
+        #: Bytes of every id: its text has a character for each. Byte-level ids always give back a text.
+        self.sizes, self.data = np.zeros(1 + max(vocabulary.values()), np.int64), None
+        for t, i in vocabulary.items():
+            self.sizes[i] = len(t)
+        self.forget()
+
+    def split(self, text: str) -> list[str]:
+        return self.ascii_text(text) if text.isascii() else self.any_text(text)
+
+    def joins(self, part: str) -> bool:
+        """One space, and more without another."""
+        return part[0] == " " and len(part) > 1 and not part[1].isspace()
+
+    def joined(self, parts: list[str]) -> list[int]:
+        return self.library.encode_batch_fast(["".join(parts)], add_special_tokens=False)[0].ids
+
+    def apart(self, parts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.library.encode_batch_fast(parts, add_special_tokens=False)]
+
+    def whole(self, text: str) -> bool:
+        return any(s in text for s in self.specials)
+
+    def whole_ids(self, text: str) -> list[int]:
+        return self.library.encode(text, add_special_tokens=False).ids
 
 
 _tokenizers: dict[tuple[str, bool], ByteTokenizer] = {}

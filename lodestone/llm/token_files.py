@@ -102,7 +102,7 @@ def encoded(docs: DataFrame, path: str, pattern: str, end: int, width: str) -> D
 
         tok = tokenizer_for(path, True, pattern, data)
         for ids, texts in pieces(batches, ["doc_id", "text"], 1_500_000):
-            flat, lengths = tok.encode([text_of(t) for t in texts])
+            flat, lengths, _ = tok.encode([text_of(t) for t in texts])
             whole = np.insert(flat, np.cumsum(lengths), end).astype(width).tobytes()
             at = np.concatenate([[0], np.cumsum(lengths + 1)]) * int(width[2])
             rows = [whole[i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist())]
