@@ -72,13 +72,16 @@ class PieceTokenizer(Remembered):
         self.forget()
 
     def joins(self, part: str) -> bool:
+        """Spaces and a word."""
         return self.together and part[0] == " " and part[-1] != " "
 
     def joined(self, parts: list[str]) -> list[int]:
         return self.library.encode("".join(parts)[1:], num_threads=1)
 
     def apart(self, parts: list[str]) -> list[list[int]]:
-        return self.library.encode([p[1:] for p in parts], num_threads=1)
+        # an empty text gets no space: spaces alone are read behind a letter
+        first = len(self.library.encode("a", num_threads=1))
+        return [x if p[-1] != " " else x[first:] for p, x in zip(parts, self.library.encode([p[1:] if p[-1] != " " else "a" + p for p in parts], num_threads=1))]
 
     def whole(self, text: str) -> bool:
         return False
