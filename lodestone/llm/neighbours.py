@@ -13,8 +13,9 @@ bounded sample (PIVOTS vectors, by hash of the id); every row is indexed. Querie
 of candidates; blocks are of bounded size, and so is every group.
 
 Vectors that are null, zero, of another length than most, or that hold null or non-finite
-components take no part, nor do null ids. Rows of one vec_id count as one, with the smallest
-vector. Ties go to the smaller vec_id. An empty table gives an empty result.
+components take no part, nor do null ids. Rows that share a vec_id are vectors of their own: each
+is found, and each is a query with results of its own, in which no row of its vec_id is found. Ties go to the
+smaller vec_id. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,15 +32,15 @@ SHARE = 0.05
 DEPTH = 10
 CANDIDATES = 8192
 QUERIES = 16384
-_RESULT = "query_id long, vec_id long, score double"
+_RESULT = "query_id long, row long, vec_id long, score double"
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id and embedding (array<double>) of the vectors that take part."""
+    """vec_id, embedding (array<double>) and row (a number of its own) of the vectors that take part."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).dropna()
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = rows.filter(fine & F.exists("embedding", lambda x: x != 0))
-    return rows.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    return rows.withColumn("row", F.monotonically_increasing_id())
 
 
 def permutations(x, pivots, longest: float, is_query: bool):
@@ -96,19 +97,27 @@ class Block:
         else:
             rows = np.arange(len(agree))
         near = self.x[rows] @ q
-        if len(rows) > k + 1:  # one entry may be the query alone
-            bar = np.partition(near, len(near) - k - 1)[len(near) - k - 1]
+        most = k + int((self.ids == query_id).sum())  # so many entries may be the query's own alone
+        if len(rows) > most:
+            bar = np.partition(near, len(near) - most)[len(near) - most]
             rows = rows[near >= bar - 1e-9 * (1 + abs(bar))]
         exact = np.cumsum(self.x[rows] * q, axis=1)[:, -1]  # one order of addition for all rows
-        ids = [self.ids[a : min(b, a + k + 1)] for a, b in zip(self.edges[rows], self.edges[rows + 1])]
+        ids = [self.others(a, b, query_id, k) for a, b in zip(self.edges[rows], self.edges[rows + 1])]
         exact = np.repeat(exact, [len(i) for i in ids])
         ids = np.concatenate(ids)
-        other = ids != query_id
-        ids, exact = ids[other], exact[other]
         best = np.lexsort((ids, -exact))[:k]
         return ids[best], exact[best]
 
 
+    def others(self, a: int, b: int, query_id: int, k: int):
+        """The first k ids of an entry but the query's own; they are in order."""
+        import numpy as np
+
+        lo = a + np.searchsorted(self.ids[a:b], query_id)
+        hi = a + np.searchsorted(self.ids[a:b], query_id, "right")
+        return self.ids[a : min(b, a + k)] if lo == hi else np.concatenate([self.ids[a:lo], self.ids[hi:b]])[:k]
+
+
 def search(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
     """The ``k`` nearest of every vector for which ``is_query`` (a Column of vec_id) holds."""
     import numpy as np
@@ -122,7 +131,7 @@ def search(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
     seen = rows.agg(F.count("*").alias("n"), F.count_if(is_query).alias("q"), F.max(norm).alias("longest")).collect()[0]
     n, queries, longest = seen["n"], seen["q"], seen["longest"]
-    sample = rows.orderBy(F.md5(F.col("vec_id").cast("string")), "vec_id").limit(PIVOTS).collect()
+    sample = rows.orderBy(F.md5(F.col("vec_id").cast("string")), "vec_id", "embedding").limit(PIVOTS).collect()
     p = np.array([r["embedding"] for r in sample])
     rest = np.sqrt(np.maximum(longest**2 - (p * p).sum(axis=1), 0))
     shared = spark.sparkContext.broadcast((np.concatenate([p, rest[:, None]], axis=1), longest))
@@ -130,21 +139,23 @@ def search(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
 
     def cells(df: DataFrame, own: int, other: int, mine: str, theirs: str) -> DataFrame:
         block = F.pmod(F.xxhash64("vec_id"), F.lit(own)).cast("int").alias(mine)
-        return df.select("vec_id", "embedding", block, F.explode(F.sequence(F.lit(0), F.lit(other - 1))).alias(theirs))
+        return df.select("vec_id", "embedding", "row", block, F.explode(F.sequence(F.lit(0), F.lit(other - 1))).alias(theirs))
 
     candidates = cells(rows, left, right, "cb", "qb")
-    asked = cells(rows.filter(is_query), right, left, "qb", "cb")
+    # columns of their own: of a table joined with itself, Spark may prune those of one side
+    asked = cells(rows.filter(is_query), right, left, "qb", "cb").toDF("query_id", "vector", "query_row", "query_qb", "query_cb")
 
     def meet(key, c: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         pivots, most = shared.value
         if not len(c) or not len(q):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+            return pd.DataFrame({"query_id": [], "row": [], "vec_id": [], "score": []})
         block = Block(c.vec_id.to_numpy(), np.stack(c.embedding.to_numpy()), pivots, most)
-        x = np.stack(q.embedding.to_numpy())
+        x = np.stack(q.vector.to_numpy())
         perms = permutations(x, pivots, most, True)
-        out = [block.search(i, v, perm, k) for i, v, perm in zip(q.vec_id.to_numpy(), x, perms)]
-        return pd.DataFrame({"query_id": np.repeat(q.vec_id.to_numpy(), [len(o[0]) for o in out]), "vec_id": np.concatenate([o[0] for o in out]), "score": np.concatenate([o[1] for o in out])})
+        out = [block.search(i, v, perm, k) for i, v, perm in zip(q.query_id.to_numpy(), x, perms)]
+        many = [len(o[0]) for o in out]
+        return pd.DataFrame({"query_id": np.repeat(q.query_id.to_numpy(), many), "row": np.repeat(q.query_row.to_numpy(), many), "vec_id": np.concatenate([o[0] for o in out]), "score": np.concatenate([o[1] for o in out])})
 
-    found = candidates.groupBy("cb", "qb").cogroup(asked.groupBy("cb", "qb")).applyInPandas(meet, _RESULT)
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = candidates.groupBy("cb", "qb").cogroup(asked.groupBy("query_cb", "query_qb")).applyInPandas(meet, _RESULT)
+    place = F.row_number().over(Window.partitionBy("query_id", "row").orderBy(F.desc("score"), "vec_id"))
     return found.select("query_id", place.alias("rank"), "vec_id", "score").filter(F.col("rank") <= k)
