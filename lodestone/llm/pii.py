@@ -7,7 +7,8 @@ Feistel permutation of the digit strings of that length; dates through one of th
 2099; the local parts of mail addresses through one of strings of letters and digits. Check digits
 are computed anew and walks go on until the value is valid, so a pseudonym passes the validation
 that found it. The same key gives equal values equal pseudonyms in all documents, however they are
-punctuated, and different values of one format different ones. What fails validation stays.
+punctuated, and different values of one format different ones. A phone number with + keeps its country
+code, which its digits tell; written without + and code it is another value. What fails validation stays.
 
 Nulls: a null text stays null and counts as empty. Repeated rows are treated each. Other columns
 stay as they are. An empty table gives an empty result.
@@ -33,6 +34,19 @@ FIRST_DAY, DAYS = dt.date(1900, 1, 1).toordinal(), dt.date(2100, 1, 1).toordinal
 KINDS = ["email", "ip", "iban", "card", "ssn", "date", "phone"]
 _ALNUM = "0123456789abcdefghijklmnopqrstuvwxyz"
 
+# Country codes of one and of two digits (ITU-T E.164); all others have three.
+COUNTRY_CODES = {
+    "1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49",
+    "51", "52", "53", "54", "55", "56", "57", "58", "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86",
+    "90", "91", "92", "93", "94", "95", "98",
+}
+
+
+def country_code(digits: str) -> str:
+    """The country code at the beginning of an international number."""
+    return next((digits[:n] for n in (1, 2) if digits[:n] in COUNTRY_CODES), digits[:3])
+
+
 _START = re.compile(r"(?<![\w.+])(?:[+(]?\d|[A-Z]{2}\d{2})", re.A)
 _MAIL = re.compile(r"[\w.%+-]*\w@\w[\w-]*(?:\.[\w-]+)*\.[^\W\d_]{2,}")
 _PATTERNS = {
@@ -208,8 +222,7 @@ class Pseudonyms:
         if kind == "phone":
             if not 8 <= len(digits) <= 15:
                 return None
-            lead = re.match(r"\+(\d{1,3})(?=\D)", s)
-            keep = len(lead[1]) if lead else 1 if s[0] == "+" else 0
+            keep = len(country_code(digits)) if s[0] == "+" else 0
             return refill(s, digits[:keep] + self.f.digits(digits[keep:], "phone" + digits[:keep]))
         local, _, domain = s.rpartition("@")
         lower = "".join(c for c in local.lower() if c in _ALNUM)

@@ -112,3 +112,20 @@ def test_finder_against_plain_rules():
             want.append((len(text), len(text) + len(value), kind))
             text += value + " "
         assert [x[:3] for x in Pseudonyms(b"k").find(text)] == want
+
+
+def test_phones_are_linked_however_they_are_written():
+    import re
+
+    from lodestone.llm.pii import Pseudonyms, country_code, replaced
+
+    names = Pseudonyms(b"k")
+    for code, spellings in {
+        "44": ["+44 20 7946 0958", "+442079460958", "+44-20-7946-0958", "+44 (20) 7946 0958", "+44.20.7946.0958"],
+        "1": ["+1 212 555 0143", "+12125550143", "+1-212-555-0143"],
+        "353": ["+353 1 555 0143", "+35315550143"],
+    }.items():
+        new = [re.sub(r"\D", "", replaced(t, names.find(t))) for t in spellings]
+        assert len(set(new)) == 1 and new[0].startswith(code) and len(new[0]) == len(re.sub(r"\D", "", spellings[0])), new
+        assert new[0] != re.sub(r"\D", "", spellings[0])
+    assert [country_code(x) for x in ("4420", "12125", "79161", "35315", "8613")] == ["44", "1", "7", "353", "86"]
