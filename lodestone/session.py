@@ -69,7 +69,7 @@ def _local_root() -> str:
     return root
 
 
-def scratch(df: DataFrame, name: str) -> DataFrame:
+def scratch(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
     The table outlives lost executors, and later plans start from it. It is removed when the
@@ -77,7 +77,7 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_folder(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _paths[id(out)] = (out, path)
     return out
