@@ -11,8 +11,8 @@ of ``control``, the first in the lowest bits; a last incomplete byte is filled u
 ids take one byte, and a reader finds all values of a control byte by one look into a table of 256 rows:
 where each of 16 bytes comes from.
 
-The tokenizers library encodes each text once, into a scratch table; frequencies are counted there, and
-the table is dealt by ranges of doc_id. Only the ranks (as many as the vocabulary has) and one number a
+The tokenizers library encodes each text once, into a scratch table, beside which each task writes how often it
+met each id; the table is dealt by ranges of doc_id. Only the ranks (as many as the vocabulary has) and one number a
 shard come to the driver. Parquet is the container since any file system that Spark writes will do, and a
 failed task leaves nothing behind.
 
@@ -93,43 +93,33 @@ def width_of(size: int) -> str:
     return "<u2" if size <= 1 << 16 else "<u4"
 
 
-def encoded(docs: DataFrame, path: str, pattern: str, end: int, width: str) -> DataFrame:
-    """doc_id and the ids of each text with the end id, as bytes of little-endian integers; one row a document."""
+def encoded(docs: DataFrame, path: str, pattern: str, end: int, size: int) -> DataFrame:
+    """doc_id and the ids of each text with the end id, as bytes of little-endian integers; one row a document.
+
+    At the end of each task, rows with id and n alone: how often it met the id, of ``size``.
+    """
+    width = width_of(size)
     data = docs.sparkSession.sparkContext.broadcast(read_text(path))
 
     def run(batches):
         import numpy as np
 
-        tok = tokenizer_for(path, True, pattern, data)
+        tok, seen = tokenizer_for(path, True, pattern, data), np.zeros(size, np.int64)
+        names = ["doc_id", "ids", "id", "n"]
         for ids, texts in pieces(batches, ["doc_id", "text"], 1_500_000):
             flat, lengths, _ = tok.encode([text_of(t) for t in texts])
+            seen += np.bincount(flat, minlength=size)
+            seen[end] += len(lengths)
             whole = np.insert(flat, np.cumsum(lengths), end).astype(width).tobytes()
             at = np.concatenate([[0], np.cumsum(lengths + 1)]) * int(width[2])
             rows = [whole[i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist())]
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(rows, pa.binary())], ["doc_id", "ids"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return arrow_map(rows, run, "doc_id long, ids binary")
-
-
-def frequencies(ids: DataFrame, size: int, width: str) -> list[int]:
-    """How often each id below ``size`` occurs; a task sends at most as many rows as it met ids."""
-
-    def run(batches):
-        import numpy as np
-
-        seen = np.zeros(size, np.int64)
-        for batch in batches:
-            for x in batch.column(0):
-                seen += np.bincount(np.frombuffer(x.as_py(), width), minlength=size)
+            none = pa.nulls(len(rows), pa.int64())
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(rows, pa.binary()), none, none], names)
         met = np.flatnonzero(seen)
-        yield pa.record_batch([pa.array(met), pa.array(seen[met])], ["id", "n"])
+        yield pa.record_batch([pa.nulls(len(met), pa.int64()), pa.nulls(len(met), pa.binary()), pa.array(met, pa.int64()), pa.array(seen[met])], names)
 
-    counts = arrow_map(ids.select("ids"), run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
-    out = [0] * size
-    for r in counts:
-        out[r["id"]] = r["n"]
-    return out
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return arrow_map(rows, run, "doc_id long, ids binary, id long, n long")
 
 
 def write(docs: DataFrame, folder: str, path: str, pattern: str, end: int) -> None:
@@ -142,8 +132,10 @@ def write(docs: DataFrame, folder: str, path: str, pattern: str, end: int) -> No
     vocabulary = json.loads(read_text(path))
     size = 1 + max(end, *vocabulary["model"]["vocab"].values(), *[t["id"] for t in vocabulary["added_tokens"]])
     width = width_of(size)
-    held = scratch(encoded(docs, path, pattern, end, width), "token-ids")
-    counts = np.array(frequencies(held, size, width))
+    held = scratch(encoded(docs, path, pattern, end, size), "token-ids", "zstd")
+    counts = np.zeros(size, np.int64)
+    for r in held.filter("n IS NOT NULL").groupBy("id").agg(F.sum("n").alias("n")).collect():  # as many as the vocabulary has
+        counts[r["id"]] = r["n"]
     order = np.lexsort([np.arange(size), -counts])
     rank_of = np.empty(size, np.uint32)
     rank_of[order] = np.arange(size)
@@ -173,8 +165,8 @@ def write(docs: DataFrame, folder: str, path: str, pattern: str, end: int) -> No
 
     shards = max(1, min(MANY, -(-total // SHARD[0])), -(-total // SHARD[1]))
     order_by = [F.col("doc_id").asc_nulls_first(), F.xxhash64("ids")]
-    sorted_ = held.repartitionByRange(shards, *order_by).sortWithinPartitions(*order_by, "ids").select("doc_id", "ids")
-    arrow_map(sorted_, run, "shard int, block int, offset long, n_ids long, doc_ids array<long>, lengths array<long>, control binary, data binary").write.parquet(f"{folder}/blocks")
+    sorted_ = held.filter("n IS NULL").select("doc_id", "ids").repartitionByRange(shards, *order_by).sortWithinPartitions(*order_by, "ids")
+    arrow_map(sorted_, run, "shard int, block int, offset long, n_ids long, doc_ids array<long>, lengths array<long>, control binary, data binary").write.option("compression", "zstd").parquet(f"{folder}/blocks")
     release(held)
     rows = spark.read.parquet(f"{folder}/blocks").groupBy("shard").agg(F.sum("n_ids").alias("n")).orderBy("shard").collect()
     firsts, first = [], 0
