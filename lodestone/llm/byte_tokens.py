@@ -10,11 +10,37 @@ from __future__ import annotations
 import json
 import os
 import re
+import unicodedata
 from itertools import chain
 
 #: Pre-tokens, and characters of pre-tokens, that are remembered at most; then memory starts anew.
-REMEMBERED = 300_000
-REMEMBERED_CHARS = 8_000_000
+REMEMBERED = 600_000
+REMEMBERED_CHARS = 12_000_000
+
+
+def latin_form(plain: str) -> str:
+    """ascii_form()'s pattern for texts of which LATIN is all, with their letters, numbers and white space in its sets."""
+    held: dict[str, list[int]] = {"L": [], "N": []}
+    for c in range(0x80, LATIN_END):
+        held.setdefault(unicodedata.category(chr(c))[0], []).append(c)
+
+    def ranges(codes: list[int]) -> str:
+        out, k = "", 0
+        while k < len(codes):
+            e = k
+            while e + 1 < len(codes) and codes[e + 1] == codes[e] + 1:
+                e += 1
+            out += chr(codes[k]) + ("-" + chr(codes[e]) if e > k else "")
+            k = e + 1
+        return out
+
+    wide = plain.replace("A-Za-z", "A-Za-z" + ranges(held["L"])).replace("0-9", "0-9" + ranges(held["N"]))
+    return wide.replace(r"\x09-\x0d\x20", r"\x09-\x0d\x20\x85\xa0")
+
+
+#: Characters of Latin texts: those below LATIN_END, and dashes, quotes and currency signs, which are neither letters, numbers nor white space.
+LATIN_END = 0x250
+LATIN = re.compile("[^\x00-\u024f\u2010-\u2027\u2030-\u205e\u20a0-\u20bf]")
 
 
 class _Index(dict):
@@ -125,6 +151,7 @@ class ByteTokenizer(Remembered):
         self.any_text = regex.compile(pattern).findall
         plain = ascii_form(pattern)
         self.ascii_text = re.compile(plain).findall if plain else self.any_text
+        self.latin_text = re.compile(latin_form(plain)).findall if plain else self.any_text
         vocabulary = self.library.get_vocab()
         #: Bytes of every id: its text has a character for each. Byte-level ids always give back a text.
         self.sizes, self.data = np.zeros(1 + max(vocabulary.values()), np.int64), None
@@ -133,7 +160,9 @@ class ByteTokenizer(Remembered):
         self.forget()
 
     def split(self, text: str) -> list[str]:
-        return self.ascii_text(text) if text.isascii() else self.any_text(text)
+        if text.isascii():
+            return self.ascii_text(text)
+        return self.any_text(text) if LATIN.search(text) else self.latin_text(text)
 
     def joins(self, part: str) -> bool:
         """One space, and more without another."""

@@ -64,7 +64,7 @@ def decode_tables():
     before = np.cumsum(sizes, axis=1) - sizes
     byte = np.arange(4)
     place = np.where(byte < sizes[:, :, None], before[:, :, None] + byte, 16)
-    return sizes.sum(axis=1), place.reshape(256, 16)
+    return sizes.sum(axis=1).astype(np.int32), place.reshape(256, 16).astype(np.int32)
 
 
 def unpacked_ids(control: bytes, data: bytes, n: int, id_of_rank):
@@ -73,18 +73,20 @@ def unpacked_ids(control: bytes, data: bytes, n: int, id_of_rank):
 
     total, place = decode_tables()
     codes = np.frombuffer(control, np.uint8)
-    out = np.zeros(len(codes) * 4, np.uint32)
+    out = np.empty(len(codes) * 4, np.uint32)
     # a last code that is not full tells of up to three bytes too many, and a place of 16 needs a byte to look at
     source = np.concatenate([np.frombuffer(data, np.uint8), np.zeros(32, np.uint8)])
     start = 0
     for k in range(0, len(codes), STEP):
         part = codes[k : k + STEP]
-        ends = start + np.cumsum(total[part])
+        ends = np.cumsum(total[part], dtype=np.int32)
         where = place[part]
-        taken = source[np.concatenate([[start], ends[:-1]])[:, None] + where]
-        taken[where == 16] = 0
+        none = where == 16
+        where[1:] += ends[:-1, None]
+        taken = source[start:].take(where)
+        taken[none] = 0
         out[k * 4 : (k + len(part)) * 4] = taken.reshape(-1).view("<u4")
-        start = int(ends[-1])
+        start += int(ends[-1])
     return id_of_rank[out[:n]]
 
 
