@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import norm_ws
-from .anchors import occurrences
-from .blocks import caption_label
+from .anchors import occurrences, resolve_portable
+from .blocks import caption_label, latest_versions
+from .brief import effective_status
 
 #: Why an output is refused, the first that holds in this order.
 REJECTIONS = ["invalid_evidence", "unknown_block_reference", "unknown_evidence", "duplicate_result", "structured_visual_reference_required", "block_quote_mismatch", "visual_caption_mismatch"]
@@ -113,3 +114,29 @@ def user_edits(edits: DataFrame, known: DataFrame) -> DataFrame:
     new = new.select(F.col("source_id").alias("_ns"), F.col("field_name").alias("_nf")).distinct()
     j = edits.join(new, (F.col("source_id") == F.col("_ns")) & (F.col("field_name") == F.col("_nf")), "left")
     return j.select("source_id", "field_name", F.col("_ns").isNull().alias("allowed"))
+
+
+def edited(edits: DataFrame, known: DataFrame, versions: DataFrame, blocks: DataFrame) -> DataFrame:
+    """source_id, field_name, value_json, status, requested_status, refused of a user's edits, judged on the sources' latest versions.
+
+    An edit may only name evidence that its field already has (else refused: unknown_evidence). That evidence is resolved anew:
+    where it was found before proves nothing about another version. A confirmed field whose evidence isn't all found again is
+    uncertain. edits: source_id, field_name, value_json, status, refs. known: source_id, field_name, evidence_id and what resolve_portable()
+    reads but the version. versions: id, source_id, fetched_at, seq, content_hash. A source without a version finds nothing.
+    """
+    allowed = user_edits(edits, known).select(F.col("source_id").alias("_s"), F.col("field_name").alias("_f"), "allowed")
+    e = edits.join(allowed, (F.col("source_id") == F.col("_s")) & (F.col("field_name") == F.col("_f"))).drop("_s", "_f")
+    field = F.concat_ws("\x1f", "source_id", "field_name").alias("field")
+    e = e.select("*", field)
+    wanted = e.filter("allowed").select(F.col("field").alias("_w"), F.explode("refs").alias("_r")).distinct()
+    k = known.select("*", field).join(wanted, (F.col("field") == F.col("_w")) & (F.col("evidence_id") == F.col("_r")), "left_semi")
+    last = latest_versions(versions).select(F.col("id").alias("version_id"), F.col("source_id").alias("_v"), "content_hash")
+    k = k.join(last.select("version_id", "_v"), F.col("source_id") == F.col("_v"))
+    k = k.withColumn("anchor_id", F.concat_ws("\x1f", "field", "evidence_id"))
+    here = blocks.join(last.select(F.col("version_id").alias("_l")), F.col("version_id") == F.col("_l"), "left_semi")
+    found = resolve_portable(k, here, last.select(F.col("version_id").alias("id"), "content_hash"))
+    ids = k.select(F.col("anchor_id").alias("_a"), "field", "evidence_id")
+    found = found.join(ids, F.col("anchor_id") == F.col("_a")).select(F.col("field").alias("source_id"), "evidence_id", "status")
+    judged = effective_status(e.filter("allowed").select(F.col("field").alias("source_id"), "field_name", "status", "refs"), found).select(F.col("source_id").alias("_j"), "effective")
+    out = e.join(judged, F.col("field") == F.col("_j"), "left")
+    return out.select("source_id", "field_name", "value_json", F.col("effective").alias("status"), F.col("status").alias("requested_status"), F.when(~F.col("allowed"), "unknown_evidence").alias("refused"))

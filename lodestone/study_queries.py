@@ -6,9 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .functions import geometry
-from .operators import blocks, catalog, citations, fulltext, outline, reviews, versions
+from .operators import blocks, catalog, citations, fulltext, generation, outline, parse, reviews, two_stage, versions
 from .plans import adapters as A
-from .queries import _AN, _BL, _KN, _QU, _SRC, query
+from .queries import _AN, _BL, _KN, _NORM, _QU, _SRC, query
 from .session import scratch_folder
 from .sources import table
 
@@ -357,3 +357,105 @@ def highlighted_document(spark, sf):
     view = A.blocks(spark, sf).select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("source_id"), F.concat("version_id", F.lit("-"), F.col("idx").cast("string")).alias("id"), "idx", "text")
     v = catalog.highlighted_view(view, catalog.living_highlights(_highlight_log(spark, sf)))
     return v.select("source_id", "idx", "text", F.array_join(F.transform("highlights", lambda h: F.concat_ws("/", h["id"], h["color"], h["comment"])), ",").alias("highlights"))
+
+
+# --- two-stage generation ---
+_BRIEF_NAMES = ["paper_type", "one_line_summary", "method", "results", "limitations"]
+
+
+def _two_stage(spark, sf):
+    """Documents as jobs, with an offline provider that fails now and then in each way."""
+    b = A.blocks(spark, sf)
+    b = blocks.sections(blocks.heading_paths(b))
+    title = F.first("text").over(Window.partitionBy("doc_id").orderBy("idx"))
+    given = b.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("job_id"), title.alias("title"), F.col("idx").alias("place"), "reference_id", "section_id", "kind", "text")
+
+    def provider(requests):
+        n = F.substring("job_id", 2, 20).cast("long")
+        sent = F.from_json("context", "array<struct<reference_id:string,section_id:string,kind:string,text:string>>")
+        q = requests.select("job_id", "stage", "attempt", n.alias("n"), sent.alias("b"))
+        ref = F.when((F.col("n") % 2 == 0) | (F.size("b") == 1), F.col("b")[0]).otherwise(F.get("b", F.lit(1)))
+        classify, first = F.col("stage") == "classify", F.col("attempt") == 1
+        field = lambda name, value, status, *ids: F.struct(F.lit(name).alias("name"), value.alias("value"), F.lit(status).alias("status"), F.array(*ids).cast("array<string>").alias("evidence"))
+        kind = F.array(field("paper_type", F.lit("survey"), "confirmed", F.lit("E1")))
+        more = F.array(field("paper_type", F.lit("other"), "confirmed", ref["reference_id"]), field("one_line_summary", F.left(ref["text"], F.lit(40)), "confirmed", F.lit("E1")), field("results", F.lit("?"), "confirmed"), field("method", ref["section_id"], "derived", ref["reference_id"]))
+        quote = F.when(~classify & (F.col("n") % 5 == 3) & first, "not in the text ☂").otherwise(F.left(ref["text"], F.lit(30)))
+        evidence = F.array(F.struct(F.lit("E1").alias("evidence_id"), ref["reference_id"].alias("block_ref"), quote.alias("quote"), F.lit(None).cast("string").alias("prefix"), F.lit(None).cast("string").alias("suffix")))
+        wrong = classify & ((F.col("n") % 10 == 2) | ((F.col("n") % 5 == 2) & first))
+        wanted = F.when(~classify, F.array().cast("array<string>")).when(wrong, F.array(F.lit("S9999"))).otherwise(F.array(F.col("b")[0]["section_id"]))
+        reply = F.to_json(F.struct(F.when(classify, kind).otherwise(more).alias("fields"), evidence.alias("evidence"), wanted.alias("section_ids")))
+        reply = F.when(classify & first & (F.col("n") % 5 == 1), F.lit("{broken")).otherwise(reply)
+        return q.select("job_id", reply.alias("reply"), ((F.col("n") % 7 == 3) & ~classify).alias("failed"))
+
+    return two_stage.generated(given, provider, _BRIEF_NAMES)
+
+
+# the section of block 0 holds the blocks before the next heading, and those of later headings with the same path
+_STAGES = f"""WITH {_BL}, n AS (SELECT doc_id, count(*) AS blocks, max(CASE WHEN idx = 0 THEN text END) AS t0, max(CASE WHEN idx = 1 THEN text END) AS t1 FROM bl GROUP BY doc_id),
+job AS (SELECT *, 'd' || doc_id AS job_id, doc_id % 2 = 0 OR blocks = 1 AS at0, trim(CASE WHEN doc_id % 2 = 0 OR blocks = 1 THEN t0 ELSE t1 END, ' ') AS used, CASE WHEN doc_id % 2 = 0 OR blocks = 1 THEN t0 ELSE t1 END AS ref FROM n),
+done AS (SELECT * FROM job WHERE doc_id % 10 <> 2 AND doc_id % 7 <> 3)"""
+
+
+@query(
+    "brief_generation",
+    f"""{_STAGES} SELECT job_id, f.name AS field_name, CASE f.name WHEN 'paper_type' THEN 'survey' WHEN 'one_line_summary' THEN left(ref, 40) WHEN 'results' THEN '?' WHEN 'method' THEN 'S0001' END AS value,
+  CASE f.name WHEN 'paper_type' THEN CASE WHEN at0 OR used = trim(t0, ' ') THEN 'uncertain' ELSE 'confirmed' END WHEN 'one_line_summary' THEN 'confirmed' WHEN 'results' THEN 'uncertain' WHEN 'method' THEN 'derived' ELSE 'not_reported' END AS status,
+  CASE WHEN f.name IN ('paper_type', 'one_line_summary') THEN 'E1' WHEN f.name = 'method' THEN CASE WHEN at0 THEN 'B000001' ELSE 'B000002' END ELSE '' END AS refs
+FROM done, (SELECT unnest(['paper_type', 'one_line_summary', 'method', 'results', 'limitations']) AS name) f""",
+)
+def brief_generation(spark, sf):
+    return _two_stage(spark, sf)[0].withColumn("refs", F.array_join("refs", ","))
+
+
+@query(
+    "brief_attempts",
+    f"""{_STAGES} SELECT job_id, 'classify' AS stage, 1 AS attempt, CASE doc_id % 5 WHEN 1 THEN 'invalid_json' WHEN 2 THEN 'unknown_section' END AS code FROM job
+UNION ALL SELECT job_id, 'classify', 2, CASE WHEN doc_id % 10 = 2 THEN 'unknown_section' END FROM job WHERE doc_id % 5 IN (1, 2)
+UNION ALL SELECT job_id, 'extract', 1, CASE WHEN doc_id % 7 = 3 THEN 'runtime_failed' WHEN doc_id % 5 = 3 THEN 'block_quote_mismatch' END FROM job WHERE doc_id % 10 <> 2
+UNION ALL SELECT job_id, 'extract', 2, NULL FROM job WHERE doc_id % 10 <> 2 AND doc_id % 5 = 3 AND doc_id % 7 <> 3""",
+)
+def brief_attempts(spark, sf):
+    return _two_stage(spark, sf)[1]
+
+
+@query("brief_outcomes", f"{_STAGES} SELECT job_id, CASE WHEN doc_id % 10 = 2 THEN 'invalid_output' WHEN doc_id % 7 = 3 THEN 'runtime_failed' ELSE 'preview' END AS outcome FROM job")
+def brief_outcomes(spark, sf):
+    return _two_stage(spark, sf)[2]
+
+
+# --- edits ---
+@query(
+    "edited_fields",
+    f"""{_DIFF}, e AS (SELECT doc_id, max(CASE WHEN idx = 1 THEN text END) AS e1, max(CASE WHEN idx = 2 THEN text END) AS e2 FROM bl GROUP BY doc_id),
+q AS (SELECT doc_id, {_NORM.format("e1")} AS q, 'e1' AS id FROM e WHERE e1 IS NOT NULL UNION ALL SELECT doc_id, {_NORM.format("e2")}, 'e2' FROM e WHERE e2 IS NOT NULL),
+t AS (SELECT doc_id, {_NORM.format("text")} AS t FROM nb),
+hit AS (SELECT q.doc_id, q.id, coalesce(sum(len(list_filter(range(1, length(t) - length(q) + 2), lambda i: q <> '' AND substr(t, i, length(q)) = q))), 0) AS n FROM q LEFT JOIN t ON t.doc_id = q.doc_id AND contains(t, q) GROUP BY ALL),
+r AS (SELECT e.doc_id, h1.n = 1 AS r1, h2.n = 1 AS r2, e1 IS NOT NULL AS has1, e2 IS NOT NULL AS has2 FROM e LEFT JOIN hit h1 ON h1.doc_id = e.doc_id AND h1.id = 'e1' LEFT JOIN hit h2 ON h2.doc_id = e.doc_id AND h2.id = 'e2')
+SELECT 'd' || doc_id AS source_id, f AS field_name, '"' || doc_id || '"' AS value_json,
+  CASE WHEN NOT has1 OR (f = 'problem' AND (NOT has2 OR doc_id % 6 = 5)) THEN NULL WHEN r1 AND (f = 'method' OR r2) THEN 'confirmed' ELSE 'uncertain' END AS status, 'confirmed' AS requested_status,
+  CASE WHEN NOT has1 OR (f = 'problem' AND (NOT has2 OR doc_id % 6 = 5)) THEN 'unknown_evidence' END AS refused FROM r, (SELECT unnest(['method', 'problem']) AS f)""",
+)
+def edited_fields(spark, sf):
+    """A user confirms two fields of each document; their evidence was found in the first version, the second one counts."""
+    old, new = _versions(spark, sf)
+    none = F.lit(None).cast("string")
+    quotes = old.filter("idx IN (1, 2)").select("source_id", F.concat(F.lit("e"), F.col("idx").cast("string")).alias("evidence_id"), F.col("text").alias("quote"), none.alias("prefix"), none.alias("suffix"), F.lit(None).cast("int").alias("page"), none.alias("bbox"), none.alias("source_hash"), none.alias("figure_label"), none.alias("table_label"))
+    known = quotes.select("*", F.explode(F.array(F.lit("method"), F.lit("problem"))).alias("field_name"))
+    n = F.substring("source_id", 2, 20).cast("long")
+    ids = table(spark, sf, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("source_id"))
+    refs = F.when(F.col("field_name") == "method", F.array(F.lit("e1"))).when(n % 6 == 5, F.array(F.lit("e1"), F.lit("e9"))).otherwise(F.array(F.lit("e1"), F.lit("e2")))
+    edits = ids.select("source_id", F.explode(F.array(F.lit("method"), F.lit("problem"))).alias("field_name")).select("source_id", "field_name", F.concat(F.lit('"'), n.cast("string"), F.lit('"')).alias("value_json"), F.lit("confirmed").alias("status"), refs.alias("refs"))
+    of = lambda b, v: b.withColumn("version_id", F.concat(F.lit(v), "source_id"))
+    v = lambda p, at: ids.select(F.concat(F.lit(p), "source_id").alias("id"), "source_id", F.lit(at).alias("fetched_at"), F.lit(1).alias("seq"), none.alias("content_hash"))
+    return generation.edited(edits, known, v("v", "2024-01").unionByName(v("n", "2024-02")), of(old, "v").unionByName(of(new, "n")))
+
+
+# --- web pages without article or main ---
+@query("html_density")
+def html_density(spark, sf):
+    """Pages whose article is a plain division, with a list of links and a short note beside it: the container by text density."""
+    p = table(spark, sf, "pages")
+    beside = F.lit('<div class="related"><ul><li><a href="/1">One more page about this, and others of its kind</a></li><li><a href="/2">Another page, which may also be read</a></li></ul></div><div><p>Short note at the end.</p></div>')
+    html = F.regexp_replace(F.regexp_replace("html", "<(article|main)\\b", "<div"), "</(article|main)>", "</div>")
+    html = F.when(F.contains(html, F.lit("</body>")), F.replace(html, F.lit("</body>"), F.concat(beside, F.lit("</body>")))).otherwise(F.concat(html, beside))
+    return parse.html_blocks(p.withColumn("html", html))
