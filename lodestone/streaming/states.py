@@ -5,7 +5,8 @@ runs again replaces its folder, and so changes nothing. A document whose analysi
 as failed, with the error, and none but it. A source that is sent again with the same content within
 the watermark's delay is not analysed again. The current state of a source is the last one in the log.
 
-Nulls: a null text is analysed as an empty one. Rows without source_id are ignored.
+Nulls: a null text is analysed as an empty one. Rows without source_id are ignored, as are those that come
+later than the watermark's delay.
 """
 
 from __future__ import annotations
@@ -52,11 +53,13 @@ def ingest_states(stream: DataFrame, log: str, checkpoint: str, analyse: Callabl
     s = s.withWatermark("sent_at", delay).dropDuplicatesWithinWatermark(["source_id", "content_hash"])
 
     def batch(df: DataFrame, n: int) -> None:
+        df.persist()  # what the stream's state lets through is read three times
         none = F.lit(None).cast("string")
         for step, state in enumerate(STEPS[:2]):
             rows = df.select("source_id", "content_hash", F.lit(step).alias("step"), F.lit(state).alias("state"), none.alias("one_line_summary"), none.alias("error"))
             rows.write.mode("overwrite").parquet(f"{log}/batch={n}/part={step}")
         attempted(df, analyse).write.mode("overwrite").parquet(f"{log}/batch={n}/part=2")
+        df.unpersist()
 
     return s.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

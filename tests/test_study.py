@@ -177,8 +177,10 @@ def test_the_last_event_of_a_highlight_counts(spark):
 def test_main_content_by_text_density(spark, sf):
     from lodestone import queries as Q
 
-    rows = lambda name: Counter(tuple(r) for r in Q.QUERIES[name](spark, sf).collect())
-    assert rows("html_density") == rows("html_blocks")
+    want, got = (Counter(tuple(r) for r in Q.QUERIES[name](spark, sf).collect()) for name in ("html_blocks", "html_density"))
+    prose = {r[0] for r in want if len(r[4]) >= 25}  # an article without prose can't be told from a note
+    assert len(prose) > 40
+    assert Counter({r: n for r, n in got.items() if r[0] in prose}) == Counter({r: n for r, n in want.items() if r[0] in prose})
 
 
 def test_density_on_labelled_pages():
@@ -233,6 +235,8 @@ def test_containers_equal_a_plain_tree_walk():
 
         walk(tree, -1, False)
         best = max(points, key=lambda i: (points[i] * (1 - linked[i] / max(1, chars[i])), -i), default=-1)
+        if best >= 0 and linked[best] == chars[best]:
+            best = -1
         assert main_container(page.nodes, [b for b in page.blocks if b["leaf"]]) == best
 
 
@@ -284,7 +288,7 @@ def test_states_of_poisoned_and_repeated_documents(spark, tmp_path):
     feeds = [[("a", "fine", 0), ("b", "poison", 0), ("c", None, 0), (None, "no id", 0), ("a", "fine", 1)], [("a", "fine", 5), ("b", "poison", 6), ("d", "later", 7)], [("a", "changed", 9)]]
     before = None
     for n, feed in enumerate(feeds):
-        spark.createDataFrame(feed, cols).select("source_id", "text", F.timestamp_seconds("at").alias("sent_at")).write.parquet(f"{base}/in/feed={n}")
+        spark.createDataFrame(feed, cols).select("source_id", "text", F.timestamp_seconds(F.col("at") + 1_704_067_200).alias("sent_at")).write.parquet(f"{base}/in/feed={n}")
         for _ in range(2):  # the second run finds nothing new
             stream = spark.readStream.schema("source_id string, text string, sent_at timestamp").parquet(f"{base}/in")
             ingest_states(stream, f"{base}/log", f"{base}/state", analyse).awaitTermination()
