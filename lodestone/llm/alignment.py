@@ -213,7 +213,8 @@ def aligned_batch(pair: Pair, texts: list[str]):
     # what is written: each group's A ids, a bar, its B ids, a semicolon
     a_sep, b_sep = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
     a_sep[a_close], b_sep[b_close] = 1, 2
-    a_group, b_group = np.searchsorted(a_close, np.arange(len(a))), np.searchsorted(b_close, np.arange(len(b)))
+    each_group = np.arange(len(a_close))
+    a_group, b_group = np.repeat(each_group, np.diff(a_close, prepend=-1)), np.repeat(each_group, np.diff(b_close, prepend=-1))
     b_before = np.concatenate([[0], b_close[:-1] + 1])
     place_a = np.arange(len(a)) + b_before[a_group]
     place_b = np.arange(len(b)) + a_close[b_group] + 1
@@ -224,11 +225,15 @@ def aligned_batch(pair: Pair, texts: list[str]):
     for n, e in zip(docs.tolist(), end.tolist()):
         written[n] = "".join(map(names.__getitem__, line[start:e].tolist()))[:-1]
         start = e
-    # a link for each stretch of bytes up to an end of either kind
-    ends = np.union1d(a_ends, b_ends)
-    i, j = np.searchsorted(a_ends, ends), np.searchsorted(b_ends, ends)
-    of = np.searchsorted(a_last, i)
-    links[docs] = np.bincount(of, minlength=len(docs))
+    # a link for each stretch of bytes up to an end of either kind; both lists are sorted, so that this is a merge
+    order = np.argsort(np.concatenate([a_ends, b_ends]), kind="stable")
+    of_a = order < len(a)
+    value = np.where(of_a, a_ends[np.minimum(order, len(a) - 1)], b_ends[np.maximum(order - len(a), 0)])
+    last = np.flatnonzero(np.append(value[1:] != value[:-1], True))  # the last of equal ends
+    i = np.concatenate([[0], np.cumsum(of_a)[last[:-1]]])  # ends of A before
+    j = np.concatenate([[0], np.cumsum(~of_a)[last[:-1]]])
+    links[docs] = np.diff(np.searchsorted(value[last], a_ends[a_last], "right"), prepend=0)
+    of = np.repeat(np.arange(len(docs)), links[docs])
     size = len(pair.b_bytes)
     both = len(pair.a_bytes) * size
     if both * len(docs) < 1 << 63:

@@ -13,6 +13,9 @@ import re
 import unicodedata
 from itertools import chain
 
+import pyarrow as pa
+import pyarrow.compute as pc
+
 #: Pre-tokens, and characters of pre-tokens, that are remembered at most; then memory starts anew.
 REMEMBERED = 600_000
 REMEMBERED_CHARS = 12_000_000
@@ -81,7 +84,7 @@ class Remembered:
         if near:
             words = [new[n] for n in near]
             flat = np.array(self.joined(words), np.uint32)
-            ends = np.cumsum(np.fromiter((len(w.encode("utf-8", "surrogatepass")) for w in words), np.int64, len(words)))
+            ends = np.cumsum(pc.binary_length(pa.array(words, pa.string())).to_numpy().astype(np.int64))
             reached = np.cumsum(self.sizes[flat])
             cuts = np.searchsorted(reached, ends)
             if len(reached) and reached[-1] == ends[-1] and (reached[np.minimum(cuts, len(reached) - 1)] == ends).all():
@@ -98,10 +101,16 @@ class Remembered:
         starts[order] = len(self.pool) + np.cumsum(lengths[order]) - lengths[order]
         self.pool = np.concatenate([self.pool, flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths[rest].sum()))])
         self.starts, self.lengths = np.concatenate([self.starts, starts]), np.concatenate([self.lengths, lengths])
-        if self.data is not None:  # whether a part's ids give back its bytes
-            pool, data = self.pool, self.data
-            good = (b"".join(map(data.__getitem__, pool[i : i + n].tolist())) == t.encode("utf-8", "surrogatepass") for t, i, n in zip(new, starts.tolist(), lengths.tolist()))
-            self.fits = np.concatenate([self.fits, np.fromiter(good, bool, len(new))])
+        if self.data is not None:  # whether a part's ids give back its bytes; parts side by side are compared at once
+            byte = self.data.__getitem__
+            good = np.ones(len(new), bool)
+            doubtful = rest.tolist()
+            if near and b"".join(map(byte, flat.tolist())) != "".join(words).encode():
+                doubtful = range(len(new))
+            for n in doubtful:
+                at = starts[n]
+                good[n] = b"".join(map(byte, self.pool[at : at + lengths[n]].tolist())) == new[n].encode()
+            self.fits = np.concatenate([self.fits, good])
         self.chars += sum(map(len, new))
 
     def encode(self, texts: list[str]):
