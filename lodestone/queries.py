@@ -593,6 +593,7 @@ def rect_overlap(spark, sf):
 
 # --- briefs ---
 def _fields(spark, sf, shift: int, part: int):
+    """Three fields of each document but those whose number leaves ``part`` by 5 (5: of all)."""
     names = F.array(*map(F.lit, ["problem", "method", "results"]))
     d = table(spark, sf, "documents").filter(F.col("doc_id") % 5 != part).select("doc_id", F.explode(names).alias("field_name"))
     h = F.col("doc_id") + F.length("field_name")
@@ -654,18 +655,18 @@ def import_preview(spark, sf):
 
 @query(
     "brief_snapshot",
-    f"""WITH {_fields_sql("c", 0, 1)} SELECT source_id, sha256(string_agg(j, chr(10) ORDER BY j)) AS digest FROM (SELECT source_id, '{{"field_name":"' || field_name || '","value_json":"' || replace(value_json, '"', '\\"') || '","status":"confirmed","origin":"' || origin || '"}}' AS j FROM c) GROUP BY source_id""",
+    f"""WITH {_fields_sql("c", 0, 5)} SELECT source_id, sha256(string_agg(j, chr(10) ORDER BY j)) AS digest FROM (SELECT source_id, '{{"field_name":"' || field_name || '","value_json":"' || replace(value_json, '"', '\\"') || '","status":"confirmed","origin":"' || origin || '"}}' AS j FROM c) GROUP BY source_id""",
 )
 def brief_snapshot(spark, sf):
-    return brief.snapshot_hash(_fields(spark, sf, 0, 1), "source_id", ["field_name", "value_json", "status", "origin"])
+    return brief.snapshot_hash(_fields(spark, sf, 0, 5), "source_id", ["field_name", "value_json", "status", "origin"])
 
 
 @query(
     "brief_quick_view",
-    f"""WITH {_fields_sql("c", 0, 1)} SELECT i.source_id, v.ord, v.name AS field_name, c.value_json, CASE WHEN c.field_name IS NOT NULL THEN 'confirmed' END AS status FROM (SELECT DISTINCT source_id FROM c) i, (VALUES {", ".join(f"({n}, '{x}')" for n, x in enumerate([*brief.QUICK, *brief.BY_TYPE[""]]))}) v(ord, name) LEFT JOIN c ON c.source_id = i.source_id AND c.field_name = v.name""",
+    f"""WITH {_fields_sql("c", 0, 5)} SELECT i.source_id, v.ord, v.name AS field_name, c.value_json, CASE WHEN c.field_name IS NOT NULL THEN 'confirmed' END AS status FROM (SELECT DISTINCT source_id FROM c) i, (VALUES {", ".join(f"({n}, '{x}')" for n, x in enumerate([*brief.QUICK, *brief.BY_TYPE[""]]))}) v(ord, name) LEFT JOIN c ON c.source_id = i.source_id AND c.field_name = v.name""",
 )
 def brief_quick_view(spark, sf):
-    return brief.quick_view(_fields(spark, sf, 0, 1))
+    return brief.quick_view(_fields(spark, sf, 0, 5))
 
 
 # --- questions and generation ---

@@ -6,9 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .functions import geometry
-from .operators import blocks, catalog, citations, fulltext, generation, outline, parse, reviews, two_stage, versions
+from .functions.text import ascii_title_key
+from .operators import blocks, catalog, citations, fulltext, generation, imports, outline, parse, reviews, two_stage, versions
 from .plans import adapters as A
-from .queries import _AN, _BL, _KN, _NORM, _QU, _SRC, query
+from .queries import _AN, _BL, _KN, _NORM, _QU, _SRC, _fields, query
 from .session import scratch_folder
 from .sources import table
 
@@ -450,6 +451,57 @@ def edited_fields(spark, sf):
     return generation.edited(edits, known, v("v", "2024-01").unionByName(v("n", "2024-02")), of(old, "v").unionByName(of(new, "n")))
 
 
+# --- imports ---
+def _import(spark, sf):
+    """Every document as a package: most name their source by DOI, some by nothing, some have one chosen for them."""
+    d, none = table(spark, sf, "documents"), F.lit(None).cast("string")
+    i, s = F.col("doc_id"), F.col("doc_id").cast("string")
+    source = lambda x: F.concat(F.lit("d"), x)
+    doi = F.concat(F.lit("10.1234/ab."), s)
+    packages = d.select(F.concat(F.lit("p"), s).alias("package_id"), F.sha2(s, 256).alias("payload_hash"), F.when(i % 12 == 5, source(s)).when(i % 12 == 6, "d-none").alias("chosen"), F.concat(F.lit("No Such Title "), s).alias("title"), F.array("source").alias("authors"), F.lit(None).cast("int").alias("year"), F.when(i % 6 != 5, F.concat(F.lit("https://doi.org/"), doi)).alias("doi"), none.alias("arxiv_id"), none.alias("source_hash"))
+    sources = d.select(source(s).alias("id"), F.concat(F.lit("T"), s).alias("title"), F.array("source").alias("authors"), F.lit(None).cast("int").alias("year"), doi.alias("doi"), none.alias("arxiv_id"), none.alias("content_hash"))
+    old, new = _versions(spark, sf)
+    package = F.concat(F.lit("p"), F.substring("source_id", 2, 20))
+    quotes = old.filter("idx IN (1, 2)").select(package.alias("package_id"), F.concat(F.lit("e"), F.col("idx").cast("string")).alias("evidence_id"), F.col("text").alias("quote"), none.alias("prefix"), none.alias("suffix"), F.lit(None).cast("int").alias("page"), none.alias("bbox"), none.alias("source_hash"), none.alias("figure_label"), none.alias("table_label"))
+    # a field refers to the evidence that its package has
+    held = quotes.groupBy(F.col("package_id").alias("_p")).agg(F.array_sort(F.collect_list("evidence_id")).alias("refs"))
+    names = F.explode(F.array(*map(F.lit, ["problem", "method", "results"]))).alias("field_name")
+    f = d.select(F.concat(F.lit("p"), s).alias("package_id"), names)
+    f = f.join(held, F.col("package_id") == F.col("_p"), "left").select("package_id", "field_name", F.lit('"x"').alias("value_json"), F.when(F.col("field_name") == "results", "derived").otherwise("confirmed").alias("status"), F.when(F.col("field_name") == "method", F.slice(F.coalesce("refs", F.array().cast("array<string>")), 1, 1)).otherwise(F.coalesce("refs", F.array().cast("array<string>"))).alias("refs"), F.lit("[]").alias("evidence_json"), F.lit("chatgpt_import").alias("origin"), F.lit(False).alias("user_edited"), F.lit("{}").alias("provenance_json"))
+    of = lambda b, v: b.withColumn("version_id", F.concat(F.lit(v), "source_id"))
+    v = lambda p, at: d.select(F.concat(F.lit(p), source(s)).alias("id"), source(s).alias("source_id"), F.lit(at).alias("fetched_at"), F.lit(1).alias("seq"), none.alias("content_hash"))
+    ledger = d.filter("doc_id % 9 = 4").select(F.lit("other").alias("package_id"), F.sha2(s, 256).alias("payload_hash"))
+    return imports.preview(packages, f, quotes, sources, v("v", "2024-01").unionByName(v("n", "2024-02")), of(old, "v").unionByName(of(new, "n")), _fields(spark, sf, 0, 1), ledger, ["results"], key=ascii_title_key)
+
+
+_IMPORT = f"""{_DIFF}, e AS (SELECT doc_id, max(CASE WHEN idx = 1 THEN text END) AS e1, max(CASE WHEN idx = 2 THEN text END) AS e2 FROM bl GROUP BY doc_id),
+q AS (SELECT doc_id, {_NORM.format("e1")} AS q, 'e1' AS id FROM e WHERE e1 IS NOT NULL UNION ALL SELECT doc_id, {_NORM.format("e2")}, 'e2' FROM e WHERE e2 IS NOT NULL),
+t AS (SELECT doc_id, {_NORM.format("text")} AS t FROM nb),
+hit AS (SELECT q.doc_id, q.id, coalesce(sum(len(list_filter(range(1, length(t) - length(q) + 2), lambda i: q <> '' AND substr(t, i, length(q)) = q))), 0) AS n FROM q LEFT JOIN t ON t.doc_id = q.doc_id AND contains(t, q) GROUP BY ALL),
+ev AS (SELECT doc_id, id, doc_id % 12 IN (6, 11) AS lost, CASE WHEN doc_id % 12 IN (6, 11) OR n = 0 THEN 'unresolved' WHEN n = 1 THEN 'resolved' ELSE 'candidates' END AS status FROM hit),
+fi AS (SELECT doc_id, f, CASE f WHEN 'results' THEN 'derived' ELSE 'confirmed' END AS asked, (SELECT count(*) FILTER (status = 'resolved') = count(*) AND count(*) > 0 FROM ev WHERE ev.doc_id = documents.doc_id AND (f <> 'method' OR id = (SELECT min(id) FROM hit WHERE hit.doc_id = documents.doc_id))) AS sure,
+  doc_id + length(f) AS h FROM documents, (SELECT unnest(['problem', 'method', 'results']) AS f)),
+fj AS (SELECT *, CASE WHEN asked = 'confirmed' AND NOT sure THEN 'uncertain' ELSE asked END AS status, doc_id % 5 <> 1 AND doc_id % 12 NOT IN (6, 11) AS known FROM fi),
+fk AS (SELECT *, CASE WHEN f = 'results' THEN 'excluded' WHEN known AND (h % 6 = 0 OR h % 4 = 0) THEN 'preserve_user' WHEN known THEN 'update' ELSE 'add' END AS action, CASE WHEN known AND h % 4 = 0 THEN 'user_edited' WHEN known AND h % 6 = 0 THEN 'user_origin' WHEN known THEN 'existing_field' END AS conflict FROM fj)"""
+
+
+@query(
+    "import_review",
+    f"""{_IMPORT}, a AS (SELECT doc_id, count(*) FILTER (action IN ('add', 'update')) AS selected, count(conflict) AS conflicts, count(*) FILTER (status <> asked) AS warnings FROM fk GROUP BY doc_id),
+cn AS (SELECT doc_id, count(*) FILTER (status = 'resolved') AS resolved, count(*) FILTER (status = 'candidates') AS candidates, count(*) FILTER (status = 'unresolved') AS unresolved FROM ev GROUP BY doc_id),
+j AS (SELECT a.*, doc_id % 12 NOT IN (6, 11) AS has, doc_id % 9 = 4 AS again, doc_id % 12 = 5 AS manual, coalesce(resolved, 0) AS resolved, coalesce(candidates, 0) AS candidates, coalesce(unresolved, 0) AS unresolved FROM a LEFT JOIN cn USING (doc_id)),
+r AS (SELECT *, concat_ws(',', CASE WHEN NOT has THEN 'manual_source_selection_required' END, CASE WHEN candidates + unresolved + warnings > 0 THEN 'evidence_needs_review' END, CASE WHEN conflicts > 0 THEN 'field_conflicts' END, CASE WHEN again THEN 'duplicate_import' END, CASE WHEN selected = 0 THEN 'no_writable_fields' END, CASE WHEN manual THEN 'manual_source_selection' END) AS reasons FROM j)
+SELECT 'p' || doc_id AS package_id, CASE WHEN has THEN 'd' || doc_id END AS source_id, CASE WHEN doc_id % 6 <> 5 THEN 'doi' END AS method, has AND NOT again AND selected > 0 AS can_commit, CASE WHEN reasons = '' THEN 'importable' ELSE 'requires_review' END AS disposition, reasons AS review_reasons, selected, warnings, resolved, candidates, 0::BIGINT AS page_only, unresolved FROM r""",
+)
+def import_review(spark, sf):
+    return _import(spark, sf).packages
+
+
+@query("import_review_fields", f"{_IMPORT} SELECT 'p' || doc_id AS package_id, f AS field_name, status, asked AS requested_status, action, conflict FROM fk")
+def import_review_fields(spark, sf):
+    return _import(spark, sf).fields
+
+
 # --- web pages without article or main ---
 @query("html_density")
 def html_density(spark, sf):
