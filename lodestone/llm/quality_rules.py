@@ -7,8 +7,9 @@ counts, exactly and in any order, and their quantiles are at most 1/128 too low.
 if all its measures lie within the thresholds of its group: its median, moved outwards by SPREAD times
 the distance to the lower quartile. Junk that raises a measure moves neither before it is half of the
 group; there is no other constant. Where the lower quartile is the median, the group shows no spread
-and the measure has no threshold there. Groups of fewer than LEAST documents use the merged sketch of
-their language, or that of all documents where the language has as few.
+and the measure has no threshold there. A group's sketch is merged with its language's, weighed as PRIOR
+documents, and the language's with that of all documents, weighed likewise: with every document of its own a group
+moves away from them, at every size.
 
 The measures are ones that vary among clean documents too, so that quartiles tell how much: marks
 (ASCII characters other than letters, digits and blanks), capitals, words equal to the one before, and
@@ -31,7 +32,8 @@ from pyspark.sql.types import StructType
 from ..session import scratch
 from .common import arrow_map, text_of, words_of
 
-LEAST = 100
+#: Documents that the sketch above counts as in a merge, and units that a document counts as there.
+PRIOR, UNITS = 100, 1_000_000
 SPREAD = 20
 #: Leading binary digits of a value that its bin keeps.
 DIGITS = 8
@@ -128,30 +130,40 @@ def sketches(judged: DataFrame) -> DataFrame:
     return good.groupBy("lang", "source", "x.measure", "x.bin").agg(F.count("*").alias("n"))
 
 
-def quartiles(hist: DataFrame, keys: list[str], prefix: str) -> DataFrame:
-    """Per group and measure: documents, lower quartile and median, from merged histograms."""
-    merged = hist.groupBy(*keys, "measure", "bin").agg(F.sum("n").alias("n"))
-    w = Window.partitionBy(*keys, "measure")
-    upto = merged.select(*keys, "measure", "bin", F.sum("n").over(w.orderBy("bin")).alias("upto"), F.sum("n").over(w).alias("total"))
-    return upto.groupBy(*keys, "measure").agg(
-        F.max("total").alias(f"{prefix}_n"),
-        F.min(F.when(F.col("upto") * 4 >= F.col("total"), F.col("bin"))).alias(f"{prefix}_q1"),
-        F.min(F.when(F.col("upto") * 2 >= F.col("total"), F.col("bin"))).alias(f"{prefix}_q2"),
+def merged(hist: DataFrame) -> DataFrame:
+    """The groups' sketches merged with those above: lang, source, measure, bin, w (whole units).
+
+    A sketch has some thousand bins at most, whatever it counts.
+    """
+    level = lambda *keys: hist.groupBy(*keys, "measure", "bin").agg(F.sum("n").alias("n"))
+    whole, lang = level(), level("lang")
+    share = F.expr(f"n * {UNITS} DIV total")
+    whole = whole.withColumn("total", F.sum("n").over(Window.partitionBy("measure"))).select(F.col("measure").alias("m"), "bin", share.alias("share"))
+    total = lang.groupBy("lang", "measure").agg((F.sum("n") + PRIOR).alias("total"))
+    above = total.select("lang", "measure").join(whole, F.col("measure") == F.col("m")).select("lang", "measure", "bin", (PRIOR * F.col("share")).alias("w"))
+    lang = lang.select("lang", "measure", "bin", (F.col("n") * UNITS).alias("w")).unionByName(above).groupBy("lang", "measure", "bin").agg(F.sum("w").alias("w"))
+    total = total.select(F.col("lang").alias("t_lang"), F.col("measure").alias("t_measure"), "total")
+    lang = lang.join(total, F.col("lang").eqNullSafe(F.col("t_lang")) & (F.col("measure") == F.col("t_measure")))
+    lang = lang.select(F.col("lang").alias("of_lang"), F.col("measure").alias("of_measure"), "bin", F.expr(f"{PRIOR} * w DIV total").alias("w"))
+    groups = hist.select("lang", "source", "measure").distinct()
+    more = groups.join(lang, F.col("lang").eqNullSafe(F.col("of_lang")) & (F.col("measure") == F.col("of_measure"))).select("lang", "source", "measure", "bin", "w")
+    own = hist.select("lang", "source", "measure", "bin", (F.col("n") * UNITS).alias("w"))
+    return own.unionByName(more).groupBy("lang", "source", "measure", "bin").agg(F.sum("w").alias("w"))
+
+
+def quartiles(sketch: DataFrame) -> DataFrame:
+    """Per group and measure: lower quartile q1 and median q2."""
+    w = Window.partitionBy("lang", "source", "measure")
+    upto = sketch.select("lang", "source", "measure", "bin", F.sum("w").over(w.orderBy("bin")).alias("upto"), F.sum("w").over(w).alias("total"))
+    return upto.groupBy("lang", "source", "measure").agg(
+        F.min(F.when(F.col("upto") * 4 >= F.col("total"), F.col("bin"))).alias("q1"),
+        F.min(F.when(F.col("upto") * 2 >= F.col("total"), F.col("bin"))).alias("q2"),
     )
 
 
 def fences(hist: DataFrame) -> DataFrame:
     """One row per language and source with <measure>_low and <measure>_high."""
-    own = quartiles(hist, ["lang", "source"], "own")
-    lang = quartiles(hist, ["lang"], "lang").withColumnRenamed("lang", "of_lang").withColumnRenamed("measure", "of_measure")
-    whole = quartiles(hist, [], "all").withColumnRenamed("measure", "in_all")
-    j = own.join(lang, F.col("lang").eqNullSafe(F.col("of_lang")) & (F.col("measure") == F.col("of_measure")), "left")
-    j = j.join(whole, F.col("measure") == F.col("in_all"), "left")
-
-    def pick(q: str):
-        return F.when(F.col("own_n") >= LEAST, F.col(f"own_{q}")).when(F.col("lang_n") >= LEAST, F.col(f"lang_{q}")).otherwise(F.col(f"all_{q}"))
-
-    j = j.select("lang", "source", "measure", pick("q1").alias("q1"), pick("q2").alias("q2"))
+    j = quartiles(merged(hist))
     out = []
     for m, (_, _, both) in MEASURES.items():
         spread = SPREAD * (F.col("q2") - F.col("q1"))

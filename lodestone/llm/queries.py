@@ -47,7 +47,7 @@ def _bin(v: str) -> str:
 
 
 def _op1_sql() -> str:
-    from .quality_rules import LEAST, MEASURES, SPREAD
+    from .quality_rules import MEASURES, PRIOR, SPREAD, UNITS
 
     parts = []
     for m, (top, bottom, both) in MEASURES.items():
@@ -55,12 +55,6 @@ def _op1_sql() -> str:
         low = f"-{SPREAD}" if both else "NULL"
         parts.append(f"SELECT row, doc_id, lang, source, base_failed, '{m}' AS measure, {low} AS low, CAST({v} AS BIGINT) AS v FROM judged")
 
-    def quartile(keys: str, at: str) -> str:
-        over = f"PARTITION BY {keys}measure"
-        return f"""SELECT {keys}measure, max(total) AS n, min(CASE WHEN upto * 4 >= total THEN bin END) AS q1, min(CASE WHEN upto * 2 >= total THEN bin END) AS q2
-            FROM (SELECT {keys}measure, bin, sum(n) OVER ({over} ORDER BY bin) AS upto, sum(n) OVER ({over}) AS total
-                  FROM (SELECT {keys}measure, bin, count(*) AS n FROM binned GROUP BY ALL)) GROUP BY ALL"""
-
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS row, doc_id, lang, source, coalesce(text, '') AS text FROM documents),
 w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, string_split(text, chr(10)) AS lines FROM d),
@@ -81,14 +75,16 @@ counted AS (
 judged AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counted),
 measured AS ({" UNION ALL ".join(parts)}),
 binned AS (SELECT lang, source, measure, CAST({_bin("v")} AS BIGINT) AS bin FROM measured WHERE NOT base_failed),
-own AS ({quartile("lang, source, ", "own")}),
-of_lang AS ({quartile("lang, ", "lang")}),
-of_all AS ({quartile("", "all")}),
+own AS (SELECT lang, source, measure, bin, count(*) AS n FROM binned GROUP BY ALL),
+of_lang AS (SELECT lang, measure, bin, sum(n)::BIGINT AS n FROM own GROUP BY ALL),
+share AS (SELECT measure, bin, n * {UNITS} // (sum(n) OVER (PARTITION BY measure))::BIGINT AS s FROM (SELECT measure, bin, sum(n)::BIGINT AS n FROM own GROUP BY ALL)),
+size AS (SELECT lang, measure, sum(n)::BIGINT + {PRIOR} AS total FROM of_lang GROUP BY ALL),
+lang_mix AS (SELECT lang, measure, bin, sum(w)::BIGINT AS w FROM (SELECT lang, measure, bin, n * {UNITS} AS w FROM of_lang UNION ALL SELECT lang, size.measure, bin, {PRIOR} * s FROM size JOIN share ON size.measure = share.measure) GROUP BY ALL),
+mix AS (SELECT lang, source, measure, bin, sum(w)::BIGINT AS w FROM (SELECT lang, source, measure, bin, n * {UNITS} AS w FROM own
+  UNION ALL SELECT g.lang, g.source, g.measure, m.bin, {PRIOR} * m.w // z.total FROM (SELECT DISTINCT lang, source, measure FROM own) g JOIN lang_mix m ON g.lang IS NOT DISTINCT FROM m.lang AND g.measure = m.measure JOIN size z ON g.lang IS NOT DISTINCT FROM z.lang AND g.measure = z.measure) GROUP BY ALL),
 chosen AS (
-  SELECT o.lang, o.source, o.measure,
-    CASE WHEN o.n >= {LEAST} THEN o.q1 WHEN l.n >= {LEAST} THEN l.q1 ELSE a.q1 END AS q1,
-    CASE WHEN o.n >= {LEAST} THEN o.q2 WHEN l.n >= {LEAST} THEN l.q2 ELSE a.q2 END AS q2
-  FROM own o JOIN of_lang l ON o.lang IS NOT DISTINCT FROM l.lang AND o.measure = l.measure JOIN of_all a ON o.measure = a.measure),
+  SELECT lang, source, measure, min(CASE WHEN upto * 4 >= total THEN bin END) AS q1, min(CASE WHEN upto * 2 >= total THEN bin END) AS q2
+  FROM (SELECT *, sum(w) OVER (PARTITION BY lang, source, measure ORDER BY bin) AS upto, sum(w) OVER (PARTITION BY lang, source, measure) AS total FROM mix) GROUP BY ALL),
 verdict AS (
   SELECT m.row, bool_and(q2 = q1 OR coalesce(v <= q2 + {SPREAD} * (q2 - q1) AND (low IS NULL OR v >= q2 + low * (q2 - q1)), true)) AS fine
   FROM measured m LEFT JOIN chosen c ON m.lang IS NOT DISTINCT FROM c.lang AND m.source IS NOT DISTINCT FROM c.source AND m.measure = c.measure GROUP BY m.row)
