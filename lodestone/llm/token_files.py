@@ -48,12 +48,19 @@ def packed_ids(ranks) -> tuple[bytes, bytes]:
     import numpy as np
 
     r = np.ascontiguousarray(ranks, dtype="<u4")
-    extra = ((r > 0xFF).view(np.uint8) + (r > 0xFFFF).view(np.uint8) + (r > 0xFFFFFF).view(np.uint8)).astype(np.uint8)
-    held = np.arange(4, dtype=np.uint8)[None, :] <= extra[:, None]
+    extra, begin = np.zeros(len(r), np.uint8), np.arange(len(r))
+    more = [np.flatnonzero(r > top) for top in (0xFF, 0xFFFF, 0xFFFFFF)]  # values of two, three and four bytes or more
+    for k in more:
+        extra[k] += 1
+    begin += np.cumsum(extra, dtype=np.int64) - extra
+    data, byte = np.empty(len(r) + sum(map(len, more)), np.uint8), r.view(np.uint8).reshape(-1, 4)
+    data[begin] = byte[:, 0]
+    for n, k in enumerate(more, 1):
+        data[begin[k] + n] = byte[k, n]
     four = np.zeros(-(-len(r) // 4) * 4, np.uint8)
     four[: len(r)] = extra
     control = (four.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1, dtype=np.uint8)
-    return control.tobytes(), r.view(np.uint8).reshape(-1, 4)[held].tobytes()
+    return control.tobytes(), data.tobytes()
 
 
 def decode_tables():
