@@ -34,8 +34,9 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, pieces, text_of
 
-#: Distinct pre-tokens of a generation; a worker remembers two generations at most.
-REMEMBERED = 300_000
+#: Distinct pre-tokens of a generation, and their characters; a worker remembers two generations at most.
+REMEMBERED = 150_000
+REMEMBERED_CHARS = 4_000_000
 #: Bytes of unknown pre-tokens that one recursive query takes at most (one pre-token at least).
 QUERY_BYTES = 150_000
 #: Rows of token positions that one recursion keeps; it starts again from its last step.
@@ -185,6 +186,7 @@ class Codec:
         self.ids: dict[str, str] = {}
         self.data: dict[str, bytes] = {}
         self.old: tuple[dict[str, str], dict[str, bytes]] = ({}, {})
+        self.chars = 0
         self.token = {rank: data for data, rank in ranks.items()}
         self.prefixes: set[bytes] = set()
         self.db = None
@@ -278,9 +280,10 @@ class Codec:
     def learn(self, parts: set[str]) -> None:
         """Encode pre-tokens not met before."""
         new = [p for p in parts if p not in self.ids]
-        if len(self.ids) + len(new) > REMEMBERED:  # the last generation stays at hand
-            self.old, self.ids, self.data = (self.ids, self.data), {}, {}
+        if len(self.ids) + len(new) > REMEMBERED or self.chars > REMEMBERED_CHARS:  # the last generation stays at hand
+            self.old, self.ids, self.data, self.chars = (self.ids, self.data), {}, {}, 0
             new = list(parts)
+        self.chars += sum(map(len, new))
         ids, data = self.old
         words, cut = [], {}
         for p in new:
