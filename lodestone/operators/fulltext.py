@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Folders of an index.
-BUCKETS = 64
+BUCKETS = 16
 #: The usual constants of BM25.
 K1, B = 1.2, 0.75
 
