@@ -22,7 +22,7 @@ from ..session import scratch
 from .generation import rejected
 
 MOST_OUTPUT, TRIES = 1 << 20, 2
-AGAIN = "\nPrevious response failed validation. Recheck schema, status and only supplied Evidence IDs. Return a fresh JSON object."
+AGAIN = "\nAn earlier reply was not valid. Keep to the schema, its statuses and the ids of the given blocks, and answer with a JSON object of its own."
 REPLY = "struct<fields:array<struct<name:string,value:string,status:string,evidence:array<string>>>,evidence:array<struct<evidence_id:string,block_ref:string,quote:string,prefix:string,suffix:string>>,section_ids:array<string>>"
 
 Provider = Callable[[DataFrame], DataFrame]

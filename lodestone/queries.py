@@ -814,12 +814,10 @@ def folded_turns(spark, sf):
 
 @query("stream_ingest_status")
 def stream_ingest_status(spark, sf):
-    import uuid
-
-    from .session import shared_dir
+    from .session import scratch_folder
     from .streaming import ingest_status
 
-    base = f"{shared_dir(spark)}/lodestone-stream-{uuid.uuid4().hex}"
+    base = scratch_folder(spark, "stream")
     table(spark, sf, "documents").write.parquet(f"{base}/in")
     return ingest_status(spark, f"{base}/in", "doc_id long, text string, lang string, source string, n_chars long", f"{base}/out", f"{base}/state")
 

@@ -309,7 +309,7 @@ def test_two_stages_ask_again_only_where_needed(spark):
 
     def provider(requests):
         rows = requests.collect()
-        asked.extend((r["job_id"], r["stage"], r["attempt"], "Previous" in r["instructions"]) for r in rows)
+        asked.extend((r["job_id"], r["stage"], r["attempt"], "not valid" in r["instructions"]) for r in rows)
         out = []
         for r in rows:
             if r["stage"] == "classify":
@@ -325,3 +325,44 @@ def test_two_stages_ask_again_only_where_needed(spark):
     assert {tuple(r) for r in tries.collect()} == {("a", "classify", 1, None), ("b", "classify", 1, None), ("c", "classify", 1, "invalid_json"), ("c", "classify", 2, "unknown_evidence"), ("d", "classify", 1, "runtime_failed"), ("a", "extract", 1, None), ("b", "extract", 1, None)}
     assert {(r["job_id"], r["field_name"], r["status"]) for r in fields.collect()} == {("a", "paper_type", "confirmed"), ("b", "paper_type", "uncertain"), *[(j, n, s) for j in "ab" for n, s in (("method", "uncertain"), ("results", "not_reported"))]}
     assert set(asked) == {(j, "classify", 1, False) for j in "abcd"} | {("c", "classify", 2, True), ("a", "extract", 1, False), ("b", "extract", 1, False)}
+
+
+# --- imports and edits ---
+_EVIDENCE = "quote string, prefix string, suffix string, page int, bbox string, source_hash string, figure_label string, table_label string"
+
+
+def test_previews_of_packages_in_each_state(spark):
+    from lodestone.operators.imports import preview
+
+    ident = "title string, authors array<string>, year int, doi string, arxiv_id string"
+    packages = spark.createDataFrame([("p1", "h1", None, "x", [], None, "10.1000/a", None, None), ("p2", "h2", "nowhere", "x", [], None, "10.1000/a", None, None), ("p3", "h3", "b", "y", None, None, None, None, None), ("p4", "h4", None, "z", [], None, None, None, None)], f"package_id string, payload_hash string, chosen string, {ident}, source_hash string")
+    sources = spark.createDataFrame([("a", "A", ["n"], 2000, "10.1000/A", None, None), ("b", "B", ["n"], 2001, None, None, None)], f"id string, {ident}, content_hash string")
+    versions = spark.createDataFrame([("a1", "a", "2023", 1, None), ("a2", "a", "2024", 1, None), ("b1", "b", "2024", 1, None)], "id string, source_id string, fetched_at string, seq int, content_hash string")
+    blocks = spark.createDataFrame([("a1", "x0", 0, "old words here"), ("a2", "y0", 0, "new words here"), ("a2", "y1", 1, "twice twice"), ("b1", "z0", 0, "of the other")], "version_id string, id string, idx long, text string")
+    none = (None,) * 7
+    evidence = spark.createDataFrame([("p1", "e1", "new  words here", *none), ("p1", "e2", "twice", *none), ("p1", "e3", "old words here", *none), ("p2", "e1", "new words here", *none), ("p3", "e1", "of the other", *none)], f"package_id string, evidence_id string, {_EVIDENCE}")
+    rest = ("[]", "chatgpt_import", False, "{}")
+    fields = spark.createDataFrame([("p1", "problem", ["e1"], '"v"', "confirmed", *rest), ("p1", "method", ["e1", "e2"], '"v"', "confirmed", *rest), ("p1", "results", ["e3"], '"v"', "derived", *rest), ("p2", "problem", ["e1"], '"v"', "confirmed", *rest), ("p3", "problem", ["e1"], '"v"', "confirmed", *rest), ("p4", "problem", [], '"v"', "not_reported", *rest)], "package_id string, field_name string, refs array<string>, value_json string, status string, evidence_json string, origin string, user_edited boolean, provenance_json string")
+    current = spark.createDataFrame([("a", "problem", '"w"', "confirmed", "[]", "user", False, "{}")], "source_id string, field_name string, value_json string, status string, evidence_json string, origin string, user_edited boolean, provenance_json string")
+    ledger = spark.createDataFrame([("q", "h3")], "package_id string, payload_hash string")
+    p = preview(packages, fields, evidence, sources, versions, blocks, current, ledger)
+    got = {r["package_id"]: (r["source_id"], r["method"], r["can_commit"], r["review_reasons"], r["selected"], r["warnings"], r["resolved"], r["candidates"], r["unresolved"]) for r in p.packages.collect()}
+    assert got == {
+        "p1": ("a", "doi", True, "evidence_needs_review,field_conflicts", 2, 1, 1, 1, 1),
+        "p2": (None, "doi", False, "manual_source_selection_required,evidence_needs_review", 1, 1, 0, 0, 1),
+        "p3": ("b", None, False, "duplicate_import,manual_source_selection", 1, 0, 1, 0, 0),
+        "p4": (None, None, False, "manual_source_selection_required", 1, 0, 0, 0, 0),
+    }
+    assert {(r["package_id"], r["field_name"], r["status"], r["action"]) for r in p.fields.filter("package_id = 'p1'").collect()} == {("p1", "problem", "confirmed", "preserve_user"), ("p1", "method", "uncertain", "add"), ("p1", "results", "derived", "add")}
+    assert {r["reason"] for r in p.evidence.filter("package_id = 'p2'").collect()} == {"source_not_selected"}
+
+
+def test_edits_count_on_the_latest_version(spark):
+    from lodestone.operators.generation import edited
+
+    versions = spark.createDataFrame([("v1", "s", "2023", 1, None), ("v2", "s", "2024", 1, None)], "id string, source_id string, fetched_at string, seq int, content_hash string")
+    blocks = spark.createDataFrame([("v1", "a", 0, "gone since then"), ("v2", "b", 0, "here to stay")], "version_id string, id string, idx long, text string")
+    known = spark.createDataFrame([("s", "f", "old", "gone since then", *(None,) * 7), ("s", "f", "new", "here to stay", *(None,) * 7), ("s", "g", "new", "here to stay", *(None,) * 7), ("t", "f", "x", "here to stay", *(None,) * 7)], f"source_id string, field_name string, evidence_id string, {_EVIDENCE}")
+    edits = spark.createDataFrame([("s", "f", '"1"', "confirmed", ["old", "new"]), ("s", "g", '"2"', "confirmed", ["new"]), ("s", "h", '"3"', "confirmed", ["new"]), ("s", "i", '"4"', "derived", []), ("t", "f", '"5"', "confirmed", ["x"])], "source_id string, field_name string, value_json string, status string, refs array<string>")
+    got = {(r["source_id"], r["field_name"]): (r["status"], r["refused"]) for r in edited(edits, known, versions, blocks).collect()}
+    assert got == {("s", "f"): ("uncertain", None), ("s", "g"): ("confirmed", None), ("s", "h"): (None, "unknown_evidence"), ("s", "i"): ("derived", None), ("t", "f"): ("uncertain", None)}
