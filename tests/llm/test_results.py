@@ -407,3 +407,23 @@ def test_toxicity_forward_pass_by_plain_loops():
         assert np.abs(model.scores([T.hashed(t) for t in long]) - whole).max() < 1e-5
     finally:
         T.POSITIONS = at
+
+
+def test_toxicity_learns_from_all_rows(spark):
+    """A word that only rows behind the first 10,000 hold, and texts of more than 200,000 characters."""
+    from lodestone.llm.common import hash_of
+    from lodestone.llm.toxicity import fit, score
+
+    ids = sorted((i for i in range(14_400) if zlib.crc32(str(i).encode()) % 4 != 2), key=hash_of)
+    assert len(ids) > 10_400
+    late = set(ids[10_000:])
+    rows = [(i, "plain words here" + " vile" * (i in late), "en", int(i in late)) for i in ids]
+    long = [(i, ("plain " + "words" * 401 + " ") * 101 + "vile" * (i % 2), "en", i % 2) for i in ids[:60]]
+    assert min(len(r[1]) for r in long) > 200_000
+    for these in (rows, long):
+        table = spark.createDataFrame(these, "doc_id long, text string, lang string, toxic int")
+        model, limits = fit(table.select("doc_id", "text", "lang"), table.select("doc_id", "toxic"))
+        assert model.constant is None
+        probe = spark.createDataFrame([(1, "words here, vile", "en"), (2, "plain words here", "en")], "doc_id long, text string, lang string")
+        got = {r["doc_id"]: (r["score"], r["flagged"]) for r in score(probe, model, limits).collect()}
+        assert got[1][0] > 0.5 > got[2][0] and got[1][1] and not got[2][1]
