@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import arrow_map, pieces, text_of
 
 #: Distinct pre-tokens of a generation, and their characters; a worker remembers two generations at most.
-REMEMBERED = 150_000
+REMEMBERED = 250_000
 REMEMBERED_CHARS = 4_000_000
 #: Bytes of unknown pre-tokens that one recursive query takes at most (one pre-token at least).
 QUERY_BYTES = 150_000
@@ -182,10 +182,10 @@ class Codec:
         plain = ascii_form(pattern)
         self.ascii_text = re.compile(plain).findall if plain else self.any_text
         self.single = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
-        #: Pre-token to its ids joined by commas, and to the bytes that these decode to; the last two generations.
-        self.ids: dict[str, str] = {}
-        self.data: dict[str, bytes] = {}
-        self.old: tuple[dict[str, str], dict[str, bytes]] = ({}, {})
+        #: Pre-token to its ids joined by commas, a semicolon and the bytes that these decode to, in one object
+        #: since that takes less memory; the last two generations.
+        self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.chars = 0
         self.token = {rank: data for data, rank in ranks.items()}
         self.prefixes: set[bytes] = set()
@@ -279,30 +279,29 @@ class Codec:
 
     def learn(self, parts: set[str]) -> None:
         """Encode pre-tokens not met before."""
-        new = [p for p in parts if p not in self.ids]
-        if len(self.ids) + len(new) > REMEMBERED or self.chars > REMEMBERED_CHARS:  # the last generation stays at hand
-            self.old, self.ids, self.data, self.chars = (self.ids, self.data), {}, {}, 0
+        new = [p for p in parts if p not in self.known]
+        if len(self.known) + len(new) > REMEMBERED or self.chars > REMEMBERED_CHARS:  # the last generation stays at hand
+            self.old, self.known, self.chars = self.known, {}, 0
             new = list(parts)
         self.chars += sum(map(len, new))
-        ids, data = self.old
         words, cut = [], {}
         for p in new:
-            if p in ids:
-                self.ids[p], self.data[p] = ids[p], data[p]
+            if (held := self.old.get(p)) is not None:
+                self.known[p] = held
                 continue
             word = p.encode("utf-8", "replace")
             rank = self.ranks.get(word)
             if rank is not None:
-                self.ids[p], self.data[p] = str(rank), self.token[rank]
+                self.known[p] = b"%d;%b" % (rank, self.token[rank])
             elif len(word) < LONG:
                 words.append((p, word))
             else:
                 cut[p] = self.parts(word)
         ids, data = self.contracted({w for _, w in words}.union(*cut.values()))
         for p, w in words:
-            self.ids[p], self.data[p] = ids[w], data[w]
+            self.known[p] = b"%b;%b" % (ids[w].encode(), data[w])
         for p, these in cut.items():
-            self.ids[p], self.data[p] = ",".join(map(ids.__getitem__, these)), b"".join(map(data.__getitem__, these))
+            self.known[p] = b"%b;%b" % (",".join(map(ids.__getitem__, these)).encode(), b"".join(map(data.__getitem__, these)))
 
     def contracted(self, words: set[bytes]) -> tuple[dict[bytes, str], dict[bytes, bytes]]:
         """Each word's ids and what they decode to; short words share queries."""
@@ -325,9 +324,12 @@ class Codec:
     def encode(self, texts: list[str]) -> Iterator[tuple[str, bytes]]:
         """For each text, its ids joined by commas, and the bytes that these ids decode to."""
         split = [self.split(t) for t in texts]
-        self.learn(set().union(*split) if split else set())
+        every = set().union(*split) if split else set()
+        self.learn(every)
+        cut = {p: self.known[p].partition(b";")[::2] for p in every}
         for parts in split:
-            yield ",".join(map(self.ids.__getitem__, parts)), b"".join(map(self.data.__getitem__, parts))
+            ids, data = zip(*map(cut.__getitem__, parts)) if parts else ((), ())
+            yield b",".join(ids).decode(), b"".join(data)
 
     def decode(self, ids: list[list[int]]) -> list[bytes]:
         """The bytes of each list of ids, by ordered aggregation over joined positions."""

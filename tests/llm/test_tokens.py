@@ -273,3 +273,25 @@ def test_shared_cuts_are_found_however_sparse():
             b = np.unique(np.concatenate([a[r.random(n) < keep], np.setdiff1d(r.integers(1, a[-1] + 1, n // 2), a), a[-1:]]))
             cuts = shared_cuts(a, b, np.array([0]), np.array([n - 1]))
             assert cuts.tolist() == np.flatnonzero(np.isin(a[:-1], b)).tolist()
+
+
+def test_pretokens_are_encoded_once():
+    """240,000 words, met twice: what is remembered is small enough that they stay at hand."""
+    import public_tokenizers as P
+    from lodestone.llm.bpe import Codec, read_ranks
+
+    asked = []
+
+    class Counted(Codec):
+        def contracted(self, words):
+            asked.append(len(words))
+            return super().contracted(words)
+
+    codec = Counted(read_ranks(P.path("byte_bpe_multi_50k.tiktoken")), P.PATTERN).open()
+    words = [" " + "".join("qxzjvkwp"[n >> 3 * k & 7] for k in range(6)) for n in range(240_000)]
+    texts = ["".join(words[k : k + 20_000]) for k in range(0, len(words), 20_000)]
+    first = [x for t in texts for x in codec.encode([t])]
+    many = sum(asked)
+    assert many > 200_000 and [x for t in texts for x in codec.encode([t])] == first
+    assert sum(asked) == many and [d.decode() for _, d in first] == texts
+    codec.close()
