@@ -19,6 +19,8 @@ import pyarrow.compute as pc
 #: Pre-tokens, and characters of pre-tokens, that are remembered at most; then memory starts anew.
 REMEMBERED = 600_000
 REMEMBERED_CHARS = 12_000_000
+#: So many times as much where one tokenizer is all that a worker holds.
+ALONE = 2
 
 
 def latin_form(plain: str) -> str:
@@ -66,6 +68,9 @@ class Remembered:
     every id; and whole(text), whether a text is left to whole_ids(text).
     """
 
+    #: How many times REMEMBERED and REMEMBERED_CHARS are kept.
+    times = 1
+
     def forget(self) -> None:
         import numpy as np
 
@@ -117,7 +122,7 @@ class Remembered:
         """All ids in one array (uint32), how many each text has, and whether each text's ids give back its bytes (where ``data`` is known)."""
         import numpy as np
 
-        if len(self.index) > REMEMBERED or self.chars > REMEMBERED_CHARS:
+        if len(self.index) > self.times * REMEMBERED or self.chars > self.times * REMEMBERED_CHARS:
             self.forget()
         whole = {n for n, t in enumerate(texts) if self.whole(t)}
         parts = [[] if n in whole else self.split(t) for n, t in enumerate(texts)]

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import release, scratch
-from .byte_tokens import read_text, tokenizer_for
+from .byte_tokens import ALONE, read_text, tokenizer_for
 from .common import arrow_map, pieces, text_of
 
 #: Ids of a block at least, but for a shard's last.
@@ -114,6 +114,7 @@ def encoded(docs: DataFrame, path: str, pattern: str, end: int, size: int) -> Da
         import numpy as np
 
         tok, seen = tokenizer_for(path, True, pattern, data), np.zeros(size, np.int64)
+        tok.times = ALONE
         names = ["doc_id", "ids", "id", "n"]
         for ids, texts in pieces(batches, ["doc_id", "text"], 1_500_000):
             flat, lengths, _ = tok.encode([text_of(t) for t in texts])

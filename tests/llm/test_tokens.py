@@ -295,3 +295,27 @@ def test_pretokens_are_encoded_once():
     assert many > 200_000 and [x for t in texts for x in codec.encode([t])] == first
     assert sum(asked) == many and [d.decode() for _, d in first] == texts
     codec.close()
+
+
+def test_token_files_remember_more_than_the_alignment(spark, monkeypatch):
+    """A worker that holds one tokenizer keeps its parts where one that holds two would start anew."""
+    import public_tokenizers as P
+    import pyarrow as pa
+    from lodestone.llm import byte_tokens as B, token_files
+
+    monkeypatch.setattr(B, "REMEMBERED", 100)
+    path, made = P.path("byte_bpe_50k.json"), []
+
+    def caught(rows, run, schema):
+        made.append(run)
+        return rows
+
+    monkeypatch.setattr(token_files, "arrow_map", caught)
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    token_files.encoded(docs, path, P.PATTERN, 2, 60_000)
+    tok = B.tokenizer_for(path, True, P.PATTERN, type("Held", (), {"value": B.read_text(path)}))
+    tok.forget()
+    texts = [" ".join(f"w{chr(97 + n // 26)}{chr(97 + n % 26)}" for n in range(150)), "once more"]
+    batch = [pa.record_batch([pa.array([n]), pa.array([t])], ["doc_id", "text"]) for n, t in enumerate(texts)]
+    list(made[0](iter(batch)))
+    assert len(tok.index) > 150
