@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,14 +50,19 @@ def section_order(blocks: DataFrame, stage: str, key: str = "doc_id", wanted: li
         priority = F.when(F.col("section_id").isin(wanted or [""]), 0).when(path.rlike(FIRST[stage]), 1).otherwise(2)
         within = [F.when(F.col("candidate_label").isNotNull(), 0).otherwise(1), F.col("idx")]
     turn = F.row_number().over(Window.partitionBy(key, "section_no").orderBy(*within))
-    b = blocks.select("*", priority.alias("priority"), turn.alias("turn"))
+    b = blocks.select("*", turn.alias("turn"))
+    # a section's blocks have one path, which can be as long as its headings: it is matched once
+    b = b.withColumn("priority", F.max(F.when(F.col("turn") == 1, priority)).over(Window.partitionBy(key, "section_no")))
     place = F.row_number().over(Window.partitionBy(key).orderBy("turn", "priority", "section_no"))
     return b.withColumn("place", place.cast("long"))
 
 
+_JSON = json.JSONEncoder(sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+
+
 def canonical(value) -> str:
     """Sorted keys, no blanks, all characters as they are; NaN is refused."""
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    return _JSON.encode(value)
 
 
 def packed(ordered: DataFrame, budget: int, start: int = 0, key: str = "doc_id", cost: str = "cost") -> DataFrame:
@@ -91,52 +95,86 @@ def bounded_metadata(metadata: dict) -> tuple[dict, bool]:
     return m, not whole
 
 
-def _plain(v, kind=int):
-    """A pandas value as JSON has it; missing ones are null."""
-    return None if v is None or v != v else kind(v)
+def _sizes(blocks: list, stage: str, metadata: str) -> list[tuple]:
+    """place, kept, cost, truncated, abstract, omitted_sections, metadata_truncated of one document's blocks, in the order of place."""
+    budget = BUDGETS[stage]
+    firsts: dict = {}
+    for r in sorted(blocks, key=lambda r: r["reference_id"]):
+        firsts.setdefault(r["section_no"], r)
+    heads = sorted(firsts.values(), key=lambda r: (r["priority"], r["section_no"]))[:160]
+    stated = json.loads(blocks[0]["metadata"] or metadata)
+    stated, cut = bounded_metadata(stated) if stated else (stated, False)
+    frame = {"stage": stage, "metadata": stated, "section_hierarchy": [], "abstract_candidates": [], "blocks": [], "coverage": {}}
+    # what the frame takes with each section more: its own form, and a comma from the second on
+    size = len(canonical(frame))
+    ends = [size]
+    for r in heads:
+        size += len(canonical({"id": r["section_id"], "heading_path": r["section_path"][:300], "level": r["level"], "parent_path": r["parent_path"][:300]})) + (len(ends) > 1)
+        ends.append(size)
+    sent = next((n for n in range(len(heads), 0, -1) if ends[n] <= budget // 3), 0)
+    size, most, rows = ends[sent] + 600, budget - RESERVED[stage], []
+    for r in blocks:
+        box, text, path = r["bbox"], r["text"] or "", r["section_path"][:300]
+        if box:
+            box = {k: v for k, v in json.loads(box).items() if k != "spans"}
+        long = len(text) > MOST_TEXT
+        item = {"reference_id": r["reference_id"], "block_id": r["block_id"], "page": r["page"], "heading_path": path, "kind": r["kind"], "role": r["role"], "bbox": box or None, "text": text[:MOST_TEXT], "text_truncated": long, "candidate_label": r["candidate_label"], "section_id": r["section_id"]}
+        cost = len(canonical(item)) + 1
+        fits = size + cost <= most
+        size += cost if fits else 0
+        rows.append((r["place"], fits, cost, long, "abstract" in path.lower()))
+    kept = [x for x in rows if x[1]]
+    chosen = [x[0] for x in kept if x[4]][:8] or [x[0] for x in kept[:3]]
+    return [(*x[:4], x[0] in chosen, len(firsts) - sent, cut) for x in rows]
 
 
 def select_context(ordered: DataFrame, stage: str, key: str = "doc_id", metadata: str = "{}") -> DataFrame:
-    """section_order()'s blocks under the stage's budget of canonical JSON. A group is one document.
+    """section_order()'s blocks under the stage's budget of canonical JSON.
 
     key, place, kept, cost; truncated: whether the text was cut; abstract: whether the block is a
     candidate for the abstract (kept blocks below a heading that says so, eight at most, else the first
     three kept); omitted_sections and metadata_truncated of the document. Optional columns: page,
     role, level, bbox (JSON; its spans are left out) and metadata (JSON, one a document, in place of
     the argument), as positioned documents have them; null ones count as missing.
-    """
-    budget, reserved = BUDGETS[stage], RESERVED[stage]
-
-    def pick(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("place")
-        firsts = p.sort_values("reference_id").drop_duplicates("section_no")
-        heads = firsts.sort_values(["priority", "section_no"]).head(160)
-        hierarchy = [{"id": r.section_id, "heading_path": r.section_path[:300], "level": _plain(r.level), "parent_path": r.parent_path[:300]} for r in heads.itertuples()]
-        stated = json.loads(_plain(p.metadata.iloc[0], str) or metadata)
-        stated, cut = bounded_metadata(stated) if stated else (stated, False)
-        frame = {"stage": stage, "metadata": stated, "section_hierarchy": hierarchy, "abstract_candidates": [], "blocks": [], "coverage": {}}
-        while hierarchy and len(canonical(frame)) > budget // 3:
-            hierarchy.pop()
-        size, rows = len(canonical(frame)) + 600, []
-        for r in p.itertuples():
-            box = {k: v for k, v in json.loads(r.bbox).items() if k != "spans"} if _plain(r.bbox, str) else None
-            item = {"reference_id": r.reference_id, "block_id": r.block_id, "page": _plain(r.page), "heading_path": r.section_path[:300], "kind": r.kind, "role": _plain(r.role, str), "bbox": box, "text": r.text[:MOST_TEXT], "text_truncated": len(r.text) > MOST_TEXT, "candidate_label": _plain(r.candidate_label, str), "section_id": r.section_id}
-            cost = len(canonical(item)) + 1
-            fits = size + cost <= budget - reserved
-            size += cost if fits else 0
-            rows.append([getattr(r, key), r.place, fits, cost, item["text_truncated"], "abstract" in item["heading_path"].lower(), len(firsts) - len(hierarchy), cut])
-        sent = [x for x in rows if x[2]]
-        chosen = [x[1] for x in sent if x[5]][:8] or [x[1] for x in sent[:3]]
-        for x in rows:
-            x[5] = x[1] in chosen
-        return pd.DataFrame(rows, columns=[key, "place", "kept", "cost", "truncated", "abstract", "omitted_sections", "metadata_truncated"])
 
+    A window lays a document's blocks together in their order, and the documents pass by one after the other: at any time
+    one document is held, and none is a group of its own between Spark and Python.
+    """
     kind = ordered.schema[key].dataType.simpleString()
-    cols = [key, "place", "priority", "section_no", "section_id", "section_path", "parent_path", "reference_id", "block_id", "kind", "text", "candidate_label"]
+
+    def pick(batches):
+        import pyarrow as pa
+
+        type_, held, out, ids = None, [], [], []
+
+        def batch():
+            columns = [pa.array(ids, type_), *[pa.array(x, t) for x, t in zip(zip(*out), [pa.int64(), pa.bool_(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.bool_()])]]
+            return pa.RecordBatch.from_arrays(columns, [key, "place", "kept", "cost", "truncated", "abstract", "omitted_sections", "metadata_truncated"])
+
+        def close():
+            ids.extend([held[0][key]] * len(held))
+            out.extend(_sizes(held, stage, metadata))
+            held.clear()
+
+        for b in batches:
+            type_ = b.schema.field(key).type
+            for r in b.to_pylist():
+                if held and held[0][key] != r[key]:
+                    close()
+                    if len(out) >= 20_000:
+                        yield batch()
+                        out.clear(), ids.clear()
+                held.append(r)
+        if held:
+            close()
+        if out:
+            yield batch()
+
     more = {"page": "int", "role": "string", "level": "int", "bbox": "string", "metadata": "string"}
     extra = [(F.col(c) if c in ordered.columns else F.lit(None)).cast(t).alias(c) for c, t in more.items()]
-    rows = ordered.select(*cols, *extra).groupBy(key)
-    return rows.applyInPandas(pick, f"{key} {kind}, place long, kept boolean, cost long, truncated boolean, abstract boolean, omitted_sections long, metadata_truncated boolean")
+    cols = [key, "place", "priority", "section_no", "section_id", F.left("section_path", F.lit(300)).alias("section_path"), F.left("parent_path", F.lit(300)).alias("parent_path"), "reference_id", "block_id", "kind", F.left("text", F.lit(MOST_TEXT + 1)).alias("text"), "candidate_label"]
+    rows = ordered.select(*cols, *extra).withColumn("_nth", F.row_number().over(Window.partitionBy(key).orderBy("place")))
+    return rows.mapInArrow(pick, f"{key} {kind}, place long, kept boolean, cost long, truncated boolean, abstract boolean, omitted_sections long, metadata_truncated boolean")
 
 
 def coverage(selected: DataFrame, stage: str = "extract", key: str = "doc_id") -> DataFrame:
