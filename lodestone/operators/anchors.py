@@ -56,12 +56,37 @@ def _key(quote: Column) -> Column:
     return F.when(F.size(w) >= 5, F.array_join(F.slice(w, 2, 3), " ")).when(F.size(w) >= 3, longest)
 
 
+#: Versions with more anchors than this find their blocks by keys.
+FEW = 64
+
+
 def _met(a: DataFrame, b: DataFrame) -> DataFrame:
     """Anchors beside the blocks of their version that hold their quote, are on their page, or are the block they name.
 
-    Each pair comes once. A quote of three words or more meets the blocks that share its key, shorter ones
-    all blocks of the version; pages, block ids and indexes are keys of their own. has: the block holds
-    the quote (or there is none); on_page: it is on the anchor's page.
+    Each pair comes once. has: the block holds the quote (or there is none); on_page: it is on the anchor's page. Where a
+    version has FEW anchors at most, each of its blocks meets them in one join by version, and is dealt out once. Only
+    versions with more (a broadcast of their ids, at most one for FEW anchors) have their blocks' words dealt out as keys;
+    whether there are any is counted first, as a plan with both ways would deal out the blocks for each of them.
+    """
+    many = F.broadcast(a.groupBy(F.col("_v").alias("_m")).agg(F.count("*").alias("_n")).filter(F.col("_n") > FEW).select("_m"))
+    some = not many.isEmpty()
+    quoted = F.col("quote") != ""
+    same = lambda x, y: F.coalesce(F.col(x) == F.col(y), F.lit(False))
+    on_page, holds = F.coalesce((F.col("page") > 0) & (F.col("bpage") == F.col("page")), F.lit(False)), F.contains("btext", "quote")
+    keep = F.when(quoted, holds | on_page).otherwise(on_page | same("bid", "block_id") | same("bidx", "block_idx"))
+    rest = a.join(many, F.col("_v") == F.col("_m"), "left_anti") if some else a
+    few = b.join(rest, F.col("_v") == F.col("bv")).filter(keep)
+    few = few.select(*b.columns, *a.columns, (~quoted | holds).alias("has"), on_page.alias("on_page"))
+    if not some:
+        return few
+    return few.unionByName(_met_by_keys(a.join(many, F.col("_v") == F.col("_m"), "left_semi"), b.join(many, F.col("bv") == F.col("_m"), "left_semi")))
+
+
+def _met_by_keys(a: DataFrame, b: DataFrame) -> DataFrame:
+    """_met() for versions with many anchors.
+
+    A quote of three words or more meets the blocks that share its key, shorter ones
+    all blocks of the version; pages, block ids and indexes are keys of their own.
     """
     quoted, here = F.col("quote") != "", F.col("_v") == F.col("bv")
     on_page = F.coalesce((F.col("page") > 0) & (F.col("bpage") == F.col("page")), F.lit(False))
@@ -164,7 +189,9 @@ def resolve_portable(evidence: DataFrame, blocks: DataFrame, versions: DataFrame
     """
     e = evidence.withColumn("source_hash", F.coalesce("source_hash", package_hash if package_hash is not None else F.lit(None).cast("string")))
     base = resolve(e.drop("block_id", "block_idx", "source_version"), blocks, versions)
-    labels = e.select("anchor_id", "version_id", F.explode(F.array("figure_label", "table_label")).alias("label")).filter("label <> ''")
+    # one by one: where a column is null throughout, Spark leaves it out, and its join with the blocks
+    labels = [e.select("anchor_id", "version_id", F.col(c).alias("label")).filter("label <> ''") for c in ("figure_label", "table_label")]
+    labels = labels[0].unionByName(labels[1])
     labels = labels.join(e.filter(norm_ws(F.col("quote")) == "").select(F.col("anchor_id").alias("_a")), F.col("anchor_id") == F.col("_a"), "left_semi")
     # labels hold letters, digits, dots and spaces: the pattern quotes them whole
     pattern = F.concat(F.lit("(?i)^\\Q"), F.replace("label", F.lit(" "), F.lit("\\E\\s+\\Q")), F.lit("\\E(?![A-Za-z0-9])"))

@@ -101,10 +101,12 @@ def answers(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def blocks(spark: SparkSession, sf: str) -> DataFrame:
-    """Lines of documents as blocks (these texts are single paragraphs, so lines serve as blocks)."""
-    d = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("idx", "text"))
-    return d.select("doc_id", _id("v", "doc_id").alias("version_id"), F.col("idx").cast("long").alias("idx"), F.when(F.col("idx") % 7 == 0, "heading").otherwise("para").alias("kind"), F.when(F.col("idx") % 7 == 0, F.col("idx") % 3 + 1).cast("int").alias("level"), "text")
+def blocks(spark: SparkSession, sf: str, last: bool = False) -> DataFrame:
+    """Lines of documents as blocks (these texts are single paragraphs, so lines serve as blocks); last: with the idx of each document's last line."""
+    lines = F.split("text", "\n", -1)
+    ends = [(F.size(lines) - 1).cast("long").alias("last")] if last else []
+    d = table(spark, sf, "documents").select("doc_id", *ends, F.posexplode(lines).alias("idx", "text"))
+    return d.select("doc_id", *["last"] * last, _id("v", "doc_id").alias("version_id"), F.col("idx").cast("long").alias("idx"), F.when(F.col("idx") % 7 == 0, "heading").otherwise("para").alias("kind"), F.when(F.col("idx") % 7 == 0, F.col("idx") % 3 + 1).cast("int").alias("level"), "text")
 
 
 def markdown_docs(spark: SparkSession, sf: str) -> DataFrame:
